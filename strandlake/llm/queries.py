@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import common, license_scan, pii, quality_model, quality_rules
+from . import common, license_scan, pii, quality_model, quality_rules, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.find(common.table(spark, sf_dir, "documents")))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{common.shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
+    token_output.write(common.table(spark, sf_dir, "documents"), folder, vocabulary())
+    return token_output.read(spark.read.schema(token_output.BLOCKS_SCHEMA).parquet(folder))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(common.table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
@@ -35,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op5_license_scan": op5_license_scan,
+        "op7_token_output": op7_token_output,
         "op9_quality_rules": op9_quality_rules,
         "op10_pii": op10_pii,
     }
