@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import common, license_scan, pii, quality_model, quality_rules, token_output
+from . import common, decontamination, html_text, license_scan, mixing, pii, quality_model, quality_rules, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(html_text.extract(common.table(spark, sf_dir, "pages")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.find(common.table(spark, sf_dir, "documents")))
 
@@ -29,12 +33,34 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The shares of tokens that the mixture is to have, by domain; a domain is a language.
+TARGETS = {"de": 0.18, "en": 0.55, "es": 0.12, "fr": 0.15}
+
+
+def domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """The labelled table of domains: documents that the table of labels covers, with the language they are filed under."""
+    covered = common.table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(covered, "doc_id", "left_semi")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return mixing.rates(docs, domains(spark, sf_dir, docs), TARGETS)[0]
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{common.shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
     token_output.write(common.table(spark, sf_dir, "documents"), folder, vocabulary())
     return token_output.read(spark.read.schema(token_output.BLOCKS_SCHEMA).parquet(folder))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find(docs, common.table(spark, sf_dir, "benchmark"))
+    items = F.transform("matches", lambda m: m["item_id"])
+    return found.select("doc_id", (F.size("matches") == 0).alias("kept"), items.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m["distance"])).alias("distance"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(common.table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
@@ -47,8 +73,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_html_text": op2_html_text,
         "op5_license_scan": op5_license_scan,
+        "op6_mixing": op6_mixing,
         "op7_token_output": op7_token_output,
+        "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
         "op10_pii": op10_pii,
     }
