@@ -26,7 +26,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes `df` as a compressed table in the shared folder and reads it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # The shuffle files of this job go when it ends; what later jobs read is the table.
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import common, decontamination, html_text, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, token_output
+from . import common, decontamination, html_text, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, suffix_dedup, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classify(common.table(spark, sf_dir, "documents"), size=2)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove(common.table(spark, sf_dir, "documents")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.find(common.table(spark, sf_dir, "documents")))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_html_text": op2_html_text,
         "op3_near_dedup": op3_near_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_token_output": op7_token_output,
