@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -275,3 +275,20 @@ def classify(docs: DataFrame, size: int = 5) -> DataFrame:
         .unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def representatives(docs: DataFrame, size: int = 5) -> DataFrame:
+    """One row of docs for each group, with all its columns: that of the least doc_id; of several such, the least text.
+
+    Copies of whole rows are told apart by number only where a doc_id repeats, so a usual table isn't sorted.
+    """
+    keep = classify(docs, size).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("kept_id"), "n")
+    left, right = docs.alias("d"), keep.alias("k")
+    held = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("k.n").alias("__n"))
+    held = common.stored(held, "representatives")
+    once = held.filter("__n = 1").drop("__n")
+    several = held.filter("__n > 1").drop("__n")
+    if several.isEmpty():
+        return once
+    first = several.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("__text")))
+    return once.unionByName(first.filter("__row = 1").drop("__row", "__text"))
