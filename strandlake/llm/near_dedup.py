@@ -7,11 +7,11 @@ principle, in one global order from rare to frequent) they share one of the rare
 only those are listed. The union sketch estimates the similarity and filters; the exact Jaccard similarity of the full
 sets verifies.
 
-No list is expanded into all its pairs. Lists of at most SMALL classes are; in longer ones every class is compared with a
-hub (the class with the fewest values of its own, as an original among its edited copies), and so again with a hub among
-the classes that the first left apart. Lists that still hold several components are compared in full, block by block:
-classes outside the list's largest component against all, in tasks of at most 2 * BLOCK classes, each of which gives a
-spanning set of links.
+No list is expanded into all its pairs. Lists of at most SMALL classes are. Longer ones are split into bands of set size,
+so that classes too different in size never meet, and those bands of at most SMALL classes are. In the others every class
+is compared with a hub (the class with the fewest values of its own, as an original among its edited copies). Bands that
+still hold several components are compared in full, block by block: classes outside the band's largest component against
+all, in tasks of at most 2 * BLOCK classes, each of which gives a spanning set of links.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Fewer words than a shingle
 has are one shingle. Repeated rows are in one class; a null doc_id is a document like any other, whose component is named
@@ -20,6 +20,7 @@ by the least non-null doc_id. An empty table gives an empty result. Other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from . import common, components
 
-SKETCH, NEEDED = 32, 13
+SKETCH, NEEDED = 32, 15
 SMALL = 12
-BLOCK = 192
+BLOCK = 512
 THRESHOLD = 80  # of 100
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
@@ -123,9 +124,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "sig binary, own binary, hashes array<bigint>").filter("sig = own").select("sig", "hashes").dropDuplicates(["sig"])
 
 
-def least_overlap(n: Column) -> Column:
-    """How many values of a sketch a similar sketch has at least."""
-    return F.greatest(F.lit(1), F.floor(n * NEEDED / SKETCH)).cast("int")
+def least_overlap(size: Column, n: Column) -> Column:
+    """How many values of a sketch of `size` values, of a set of n, a similar set's sketch has at least.
+
+    The sets differ in a fifth of their union at most, so the other one lacks n / 4 values at most: certain, and more than
+    the binomial bound for sets of fewer than 68.
+    """
+    return F.greatest(F.lit(1), F.floor(size * NEEDED / SKETCH), size - F.floor(n * 100 / THRESHOLD - n)).cast("int")
 
 
 def memberships(reps: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def memberships(reps: DataFrame) -> DataFrame:
     often = common.stored(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "frequent-values")
     shared = each.join(often, "value").groupBy("sig").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     own = F.col("s") - F.size("values")
-    room = F.col("s") - least_overlap(F.col("s")) + 1 - own
+    room = F.col("s") - least_overlap(F.col("s"), F.col("n")) + 1 - own
     return shared.filter(room > 0).select("sig", "n", own.alias("own"), F.explode(F.slice("values", 1, room)).alias("v")).select("v.value", "sig", "n", "own")
 
 
@@ -148,7 +153,7 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     union = F.slice(F.array_sort(F.array_union("sx", "sy")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("sx", "sy"), "u"))
-    return both.select("x", "y", "sx", "sy", union.alias("u")).filter(shared >= least_overlap(F.size("u"))).select("x", "y")
+    return both.select("x", "y", "sx", "sy", union.alias("u")).filter(shared >= F.greatest(F.lit(1), F.floor(F.size("u") * NEEDED / SKETCH))).select("x", "y")
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -158,10 +163,72 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return both.select("x", "y", shared.alias("i"), (F.size("hx") + F.size("hy") - shared).alias("u")).filter(f"100 * i >= {THRESHOLD} * u").select("x", "y")
 
 
+def needed(sizes: np.ndarray) -> np.ndarray:
+    """`least_overlap` of the sketches of sets of these sizes."""
+    sketch = np.minimum(sizes, SKETCH)
+    return np.maximum(np.maximum(1, sketch * NEEDED // SKETCH), sketch - (sizes * 100 // THRESHOLD - sizes))
+
+
+def incidence(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of every sketch value that several rows have."""
+    row = np.repeat(np.arange(len(group)), [len(s) for s in group["sketch"]])
+    _, where, count = np.unique(np.concatenate(group["sketch"].to_list()), return_inverse=True, return_counts=True)
+    several = count[where] > 1
+    return row[several], np.unique(where[several], return_inverse=True)[1]
+
+
+def pruned(group: pd.DataFrame) -> pd.DataFrame:
+    """Without the rows that share too few values with all others together to share enough with any one."""
+    while len(group):
+        row, _ = incidence(group)
+        enough = np.bincount(row, minlength=len(group)) >= needed(group["n"].to_numpy())
+        if enough.all():
+            break
+        group = group[enough].reset_index(drop=True)
+    return group
+
+
+def fitting(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (an asker, a target of another component) whose sketches and sizes allow the similarity."""
+    row, where = incidence(group)
+    has = np.zeros((len(group), int(where.max()) + 1 if len(where) else 1), np.float32)
+    has[row, where] = 1
+    ask, target = np.flatnonzero(group["ask"]), np.flatnonzero(group["target"])
+    sizes, least = group["n"].to_numpy(), needed(group["n"].to_numpy())
+    labels, names, query = pd.factorize(group["label"])[0], pd.factorize(group["sig"], sort=True)[0], group["query"].to_numpy()
+    a, t = ask[:, None], target[None, :]
+    fits = (has[ask] @ has[target].T >= np.maximum(least[a], least[t])) & (100 * np.minimum(sizes[a], sizes[t]) >= THRESHOLD * np.maximum(sizes[a], sizes[t]))
+    # Of two queries the one of less sig asks.
+    fits &= (labels[a] != labels[t]) & ~(query[t] & (names[t] < names[a]))
+    # A pair that shares a short list is known already; one that shares several long ones is for the least of them.
+    fits &= ~met(group["short"], ask, target) & ~met([k[k < v] for k, v in zip(group["long"], group["value"], strict=True)], ask, target)
+    q, other = np.nonzero(fits)
+    return ask[q], target[other]
+
+
+def met(keys, ask: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Which rows in `ask` share a key with which in `target`."""
+    size = [len(k) for k in keys]
+    has = np.zeros((len(size), 1), np.float32)
+    if sum(size):
+        _, where = np.unique(np.concatenate(list(keys)), return_inverse=True)
+        has = np.zeros((len(size), int(where.max()) + 1), np.float32)
+        has[np.repeat(np.arange(len(size)), size), where] = 1
+    return has[ask] @ has[target].T > 0
+
+
+def surviving(group: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block pair that fit another one by their sketches."""
+    columns = ["value", "i", "j", "sig", "n", "label", "query", "ask", "target", "sketch", "short", "long"]
+    group = pruned(group)
+    if not group["ask"].any():
+        return group[columns][:0]
+    return group[columns].iloc[np.unique(np.concatenate(fitting(group)))]
+
+
 def compared(group: pd.DataFrame) -> pd.DataFrame:
     """A spanning set of the links between classes of different components in one block pair; queries against all."""
     group = group.sort_values("sig", ignore_index=True)
-    n = len(group)
     labels, parent = pd.factorize(group["label"])[0], {}
 
     def root(k: int) -> int:
@@ -169,20 +236,9 @@ def compared(group: pd.DataFrame) -> pd.DataFrame:
             k = p
         return k
 
-    values, where = np.unique(np.concatenate([np.asarray(s) for s in group["sketch"]]), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(s) for s in group["sketch"]])
-    has = np.zeros((n, len(values)), np.float32)
-    has[row, where] = 1
-    query = group["query"].to_numpy()
-    ask = np.flatnonzero(query)
-    shared = has[ask] @ has.T
-    sizes, sketch = group["n"].to_numpy(), np.minimum(group["n"].to_numpy(), SKETCH)
-    floor = np.maximum(1, np.maximum(sketch[ask, None], sketch[None, :]) * NEEDED // SKETCH)
-    fits = (shared >= floor) & (100 * np.minimum(sizes[ask, None], sizes[None, :]) >= THRESHOLD * np.maximum(sizes[ask, None], sizes[None, :]))
     found = []
-    for q, other in zip(*np.nonzero(fits), strict=True):
-        k = int(ask[q])
-        if query[other] and other <= k or root(labels[k]) == root(labels[other]):
+    for k, other in zip(*fitting(group), strict=True):
+        if root(labels[k]) == root(labels[other]):
             continue
         a, b = np.asarray(group["hashes"][k]), np.asarray(group["hashes"][other])
         i = len(np.intersect1d(a, b, assume_unique=True))
@@ -200,65 +256,55 @@ def linked(docs: DataFrame, size: int, found: DataFrame) -> tuple[DataFrame, Dat
     first = classes.select(F.col("sig").alias("c"), "doc")
     reps = common.stored(sketches.join(first, (F.col("sig") == F.col("c")) & F.col("d").eqNullSafe(F.col("doc"))).select("sig", "n", "sketch").dropDuplicates(["sig"]), "sketches")
     lists = common.stored(memberships(reps), "inverted-lists")
-    heads = common.stored(lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("own", "sig", "n")).alias("hub")), "list-heads")
-
-    short = lists.join(heads.filter(f"m <= {SMALL}").select("value"), "value").select("value", "sig", "n")
-    left, right = short.toDF("value", "x", "n"), short.toDF("value", "y", "m")
-    pairs = left.join(right, "value").filter(F.col("x") < F.col("y")).filter(near_sizes(F.col("n"), F.col("m"))).select("x", "y")
-    stars = lists.join(heads.filter(f"m > {SMALL}").select("value", "hub"), "value").filter((F.col("sig") != F.col("hub.sig")) & near_sizes(F.col("n"), F.col("hub.n"))).select(F.col("sig").alias("x"), F.col("hub.sig").alias("y"))
+    head = lambda lists: lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("own", "sig", "n")).alias("hub"))
+    wide = common.stored(head(lists).filter(f"m > {SMALL}").select("value"), "long-lists")
+    # A class stands in the band of its size and the next; similar sizes share one. A band's name is a value of its own.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / THRESHOLD)).cast("int")
+    banded = lists.join(wide, "value").withColumn("value", F.explode(F.transform(F.array(band, band + 1), lambda b: F.xxhash64("value", b))))
+    split = common.stored(lists.join(wide, "value", "left_anti").unionByName(banded), "bands")
+    heads = common.stored(head(split), "band-heads")
+
+    def paired(short: DataFrame) -> DataFrame:
+        left, right = short.select("value", F.col("sig").alias("x"), "n"), short.select("value", F.col("sig").alias("y"), F.col("n").alias("m"))
+        return left.join(right, "value").filter(F.col("x") < F.col("y")).filter(near_sizes(F.col("n"), F.col("m"))).select("x", "y")
+
+    pairs = paired(split.join(heads.filter(f"m between 2 and {SMALL}").select("value"), "value"))
+    stars = split.join(heads.filter(f"m > {SMALL}").select("value", "hub"), "value").filter((F.col("sig") != F.col("hub.sig")) & near_sizes(F.col("n"), F.col("hub.n"))).select(F.col("sig").alias("x"), F.col("hub.sig").alias("y"))
     ordered = lambda p: p.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    whole: list[DataFrame] = []
-
-    def confirm(candidates: DataFrame) -> DataFrame:
-        """Links among the candidates. Full sets of classes that come up for the first time are made from the texts."""
-        some = common.stored(estimated(ordered(candidates), reps), "candidates")
-        ends = some.select(F.col("x").alias("sig")).unionByName(some.select(F.col("y").alias("sig"))).distinct()
-        for old in whole:
-            ends = ends.join(old.select("sig"), "sig", "left_anti")
-        whole.append(common.stored(full_sets(docs, ends.join(classes, "sig").select("sig", "doc"), size), "full-sets"))
-        full = whole[0]
-        for more in whole[1:]:
-            full = full.unionByName(more)
-        return common.stored(verified(some, full), "links")
-
-    links = confirm(pairs.unionByName(stars))
-    long = lists.join(heads.filter(f"m > {SMALL}").select("value"), "value")
-    long = common.stored(long, "long-lists")
-
-    def labelled(links: DataFrame) -> DataFrame:
-        label = components.labels(links).select(F.col("node").alias("sig"), "label")
-        return common.stored(long.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled-lists")
-
-    members = labelled(links)
-    torn = members.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("value")
-    apart = common.stored(members.join(torn, "value").join(heads.select("value", F.col("hub.sig").alias("hub")), "value"), "torn-lists")
-    if apart.isEmpty():
-        return classes, links
-    of_hub = apart.filter("sig = hub").select("value", F.col("label").alias("hub_label"))
-    outside = common.stored(apart.join(of_hub, "value").filter("label != hub_label").select("value", "sig", "n", "own", "label"), "outside")
-    hub2 = common.stored(outside.groupBy("value").agg(F.min(F.struct("own", "sig", "n", "label")).alias("h")), "second-hubs")
-    again = outside.join(hub2, "value").filter((F.col("sig") != F.col("h.sig")) & (F.col("label") != F.col("h.label")) & near_sizes(F.col("n"), F.col("h.n"))).select(F.col("sig").alias("x"), F.col("h.sig").alias("y"))
-    links = links.unionByName(confirm(again))
+    some = common.stored(estimated(ordered(pairs.unionByName(stars)), reps), "candidates")
+    ends = some.select(F.col("x").alias("sig")).unionByName(some.select(F.col("y").alias("sig"))).distinct()
+    full = common.stored(full_sets(docs, ends.join(classes, "sig").select("sig", "doc"), size), "full-sets")
+    links = common.stored(verified(some, full), "links")
 
-    members = labelled(links)
+    long = split.join(heads.filter(f"m > {SMALL}").select("value"), "value")
+    label = components.labels(links).select(F.col("node").alias("sig"), "label")
+    members = common.stored(long.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled-bands")
     parts = members.groupBy("value", "label").agg(F.count("*").alias("k"))
     lead = parts.groupBy("value").agg(F.max(F.struct("k", "label")).alias("lead"), F.sum("k").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    lead = common.stored(lead.select("value", F.col("lead.label").alias("lead"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "leads")
+    lead = common.stored(lead.select("value", F.col("lead.label").alias("lead"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("lead.k")) / BLOCK).cast("int").alias("asks")), "leads")
     if lead.isEmpty():
         return classes, links
-    asked = members.join(lead, "value").select("value", "sig", "n", "label", (F.col("label") != F.col("lead")).alias("query"), "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"))
-    # A query meets every block; the others stand in their own.
-    pieces = asked.withColumn("j", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    keyed = common.stored(pieces.select("value", F.when(F.col("query"), F.least("block", "j")).otherwise(F.col("j")).alias("i"), F.when(F.col("query"), F.greatest("block", "j")).otherwise(F.col("j")).alias("j"), "sig", "n", "label", "query"), "pieces")
-    return classes, links.unionByName(crossed(docs, keyed, classes, reps, size))
-
-
-def crossed(docs: DataFrame, keyed: DataFrame, classes: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    need = keyed.select("sig").distinct()
-    full = common.stored(full_sets(docs, need.join(classes, "sig").select("sig", "doc"), size).join(reps.select("sig", "sketch"), "sig"), "full-sets")
-    rows = keyed.join(full, "sig")
-    return common.stored(rows.groupBy("value", "i", "j").applyInPandas(compared, "x binary, y binary"), "links")
+    # Askers (classes outside the largest component) and targets (all) are dealt into blocks; every pair of blocks meets.
+    dealt = members.join(lead, "value").select("value", "sig", "n", "label", (F.col("label") != F.col("lead")).alias("query"), "blocks", "asks", F.xxhash64("sig").alias("h"))
+    part = lambda n: F.pmod("h", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ("sig", "n", "label", "query")
+    one = dealt.filter("blocks = 1").select("value", F.lit(0).alias("i"), F.lit(0).alias("j"), *row, F.col("query").alias("ask"), F.lit(True).alias("target"))
+    askers = dealt.filter("blocks > 1 and query").select("value", part("asks").alias("i"), every("blocks").alias("j"), *row, F.lit(True).alias("ask"), F.lit(False).alias("target"))
+    targets = dealt.filter("blocks > 1").select("value", every("asks").alias("i"), part("blocks").alias("j"), *row, F.lit(False).alias("ask"), F.lit(True).alias("target"))
+    keyed = common.stored(one.unionByName(askers).unionByName(targets), "pieces")
+    listed = split.join(keyed.select("sig").distinct(), "sig", "left_semi").join(heads.select("value", (F.col("m") > SMALL).alias("big")), "value")
+    keys = listed.groupBy("sig").agg(F.collect_list(F.when(~F.col("big"), F.col("value"))).alias("short"), F.collect_list(F.when(F.col("big"), F.col("value"))).alias("long"))
+    return classes, links.unionByName(crossed(docs, keyed, keys, classes, reps, size))
+
+
+def crossed(docs: DataFrame, keyed: DataFrame, keys: DataFrame, classes: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    sketched = keyed.join(reps.select("sig", "sketch"), "sig").join(keys, "sig")
+    kept = sketched.groupBy("value", "i", "j").applyInPandas(surviving, "value bigint, i int, j int, sig binary, n bigint, label binary, query boolean, ask boolean, target boolean, sketch array<bigint>, short array<bigint>, long array<bigint>")
+    kept = common.stored(kept, "surviving")
+    full = full_sets(docs, kept.select("sig").distinct().join(classes, "sig").select("sig", "doc"), size)
+    return common.stored(kept.join(full, "sig").groupBy("value", "i", "j").applyInPandas(compared, "x binary, y binary"), "links")
 
 
 def classify(docs: DataFrame, size: int = 5) -> DataFrame:
