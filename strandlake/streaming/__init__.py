@@ -1,0 +1 @@
+"""No operator here works on unbounded streams; inputs are tables and files."""
