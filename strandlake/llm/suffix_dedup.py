@@ -94,7 +94,8 @@ def anchors(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         least = np.minimum(least[: len(key) - SPAN + 1], least[SPAN - step :])
     of = (least[ok] & low).astype(np.int64)
     place = np.unique(of[np.flatnonzero(np.diff(of, prepend=-1))])
-    return ok, of, place, h[place]
+    # Least hashes crowd at the low end; mixed again they are even.
+    return ok, of, place, mixed(h[place])
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -220,12 +221,13 @@ def examined(flat: np.ndarray, ends: np.ndarray, answers: list[dict], buckets: i
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Rows of about SHARD bytes, in order; shard rises with doc_id."""
+    """Rows of about SHARD bytes, in order; shard rises with doc_id. Of docs (o, sha, text), a row without text is the
+    mark of a copy, which is left out like the repeats of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         held: list[tuple[int, bytes, bytes]] = []
-        size = 0
+        size, passed = 0, None
 
         def row() -> pa.RecordBatch:
             ends = np.cumsum([len(x[2]) for x in held])
@@ -235,6 +237,11 @@ def packed(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for o, sha, text in zip(batch.column("o").to_pylist(), batch.column("sha").to_pylist(), batch.column("text"), strict=True):
+                if (o, sha) == passed:  # a copy's mark stands before it, and the row itself before its repeats
+                    continue
+                passed = (o, sha)
+                if not text.is_valid:
+                    continue
                 held.append((o, sha, text.as_py().encode("utf-8", "surrogatepass")))
                 size += len(held[-1][2])
                 if size >= SHARD:
@@ -243,7 +250,7 @@ def packed(docs: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    return docs.repartitionByRange("o", "sha").sortWithinPartitions("o", "sha").mapInArrow(run, SHARDS_SCHEMA)
+    return docs.repartitionByRange("o", "sha").sortWithinPartitions("o", "sha", F.col("text").asc_nulls_first()).mapInArrow(run, SHARDS_SCHEMA)
 
 
 def arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,10 +387,9 @@ def remove(docs: DataFrame) -> DataFrame:
     hashed = t.select("doc_id", F.coalesce("doc_id", F.lit(FIRST)).alias("o"), F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("bigint").alias("n_bytes"))
     every = common.stored(hashed, "text-hashes")
     firsts = common.stored(every.filter(f"n_bytes >= {LENGTH}").groupBy("sha").agg(F.min("o").alias("first")), "first-holders")
-    texts = t.select(F.coalesce("doc_id", F.lit(FIRST)).alias("o"), "text").filter(F.octet_length("text") >= LENGTH)
-    holders = firsts.select(F.col("first").alias("h"), F.col("sha").alias("s"))
-    with_sha = texts.withColumn("sha", F.unhex(F.sha2("text", 256))).join(holders, (F.col("o") == F.col("h")) & (F.col("sha") == F.col("s"))).select("o", "sha", "text")
-    shards = common.stored(packed(with_sha.dropDuplicates(["o", "sha"]) if repeats(every) else with_sha), "shards")
+    texts = t.filter(F.octet_length("text") >= LENGTH).select(F.coalesce("doc_id", F.lit(FIRST)).alias("o"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
+    copies = every.join(firsts, "sha").filter("o != first").select("o", "sha", F.lit(None).cast("string").alias("text"))
+    shards = common.stored(packed(texts.unionByName(copies)), "shards")
     seen = answered(fingerprints(shards, buckets), occurring_twice)
     marks = common.stored(leaders(shards, seen, buckets), "marks")
     before = answered(marks.filter("bucket >= 0"), held_before)
@@ -398,11 +404,6 @@ def remove(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeats(every: DataFrame) -> bool:
-    """Whether any row stands twice (same doc_id and text); only then are texts brought together to drop them."""
-    return not every.groupBy("o", "sha").count().filter("count > 1").isEmpty()
-
-
 def digest(found: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
