@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from . import compare, search
+from .storage import stored
 
 
 def log_binomial(n: int, k: int) -> float:
@@ -82,10 +83,12 @@ def errors(reads: DataFrame, lengths: list[int], support: int) -> DataFrame:
 def correctors(found: DataFrame, reads: DataFrame, support: int, longest: int) -> DataFrame:
     """found with `corrector`: the correct letter and what stands before it in other reads, letter by letter, as long as
     one has the support (of several the last of the alphabet), at most `longest` letters; leftmost letter last."""
+    found = stored(found)
     both = found.join(reads.select("seq_id", "bases"), "seq_id")
     witness = F.col("bases").substr(F.col("position") + 2, F.col("shortest_witness"))
     walk = both.select("seq_id", "position", F.concat("correct", witness).alias("word"), F.col("correct").alias("corrector"), F.lit(True).alias("open"))
     for _ in range(longest - 1):
+        walk = stored(walk)
         sizes = [r[0] for r in walk.filter("open").select(F.length("word")).distinct().collect()]  # word lengths, at most a read's
         if not sizes:
             break

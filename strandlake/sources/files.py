@@ -174,7 +174,7 @@ def kmers(rows: DataFrame) -> DataFrame:
 
 def numbers(rows: DataFrame) -> DataFrame:
     """First number of each line, each once."""
-    return rows.select(F.regexp_extract("value", r"^\s*(\d+)", 1).cast("bigint").alias("seq_id")).filter("seq_id is not null").distinct()
+    return rows.select(F.regexp_extract("value", r"^\s*(\d+)", 1).try_cast("bigint").alias("seq_id")).filter("seq_id is not null").distinct()
 
 
 def intervals(rows: DataFrame) -> DataFrame:
