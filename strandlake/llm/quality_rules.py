@@ -15,6 +15,8 @@ it. Repeated rows give repeated results; columns other than doc_id, text and lan
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def length_of(text: Column, pattern: str) -> Column:
+    """How many characters of a class there are, by taking out whole runs: cheaper for what comes in runs."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """The base counts and both histograms of every document; each array is made once, in a projection of its own."""
     t = F.col("text")
@@ -58,11 +65,10 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         n.cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("bigint").alias("word_chars"),
         F.length(t).alias("chars"),
         count_of(t, "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        *[count_of(t, p).alias(f"c_{k}") for k, p in CLASSES.items()],
+        *[(length_of(t, p) if k in ("lower", "space") else count_of(t, p)).alias(f"c_{k}") for k, p in CLASSES.items()],
         F.filter(F.transform(F.filter("words", lambda w: F.length(w) <= LONGEST), lambda w: F.array_position(F.array(*map(F.lit, WORDS)), F.lower(w)).cast("int")), lambda k: k > 0).alias("known"),
         # A window's place in the low bits below its hash; windows of more words than the bits hold take a pair instead.
         F.when(n < 1 << POSITION_BITS, F.sort_array(F.transform(starts, lambda i: F.shiftleft(window(i), POSITION_BITS).bitwiseOR(i)))).alias("packed"),
@@ -83,7 +89,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "n_words",
-        "word_chars",
+        (F.col("chars") - F.col("c_space")).cast("bigint").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         covered.cast("bigint").alias("n_repeat_words"),
@@ -109,11 +115,15 @@ def references(measures: DataFrame) -> DataFrame:
     return sums.select("lang", *[shares(F.array(*[F.col(f"{c}_{i}").cast("double") for i in range(n)])).alias(c) for c, n in sizes.items()])
 
 
-def distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance of the array of shares `p` from the fixed shares `q`."""
-    term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    each = F.zip_with(p, F.array(*map(F.lit, q)), lambda x, y: (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x)))
+def entropy(p: Column) -> Column:
+    return F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log2(x)).otherwise(0.0))
+
+
+def distance(p: Column, own: Column, q: list[float]) -> Column:
+    """Jensen-Shannon distance of the array of shares `p`, whose entropy is `own`, from the fixed shares `q`."""
+    fixed = -sum(x * math.log2(x) for x in q if x > 0)
+    middle = entropy(F.zip_with(p, F.array(*map(F.lit, q)), lambda x, y: (x + y) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), middle - (own + fixed) / 2))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -123,8 +133,11 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     measures = common.stored(measured(docs), "quality-rules")
     known = references(measures).collect()
-    nearest = lambda c, enough: F.when(enough, F.least(*ds) if len(ds := [distance(shares(F.col(c).cast("array<double>")), r[c]) for r in known if r[c]]) > 1 else ds[0] if ds else F.lit(None).cast("double"))
-    out = measures.select(
+    nearest = lambda c, enough: F.when(enough, F.least(*ds) if len(ds := [distance(F.col(c), F.col(f"{c}_entropy"), r[c]) for r in known if r[c]]) > 1 else ds[0] if ds else F.lit(None).cast("double"))
+    kinds = ("char_counts", "word_counts")
+    plain = [c for c in measures.columns if c not in kinds]
+    shared = measures.select(*plain, *[shares(F.col(c).cast("array<double>")).alias(c) for c in kinds])
+    out = shared.select(*plain, *kinds, *[entropy(F.col(c)).alias(f"{c}_entropy") for c in kinds]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"),
         nearest("char_counts", F.col("chars") >= MIN_CHARS).alias("char_distance"), nearest("word_counts", F.col("n_words") >= MIN_WORDS).alias("word_distance"),
