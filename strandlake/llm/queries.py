@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import common, decontamination, html_text, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, suffix_dedup, token_output
+from . import common, decontamination, html_text, license_scan, mixing, near_dedup, oracle, pii, quality_model, quality_rules, suffix_dedup, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,7 +71,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(common.table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
