@@ -195,3 +195,8 @@ def below_running_mean(rows: DataFrame, size: str, order: list[str], bucket: str
 
     w = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("mean", F.avg(size).over(w)).filter(F.col(size) < factor * F.col("mean"))
+
+
+def write_by_length(rows: DataFrame, path: str) -> None:
+    """Breakpoints in a folder for each word length, as a run of the extension loop leaves them."""
+    rows.write.partitionBy("k").parquet(path)

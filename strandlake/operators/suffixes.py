@@ -176,3 +176,30 @@ def occurrences(table: DataFrame) -> DataFrame:
     w = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.select("rank", "block", *[F.sum((F.col("ch") == c).cast("bigint")).over(w).alias(f"i_{NAMES[c]}") for c in LETTERS])
     return inside.join(ahead, "block").select("rank", *[(F.col(f"b_{NAMES[c]}") + F.col(f"i_{NAMES[c]}")).alias(f"n_{NAMES[c]}") for c in LETTERS])
+
+
+def genome_order(letters: DataFrame) -> DataFrame:
+    """pos and rank of every suffix of one long string, given letter by letter (pos from 0, ch): prefix doubling.
+
+    A round orders places by the ranks of themselves and of the place `step` further on; equal pairs share a rank. Text
+    is never longer than a letter, whatever the genome, and a round is one join and one range-partitioned sort.
+    """
+    # The first ranks are those of the letters: a handful of rows.
+    kinds = letters.select("ch").distinct().withColumn("key", F.dense_rank().over(Window.orderBy("ch")).cast("bigint"))
+    now = stored(letters.join(F.broadcast(kinds), "ch").select("pos", "key"))
+    step = 1
+    while True:
+        after = now.select((F.col("pos") - step).alias("pos"), F.col("key").alias("next"))
+        pairs = now.join(after, "pos", "left").select("pos", "key", F.coalesce("next", F.lit(-1)).alias("next"))
+        placed = stored(ranked(pairs, "key", "next", "pos"))
+        first = placed.groupBy("key", "next").agg(F.min("rank").alias("first"))
+        now = stored(placed.join(first, ["key", "next"]).select("pos", F.col("first").alias("key")))
+        if first.count() == placed.count():
+            return now.select("pos", F.col("key").alias("rank"))
+        step *= 2
+
+
+def genome_transform(letters: DataFrame) -> DataFrame:
+    """rank, pos (the suffix array) and ch (the letter before, `$` at the start) of one long string."""
+    before = letters.select((F.col("pos") + 1).alias("pos"), F.col("ch").alias("b"))
+    return genome_order(letters).join(before, "pos", "left").select("rank", "pos", F.coalesce("b", F.lit("$")).alias("ch"))

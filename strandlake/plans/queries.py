@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators import correct as E
 from ..operators import search as Q
 from ..operators import suffixes as S
 from ..operators import taxa as T
+from ..operators.storage import stored
 from ..sources import files as IO
 from . import convert
 from . import fixtures as X
@@ -351,6 +353,14 @@ def bwt_12(spark, d):
     return X.bwt(spark, d).select("rank", "seq_id", "pos", (F.col("seq_id") * (LENGTH + 1) + F.col("pos")).alias("sa"))
 
 
+@query("bwt_13")
+def bwt_13(spark, d):
+    """The suffix array and transform of one genome: all reads on end."""
+    r = S.ranked(X.reads(spark, d).select("seq_id", "bases"), "seq_id")
+    letters = r.select(F.col("rank").alias("n"), F.posexplode(F.split("bases", "")).alias("p", "ch")).filter("ch != ''")
+    return S.genome_transform(letters.select((F.col("n") * LENGTH + F.col("p")).alias("pos"), "ch"))
+
+
 @query("bwt_14", sql("SELECT row_number() OVER (ORDER BY suffix, seq_id) - 1 AS rank, seq_id AS file_num, pos, ch FROM suf WHERE suffix <> ''"))
 def bwt_14(spark, d):
     """Transforms of two sets of genomes merged: suffixes in the order of (suffix, file)."""
@@ -376,7 +386,61 @@ def bwt_18(spark, d):
 
 # --- sources and sinks ------------------------------------------------------------------------------------------
 
-LINES = "lines AS (SELECT kmer || ' # ' || row_number() OVER (ORDER BY kmer) AS value FROM kmers)"
+def written(df: DataFrame, kind: str = "text") -> str:
+    """A folder of the shared one with the files of df."""
+    spark = df.sparkSession
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    df.write.format(kind).save(folder)
+    return folder
+
+
+def shared_root(spark: SparkSession) -> str:
+    stored(spark.range(1))  # sets the folder where it is unset
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+NUMBERED = "numbered AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, 'read/' || seq_id AS name, bases, quals FROM reads)"
+
+
+def round_trip(kind: str) -> Query:
+    """Reads written as files of a format and read again: numbered by their place, with what the format keeps."""
+
+    def run(spark, d):
+        r = X.reads(spark, d).withColumn("name", F.concat(F.lit("read/"), F.col("seq_id").cast("string")))
+        folder = written(convert.record_text(r, kind).repartitionByRange("seq_id").sortWithinPartitions("seq_id").select("value"))
+        return convert.read(spark, f"{folder}/part-*", kind)
+
+    return run
+
+
+query("src_1", sql("SELECT seq_id, name, bases, NULL::VARCHAR AS quals FROM numbered", NUMBERED))(round_trip("fasta"))
+query("src_2", sql("SELECT seq_id, name, bases, quals FROM numbered", NUMBERED))(round_trip("fastq"))
+query("src_3", sql("SELECT seq_id, NULL::VARCHAR AS name, bases, NULL::VARCHAR AS quals FROM numbered", NUMBERED))(round_trip("seq"))
+
+
+@query("src_9", sql("SELECT pile, pile_pos AS rank, ch FROM bwt"))
+def src_9(spark, d):
+    """A transform of one byte a letter, a file for each pile."""
+    names = F.create_map(*[F.lit(x) for k, c in enumerate(B.ALPHABET) for x in (f"B0{k}", c)])
+    rows = snk_1(spark, d).withColumn("file", F.concat(F.lit("B0"), (F.call_function("instr", F.lit(B.ALPHABET), F.col("pile")) - 1).cast("string")))
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    rows.select("file", F.col("letters").alias("value")).write.partitionBy("file").text(folder)
+    read = IO.ascii_transform(spark, f"{folder}/*/part-*").filter("ch != '\n'")
+    return read.select(F.element_at(names, F.regexp_extract("file", "file=(B0.)", 1)).alias("pile"), F.col("rank").cast("bigint").alias("rank"), "ch")
+
+
+@query("src_17", sql("SELECT kmer, coalesce(position, 0) AS position, coalesce(n, 0) AS count FROM kmers LEFT JOIN (SELECT substr(suffix, 1, 12) AS kmer, min(pile_pos) AS position, count(*) AS n FROM bwt GROUP BY 1) USING (kmer)"))
+def src_17(spark, d):
+    folder = written(sea_1(spark, d).select(F.format_string("%s %d %d", "kmer", "position", "count").alias("value")))
+    return IO.intervals(spark.read.text(folder))
+
+
+@query("src_18", None)
+def src_18(spark, d):
+    """A corrections file, written (the sink) and read again."""
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    IO.write_corrections(mapped(spark, d), folder)
+    return IO.corrections(spark, folder)
 
 
 @query("src_16", sql("SELECT row_number() OVER (ORDER BY rank) - 1 AS dollar_num, seq_id, seq_id % 2 AS group_num, seq_id // 2 AS pos_in_group FROM bwt WHERE ch = '$'"))
@@ -753,6 +817,9 @@ def cor_6(spark, d):
     return mapped(spark, d)
 
 
+SQL["src_18"] = sql("SELECT * FROM mapped", MARKS, ERRORS, FIXES, MAPPED)
+
+
 @query("cor_7", sql("SELECT * FROM mapped ORDER BY seq_id, position, corrector_start, corrector", MARKS, ERRORS, FIXES, MAPPED))
 def cor_7(spark, d):
     return E.in_file_order(mapped(spark, d))

@@ -35,6 +35,14 @@ def test_build_and_invert(spark, strings):
     assert back == dict(enumerate(strings))
 
 
+@pytest.mark.parametrize("genome", ["ACGT", "A" * 40, "ACGTTGCA" * 12 + "NNA", made(1, 300, 9, "AC")[0]])
+def test_genome(spark, genome):
+    letters = spark.createDataFrame(list(enumerate(genome)), "pos bigint, ch string")
+    got = sorted((r["rank"], r.pos, r.ch) for r in suffixes.genome_transform(letters).collect())
+    order = sorted(range(len(genome)), key=lambda p: genome[p:])
+    assert got == [(k, p, genome[p - 1] if p else "$") for k, p in enumerate(order)]
+
+
 def test_runs_restore_letters(spark):
     table = suffixes.bwt(reads(spark, made()))
     found = suffixes.runs(table)
