@@ -18,7 +18,9 @@ text is tokenised whole. The tokenizer's path is a parameter; the file must exis
 from __future__ import annotations
 
 import functools
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +40,12 @@ END_ID = 2
 #: Words whose ids a worker keeps; more are tokenised again each time.
 KEPT_WORDS = 400_000
 SPACES = str.maketrans("\t\n\r", "   ")
+#: Letters, numbers and white space of Latin text: where the library's classes and ours are surely the same.
+LATIN = [chr(k) for k in range(0x180)]
+_kind = lambda k: "".join(map(re.escape, (c for c in LATIN if unicodedata.category(c)[0] == k)))
+WHITE = "\t-\r \x85\xa0"
+NOT_LATIN = re.compile(r"[^\x00-\u017f]")
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_kind('L')}]+|[{_kind('N')}]|[^{WHITE}{_kind('L')}{_kind('N')}]+")
 BLOCKS_SCHEMA = "shard int, block int, first bigint, n_ids int, payload binary"
 
 
@@ -55,18 +63,25 @@ class Encoder:
     """Ids of texts, by way of the ids of their words.
 
     Where `by_words`, the tokenizer drops white space and never joins over it (a vocabulary with word ends), so a text's
-    ids are those of its words on end. Other tokenizers take whole texts.
+    ids are those of its words on end. Latin texts are cut further, in lower case, into the parts (letters, single
+    numbers, other signs) that such a tokenizer treats one by one; they repeat more often. Other tokenizers take whole
+    texts.
     """
 
     def __init__(self, path: str, by_words: bool) -> None:
         self.tk = tokenizer(path)
         self.by_words = by_words
         self.kept: dict[str, bytes] = {"": b""}
+        # The parts are those of this kind of tokenizer: tried on a text with every sign.
+        sample = "".join(c for c in LATIN if not NOT_LATIN.search(c.lower())) + " it's I'd we'll they're you've I'm don't ab12cd, e-f ''x"
+        tried = PARTS.findall(sample.lower())
+        ids = dict(zip(distinct := list(dict.fromkeys(tried)), self.apart(distinct), strict=True))
+        self.latin = by_words and b"".join(map(ids.__getitem__, tried)) == np.array(self.tk.encode(sample, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [np.array(e.ids, np.uint32) for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [t.translate(SPACES).split(" ") if not t.isascii() else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = [self.parts(t) for t in texts]
         new = list(set().union(*words) - self.kept.keys())
         fresh = dict(zip(new, self.apart(new), strict=True))
         if len(self.kept) < KEPT_WORDS:
@@ -77,8 +92,15 @@ class Encoder:
             at = lambda w: kept(w) or fresh.get(w, b"")
         return [np.frombuffer(b"".join(map(at, w)), np.uint32) for w in words]
 
+    def parts(self, text: str) -> list[str]:
+        low = text.lower()
+        # NFC joins nothing in a text without combining marks, which are not Latin in the sense above.
+        if self.latin and "<|" not in text and (text.isascii() or not NOT_LATIN.search(text) and not NOT_LATIN.search(low)):
+            return PARTS.findall(low)
+        return text.translate(SPACES).split(" ")
+
     def apart(self, words: list[str]) -> list[bytes]:
-        """Each word's ids, by one call on all words with a mark between them; words that hold the mark go by themselves."""
+        """Each of several different words' ids, by one call on all words with a mark between them; words that hold the mark go by themselves."""
         mark = "\x00"
         ids = self.tk.encode(mark, add_special_tokens=False).ids
         plain = [w for w in words if mark not in w]
