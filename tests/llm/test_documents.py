@@ -242,7 +242,8 @@ def test_token_output(spark, tmp_path, monkeypatch):
     got = sorted(tuple(r) for r in token_output.read(blocks).collect() if r.doc_id is not None)
     tk = Tokenizer.from_file(vocabulary())
     start, want = 0, []
-    for d, t in sorted(((d, t or "") for d, t in ROWS), key=lambda r: (r[0] is not None, r[0], r[1])):
+    order = table(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("t")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
+    for d, t in map(tuple, order.collect()):
         import numpy as np
 
         ids = np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4")
