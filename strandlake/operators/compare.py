@@ -7,7 +7,7 @@ contexts of a length are joined with the frontier before they are counted, so wo
 aggregated.
 
 Two behaviours are fixed here that depend on the order of processing elsewhere: in reference mode a word found only in B
-is not extended, and no interval is skipped for having been seen before.
+is not extended, and no interval is skipped for having been seen before unless that is asked for.
 """
 
 from __future__ import annotations
@@ -146,16 +146,30 @@ def frontier_step(reads_a: DataFrame, reads_b: DataFrame, k: int, frontier: Data
     return joined(contexts(reads_a, k, "a", frontier.filter("in_a")), contexts(reads_b, k, "b", frontier.filter("in_b")))
 
 
-def extended(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", **options: float) -> DataFrame:
+def unknown(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows whose places are not already those of the word without its last letter, one step before.
+
+    All places of that word then go on with the same letter, in every collection where the longer word stands.
+    """
+    shorter = before.select(F.col("word").alias("stem"), F.col("num_a").alias("stem_a"), F.col("num_b").alias("stem_b"))
+    both = rows.join(shorter, F.expr("substring(word, 1, length(word) - 1)") == F.col("stem"), "left")
+    known = F.coalesce(((F.col("num_a") == 0) | (F.col("num_a") == F.col("stem_a"))) & ((F.col("num_b") == 0) | (F.col("num_b") == F.col("stem_b"))), F.lit(False))
+    return both.filter(~known).select(rows.columns)
+
+
+def extended(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", skip_known: bool = False, **options: float) -> DataFrame:
     """Breakpoints of all word lengths from 2 to longest + 1, each word reached by extension: k and the joined counts.
 
-    subset: only words that end with it.
+    subset: only words that end with it. skip_known: leave out words that `unknown` drops; this changes results.
     """
-    found, frontier = None, None
+    found, frontier, before = None, None, None
     for k in range(2, longest + 2):
         rows = stored(frontier_step(reads_a, reads_b, k, frontier))
         if subset:
             rows = rows.filter(F.col("word").endswith(subset[-k:]))
+        if skip_known and before is not None:
+            rows = stored(unknown(rows, before))
+        before = rows
         now = breakpoints(rows, mode, n, k, **options).withColumn("k", F.lit(k))
         found = now if found is None else found.unionByName(now)
         frontier = stored(children(rows, mode, n, k, **options))

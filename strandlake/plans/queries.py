@@ -736,6 +736,12 @@ for _op, _mode in (("cmp_3_splice", "splice"), ("cmp_3_tumour_normal", "tumour-n
     loop(_op, _mode)
 
 
+@query("cmp_6", sql(f"SELECT {LISTED} FROM {pair_sql(3)} t WHERE NOT EXISTS (SELECT 1 FROM {pair_sql(2)} u WHERE u.word = substr(t.word, 1, 2) AND (t.num_a = 0 OR t.num_a = u.num_a) AND (t.num_b = 0 OR t.num_b = u.num_b))"))
+def cmp_6(spark, d):
+    """Words of three letters whose places are not all the places of their first two."""
+    return C.unknown(pairs(spark, d, 3), pairs(spark, d, 2)).select(*COLUMNS)
+
+
 @query("cmp_12", sql(f"SELECT w.word, seq_id, pos FROM {words_sql('reads_a', K)} w JOIN pair p ON p.word = w.word WHERE held = 'A'", PAIR))
 def cmp_12(spark, d):
     """Reads of A that hold words which B lacks."""

@@ -118,6 +118,17 @@ def test_subset_of_suffixes(spark):
     assert {tuple(r) for r in compare.extended(a, b, "splice", 1, 5, subset="CA").collect()} == whole
 
 
+def test_known_intervals_are_skipped(spark):
+    a, b = reads(spark, ["ACGTACGTAA", "ACGTTCGTAC"]), reads(spark, ["ACGTACGTCA", "GGGTTCGTAC"])
+    rows2, rows3 = compare.compared(a, b, 2), compare.compared(a, b, 3)
+    stems = {r.word: r for r in rows2.collect()}
+    same = lambda r, s: (not r.num_a or r.num_a == s.num_a) and (not r.num_b or r.num_b == s.num_b)
+    want = {r.word for r in rows3.collect() if not (r.word[:2] in stems and same(r, stems[r.word[:2]]))}
+    assert {r.word for r in compare.unknown(rows3, rows2).collect()} == want
+    whole = {(r.k, r.word) for r in compare.extended(a, b, "splice", 1, 6).collect()}
+    assert {(r.k, r.word) for r in compare.extended(a, b, "splice", 1, 6, skip_known=True).collect()} <= whole
+
+
 def test_errors_are_found_and_mended(spark):
     genome = "".join(random.Random(8).choice("ACGT") for _ in range(200))
     strings = [genome[k : k + 40] for k in range(0, 160, 2)]
