@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,12 +45,24 @@ def released(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself; from now on its session hands Python a few MB at a time, so that long texts don't fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
+def packed_columns(df: DataFrame) -> DataFrame:
+    """doc_id, text and one column with all others, so that their names clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", "text")]
+    return df.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("__none")).alias("__rest"))
+
+
+def unpacked_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select([F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c).alias(c) for c in names])
 
 
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns; a null text stands for an empty one."""
+    small_batches(df)
     names = columns or ("doc_id", "text")
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c == "text" else F.col(c) for c in names])

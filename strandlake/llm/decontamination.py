@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
 from .license_scan import FOLD
 
 UNIT, STRIDE = 32, 16
@@ -168,7 +169,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[Matcher]:
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of docs, and matches: (item_id, distance in words, first word) by item_id."""
-    out = docs.drop("matches").withColumn("matches", F.array().cast(MATCH))
+    out = common.small_batches(docs).drop("matches").withColumn("matches", F.array().cast(MATCH))
     spark = docs.sparkSession
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32())]))
     for block in blocks(benchmark):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 #: Fixed values of HTML: elements whose content is no markup, elements without content, elements that break a block.
 RAW = frozenset("script style title textarea iframe noscript noembed noframes template xmp svg math object audio video canvas".split())
@@ -221,7 +223,7 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(h.as_py()) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string")
+    return common.small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from . import common, components
 
 SKETCH, NEEDED = 32, 15
 SMALL = 12
-BLOCK = 512
+BLOCK = 2048
 THRESHOLD = 80  # of 100
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
@@ -84,7 +84,7 @@ def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def in_batches(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def in_batches(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about `most` bytes of text, as lower-case bytes."""
     texts = [t.encode("utf-8", "surrogatepass").lower() for t in batch.column("text").to_pylist()]
     a = held = 0
@@ -169,14 +169,20 @@ def needed(sizes: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(1, sketch * NEEDED // SKETCH), sketch - (sizes * 100 // THRESHOLD - sizes))
 
 
-def incidence(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Row and number of every sketch value that several rows have."""
-    row = np.repeat(np.arange(len(group)), [len(s) for s in group["sketch"]])
-    _, where, count = np.unique(np.concatenate(group["sketch"].to_list()), return_inverse=True, return_counts=True)
+def shared_values(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of every value that several rows have."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    if not len(row):
+        return row, row
+    _, where, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     several = count[where] > 1
     return row[several], np.unique(where[several], return_inverse=True)[1]
 
 
+def incidence(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return shared_values(group["sketch"].to_list())
+
+
 def pruned(group: pd.DataFrame) -> pd.DataFrame:
     """Without the rows that share too few values with all others together to share enough with any one."""
     while len(group):
@@ -194,7 +200,7 @@ def fitting(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     has = np.zeros((len(group), int(where.max()) + 1 if len(where) else 1), np.float32)
     has[row, where] = 1
     ask, target = np.flatnonzero(group["ask"]), np.flatnonzero(group["target"])
-    sizes, least = group["n"].to_numpy(), needed(group["n"].to_numpy())
+    sizes, least = group["n"].to_numpy().astype(np.float32), needed(group["n"].to_numpy()).astype(np.int16)
     labels, names, query = pd.factorize(group["label"])[0], pd.factorize(group["sig"], sort=True)[0], group["query"].to_numpy()
     a, t = ask[:, None], target[None, :]
     fits = (has[ask] @ has[target].T >= np.maximum(least[a], least[t])) & (100 * np.minimum(sizes[a], sizes[t]) >= THRESHOLD * np.maximum(sizes[a], sizes[t]))
@@ -208,12 +214,9 @@ def fitting(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def met(keys, ask: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Which rows in `ask` share a key with which in `target`."""
-    size = [len(k) for k in keys]
-    has = np.zeros((len(size), 1), np.float32)
-    if sum(size):
-        _, where = np.unique(np.concatenate(list(keys)), return_inverse=True)
-        has = np.zeros((len(size), int(where.max()) + 1), np.float32)
-        has[np.repeat(np.arange(len(size)), size), where] = 1
+    row, where = shared_values(list(keys))
+    has = np.zeros((len(keys), int(where.max()) + 1 if len(where) else 1), np.float32)
+    has[row, where] = 1
     return has[ask] @ has[target].T > 0
 
 

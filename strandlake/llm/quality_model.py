@@ -195,4 +195,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 p = network.scores(texts).astype(np.float64) if network else np.ones(len(texts))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return common.small_batches(docs).mapInArrow(run, schema)

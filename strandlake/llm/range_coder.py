@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES = 768
+LANES = 512
 SLOTS = 1 << 11
 TOTAL_BITS = 28
 TOTAL = 1 << TOTAL_BITS
