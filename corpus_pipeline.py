@@ -22,9 +22,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score quality_model.THRESHOLD or more."""
-    renamed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    scored = quality_model.score(renamed, common.table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") >= quality_model.THRESHOLD).select("__row.*")
+    scored = quality_model.score(common.packed_columns(docs), common.table(spark, sf_dir, "labels"))
+    return common.unpacked_columns(scored.filter(F.col("score") >= quality_model.THRESHOLD), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that match no benchmark item."""
-    renamed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return decontamination.find(renamed, common.table(spark, sf_dir, "benchmark")).filter(F.size("matches") == 0).select("__row.*")
+    found = decontamination.find(common.packed_columns(docs), common.table(spark, sf_dir, "benchmark"))
+    return common.unpacked_columns(found.filter(F.size("matches") == 0), docs.columns)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
