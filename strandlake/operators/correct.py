@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
@@ -102,8 +102,9 @@ def correctors(found: DataFrame, reads: DataFrame, support: int, longest: int) -
     return found.join(walk.select("seq_id", "position", "corrector"), ["seq_id", "position"])
 
 
-def mapped_back(found: DataFrame, n: int, length: int) -> DataFrame:
+def mapped_back(found: DataFrame, n: int, length: int | Column) -> DataFrame:
     """Errors in reverse complements (seq_id of n or more) told of the reads themselves; corrector_start is added.
+    length: of every read, or a column of found.
 
     A corrector is written from the error to the left: that of a forward read is turned round and begins to the left of
     the error, that of a reverse complement is complemented and begins at it.

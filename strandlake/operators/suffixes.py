@@ -62,7 +62,7 @@ def sub_sequences(reads: DataFrame, n: int) -> DataFrame:
     """Every read in two: its last n letters, then (numbered on) the rest in front of them."""
     step = reads.agg((F.max("seq_id") + 1).alias("step"))
     front = reads.crossJoin(F.broadcast(step)).select((F.col("seq_id") + F.col("step")).alias("seq_id"), F.col("bases").substr(F.lit(1), F.length("bases") - n).alias("bases"))
-    return reads.select("seq_id", F.col("bases").substr(F.length("bases") - n + 1, F.lit(n)).alias("bases")).unionByName(front)
+    return reads.select("seq_id", F.col("bases").substr(F.greatest(F.length("bases") - n + 1, F.lit(1)), F.lit(n)).alias("bases")).unionByName(front)
 
 
 def letter_counts(by: str = "pile", letter: str = "ch", amount: Column | None = None) -> list[Column]:

@@ -2,12 +2,15 @@
 
 Reads are the first 100 letters of each document's text, mapped to four bases; documents with fewer letters give none.
 Collections A and B are the reads of even and odd numbers. The searched words are a word of 12 letters from every read
-whose number is divisible by 100, and one absent word. The taxonomy is region, nation and supplier; an order is an
+whose number is divisible by 100, and one absent word. Where the input is `Whole`, reads are all letters of every
+document instead (see pieces); the SQL here knows only the first 100. The taxonomy is region, nation and supplier; an order is an
 interval, and its line items are the genomes that it matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ ABSENT = "ACGTACGTACGT"
 _tables: dict[tuple, DataFrame] = {}
 
 
+class Whole(str):
+    """An input's folder, for reads that are whole documents."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,11 +39,38 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, bases, and quals from the same letters."""
+    if isinstance(sf_dir, Whole):
+        return pieces(spark, sf_dir)
     x = F.substring("letters", 1, LENGTH)
     rows = letters(spark, sf_dir).select("seq_id", F.translate(x, UPPER, MAPPED).alias("bases"), F.translate(x, UPPER, QUALITIES).alias("quals"))
     return rows.filter(F.length("bases") == LENGTH)
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """A table made once a session, input and kind of reads."""
+    key = (spark.sparkContext.applicationId, type(sf_dir), str(sf_dir), name)
+    if key not in _tables:
+        from ..operators.storage import stored
+
+        _tables[key] = stored(made())
+    return _tables[key]
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All letters of each document in consecutive reads of 100, the last one shorter; numbered on end by document and piece.
+
+    Documents without a letter give none.
+    """
+
+    def made() -> DataFrame:
+        at = F.explode(F.sequence(F.lit(0), F.floor((F.length("letters") - 1) / LENGTH).cast("int"))).alias("piece")
+        cut = letters(spark, sf_dir).filter("letters != ''").select("seq_id", "letters", at).select("seq_id", "piece", F.col("letters").substr(F.col("piece") * LENGTH + 1, F.lit(LENGTH)).alias("x"))
+        rows = S.ranked(cut, "seq_id", "piece", "x")
+        return rows.select(F.col("rank").alias("seq_id"), F.translate("x", UPPER, MAPPED).alias("bases"), F.translate("x", UPPER, QUALITIES).alias("quals"))
+
+    return once(spark, sf_dir, "pieces", made)
+
+
 #: Qualities of the letters: ! to :, that is 0 to 25.
 QUALITIES = "".join(chr(33 + k) for k in range(26))
 
@@ -48,16 +82,11 @@ def read_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform of all reads; made once a session and input, since its order is needed by many queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _tables:
-        from ..operators.storage import stored
-
-        _tables[key] = stored(S.bwt(reads(spark, sf_dir), "quals"))
-    return _tables[key]
+    return once(spark, sf_dir, "bwt", lambda: S.bwt(reads(spark, sf_dir), "quals"))
 
 
 def kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = reads(spark, sf_dir).filter("seq_id % 100 = 0").select(F.col("bases").substr((F.col("seq_id") % 80 + 1).cast("int"), F.lit(12)).alias("kmer"))
+    picked = reads(spark, sf_dir).filter("seq_id % 100 = 0").select(F.col("bases").substr((F.col("seq_id") % 80 + 1).cast("int"), F.lit(12)).alias("kmer")).filter("length(kmer) = 12")
     return picked.unionByName(spark.range(1).select(F.lit(ABSENT).alias("kmer")))
 
 

@@ -50,8 +50,12 @@ PADDED = "padded AS (SELECT seq_id, CASE WHEN seq_id % 50 = 0 THEN repeat('N', 2
 
 
 def padded(spark: SparkSession, d: str) -> DataFrame:
+    """Of whole reads nothing is cut or left out."""
     r = X.reads(spark, d)
     times = lambda m: F.repeat(F.lit("N"), (F.col("seq_id") % m).cast("int"))
+    if isinstance(d, X.Whole):
+        low = lambda m: F.repeat(F.lit("!"), (F.col("seq_id") % m).cast("int"))
+        return r.select("seq_id", F.concat(times(4), "bases", times(3)).alias("bases"), F.concat(low(4), "quals", low(3)).alias("quals"))
     all_n = F.col("seq_id") % 50 == 0
     bases = F.when(all_n, "N" * 20).otherwise(F.concat(times(4), F.substring("bases", 1, 90), times(3)))
     return r.select("seq_id", bases.alias("bases"), F.col("quals").substr(F.lit(1), F.length(bases)).alias("quals"))
@@ -357,6 +361,9 @@ def bwt_12(spark, d):
 def bwt_13(spark, d):
     """The suffix array and transform of one genome: all reads on end."""
     r = S.ranked(X.reads(spark, d).select("seq_id", "bases"), "seq_id")
+    if isinstance(d, X.Whole):  # reads of any length: places are the order of (read, letter)
+        each = r.select(F.col("rank").alias("n"), F.posexplode(F.split("bases", "")).alias("p", "ch")).filter("ch != ''")
+        return S.genome_transform(S.ranked(each, "n", "p").select(F.col("rank").alias("pos"), "ch"))
     letters = r.select(F.col("rank").alias("n"), F.posexplode(F.split("bases", "")).alias("p", "ch")).filter("ch != ''")
     return S.genome_transform(letters.select((F.col("n") * LENGTH + F.col("p")).alias("pos"), "ch"))
 

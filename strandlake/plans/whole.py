@@ -1,0 +1,25 @@
+"""The queries on reads once more, over all letters of every document.
+
+The SQL of the queries on reads stands on the first 100 letters of a document. These stand on whole documents in pieces
+(fixtures.pieces) and have no SQL: they are compared with the same SQL over pieces, and with brute force, on small
+collections in the tests.
+"""
+
+from __future__ import annotations
+
+from . import fixtures as X
+from .queries import QUERIES as SHORT
+from .queries import Query
+
+#: Queries that use no reads, or all letters already.
+OTHERS = {"scl_5", "scl_16", "scl_17", "scl_18", "scl_21", "scl_22", "src_21", "src_22", "snk_13"}
+QUERIES: dict[str, Query] = {}
+
+
+def whole(f: Query) -> Query:
+    return lambda spark, d: f(spark, X.Whole(d))
+
+
+for _name, _f in SHORT.items():
+    if _name not in OTHERS and not _name.startswith("met_"):
+        QUERIES[f"{_name}_whole"] = whole(_f)
