@@ -10,7 +10,7 @@ since short histograms are far from every reference by chance.
 
 Null texts count as empty: no words, so the base rule fails them. A null or unknown lang adds to no reference. An empty
 table gives an empty result; where no document names a language there is no reference, no distance and no rejection by
-it. Repeated rows give repeated results; columns other than doc_id, text and lang are ignored. Texts are read whole.
+it. Repeated windows are found by hash and confirmed by their words, so their count is exact. Repeated rows give repeated results; columns other than doc_id, text and lang are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
     counted = split.select(
         "doc_id",
         "lang",
+        "words",
         n.cast("bigint").alias("n_words"),
         F.length(t).alias("chars"),
         count_of(t, "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
@@ -80,7 +81,11 @@ def measured(docs: DataFrame) -> DataFrame:
         F.transform(twice(F.col("packed"), key), lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")),
         F.transform(twice(F.col("paired"), lambda x: x["h"]), lambda x: x["i"]),
     )
-    placed = counted.select("*", F.sort_array(place).alias("place")).drop("packed", "paired")
+    # Equal keys are candidates only; windows are the same where their words are. No word holds a space.
+    whole = lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    candidates = counted.select("*", place.alias("place")).drop("packed", "paired")
+    confirmed = candidates.select("*", F.sort_array(F.transform("place", lambda i: F.struct(whole(i).alias("w"), i.alias("i")))).alias("same")).drop("place", "words")
+    placed = confirmed.select("*", F.sort_array(F.transform(twice(F.col("same"), lambda x: x["w"]), lambda x: x["i"])).alias("place")).drop("same")
     times = lambda k: F.size(F.filter("known", lambda x: x == k))
     # Every window covers three words, less what the next one covers again.
     covered = F.aggregate(F.transform("place", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("place", j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)

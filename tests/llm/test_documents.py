@@ -219,6 +219,13 @@ def test_quality_rules_pairs_beyond_the_packed_size(spark, monkeypatch):
         assert got[k] == len({i + j for i, x in enumerate(tri) if tri.count(x) > 1 for j in range(3)})
 
 
+def test_quality_rules_equal_keys_of_other_words(spark, monkeypatch):
+    """With 4 bits of hash most windows share a key; only those of equal words count."""
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", 60)
+    rows = [(1, " ".join(f"w{i}" for i in range(200))), (2, " ".join(f"w{i}" for i in range(200)) + " w7 w8 w9")]
+    assert {r[0]: r.n_repeat_words for r in quality_rules.judge(table(spark, rows)).collect()} == {1: 0, 2: 6}
+
+
 def test_distribution_divergence(spark):
     clean = "the cat of the house and the dog in it is as old as a tree that stands for us to see with "
     junk = "".join(f"{c}|#{c}%%" for c in "qzxkvbjw") * 40
