@@ -12,7 +12,7 @@ is not extended, and no interval is skipped for having been seen before unless t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,12 +157,9 @@ def unknown(rows: DataFrame, before: DataFrame) -> DataFrame:
     return both.filter(~known).select(rows.columns)
 
 
-def extended(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", skip_known: bool = False, **options: float) -> DataFrame:
-    """Breakpoints of all word lengths from 2 to longest + 1, each word reached by extension: k and the joined counts.
-
-    subset: only words that end with it. skip_known: leave out words that `unknown` drops; this changes results.
-    """
-    found, frontier, before = None, None, None
+def rounds(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", skip_known: bool = False, **options: float) -> Iterator[tuple[int, DataFrame]]:
+    """The joined contexts of each word length from 2 to longest + 1, each word reached by extension, until none is left."""
+    frontier, before = None, None
     for k in range(2, longest + 2):
         rows = stored(frontier_step(reads_a, reads_b, k, frontier))
         if subset:
@@ -170,11 +167,31 @@ def extended(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest:
         if skip_known and before is not None:
             rows = stored(unknown(rows, before))
         before = rows
-        now = breakpoints(rows, mode, n, k, **options).withColumn("k", F.lit(k))
-        found = now if found is None else found.unionByName(now)
+        yield k, rows
         frontier = stored(children(rows, mode, n, k, **options))
         if frontier.isEmpty():
             break
+
+
+def extended(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", skip_known: bool = False, **options: float) -> DataFrame:
+    """Breakpoints of all word lengths from 2 to longest + 1, each word reached by extension: k and the joined counts.
+
+    subset: only words that end with it. skip_known: leave out words that `unknown` drops; this changes results.
+    """
+    found = None
+    for k, rows in rounds(reads_a, reads_b, mode, n, longest, subset, skip_known, **options):
+        now = breakpoints(rows, mode, n, k, **options).withColumn("k", F.lit(k))
+        found = now if found is None else found.unionByName(now)
+    return found
+
+
+def read_numbers(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, **options: float) -> DataFrame:
+    """Words that only A holds, extended to the read's start, and the reads of A that begin with them: word, seq_id."""
+    found = None
+    for k, rows in rounds(reads_a, reads_b, mode, n, longest, **options):
+        starts = rows.filter((F.col("where") == "A") & (a("$") > 0)).select("word")
+        now = reads_a.filter(F.length("bases") >= k).select(F.substring("bases", 1, k).alias("word"), "seq_id").join(starts, "word", "left_semi")
+        found = now if found is None else found.unionByName(now)
     return found
 
 
@@ -185,6 +202,8 @@ def backtracked(reads: DataFrame, n: int, longest: int) -> DataFrame:
         rows = contexts(reads, k, "a", frontier)
         rows = rows.withColumn("num_a", sum((a(c) for c in LETTERS[1:]), a("$"))).filter(F.col("num_a") >= n)
         rows = stored(rows.withColumn("k", F.lit(k)))
+        if rows.isEmpty():
+            return rows if found is None else found
         found = rows if found is None else found.unionByName(rows)
         frontier = rows.select(F.explode(F.array(*[F.when(a(c) >= n, F.concat(F.lit(c), "word")) for c in BASES])).alias("word")).filter("word is not null")
     return found

@@ -7,7 +7,12 @@ collections in the tests.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import compare as C
 from . import fixtures as X
+from .fixtures import LENGTH, N
+from .queries import COLUMNS
 from .queries import QUERIES as SHORT
 from .queries import Query
 
@@ -23,3 +28,28 @@ def whole(f: Query) -> Query:
 for _name, _f in SHORT.items():
     if _name not in OTHERS and not _name.startswith("met_"):
         QUERIES[f"{_name}_whole"] = whole(_f)
+
+
+def loop(op: str, mode: str) -> None:
+    """The extension loop with the reference's bounds: words up to a read's length, metagenomic ones of 50 to 100 letters."""
+
+    def run(spark, d):
+        return C.extended(*X.read_sets(spark, X.Whole(d)), mode, N, LENGTH, least=50, most=100).select("k", *COLUMNS)
+
+    QUERIES[op] = run
+
+
+for _op, _mode in (("cmp_3_splice_whole", "splice"), ("cmp_3_tumour_normal_whole", "tumour-normal"), ("cmp_3_reference_whole", "reference"), ("cmp_3_metagenomics_whole", "metagenomics")):
+    loop(_op, _mode)
+
+
+def cmp_4(spark, d):
+    return C.backtracked(X.reads(spark, X.Whole(d)), 200, LENGTH).drop("num_a")
+
+
+def cmp_12(spark, d):
+    """Reads of A and the words, back to the read's start, that the splice loop reached and B lacks."""
+    return C.read_numbers(*X.read_sets(spark, X.Whole(d)), "splice", N, LENGTH).withColumn("pos", F.lit(0))
+
+
+QUERIES |= {"cmp_4_whole": cmp_4, "cmp_12_whole": cmp_12}

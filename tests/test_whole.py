@@ -93,3 +93,71 @@ def test_genome_of_all_reads(spark, folder):
     g = "".join(b for _, b in cut())
     order = sorted(range(len(g)), key=lambda p: g[p:])
     assert sorted((r["rank"], r.pos, r.ch) for r in whole.QUERIES["bwt_13_whole"](spark, folder).collect()) == [(k, p, g[p - 1] if p else "$") for k, p in enumerate(order)]
+
+
+ORDER = "$ACGNT"
+
+
+def counts_of(strings, k):
+    """Words of k letters and how often each letter stands before them, in plain Python."""
+    out = {}
+    for x in strings:
+        for p in range(len(x) - k + 1):
+            out.setdefault(x[p : p + k], dict.fromkeys(ORDER, 0))[x[p - 1] if p else "$"] += 1
+    return out
+
+
+def brute_splice(a, b, n):
+    """Breakpoints (k, word) and words only in A that begin a read, with the splice rule, until no word is left."""
+    found, begins, ask, k, none = set(), set(), None, 2, dict.fromkeys(ORDER, 0)
+    while ask is None or any(ask):
+        ca, cb = counts_of(a, k), counts_of(b, k)
+        if ask is not None:
+            ca, cb = ({w: c for w, c in x.items() if w in asked} for x, asked in zip((ca, cb), ask, strict=True))
+        ask = set(), set()
+        for w in ca.keys() | cb.keys():
+            x, y = ca.get(w, none), cb.get(w, none)
+            both = w in ca and w in cb
+            top = lambda u, v: max(u[c] if not v[c] else 0 for c in "ACGNT")
+            emit = both and not any(x[c] and y[c] for c in "ACGNT") and top(x, y) >= n and top(y, x) >= n
+            if emit:
+                found.add((k, w))
+            if w not in cb and x["$"]:
+                begins.add(w)
+            for c in "ACGT":
+                if (both and x[c] >= n) or (w not in cb and x[c]):
+                    ask[0].add(c + w)
+                if (y[c] >= n if emit else x[c] >= n) if both else (w not in ca and y[c]):
+                    ask[1].add(c + w)
+        k += 1
+    return found, begins
+
+
+def collections_of(seed):
+    r = random.Random(seed)
+    genome = "".join(r.choice("ACGT") for _ in range(20))
+    other = genome[:4] + ("A" if genome[4] != "A" else "C") + genome[5:]
+    return [genome[i : i + 14] for i in (0, 2, 4, 6) for _ in range(3)], [other[i : i + 14] for i in (0, 2, 4, 6) for _ in range(3)]
+
+
+@pytest.fixture
+def two(spark, monkeypatch):
+    """Two collections of short reads in place of the documents'."""
+    a, b = collections_of(3)
+    sets = tuple(spark.createDataFrame(list(enumerate(x)), "seq_id bigint, bases string") for x in (a, b))
+    monkeypatch.setattr(X, "read_sets", lambda spark, d: sets)
+    monkeypatch.setattr(X, "reads", lambda spark, d: sets[0])
+    return a, b
+
+
+def test_splice_goes_on_to_the_last_word(spark, two):
+    want, _ = brute_splice(*two, X.N)
+    assert max(k for k, _ in want) > 8
+    assert {(r.k, r.word) for r in whole.QUERIES["cmp_3_splice_whole"](spark, "").collect()} == want
+
+
+def test_words_of_one_side_go_to_the_start(spark, two):
+    _, begins = brute_splice(*two, X.N)
+    want = sorted((w, i, 0) for i, x in enumerate(two[0]) for k in range(2, len(x) + 1) if (w := x[:k]) in begins)
+    assert max(len(w) for w, _, _ in want) > 8
+    assert sorted(tuple(r) for r in whole.QUERIES["cmp_12_whole"](spark, "").collect()) == want
