@@ -22,8 +22,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score quality_model.THRESHOLD or more."""
-    scored = quality_model.score(common.packed_columns(docs), common.table(spark, sf_dir, "labels"))
-    return common.unpacked_columns(scored.filter(F.col("score") >= quality_model.THRESHOLD), docs.columns)
+    scored = quality_model.score(common.boxed(docs), common.table(spark, sf_dir, "labels"))
+    return common.unboxed(scored.filter(F.col("score") >= quality_model.THRESHOLD), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that match no benchmark item."""
-    found = decontamination.find(common.packed_columns(docs), common.table(spark, sf_dir, "benchmark"))
-    return common.unpacked_columns(found.filter(F.size("matches") == 0), docs.columns)
+    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine does if the session runs in this process alone; a cluster needs the
+    setting, since its executors can't see such a folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -37,10 +44,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, *frames: DataFrame) -> None:
+def released(*frames: DataFrame) -> None:
     """Deletes tables written by `stored` once no later job reads them."""
     for df in frames:
         for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -51,14 +59,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def packed_columns(df: DataFrame) -> DataFrame:
-    """doc_id, text and one column with all others, so that their names clash with nothing."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", "text")]
-    return df.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("__none")).alias("__rest"))
+def boxed(df: DataFrame) -> DataFrame:
+    """doc_id, text and box, which holds all other columns by place: their names, whatever they are, clash with nothing."""
+    return df.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c not in ("doc_id", "text")]).alias("box"))
 
 
-def unpacked_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select([F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c).alias(c) for c in names])
+def unboxed(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like`, which was boxed."""
+    return df.select([F.col(c) if c in ("doc_id", "text") else F.col("box").getField(f"c{k}").alias(c) for k, c in enumerate(like.columns)])
 
 
 def documents(df: DataFrame, *columns: str) -> DataFrame:

@@ -168,7 +168,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[Matcher]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of docs, and matches: (item_id, distance in words, first word) by item_id."""
+    """All columns of docs, and matches: (item_id, distance in words, first word) by item_id, in place of any column of that name."""
     out = common.small_batches(docs).drop("matches").withColumn("matches", F.array().cast(MATCH))
     spark = docs.sparkSession
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32())]))
@@ -190,4 +190,4 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item, with their own columns."""
-    return find(docs, benchmark).filter(F.size("matches") == 0).select(docs.columns)
+    return common.unboxed(find(common.boxed(docs), benchmark).filter(F.size("matches") == 0), docs)

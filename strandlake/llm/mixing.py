@@ -125,6 +125,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least
     found, _ = rates(docs, labelled, targets, least)
     # One row for each doc_id: rows of equal doc_id may differ in text, and take the mean of their rates.
     often = found.groupBy("doc_id").agg(copies(F.avg("rate"), F.col("doc_id")).alias("copies")).filter("copies > 0")
-    left, right = docs.alias("d"), often.alias("o")
-    kept = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")))
-    return kept.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("o.copies"))).alias("__copy")).drop("__copy")
+    rows = common.boxed(docs)
+    often = often.withColumnRenamed("doc_id", "id")
+    kept = rows.join(often, rows["doc_id"].eqNullSafe(often["id"])).select("doc_id", "text", "box", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return common.unboxed(kept, docs)

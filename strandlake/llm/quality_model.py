@@ -180,7 +180,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of docs, and score."""
+    """All columns of docs, and score, in place of any column of that name."""
     from pyspark.sql import types as T
 
     network = trained(docs, labels)
