@@ -9,7 +9,6 @@ labels or benchmark say nothing about is treated like any other.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +42,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The written ids, read back: doc_id, start, n_tokens and ids_crc32 of every document and copy."""
-    folder = f"{common.shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
-    token_output.write(docs, folder, queries.vocabulary())
-    return token_output.read(spark.read.schema(token_output.BLOCKS_SCHEMA).parquet(folder))
+    return token_output.round_trip(docs, queries.vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from . import common, decontamination, html_text, license_scan, mixing, near_dedup, oracle, pii, quality_model, quality_rules, suffix_dedup, token_output
@@ -57,9 +55,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{common.shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
-    token_output.write(common.table(spark, sf_dir, "documents"), folder, vocabulary())
-    return token_output.read(spark.read.schema(token_output.BLOCKS_SCHEMA).parquet(folder))
+    return token_output.round_trip(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,35 @@
 """An adaptive context-mixing range coder for token ids, many blocks side by side in numpy.
 
-Each block is coded by itself from a reset model, so the blocks of a batch are lanes of the same arrays: a step codes
-one id in every lane. The model mixes three predictions of the next id. The order-2 and order-1 contexts each remember
+Each block is coded by itself from a reset model. Its ids are cut into STRIPES even stripes, each with a coder of its own
+over the block's one model, so that a step codes one id in every stripe of every block of a batch (the lanes of the same
+arrays). The model mixes three predictions of the next id. The order-2 and order-1 contexts each remember
 the id that followed them last, with a confidence; how often guesses of that confidence held so far gives their share of
 the range. The rest of the range goes to the order-0 frequencies of the ids seen so far, with an escape to all ids.
-Contexts and hit rates learn after every SEGMENT ids, frequencies at fixed places. The coder is carry-less: 64-bit low
-and range, 16-bit words out.
+Contexts and hit rates learn after every SEGMENT steps, frequencies at fixed places. The coders are carry-less: 64-bit low
+and range, 16-bit words out. A block's bytes are the lengths of its stripes in words (u32 each), then the words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LANES = 512
+STRIPES = 32
+#: Blocks side by side.
+LANES = 64
 SLOTS = 1 << 11
-TOTAL_BITS = 28
+TOTAL_BITS = 36
 TOTAL = 1 << TOTAL_BITS
 QUANTA_BITS = 14
 QUANTA = 1 << QUANTA_BITS
 RANKS = QUANTA // 2
-LEVELS = 8
-SEGMENT = 32
-REFRESH = (32, 128, 512, 1024, 2048, 4096)
+LEVEL_BITS = 3
+LEVELS = 1 << LEVEL_BITS
+SEGMENT = 16
+#: Steps at which the frequencies are taken anew.
+REFRESH = (16, 64, 256)
+#: The escape has at least LEAST quanta, and a quantum at least 2 ** (TOTAL_BITS - QUANTA_BITS - 10) units: enough for so many ids.
+LEAST = 64
+MOST_IDS = LEAST << TOTAL_BITS - QUANTA_BITS - 10
 U = np.uint64
 TOP, LOW_MASK, FLOOR = U(1 << 48), U((1 << 40) - 1), U(1 << 40)
 SHIFT16, SHIFT48, TOTAL_SHIFT = U(16), U(48), U(TOTAL_BITS)
@@ -29,32 +37,32 @@ SHIFT16, SHIFT48, TOTAL_SHIFT = U(16), U(48), U(TOTAL_BITS)
 PRIOR = (1, 8, 14, 18, 22, 25, 27, 29)
 
 
-def refreshes(at: int) -> bool:
-    return at in REFRESH or at > REFRESH[-1] and at % 4096 == 0
+def refreshes(step: int) -> bool:
+    return step in REFRESH or step > REFRESH[-1] and step % 512 == 0
 
 
 class Model:
-    """The state of all lanes; encoder and decoder make the same calls in the same order."""
-
-    def __init__(self, lanes: int, vocabulary: int) -> None:
-        self.v, self.lanes = vocabulary, lanes
-        self.escape = TOTAL // vocabulary
-        self.guess = [np.full(lanes * SLOTS, vocabulary, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.tried = [np.full(lanes * LEVELS, 32) for _ in range(2)]
-        self.held = [np.tile(np.array(PRIOR), lanes) for _ in range(2)]
-        self.share = [np.zeros(lanes * LEVELS, np.int64) for _ in range(2)]
-        self.base = np.arange(lanes) * SLOTS
-        self.level = np.arange(lanes) * LEVELS
-        self.slot_row = np.arange(lanes) * QUANTA
-        self.rank_row = np.arange(lanes) * (RANKS + 2)
-        self.id_row = np.arange(lanes) * vocabulary
+    """The state of all blocks; encoder and decoder make the same calls in the same order. `block` is each lane's block."""
+
+    def __init__(self, block: np.ndarray, blocks: int, vocabulary: int) -> None:
+        if vocabulary > MOST_IDS:
+            raise ValueError(f"more than {MOST_IDS} different ids")
+        self.v, self.blocks = vocabulary, blocks
+        # A context's guess, and its confidence in the low bits.
+        self.guess = [np.full(blocks * SLOTS, vocabulary << LEVEL_BITS, np.int32) for _ in range(2)]
+        self.tried = [np.full(blocks * LEVELS, 32) for _ in range(2)]
+        self.held = [np.tile(np.array(PRIOR), blocks) for _ in range(2)]
+        self.share = [np.zeros(blocks * LEVELS, np.int64) for _ in range(2)]
+        self.block = block
+        self.base, self.level = block * SLOTS, block * LEVELS
+        self.slot_row, self.rank_row, self.id_row = block * QUANTA, block * (RANKS + 2), block * vocabulary
         # Order 0: rank 0 is the escape; ranks of seen ids; where each rank's quanta begin; the rank of each quantum.
-        self.rank_of_id = np.zeros(lanes * vocabulary, np.uint16)
-        self.begin = np.zeros((lanes, RANKS + 2), np.int32)
+        self.rank_of_id = np.zeros(blocks * vocabulary, np.uint16)
+        self.ranked = np.zeros(0, np.int64)  # where it isn't 0
+        self.begin = np.zeros((blocks, RANKS + 2), np.int32)
         self.begin[:, 1:] = QUANTA
-        self.id_of_rank = np.zeros((lanes, RANKS + 2), np.int32)
-        self.rank_of_quantum = np.zeros((lanes, QUANTA), np.uint16)
+        self.id_of_rank = np.zeros((blocks, RANKS + 2), np.int32)
+        self.rank_of_quantum = np.zeros((blocks, QUANTA), np.uint16)
         self.weigh()
 
     def weigh(self) -> None:
@@ -62,42 +70,62 @@ class Model:
         for k in range(2):
             self.share[k] = (self.held[k] << 16) // self.tried[k] * 31 >> 5
 
-    def look(self, lanes: slice | np.ndarray, p1: np.ndarray, p2: np.ndarray):
-        """Slots, levels and guesses of both contexts, the ends of their shares, and the unit of order 0; lanes stand last."""
+    def look(self, m: int, p1: np.ndarray, p2: np.ndarray):
+        """Slots, levels and guesses of both contexts in the first m lanes, the ends of their shares, and the unit of order 0; lanes stand last."""
         h = p1 * 40503
-        s1 = self.base[lanes] + ((h >> 4) & (SLOTS - 1))
-        s2 = self.base[lanes] + (((h + p2 * 60493) >> 5) & (SLOTS - 1))
-        g2, g1 = self.guess[1][s2], self.guess[0][s1]
-        l2, l1 = self.level[lanes] + self.sure[1][s2], self.level[lanes] + self.sure[0][s1]
+        base, row = self.base[:m], self.level[:m]
+        s1 = base + ((h >> 4) & (SLOTS - 1))
+        s2 = base + ((h + p2 * 60493 >> 5) & (SLOTS - 1))
+        c2, c1 = self.guess[1][s2], self.guess[0][s1]
+        l2, l1 = row + (c2 & (LEVELS - 1)), row + (c1 & (LEVELS - 1))
+        g2, g1 = c2 >> LEVEL_BITS, c1 >> LEVEL_BITS
         w2 = self.share[1][l2] << TOTAL_BITS - 16
-        both = w2 + ((TOTAL - w2 >> 16) * self.share[0][l1] * (g1 != g2))
-        return (s2, s1, l2, l1, g2, g1), w2, both, (TOTAL - both) >> QUANTA_BITS
+        both = w2 + (TOTAL - w2 >> 16) * self.share[0][l1] * (g1 != g2)
+        return (s2, s1, l2, l1, g2, g1), w2, both, TOTAL - both >> QUANTA_BITS
 
     def learn(self, where, ids: np.ndarray) -> None:
+        """From the ids of a segment; where a slot occurs several times in it, the last one stays."""
         s2, s1, l2, l1, g2, g1 = where
+        n = self.blocks * LEVELS
         for k, slot, level, guess in ((1, s2, l2, g2), (0, s1, l1, g1)):
             hit = guess == ids
-            n = self.lanes * LEVELS
             self.tried[k] += np.bincount(level.ravel(), minlength=n)
             self.held[k] += np.bincount(level[hit], minlength=n)
-            sure = self.sure[k][slot]
-            self.guess[k][slot] = np.where(hit | (sure > 1), guess, ids)
-            self.sure[k][slot] = np.where(hit, np.minimum(sure + 1, LEVELS - 1), sure >> 1)
+            sure = level & (LEVELS - 1)
+            after = np.where(hit, np.minimum(sure + 1, LEVELS - 1), sure >> 1)
+            self.guess[k][slot] = np.where(hit | (sure > 1), guess, ids) << LEVEL_BITS | after
         self.weigh()
 
-    def refresh(self, seen: np.ndarray, lanes: int) -> None:
-        """Order-0 frequencies from all ids so far (place by lane)."""
-        for k in range(lanes):
-            ids, counts = np.unique(seen[:, k], return_counts=True)
-            ids, counts = ids[:RANKS], counts[:RANKS]
-            room = QUANTA - len(ids) - max(64, QUANTA * len(ids) // (2 * len(seen)) // 8)
-            quanta = np.concatenate([[0], 1 + counts * max(0, room) // len(seen)])
-            quanta[0] = QUANTA - quanta.sum()
-            self.begin[k, 0] = 0
-            np.cumsum(quanta, out=self.begin[k, 1 : len(quanta) + 1])
-            self.id_of_rank[k, 1 : len(quanta)] = ids
-            self.rank_of_id[k * self.v + ids] = np.arange(1, len(quanta))
-            self.rank_of_quantum[k] = np.repeat(np.arange(len(quanta), dtype=np.uint16), quanta)
+    def refresh(self, seen: np.ndarray) -> None:
+        """Order-0 frequencies from all ids so far (step by lane) of every block that goes on, all blocks at once."""
+        key, counts = np.unique((self.block[: seen.shape[1]] * self.v + seen).ravel(), return_counts=True)
+        block, ids = np.divmod(key, self.v)
+        alive = np.unique(block)
+        first = np.searchsorted(block, alive)
+        rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key)))) + 1
+        few = rank <= RANKS
+        block, ids, counts, rank = block[few], ids[few], counts[few], rank[few]
+        kinds = np.bincount(block, minlength=self.blocks)[alive]
+        n = np.bincount(self.block[: seen.shape[1]], minlength=self.blocks)[alive] * len(seen)
+        room = np.maximum(0, QUANTA - kinds - np.maximum(LEAST, QUANTA * kinds // (2 * n) // 8))
+        size = np.diff(np.append(np.searchsorted(block, alive), len(block)))
+        quanta = 1 + counts * np.repeat(room, size) // np.repeat(n, size)
+        end = np.cumsum(quanta)
+        total = np.add.reduceat(quanta, np.searchsorted(block, alive))
+        escape = QUANTA - total
+        end += np.repeat(escape - (np.cumsum(total) - total), size)
+        self.begin[alive, 0] = 0
+        self.begin[alive, 1] = escape
+        self.begin[block, rank + 1] = end
+        self.id_of_rank[block, rank] = ids
+        # An id may lose its rank: to others beyond RANKS, or with a stripe that is at its end.
+        self.rank_of_id[self.ranked] = 0
+        self.ranked = block * self.v + ids
+        self.rank_of_id[self.ranked] = rank
+        # Escape, then each rank, block by block.
+        at = np.searchsorted(block, alive)
+        ranks = np.insert(rank, at, 0).astype(np.uint16)
+        self.rank_of_quantum[alive] = np.repeat(ranks, np.insert(quanta, at, escape)).reshape(len(alive), QUANTA)
 
 
 def settled(low: np.ndarray, size: np.ndarray, move) -> None:
@@ -121,19 +149,21 @@ def settled(low: np.ndarray, size: np.ndarray, move) -> None:
             at = at[sz < TOP]
 
 
-def narrowed(low: np.ndarray, size: np.ndarray, start: np.ndarray, span: np.ndarray, move) -> None:
-    r = size >> TOTAL_SHIFT
-    low += r * start
-    np.multiply(r, span, out=size)
-    settled(low, size, move)
-
-
 def batches(sizes: list[int]) -> list[list[int]]:
     """Blocks by falling size, LANES at a time."""
     order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
     return [order[a : a + LANES] for a in range(0, len(order), LANES)]
 
 
+def stripes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lanes of blocks of these sizes by falling length: each one's block, first place in the block, and length."""
+    step = -(-sizes // STRIPES)
+    first = np.arange(STRIPES)[None, :] * step[:, None]
+    length = np.clip(sizes[:, None] - first, 0, step[:, None]).ravel()
+    by = np.argsort(-length, kind="stable")
+    return by // STRIPES, first.ravel()[by], length[by]
+
+
 def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Each block's coded bytes. Blocks are any lengths; ids are below `vocabulary`."""
     out: list[bytes] = [b""] * len(blocks)
@@ -144,52 +174,69 @@ def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
 
 
 def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    sizes = np.array([len(b) for b in blocks])
-    n = len(blocks)
-    steps = -(-int(sizes[0]) // SEGMENT) * SEGMENT
+    block, first, length = stripes(np.array([len(b) for b in blocks]))
+    n = len(block)
+    steps = -(-int(length[0]) // SEGMENT) * SEGMENT
     ids = np.zeros((steps + 2, n), np.int64)  # two ids of context stand before the first
-    for k, b in enumerate(blocks):
-        ids[2 : len(b) + 2, k] = b
-    model = Model(n, vocabulary)
+    for k, (b, a, size) in enumerate(zip(block.tolist(), first.tolist(), length.tolist(), strict=True)):
+        ids[2 : size + 2, k] = blocks[b][a : a + size]
+    model = Model(block, len(blocks), vocabulary)
     low, size = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    words, used = np.zeros((n, 4 * steps + 16), np.uint16), np.zeros(n, np.int64)
+    row = 3 * steps + 16
+    words, used = np.zeros(n * row, np.uint16), np.arange(n) * row
 
     def move(at: np.ndarray, word: np.ndarray) -> None:
-        words[at, used[at]] = word
-        used[at] += 1
+        place = used[at]
+        words[place] = word
+        used[at] = place + 1
 
+    begin = model.begin.reshape(-1)
     for t in range(0, steps, SEGMENT):
-        m = int((sizes > t).sum())
+        m = int((length > t).sum())
         if refreshes(t):
-            model.refresh(ids[2 : t + 2], m)
+            model.refresh(ids[2 : t + 2, :m])
         x = ids[t + 2 : t + SEGMENT + 2, :m]
-        where, w2, both, unit = model.look(slice(0, m), ids[t + 1 : t + SEGMENT + 1, :m], ids[t : t + SEGMENT, :m])
+        where, w2, both, unit = model.look(m, ids[t + 1 : t + SEGMENT + 1, :m], ids[t : t + SEGMENT, :m])
         g2, g1 = where[4:]
-        hit2 = g2 == x
-        hit1 = (g1 == x) & ~hit2
         rank = model.rank_of_id[model.id_row[:m] + x].astype(np.int64)
         cell = model.rank_row[:m] + rank
-        begin = model.begin.reshape(-1)
-        first = begin[cell].astype(np.int64)
-        start = np.where(hit2, 0, np.where(hit1, w2, both + first * unit)).astype(np.uint64)
-        span = np.where(hit2, w2, np.where(hit1, both - w2, (begin[cell + 1] - first) * unit)).astype(np.uint64)
-        escaped = ~hit2 & ~hit1 & (rank == 0)
-        wide = np.full(m, model.escape, np.uint64)
+        lower = begin[cell].astype(np.int64)
+        start = both + lower * unit
+        span = (begin[cell + 1] - lower) * unit
+        escaped = np.flatnonzero(rank == 0)
+        each = span.ravel()[escaped] // vocabulary
+        span.ravel()[escaped] = each
+        start.ravel()[escaped] += x.ravel()[escaped] * each
+        hit = g1 == x
+        np.copyto(start, w2, where=hit)
+        np.copyto(span, both - w2, where=hit)
+        hit = g2 == x
+        np.copyto(start, 0, where=hit)
+        np.copyto(span, w2, where=hit)
+        start, span = start.view(np.uint64), span.view(np.uint64)
+        lo, sz = low[:m], size[:m]
         for s in range(SEGMENT):
-            narrowed(low[:m], size[:m], start[s], span[s], move)
-            at = escaped[s].nonzero()[0]
-            if len(at):
-                lo, sz = low[at], size[at]
-                narrowed(lo, sz, (x[s, at] * model.escape).astype(np.uint64), wide[: len(at)], lambda i, w, at=at: move(at[i], w))
-                low[at], size[at] = lo, sz
+            r = sz >> TOTAL_SHIFT
+            lo += r * start[s]
+            np.multiply(r, span[s], out=sz)
+            settled(lo, sz, move)
         model.learn(where, x)
     for _ in range(4):
         move(np.arange(n), low >> SHIFT48)
         low <<= SHIFT16
-    return [words[k, : used[k]].astype("<u2").tobytes() for k in range(n)]
+    used -= np.arange(n) * row
+    place = np.empty(n, np.int64)
+    place[np.lexsort((first, block))] = np.arange(n)
+    coded: list[list[bytes]] = [[] for _ in blocks]
+    sizes: list[list[int]] = [[] for _ in blocks]
+    for k in np.argsort(place).tolist():
+        coded[block[k]].append(words[k * row : k * row + used[k]].astype("<u2").tobytes())
+        sizes[block[k]].append(int(used[k]))
+    return [np.array(s, "<u4").tobytes() + b"".join(c) for s, c in zip(sizes, coded, strict=True)]
 
 
 def decode(coded: list[bytes], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
+    """The ids of each block; bytes that are no block of that size give a ValueError or other ids."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
     for lanes in batches(sizes):
         for k, ids in zip(lanes, _decode([coded[k] for k in lanes], np.array([sizes[k] for k in lanes]), vocabulary), strict=True):
@@ -198,55 +245,75 @@ def decode(coded: list[bytes], sizes: list[int], vocabulary: int) -> list[np.nda
 
 
 def _decode(coded: list[bytes], sizes: np.ndarray, vocabulary: int) -> list[np.ndarray]:
-    n = len(coded)
-    steps = -(-int(sizes[0]) // SEGMENT) * SEGMENT
-    words = np.zeros((n, max(len(c) for c in coded) // 2 + 8), np.uint16)
-    for k, c in enumerate(coded):
-        words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-    model = Model(n, vocabulary)
+    block, first, length = stripes(sizes)
+    n = len(block)
+    steps = -(-int(length[0]) // SEGMENT) * SEGMENT
+    row = 3 * steps + 16
+    words = np.zeros(n * row, np.uint16)
+    order = np.lexsort((first, block))  # the stripes as they stand in the blocks' bytes
+    for b, c in enumerate(coded):
+        lanes = order[b * STRIPES : (b + 1) * STRIPES].tolist()
+        if len(c) < 4 * STRIPES:
+            raise ValueError("a block's coded ids are cut off")
+        used = np.frombuffer(c, "<u4", STRIPES).astype(np.int64)
+        if len(c) != 4 * STRIPES + 2 * int(used.sum()) or int(used.max()) > row:
+            raise ValueError("a block's coded ids are cut off")
+        flat, a = np.frombuffer(c, "<u2", offset=4 * STRIPES), 0
+        for k, u in zip(lanes, used.tolist(), strict=True):
+            words[k * row : k * row + u] = flat[a : a + u]
+            a += u
+    model = Model(block, len(coded), vocabulary)
     low, size, code = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64)
-    used = np.full(n, 4)
-    for k in range(4):
-        code = code << SHIFT16 | words[:, k]
+    used = np.arange(n) * row
+    last = used + row - 1
+    for _ in range(4):
+        code = code << SHIFT16 | words[used]
+        used += 1
 
     def take(at: np.ndarray, _: np.ndarray) -> None:
-        code[at] = code[at] << SHIFT16 | words[at, used[at]]
-        used[at] += 1
+        place = used[at]
+        code[at] = code[at] << SHIFT16 | words[np.minimum(place, last[at])]
+        used[at] = place + 1
 
     ids = np.zeros((steps + 2, n), np.int64)
     quantum, id_of, begin = model.rank_of_quantum.reshape(-1), model.id_of_rank.reshape(-1), model.begin.reshape(-1)
     for t in range(0, steps, SEGMENT):
-        m = int((sizes > t).sum())
+        m = int((length > t).sum())
         if refreshes(t):
-            model.refresh(ids[2 : t + 2], m)
-        lanes, lo, sz = slice(0, m), low[:m], size[:m]
+            model.refresh(ids[2 : t + 2, :m])
+        lo, sz, co = low[:m], size[:m], code[:m]
         seen = []
         for s in range(t + 2, t + SEGMENT + 2):
-            where, w2, both, unit = model.look(lanes, ids[s - 1, :m], ids[s - 2, :m])
+            where, w2, both, unit = model.look(m, ids[s - 1, :m], ids[s - 2, :m])
             seen.append(where)
             r = sz >> TOTAL_SHIFT
-            value = ((code[:m] - lo) // r).view(np.int64)
+            value = ((co - lo) // r).view(np.int64)
             from2 = value < w2
-            x = np.where(from2, where[4], where[5])
-            start = np.where(from2, 0, w2)
-            span = np.where(from2, w2, both - w2)
+            x, start, span = ids[s, :m], w2.copy(), both - w2
+            np.copyto(x, where[5])
+            np.copyto(x, where[4], where=from2)
+            np.copyto(start, 0, where=from2)
+            np.copyto(span, w2, where=from2)
             at = (value >= both).nonzero()[0]
             if len(at):
-                u = unit[at]
-                rank = quantum[model.slot_row[at] + np.minimum((value[at] - both[at]) // u, QUANTA - 1)].astype(np.int64)
+                u, from0 = unit[at], both[at]
+                rest = value[at] - from0
+                rank = quantum[model.slot_row[at] + np.minimum(rest // u, QUANTA - 1)].astype(np.int64)
                 cell = model.rank_row[at] + rank
-                first = begin[cell].astype(np.int64)
-                x[at] = id_of[cell]
-                start[at] = both[at] + first * u
-                span[at] = (begin[cell + 1] - first) * u
+                lower = begin[cell].astype(np.int64)
+                y, from_, wide = id_of[cell].astype(np.int64), from0 + lower * u, (begin[cell + 1] - lower) * u
+                out = (rank == 0).nonzero()[0]
+                if len(out):
+                    each = wide[out] // vocabulary
+                    y[out] = np.minimum(rest[out] // each, vocabulary - 1)
+                    from_[out] += y[out] * each
+                    wide[out] = each
+                x[at], start[at], span[at] = y, from_, wide
             lo += r * start.view(np.uint64)
             np.multiply(r, span.view(np.uint64), out=sz)
             settled(lo, sz, take)
-            if len(at) and len(out := at[rank == 0]):
-                lo2, sz2 = low[out], size[out]
-                x[out] = got = ((code[out] - lo2) // (sz2 >> TOTAL_SHIFT)).view(np.int64) // model.escape
-                narrowed(lo2, sz2, (got * model.escape).astype(np.uint64), np.full(len(out), model.escape, np.uint64), lambda i, w, out=out: take(out[i], w))
-                low[out], size[out] = lo2, sz2
-            ids[s, :m] = x
         model.learn(tuple(np.stack(p) for p in zip(*seen, strict=True)), ids[t + 2 : t + SEGMENT + 2, :m])
-    return [ids[2 : sizes[k] + 2, k] for k in range(n)]
+    out = [np.empty(k, np.int64) for k in sizes.tolist()]
+    for k, (b, a, size_) in enumerate(zip(block.tolist(), first.tolist(), length.tolist(), strict=True)):
+        out[b][a : a + size_] = ids[2 : size_ + 2, k]
+    return out

@@ -5,10 +5,10 @@ into blocks of BLOCK ids; a document may run over several blocks. A block is a r
 of a Parquet table, so any store that Spark writes to holds it, a lost task is written again, and readers may take any
 subset of blocks. The payload is
 
-    magic "SLTB", version u8, pad u8[3], vocabulary u32, n_ids u32, n_pieces u32, crc32 of the ids u32,
-    pieces of (ordinal u64, doc_id i64, n u32, flags u8: 1 begins, 2 ends, 4 doc_id is null), coded ids
+    magic "SLTB", version u8, pad u8[3], vocabulary u32, n_ids u32, n_pieces u32, crc32 of the ids u32, crc32 of all
+    else u32, pieces of (ordinal u64, doc_id i64, n u32, flags u8: 1 begins, 2 ends, 4 doc_id is null), coded ids
 
-all little-endian; the ids' checksum is over unsigned 32-bit integers. The coder's model starts anew in each block.
+all little-endian; the ids' checksum is over unsigned 32-bit integers, the other one over the payload with itself as 0. The coder's model starts anew in each block.
 
 Null and empty texts are documents of the end id alone. Rows of equal doc_id stand in the order of a hash of their texts; a null
 doc_id stands first. An empty table gives an empty table of blocks. Columns other than doc_id and text are ignored. A
@@ -21,7 +21,9 @@ import functools
 import re
 import struct
 import unicodedata
+import uuid
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,16 @@ from pyspark.sql import functions as F
 
 from . import common, range_coder
 
-BLOCK = 8192
-HEAD = struct.Struct("<4sB3xIIII")
+BLOCK = 16384
+HEAD = struct.Struct("<4sB3xIIIII")
 PIECE = struct.Struct("<QqIB")
 BEGINS, ENDS, NULL = 1, 2, 4
 END_ID = 2
-#: Words whose ids a worker keeps; more are tokenised again each time.
-KEPT_WORDS = 200_000
+#: Words whose ids a worker keeps, and as many parts of words; more are tokenised again each time.
+KEPT_WORDS = 500_000
 SPACES = str.maketrans("\t\n\r", "   ")
+#: What the tokenizer puts at the end of each part's last id.
+END_OF_PART = "</w>"
 #: Letters, numbers and white space of Latin text: where the library's classes and ours are surely the same.
 LATIN = [chr(k) for k in range(0x180)]
 _kind = lambda k: "".join(map(re.escape, (c for c in LATIN if unicodedata.category(c)[0] == k)))
@@ -59,6 +63,19 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Kept(dict):
+    """Words and their ids' bytes. What is found beyond KEPT_WORDS is kept for one call only."""
+
+    def fill(self, words: set[str], found) -> dict[str, bytes]:
+        """The ids of all words: these, and the new ones, which `found` gives."""
+        new = list(words - self.keys())
+        fresh = dict(zip(new, found(new), strict=True))
+        if len(self) < KEPT_WORDS:
+            self |= fresh
+            return self
+        return ChainMap(self, fresh) if fresh else self
+
+
 class Encoder:
     """Ids of texts, by way of the ids of their words.
 
@@ -71,7 +88,10 @@ class Encoder:
     def __init__(self, path: str, by_words: bool) -> None:
         self.tk = tokenizer(path)
         self.by_words = by_words
-        self.kept: dict[str, bytes] = {"": b""}
+        self.words, self.pieces = Kept({"": b""}), Kept()
+        ends = [i for t, i in self.tk.get_vocab().items() if t.endswith(END_OF_PART)]
+        self.ends = np.zeros(max([self.tk.get_vocab_size(), *ends]) + 1, bool)
+        self.ends[ends] = True
         # The parts are those of this kind of tokenizer: tried on a text with every sign.
         sample = "".join(c for c in LATIN if not NOT_LATIN.search(c.lower())) + " it's I'd we'll they're you've I'm don't ab12cd, e-f ''x"
         tried = PARTS.findall(sample.lower())
@@ -81,23 +101,34 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [np.array(e.ids, np.uint32) for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [self.parts(t) for t in texts]
-        new = list(set().union(*words) - self.kept.keys())
-        fresh = dict(zip(new, self.apart(new), strict=True))
-        if len(self.kept) < KEPT_WORDS:
-            self.kept |= fresh
-            at = self.kept.__getitem__
-        else:
-            kept = self.kept.get
-            at = lambda w: kept(w) or fresh.get(w, b"")
-        return [np.frombuffer(b"".join(map(at, w)), np.uint32) for w in words]
-
-    def parts(self, text: str) -> list[str]:
+        latin = [self.parts(t) for t in texts]
+        at = self.pieces.fill(set().union(*filter(None, latin)), self.in_line).__getitem__
+        # A text with a special token's sign goes as it is, since such a token may hold what parts words.
+        other = {k: [t] if "<|" in t else t.translate(SPACES).split(" ") for k, (t, parts) in enumerate(zip(texts, latin, strict=True)) if parts is None}
+        whole = self.words.fill(set().union(*other.values()), self.apart).__getitem__
+        return [np.frombuffer(b"".join(map(whole, other[k]) if parts is None else map(at, parts)), np.uint32) for k, parts in enumerate(latin)]
+
+    def parts(self, text: str) -> list[str] | None:
+        """A Latin text's parts."""
         low = text.lower()
         # NFC joins nothing in a text without combining marks, which are not Latin in the sense above.
         if self.latin and "<|" not in text and (text.isascii() or not NOT_LATIN.search(text) and not NOT_LATIN.search(low)):
             return PARTS.findall(low)
-        return text.translate(SPACES).split(" ")
+        return None
+
+    def in_line(self, parts: list[str]) -> list[bytes]:
+        """Each of several different parts' ids, by one call on all parts; a part's last id ends it."""
+        out: list[bytes] = []
+        for a in range(0, len(parts), 4096):
+            some = parts[a : a + 4096]
+            got = np.array(self.tk.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(got):
+                raw, edges = got.tobytes(), [0, *(4 * cuts).tolist()]
+                out += [raw[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            else:
+                out += self.apart(some)
+        return out
 
     def apart(self, words: list[str]) -> list[bytes]:
         """Each of several different words' ids, by one call on all words with a mark between them; words that hold the mark go by themselves."""
@@ -128,6 +159,12 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
+def sealed(ids: np.ndarray, pieces: list[bytes], coded: bytes, vocabulary: int) -> bytes:
+    head = (b"SLTB", 2, vocabulary, len(ids), len(pieces), crc(ids))
+    rest = b"".join(pieces) + coded
+    return HEAD.pack(*head, zlib.crc32(rest, zlib.crc32(HEAD.pack(*head, 0)))) + rest
+
+
 class Writer:
     """Cuts one shard's stream into blocks; codes a batch of blocks at a time."""
 
@@ -164,7 +201,7 @@ class Writer:
         while len(self.full) >= range_coder.LANES or all_of_them and self.full:
             now, self.full = self.full[: range_coder.LANES], self.full[range_coder.LANES :]
             coded = range_coder.encode([x[0] for x in now], self.vocabulary)
-            payload = [HEAD.pack(b"SLTB", 1, self.vocabulary, len(ids), len(pieces), crc(ids)) + b"".join(pieces) + c for (ids, pieces, _), c in zip(now, coded, strict=True)]
+            payload = [sealed(ids, pieces, c, self.vocabulary) for (ids, pieces, _), c in zip(now, coded, strict=True)]
             n = len(now)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([self.shard] * n, pa.int32()), pa.array(range(self.block, self.block + n), pa.int32()), pa.array([x[2] for x in now], pa.int64()), pa.array([len(x[0]) for x in now], pa.int32()), pa.array(payload, pa.binary())],
@@ -199,13 +236,15 @@ def write(docs: DataFrame, folder: str, path: str, by_words: bool = True, end_id
 
 
 def opened(payloads: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int | None, int, int]]]]:
-    """Ids and pieces of each payload; a wrong magic, version or checksum raises ValueError."""
+    """Ids and pieces of each payload; a wrong magic, version, length or checksum raises ValueError."""
     heads = []
     for p in payloads:
-        magic, version, vocabulary, n, pieces, check = HEAD.unpack_from(p)
-        if magic != b"SLTB" or version != 1:
+        if len(p) < HEAD.size or p[:4] != b"SLTB" or p[4] != 2:
             raise ValueError("not a block of token ids")
-        heads.append((vocabulary, n, pieces, check))
+        *head, seal = HEAD.unpack_from(p)
+        if zlib.crc32(memoryview(p)[HEAD.size :], zlib.crc32(p[: HEAD.size - 4] + bytes(4))) != seal:
+            raise ValueError("a block's checksum is wrong")
+        heads.append(head[2:])
     out: list = [None] * len(payloads)
     for vocabulary in {h[0] for h in heads}:
         own = [k for k, h in enumerate(heads) if h[0] == vocabulary]
@@ -241,12 +280,23 @@ def read(table: DataFrame) -> DataFrame:
                 kinds = dict(shard=pa.int32(), ordinal=pa.int64(), doc_id=pa.int64(), at=pa.int64(), n=pa.int64(), whole=pa.bool_(), crc=pa.int64(), ids=pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(rows[c], kinds[c]) for c in rows], list(rows))
 
-    totals = table.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     pieces = common.stored(table.select("shard", "first", "payload").mapInArrow(run, "shard int, ordinal bigint, doc_id bigint, at bigint, n bigint, whole boolean, crc bigint, ids binary"), "token-pieces")
+    totals = pieces.groupBy("shard").agg(F.sum("n").alias("n"))
+    before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     split = (
         pieces.filter("not whole").groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
         .select("shard", "doc_id", "at", "n", F.crc32(F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))).alias("crc"))
     )
     found = pieces.filter("whole").select("shard", "doc_id", "at", "n", "crc").unionByName(split)
     return found.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+def round_trip(docs: DataFrame, path: str, by_words: bool = True, end_id: int = END_ID) -> DataFrame:
+    """Writes the blocks to the shared folder, and gives what `read` finds in them; they are deleted then."""
+    spark = docs.sparkSession
+    folder = f"{common.shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
+    write(docs, folder, path, by_words, end_id)
+    table = spark.read.schema(BLOCKS_SCHEMA).parquet(folder)
+    found = read(table)
+    common.released(table)
+    return found
