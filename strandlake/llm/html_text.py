@@ -1,8 +1,11 @@
 """Main text of web pages: flat text blocks, a decision tree over each block and its neighbours.
 
 A page is cut at block-level tags into flat blocks of text. Each block has its word count and link density, those of the
-blocks before and after it, and what its tags say (boilerplate elements and class names round it, article, heading, list
-item). A decision tree, trained by Gini impurity on the small labelled pages below, says which blocks are main text. In
+blocks before and after it, and what its tags say (boilerplate elements and class names round it, article or outside of
+the page's article, heading, list item, paragraph). A decision tree, trained by Gini impurity on the blocks of the small
+labelled table of layouts below, says which blocks are main text; of cuts that part the blocks as well, one by word count
+or link density is taken. Many layouts have no telling tag or name, so that counts and densities of a block and its
+neighbours decide there. In
 a block every run of white space becomes one space; `<br>` counts as white space. Blocks are joined by a line feed.
 
 Null and empty pages, and pages without a main block, give an empty text. Unclosed tags, comments and scripts run to the
@@ -33,11 +36,15 @@ BREAKS = frozenset("address article aside blockquote body button caption center
 #: Elements that hold no main text, wherever they stand; and outside an article.
 BOILERPLATE = frozenset("nav footer aside form menu button select dialog fieldset label".split())
 OUTSIDE = frozenset(("header",))
-#: Beginnings of class and id words, and whole such words, of what surrounds an article.
-HINTS = ("advert", "sponsor", "promo", "cookie", "consent", "notice", "banner", "sidebar", "sidenav", "menu", "navbar", "navig", "breadcrumb", "footer", "comment", "disqus", "respond", "share", "sharing", "social", "related", "recommend", "newsletter", "subscri", "signup", "login", "popup", "modal", "overlay", "widget", "copyright", "pagination", "pager", "toolbar", "masthead", "topbar", "trending")
-WHOLE_HINTS = frozenset("ad ads adbox adslot nav gdpr alert aside tags replies reply legal disclaimer".split())
+#: Beginnings of words in class and id names of what surrounds an article.
+HINTS = ("advert", "sponsor", "promo", "cookie", "consent", "sidebar", "sidenav", "navbar", "navig", "breadcrumb", "footer", "disqus", "newsletter", "subscri", "signup", "popup", "modal", "overlay", "copyright", "pagination", "toolbar", "masthead", "topbar")
+#: Words that say so alone or beside words of a box only, as in related-posts but not in related-work.
+WEAK_HINTS = frozenset("ad ads adbox adslot nav gdpr alert aside tags reply replies legal disclaimer notice notices banner menu menus comment comments commentlist respond share sharing social related recommended recommendations login widget widgets pager trending top bottom header".split())
+BOX = frozenset("area bar block body box btn button buttons card cards col column container content count div drawer entries form group header holder icons inner item items left links list main module outer panel post posts right row section site slot text thread title toggle top unit wrap wrapper articles stories author meta".split())
+#: Weak hints that say nothing within an article, where they may name its own parts.
 OUTSIDE_HINTS = frozenset("header top bottom".split())
-WRAPPERS = frozenset("with has no content main article page wrapper layout body post entry".split())
+READERS = frozenset("comment comments commentlist reply replies".split())
+WRAPPERS = frozenset("with has no".split())
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
 
@@ -52,15 +59,26 @@ class Block:
     article: int
     heading: int
     item: int
+    paragraph: int
+
+
+@functools.lru_cache(4096)
+def names_of(attributes: str) -> tuple[frozenset[str], ...]:
+    """The words of each class, id and role name."""
+    found = [n for m in NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
+    return tuple(frozenset(w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n).lower()) if w) for n in found)
 
 
 @functools.lru_cache(4096)
 def hinted(attributes: str, in_article: bool) -> int:
-    names = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower()) if w}
     if HIDDEN.search(NAMES.sub("", attributes)):
         return 1
-    if any(w.startswith(HINTS) or w in WHOLE_HINTS or not in_article and w in OUTSIDE_HINTS for w in names):
-        return int(not names & WRAPPERS or bool(names & WHOLE_HINTS))
+    for words in names_of(attributes):
+        if words & WRAPPERS:
+            continue
+        weak = words & WEAK_HINTS if not in_article else words & WEAK_HINTS - OUTSIDE_HINTS
+        if any(w.startswith(HINTS) for w in words) or weak and words <= WEAK_HINTS | BOX:
+            return 1
     return 0
 
 
@@ -71,13 +89,13 @@ def blocks(page: str) -> list[Block]:
     linked_parts: list[str] = []
     stack: list[tuple[str, int, int, int]] = []  # element, and how much it adds to boilerplate, hints and article
     boilerplate = hints = article = links = 0
-    heading = item = False
+    heading = item = paragraph = False
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, text.count(" ") + 1, len("".join(linked_parts).split()), min(boilerplate, 1), min(hints, 1), min(article, 1), int(heading), int(item)))
+                out.append(Block(text, text.count(" ") + 1, len("".join(linked_parts).split()), min(boilerplate, 1), min(hints, 1), min(article, 1), int(heading), int(item), int(paragraph)))
             parts.clear()
             linked_parts.clear()
 
@@ -97,7 +115,7 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             if name in BREAKS:
                 close()
-                heading = item = False
+                heading = item = paragraph = False
                 if any(s[0] == name for s in stack):
                     while True:
                         top, b, h, a = stack.pop()
@@ -108,7 +126,9 @@ def blocks(page: str) -> list[Block]:
                 links = 0
             continue
         attributes = m[3] if m[2] else m[6]
-        if name in RAW:
+        if name in ("svg", "math") and attributes.rstrip().endswith("/"):  # foreign elements may close themselves
+            said(" ")
+        elif name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             said(" ")
@@ -119,11 +139,14 @@ def blocks(page: str) -> list[Block]:
         elif name in BREAKS:
             close()
             links = 0
-            heading, item = name in ("h1", "h2", "h3", "h4", "h5", "h6"), name == "li"
+            heading, item, paragraph = name in ("h1", "h2", "h3", "h4", "h5", "h6"), name == "li", name == "p"
             if name not in VOID and name not in ("p", "li", "html", "body", "head", "td", "th", "tr", "option", "dt", "dd"):
                 b = int(name in BOILERPLATE or name in OUTSIDE and not article)
                 a = int(name in ("article", "main"))
-                h = 0 if a or not attributes else hinted(attributes, article > 0)
+                if a and any(words & READERS and words <= READERS | BOX for words in names_of(attributes)):
+                    a, h = 0, 1  # a reader's comment is no article
+                else:
+                    h = 0 if a or not attributes else hinted(attributes, article > 0)
                 stack.append((name, b, h, a))
                 boilerplate, hints, article = boilerplate + b, hints + h, article + a
     said(page[at:])
@@ -131,29 +154,67 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "hints", "article", "heading", "item")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "hints", "article", "outside", "heading", "item", "paragraph")
 
 
 def features(found: list[Block]) -> np.ndarray:
     own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    tags = np.array([(b.boilerplate, b.hints, b.article, b.heading, b.item) for b in found], float).reshape(-1, 5)
+    has = any(b.article and not b.boilerplate and not b.hints for b in found)
+    tags = np.array([(b.boilerplate, b.hints, b.article, has and not b.article, b.heading, b.item, b.paragraph) for b in found], float).reshape(-1, 7)
     return np.concatenate([own, np.concatenate([edge, own])[:-1], np.concatenate([own, edge])[1:], tags], axis=1)
 
 
-#: The labelled table, as pages: a block's text begins with + where it is main text, and with - where it isn't.
-LABELLED = (
-    '<nav><ul><li><a href="/a">-Home</a></li><li><a href="/b">-World</a></li></ul></nav><div class="ad">-Buy two and get one free today only in all our shops.</div><article><h1>+A river in spring</h1><p>+The river rose in the night and by the morning it had reached the lower road, where people stood and looked at it.</p><p>+Nobody spoke.</p><p>+It fell again within a week, as it had every year that anyone could remember.</p></article><footer>-All rights reserved by the owners of this site.</footer>',
-    '<header><p>-The Daily Paper</p><a href="/">-Home page</a></header><main><h1>+On walking</h1><p>+Walking is the oldest way to travel, and for many of us it is still the best one by far.</p><ul><li>+Take water.</li><li>+Tell a friend where you go, and when you will be back.</li></ul><h2>+Shoes</h2><p>+Yes.</p><p>+See <a href="/x">+the long list</a> of makers.</p></main><aside><h3>-Most read</h3><p>-Ten things that you did not know about the sea and its many islands.</p></aside><footer><p>-Imprint</p></footer>',
-    '<div id="header">-Site name and a slogan</div><div class="sidebar"><p>-A short text about the people who write here and why they do so, with a picture of them.</p></div><div class="text"><h2>+Bread without a machine</h2><p>+Mix the flour and the water and leave them alone for an hour before you add the salt and the yeast.</p><p>+Bake.</p><p>+Let it cool on a rack, or the crust will be soft by the evening.</p></div><div id="comments"><p>-I tried this and it was the best bread that I have made in years, thank you so much for it.</p><p>-Great!</p></div>',
-    '<div class="cookie-notice"><p>-We use cookies to make this site better for you and to count the visits.</p></div><div><a href="/1">-One</a> <a href="/2">-Two</a> <a href="/3">-Three</a></div><div><p>+An old house stood at the end of the lane, and in it lived a man who mended clocks for the whole town.</p><p>+He was never late, of course.</p></div><form><p>-Sign up for our letter and never miss a story from this town again.</p><label>-Your name</label></form><div class="footer">-Contact us</div>',
-    '<ul class="menu"><li>-Start</li><li>-News</li></ul><article><header><h1>+Rain at last</h1><p>+By a reporter</p></header><p>+It rained.</p><p>+After three dry months the farmers had all but given up, and then the clouds came in from the west.</p><div class="ad">-Umbrellas at half price in every shop until the end of the month.</div><p>+They say that it will rain until Sunday <a href="/w">+at least</a>.</p><section class="comments"><p>-We had none here at all, and the wells are still dry, so do not speak too soon about it.</p></section></article><div><a href="/r">-Read more about rain in the hills</a></div>',
-    '<div class="related"><h3>-Related stories</h3><p>-The well that never dried, and the people who kept its secret for years.</p></div><p>+A plain page may have no article element at all, and then its paragraphs stand in the body itself.</p><p>+Short one.</p><p>+Its words still count, and its links are few.</p><p><a href="/p">-Previous page</a></p><p><a href="/n">-Next page</a></p>',
-    '<div><p><a href="/t">-Terms of use</a> <a href="/q">-Privacy</a></p></div><article><p>+One.</p><p><a href="/s">+A paragraph that is one link</a></p><ol><li><a href="/u">+First source</a></li><li>+Second source, in print</li></ol><p>+The end.</p></article><aside>-Advice</aside><nav><a href="/z">-Back</a></nav>',
-    '<nav><a href="/h">-Home</a></nav><article><h1>+The open gate</h1><p>+Someone had left the gate open, and the sheep were all over the road when the bus came.</p><p>+It waited.</p><footer>-Copyright of the village paper, which is printed by hand every second week of the month.</footer>',
-    '<article><h1>+Two harvests</h1><p>+The second one was the better of the two by far, as the old people had said it would be.</p><aside><p>-More about farming in the hills can be found in our large archive of old stories.</p></aside><p>+So it went.</p><form><p>-Write to us about your own harvest and win a basket of apples from the valley.</p></form><nav><p>-Older</p></nav><p>+They sold it all by noon of the first market day.</p><footer><p>-Filed under farming</p></footer></article>',
-    '<div class="content"><p>+A boat came in with the tide and nobody was on board, though the lamp still burned in the cabin.</p><p>+They searched it twice.</p></div><footer><p>-The harbour office is open from eight to four, and on Saturdays in the summer as well.</p></footer><aside><p>-A list of the boats that are due this week can be had at the office for a small fee.</p></aside><nav><p>-All the pages of this site in one long list for those who would rather read than search.</p></nav>',
+#: The labelled table, as layouts: +n stands for n words of main text and -n for n other words, /k for k of them linked.
+LAYOUTS = (
+    "<nav><ul><li>-1/1<li>-1/1<li>-2/2</ul></nav><div class=ad>-9</div><article><h1>+6</h1><p>+60</p><p>+2</p><p>+25/6</p></article><footer>-9</footer>",
+    "<nav><a>-1/1</a></nav><div class=ad>-3</div><article><h1>+2</h1><p>+1</p><p>+400</p></article><footer>-30</footer>",
+    "<header><p>-3</p><p>-2/2</p></header><main><h1>+3</h1><p>+22</p><ul><li>+2<li>+11</ul><h2>+1</h2><p>+1</p><p>+7/5</p></main><aside><h3>-2</h3><p>-14</p></aside><footer><p>-1</p></footer>",
+    "<div id=header>-5</div><div class=sidebar><p>-18</p></div><div class=text><h2>+4</h2><p>+20</p><p>+1</p><p>+14</p></div><div id=comments><p>-19</p><p>-1</p></div>",
+    "<div class=cookie-notice><p>-16</p></div><div>-3/3</div><div><p>+24</p><p>+6</p></div><form><p>-13</p><label>-2</label></form><div class=footer>-2</div>",
+    "<ul class=menu><li>-1<li>-1</ul><article><header><h1>+3</h1><p>+3</p></header><p>+2</p><p>+19</p><div class=ad>-13</div><p>+9/2</p><section class=comments><p>-18</p></section></article><div>-7/7</div>",
+    "<div class=related><h3>-2</h3><p>-15</p></div><p>+17</p><p>+2</p><p>+9</p><p>-2/2</p><p>-2/2</p>",
+    "<div><p>-4/4</p></div><article><p>+1</p><p>+6/6</p><ol><li>+2/2<li>+4</ol><p>+2</p></article><aside>-1</aside><nav>-1/1</nav>",
+    "<nav>-1/1</nav><article><h1>+3</h1><p>+18</p><p>+2</p><footer>-16</footer>",
+    "<article><h1>+2</h1><p>+19</p><aside><p>-15</p></aside><p>+4</p><form><p>-16</p></form><nav><p>-1</p></nav><p>+9</p><footer><p>-3</p></footer></article>",
+    "<div class=content><p>+20</p><p>+4</p></div><footer><p>-15</p></footer><aside><p>-17</p></aside><nav><p>-18</p></nav>",
+    "<article><p>+30</p><ul><li>+4/4<li>+3/3</ul><p>+12/12</p><p>+20</p><div>+7/7</div></article>",
+    # No telling tag or name.
+    "<div><div>-1/1</div><div>-1/1</div><div>-2/2</div></div><div><h1>+5</h1><div>+45</div><div>+3</div><div>+30/4</div></div><div>-8/6</div>",
+    "<ul><li>-1/1<li>-2/2<li>-1/1</ul><div>+35</div><div>+28/3</div><div>+4</div><div>+16</div><ul><li>-3/3<li>-4/4</ul>",
+    "<p>-5/5</p><p>+50</p><p>+8/6</p><p>+31</p><p>-3/3</p>",
+    "<div><p>+7/5</p></div>",
+    "<div><p>+9/7</p></div>",
+    "<p>+30</p><p>+10/8</p><p>+12</p><p>+5/4</p><p>+20</p>",
+    "<div><p>+3</p></div>",
+    "<p>+1</p>",
+    "<div>+12</div>",
+    "<table><tr><td>-1/1<td>-1/1<td>-1/1</table><h1>+4</h1><p>+40</p><p>+2</p><ul><li>+6<li>+3<li>+9/2</ul><p>+22</p><div>-6/4</div>",
+    "<div>-2/2</div><div>-2/2</div><h2>+6</h2><p>+18/9</p><p>+44</p><h2>+2</h2><p>+12</p><div>-9/8</div>",
+    "<div>-4/3</div><div>+26</div><div>+70/8</div><div>+5/2</div><div>-5/4</div><div>-10/9</div>",
+    "<div>-6/4</div><p>+14</p><p>+11/8</p><p>+33</p><div>-6/4</div>",
+    # A few words over a list of links name the list; between paragraphs they are a heading or a short paragraph.
+    "<div>-2</div><div>-1/1</div><div>-2/2</div><div>-1/1</div><div>+40</div><div>+2</div><div>+33</div><div>-2</div><div>-3/3</div><div>-2/2</div>",
+    "<p>-1</p><ul><li>-1/1<li>-2/2</ul><p>+30</p><p>+1</p><p>+20</p><p>-3</p><p>-4/4</p><p>-3/3</p>",
+    "<h3>-2</h3><ul><li>-2/2<li>-3/3</ul><h1>+5</h1><p>+25</p><h3>+2</h3><p>+40</p><h3>-3</h3><ul><li>-5/5<li>-4/4</ul>",
+    "<div>-3</div><p>-4/4</p><p>+3</p><p>+27</p><p>+2</p><div>+21</div><div>-1</div><div>-2/2</div>",
+    # What stands outside a page's article isn't its text, whatever it is called.
+    "<div>-8</div><div>-30</div><article><h1>+4</h1><p>+12</p></article><div>-25</div><p>-14</p>",
+    "<h1>-3</h1><p>-12</p><main><p>+5/4</p><p>+16</p><div>+9</div></main><p>-20/2</p><ul><li>-7<li>-2/2</ul>",
+    "<div class=banner>-12</div><article><h2>+3</h2><ul><li>+1/1<li>+2/2<li>+8</ul><div class=share>-2/2</div><p>+3/3</p></article><article class=comment><p>-22</p></article>",
 )
+LABEL = re.compile(r"([+-])(\d+)(?:/(\d+))?")
+
+
+def labelled(layout: str) -> str:
+    """The page of a layout; each block begins with its label's sign."""
+
+    def text(m: re.Match) -> str:
+        words = [m[1] + "word", *["word"] * (int(m[2]) - 1)]
+        k = len(words) - int(m[3] or 0)
+        return " ".join(words[:k]) + (f" <a href=/x>{' '.join(words[k:])}</a>" if m[3] else "")
+
+    return re.sub(r"(?<=>)[^<]+", lambda m: LABEL.sub(text, m[0]), layout)
 
 
 @dataclass
@@ -165,14 +226,14 @@ class Node:
     high: Node | None = None
 
 
-def grown(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
-    """A decision tree by Gini impurity; of equal cuts the first feature's lowest wins."""
+def grown(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Node:
+    """A decision tree by Gini impurity; of equal cuts the first feature's lowest wins, and main text of equal counts."""
     node = Node(bool(y.mean() >= 0.5))
     gini = lambda v: 2 * v.mean() * (1 - v.mean()) * len(v) if len(v) else 0.0
     if depth == 0 or y.min() == y.max():
         return node
     best = (gini(y) - 1e-9, -1, 0.0)
-    for f in (*range(6, x.shape[1]), *range(6)):
+    for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for cut in (values[:-1] + values[1:]) / 2:
             low = x[:, f] <= cut
@@ -188,8 +249,8 @@ def grown(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
 @functools.cache
 def tree() -> Node:
     rows, labels = [], []
-    for page in LABELLED:
-        found = blocks(page)
+    for layout in LAYOUTS:
+        found = blocks(labelled(layout))
         rows.append(features(found))
         labels += [b.text[0] == "+" for b in found]
     return grown(np.concatenate(rows), np.array(labels, float))
