@@ -22,17 +22,53 @@ def test_blocks_are_independent_and_small():
     ids = np.minimum(r.zipf(1.4, 20_000), 49_407)
     many = range_coder.encode([ids, ids[:100], ids], 49_408)
     assert many[0] == many[2] == range_coder.encode([ids], 49_408)[0]
-    assert len(many[0]) < 2 * len(ids)
+    assert len(many[0]) < 2 * len(ids) + 8 * range_coder.STRIPES
+
+
+def test_blocks_of_all_sizes_are_decoded_beside_others():
+    """Stripes that end early take ids' ranks with them; a block is decoded in other company than it was coded in."""
+    r = np.random.default_rng(8)
+    made = [r.integers(0, 40 if k % 2 else 9000, 37 * k) for k in range(90)]
+    coded = range_coder.encode(made, 9000)
+    for part in (slice(None), slice(3, 80, 7), slice(1, 2)):
+        for x, y in zip(made[part], range_coder.decode(coded[part], [len(x) for x in made[part]], 9000), strict=True):
+            assert (x == y).all()
+    # More kinds than ranks.
+    ids = r.permutation(16_384)
+    assert (range_coder.decode(range_coder.encode([ids], 16_384), [len(ids)], 16_384)[0] == ids).all()
 
 
 def test_broken_blocks_are_found():
+    """Any changed byte and any cut raises ValueError, whatever it hits: head, pieces or coded ids."""
     w = token_output.Writer(0, 300)
     w.add(7, np.arange(50, dtype=np.uint32))
+    w.add(None, np.arange(250, dtype=np.uint32))
     payload = next(w.rows(True)).column("payload")[0].as_py()
-    assert token_output.opened([payload])[0][0].tolist() == list(range(50))
-    for bad in (b"XXXX" + payload[4:], payload[:-20] + bytes(12) + payload[-8:]):
+    assert token_output.opened([payload])[0][0].tolist() == [*range(50), *range(250)]
+    for k in range(len(payload)):
+        for bad in (payload[:k], payload[:k] + bytes([payload[k] ^ 1]) + payload[k + 1 :]):
+            with pytest.raises(ValueError):
+                token_output.opened([bad])
+
+
+def test_cut_off_ids_are_found():
+    coded = range_coder.encode([np.arange(100)], 300)[0]
+    for k in range(len(coded)):
         with pytest.raises(ValueError):
-            token_output.opened([bad])
+            range_coder.decode([coded[:k]], [100], 300)
+    with pytest.raises(ValueError):
+        range_coder.encode([np.arange(100)], range_coder.MOST_IDS + 1)
+
+
+@pytest.mark.parametrize("kinds", [2, 50, 40_000, 260_000])
+def test_long_blocks(kinds):
+    """Blocks of several refreshes, alone and side by side, with ids of every frequency."""
+    r = np.random.default_rng(kinds)
+    made = [r.integers(0, kinds, n) for n in (16_384, 16_384, 9_001, 1, 0, 31)] + [np.repeat(r.integers(0, kinds, 3), 5000), np.minimum(r.zipf(1.2, 16_384), kinds - 1)]
+    coded = range_coder.encode(made, kinds)
+    assert coded[0] == range_coder.encode(made[:1], kinds)[0]
+    for x, y in zip(made, range_coder.decode(coded, [len(x) for x in made], kinds), strict=True):
+        assert (x == y).all()
 
 
 @settings(max_examples=40, deadline=None)

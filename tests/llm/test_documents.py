@@ -5,6 +5,8 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,17 +75,9 @@ def test_near_dedup(spark, size):
     assert collections.Counter(tuple(r) for r in got) == collections.Counter(want)
 
 
-def test_near_dedup_of_many_edited_copies(spark):
-    """Lists longer than SMALL and than BLOCK, whose members are not all linked with a hub."""
-    rows = []
-    base = [f"w{i}" for i in range(60)]
-    for k in range(700):
-        w = list(base)
-        for e in range(k % 9):
-            w[(7 * k + 11 * e) % 60] = f"e{k}_{e}"
-        rows.append((k, " ".join(w)))
-    got = {r[0]: r[2] for r in near_dedup.classify(table(spark, rows), 2).collect()}
-    sets = [shingle_set(t, 2) for _, t in rows]
+def components(rows, size):
+    """Brute force: doc_id -> least doc_id reachable."""
+    sets = [shingle_set(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -93,9 +87,64 @@ def test_near_dedup_of_many_edited_copies(spark):
 
     for i in range(len(rows)):
         for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root(i) != root(j):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root(i) != root(j):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
-    assert got == {k: root(k) for k in range(len(rows))}
+    return {k: root(k) for k in range(len(rows))}
+
+
+def edited_copies(words, copies, most):
+    """Copies of one text with 0 to `most` words replaced; half of the edits are copied as well, as far as they go."""
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for k in range(copies):
+        w = list(base)
+        for e in range(k % (most + 1)):
+            w[(7 * (k if k % 2 else k % 16) + 11 * e) % words] = f"e{k if k % 2 else k % 16}_{e}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("small", "block", "rounds", "words", "most"), [(12, 1024, 2, 60, 8), (12, 64, 2, 60, 8), (4, 64, 1, 200, 40), (4, 64, 2, 200, 40), (2, 32, 3, 300, 90), (12, 1024, 0, 60, 8)])
+def test_near_dedup_of_many_edited_copies(spark, monkeypatch, small, block, rounds, words, most):
+    """Lists longer than SMALL and groups longer than BLOCK, whose members are not all linked with a hub; sets on both sides of 100 shingles."""
+    if not rounds:  # no list is long
+        small = 10_000
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "ROUNDS", max(1, rounds))
+    rows = edited_copies(words, 400, most)
+    got = {r[0]: r[2] for r in near_dedup.classify(table(spark, rows), 2).collect()}
+    assert got == components(rows, 2)
+
+
+@pytest.mark.parametrize("size", range(1, 7))
+def test_shingles_of_few_words(size):
+    """Batches of 0 to 6 words in all, in every split into texts."""
+    for total in range(7):
+        words = [f"w{k}" for k in range(total)]
+        for cut in range(total + 1):
+            texts = [" ".join(words[:cut]), " ".join(words[cut:])]
+            got = near_dedup.shingles([t.encode() for t in texts], size)
+            assert [len(x) for x in got] == [len(shingle_set(t, size)) for t in texts]
+            alone = [near_dedup.shingles([t.encode()], size)[0].tolist() for t in texts]
+            assert [x.tolist() for x in got] == alone
+
+
+def test_representatives_of_texts_of_few_words(spark):
+    rows = [(1, "a b c"), (2, "a b"), (3, "a b c"), (4, "a")]
+    kept = near_dedup.representatives(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    odd = ("a.b", "__copy", "__n", "__row", "__text", "box", "at", "times", "score", "matches", "none", "c2", "id", "copies")
+    docs = spark.createDataFrame([(k, f"some words of text {k // 2}") for k in (0, 1, 2, 2)], "doc_id bigint, text string").select("doc_id", *[F.lit(f"{c}!").alias(c) for c in odd[:7]], "text", *[F.lit(f"{c}!").alias(c) for c in odd[7:]])
+    labelled = spark.createDataFrame([(0, "en")], "doc_id bigint, domain string")
+    items = spark.createDataFrame([(1, "an item that no text has in it at all")], "item_id bigint, text string")
+    for out, n in ((near_dedup.representatives(docs), 2), (mixing.mixed(docs, labelled, {"en": 1.0}, least=1.0), 4), (decontamination.clean(docs, items), 4)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) == n and all(r[c] == f"{c}!" for r in rows for c in odd)
 
 
 def test_representatives(spark):
@@ -120,18 +169,53 @@ def removed(rows):
     return out
 
 
-def test_suffix_dedup(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SHARD", 60_000)
-    got = suffix_dedup.digest(suffix_dedup.remove(table(spark))).collect()
-    own = removed(ROWS)
+@pytest.mark.parametrize(("shard", "range_", "hot"), [(1 << 20, 1 << 24, 1 << 12), (60_000, 1 << 24, 1 << 12), (5_000, 40_000, 2), (1_000, 5_000, 1)])
+def test_suffix_dedup(spark, monkeypatch, shard, range_, hot):
+    """With small shards the long texts are cut into pieces, with `hot` small most anchors are dealt over several ranges."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "RANGE", range_)
+    line = "a very common line of a good many words which stands in all these documents but never beside the same others"
+    rows = [*ROWS, *((100 + k, f"{'x' * (k % 7)}{k * 7919} begins {line} and {k * 104_729} ends {'y' * 50 if k % 5 else ''}") for k in range(60))]
+    got = suffix_dedup.digest(suffix_dedup.remove(table(spark, rows), hot)).collect()
+    own = removed(rows)
     want = []
-    for d, t in ROWS:
+    for d, t in rows:
         b, gone = (t or "").encode(), own[-(1 << 63) if d is None else d, t or ""]
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         want.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     assert collections.Counter(tuple(r) for r in got) == collections.Counter(want)
 
 
+def test_suffix_dedup_tells_equal_keys_apart(monkeypatch):
+    """With one hash for all strings the bytes decide."""
+    monkeypatch.setattr(suffix_dedup, "rolling", lambda flat, size: np.full(max(0, len(flat) - size + 1), 7, np.uint64))
+    r = np.random.default_rng(2)
+    text = [r.integers(97, 99, 400).astype(np.uint8) for _ in range(3)]
+    text[1][:150] = text[0][200:350]
+    text[2] = np.concatenate([text[1][20:300], text[0][:120]])
+    starts = [np.arange(301)] * 3
+    group = pd.DataFrame({"shard": [5, 9, 7], "bucket": 0, "blob": [suffix_dedup.stretches(text[k], starts[k]) for k in (0, 2, 1)]})
+    out = suffix_dedup.held_before(group)
+    seen, want = set(), {}
+    for shard, k in ((5, 0), (7, 1), (9, 2)):
+        strings = [text[k][s : s + 100].tobytes() for s in starts[k]]
+        want[shard] = [s in seen for s in strings]
+        seen |= set(strings)
+    for shard, blob in zip(out["shard"], out["blob"], strict=True):
+        assert np.unpackbits(np.frombuffer(blob, np.uint8), count=301).astype(bool).tolist() == want[shard]
+
+
+def test_suffix_array_and_common_prefixes():
+    r = np.random.default_rng(1)
+    for n, letters in ((1, 2), (7, 1), (300, 2), (2000, 4), (1500, 1)):
+        text = r.integers(97, 97 + letters, n).astype(np.uint8)
+        raw = text.tobytes()
+        order = suffix_dedup.suffix_array(text)
+        assert order.tolist() == sorted(range(n), key=lambda k: raw[k:])
+        want = [0] + [next((i for i, (x, y) in enumerate(zip(raw[a:], raw[b:], strict=False)) if x != y), min(n - a, n - b)) for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+        assert suffix_dedup.kasai(text, order, 100).tolist() == [min(100, x) for x in want]
+
+
 def test_license_scan(spark):
     got = license_scan.digest(license_scan.find(table(spark))).collect()
     for (d, t), r in zip(ROWS, got, strict=True):
@@ -194,6 +278,40 @@ def test_field_on_unseen_sentences():
     assert pii.redact("call +1 212 5550100 now", [(5, 19, "phone")]) == "call [phone] now"
 
 
+def segmentations(n, most):
+    """All ways to cut n tokens into segments of at most `most`."""
+    if not n:
+        return [[]]
+    return [[*head, (n - k, n)] for k in range(1, min(n, most) + 1) for head in segmentations(n - k, most)]
+
+
+def test_field_decodes_the_best_of_all_segmentations():
+    field = pii.trained()
+    for tokens, _ in pii.made_sentences(5, 40):
+        tokens = tokens[-6:]
+        score = lambda i, j, field=field, tokens=tokens: max(((float(field.w[ids].sum()), kind) for kind, ids in field.kinds(tokens, i, j)), default=(-np.inf, ""))
+        best = max(sum(score(i, j)[0] for i, j in cut) for cut in segmentations(len(tokens), pii.MAX_TOKENS))
+        got = field.decode(tokens)
+        inside = {p for i, j, _ in got for p in range(i, j)}
+        own = sum(float(field.w[ids].sum()) for i, j, kind in got for k, ids in field.kinds(tokens, i, j) if k == kind)
+        own += sum(float(field.w[ids].sum()) for p in range(len(tokens)) if p not in inside for k, ids in field.kinds(tokens, p, p + 1) if k == "text")
+        assert abs(own - best) < 1e-6
+
+
+def test_field_spans_do_not_depend_on_how_many_triggers_there_are():
+    """Many entities on end are found like each one alone; a long token before a trigger isn't cut."""
+    field = pii.trained()
+    one = 'filler words here token = "0123456789abcdef0123456789abcdef" and more words after it. '
+    alone = pii.field_spans(one, field)
+    assert len(alone) == 1 and alone[0][2] == "secret"
+    assert pii.field_spans(one * 300, field) == [(a + k * len(one), b + k * len(one), kind) for k in range(300) for a, b, kind in alone]
+    dense = 'token = "0123456789abcdef0123456789abcdef" '
+    assert len(pii.field_spans(dense * 500, field)) == 500
+    long = "x" * 5000
+    assert pii.field_spans(f"{long} {one}", field) == [(a + 5001, b + 5001, kind) for a, b, kind in alone]
+    assert all(pii.field_spans(f"the key = {x} ends here", field) for x in ("A1B2C3D4E5F60718293A4B5C6D7E8F90", "x7Kp2mQ9vR4tW8zL3nB6"))
+
+
 def test_quality_rules(spark):
     got = quality_rules.judge(table(spark)).collect()
     want = []

@@ -1,3 +1,8 @@
+import html
+import random
+import re
+
+import numpy as np
 import pytest
 
 from strandlake.llm import html_text
@@ -17,18 +22,78 @@ from strandlake.llm import html_text
         ("<article><p>Unclosed <b>bold<p>Next one", "Unclosed bold\nNext one"),
         ('<article><p title="a > b">Quoted sign.</p></article>', "Quoted sign."),
         ("<article><p>a < b and c > d</p></article>", "a < b and c > d"),
+        ("<article><p>Use <svg/> icons</p><p>tail one</p><svg></svg><p>tail two</p></article>", "Use icons\ntail one\ntail two"),
+        ('<p>One two three.</p><svg class="i"/><p>More words follow here.</p>', "One two three.\nMore words follow here."),
+        ('<div class="entry"><p>Read <a>the long linked title of another story</a> here.</p></div>', "Read the long linked title of another story here."),
+        (f'<div class="related-work"><p>{"word " * 40}</p></div><div class="related-posts"><p>{"other " * 40}</p></div>', "word " * 39 + "word"),
+        ('<article><p>Main words.</p></article><article class="comment-body"><p>I read it all, and liked it.</p></article>', "Main words."),
+        ('<div>Some notice outside of it all</div><main><p>In it.</p></main>', "In it."),
     ],
 )
 def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
-def test_labelled_pages_are_learned():
-    for page in html_text.LABELLED:
-        found = html_text.blocks(page)
+def test_labelled_layouts_are_learned():
+    for layout in html_text.LAYOUTS:
+        found = html_text.blocks(html_text.labelled(layout))
         assert [b.text[0] == "+" for b in found] == html_text.classified(html_text.features(found)).tolist()
 
 
+def used(node):
+    return set() if node.feature < 0 else {html_text.FEATURES[node.feature]} | used(node.low) | used(node.high)
+
+
+def test_counts_and_densities_of_neighbours_decide():
+    assert {"words", "link_density"} <= used(html_text.tree()) and used(html_text.tree()) & {"words_before", "link_density_before", "words_after", "link_density_after"}
+    links = "<div><a href=/a>one</a></div><div><a href=/b>two three</a></div>"
+    text = "<div>" + "word " * 30 + "</div>"
+    assert html_text.main_text(f"<div>A title</div>{links}{text}") == ("word " * 30).strip()
+    assert html_text.main_text(f"{links}{text}<div>A title</div>{text}").split("\n")[1] == "A title"
+
+
+def every_cut(x, y):
+    """The least weighted Gini impurity of any cut, by trying all."""
+    impurity = lambda v: 2 * v.mean() * (1 - v.mean()) * len(v) if len(v) else 0.0
+    return min((impurity(y[x[:, f] <= c]) + impurity(y[x[:, f] > c]) for f in range(x.shape[1]) for c in np.unique(x[:, f])[:-1]), default=np.inf)
+
+
+def test_tree_takes_the_best_cut_and_breaks_ties_by_order():
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        x, y = r.integers(0, 4, (30, 5)).astype(float), r.integers(0, 2, 30).astype(float)
+        node = html_text.grown(x, y, 1)
+        low = x[:, node.feature] <= node.cut
+        assert np.isclose(sum(2 * v.mean() * (1 - v.mean()) * len(v) for v in (y[low], y[~low])), every_cut(x, y))
+    x = np.repeat(r.integers(0, 4, (30, 1)).astype(float), 3, axis=1)
+    assert html_text.grown(x, (x[:, 0] > 1).astype(float)).feature == 0
+
+
+def plain_blocks(page):
+    """A second reading of flat blocks: text between block tags, for pages without raw elements."""
+    parts = re.split(r"(<[^>]*>)", page)
+    out, now = [], ""
+    for p in parts:
+        m = re.match(r"</?([a-z0-9]+)", p) if p.startswith("<") else None
+        if m and m[1] in html_text.BREAKS:
+            out.append(now)
+            now = ""
+        elif m:
+            now += " " if m[1] == "br" else ""
+        else:
+            now += p
+    return [" ".join(html.unescape(t).split()) for t in [*out, now] if html.unescape(t).split()]
+
+
+def test_blocks_against_a_plain_reading():
+    r = random.Random(3)
+    tags = ["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<br>", "<a href=/x>", "</a>", "<li>", "<ul>", "</ul>", "<h2>", "</h2>", "<i>", "</i>", "<td>", "<article>", "</article>"]
+    words = ["one", " two ", "&amp;", "x&nbsp;y", "\n", "a\t\tb", "&#233;", "", "end."]
+    for _ in range(300):
+        page = "".join(r.choice(tags) if r.random() < 0.5 else r.choice(words) for _ in range(r.randint(0, 40)))
+        assert [b.text for b in html_text.blocks(page)] == plain_blocks(page), page
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>x y</p></article>"), (None, None, None), (1, "u", "<article><p>x y</p></article>"), (2, "v", "<p>" + "word " * 100_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'clash' as text", "1 as n_chars")
