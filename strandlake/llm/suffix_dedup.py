@@ -361,9 +361,16 @@ def held_before(group: pd.DataFrame) -> pd.DataFrame:
     sizes = [len(x) for x in places]
     flat, place, key, row = np.concatenate([*texts, np.zeros(8, np.uint8)]), np.concatenate(places), np.concatenate(keys), np.repeat(np.arange(len(sizes)), sizes)
     words = np.ndarray((len(flat) - 7,), "<u8", flat.tobytes(), 0, (1,))
-    merged, first = np.unique(key, return_index=True)
-    holder = first[np.searchsorted(merged, key)]
-    same = same_strings(words, place, place[holder])
+    # In the order of the keys, so that the search goes through the merged ones from end to end.
+    by = np.argsort(key, kind="stable")
+    keys_ = key[by]
+    new = np.concatenate([[True], keys_[1:] != keys_[:-1]])
+    merged, first = keys_[new], by[new]
+    holder = np.empty(len(by), np.int64)
+    holder[by] = first[np.searchsorted(merged, keys_)]
+    same = np.ones(len(by), bool)
+    other = np.flatnonzero(holder != np.arange(len(by)))
+    same[other] = same_strings(words, place[other], place[holder[other]])
     held = same & (row[holder] < row)
     if not same.all():  # different strings of one key
         seen: set[bytes] = set()
