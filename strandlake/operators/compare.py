@@ -214,22 +214,9 @@ def size_ratio(reads_a: DataFrame, reads_b: DataFrame) -> DataFrame:
     return left.crossJoin(right).select("n_a", "n_b", (F.col("n_a") / F.col("n_b")).alias("ratio"))
 
 
-def positions(rows: DataFrame, table_a: DataFrame, table_b: DataFrame, k: int) -> DataFrame:
-    """rows with pos_a and pos_b: where the word's suffixes begin in their pile."""
-    for side, table in (("a", table_a), ("b", table_b)):
-        first = table.filter(F.length("suffix") >= k).groupBy(F.substring("suffix", 1, k).alias("word")).agg(F.min("pile_pos").alias(f"pos_{side}"))
-        rows = rows.join(first, "word", "left")
-    return rows
-
-
 def below_running_mean(rows: DataFrame, size: str, order: list[str], bucket: str, factor: float = 3.0) -> DataFrame:
     """Rows whose size is less than `factor` times the mean of the sizes so far, in each bucket."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("mean", F.avg(size).over(w)).filter(F.col(size) < factor * F.col("mean"))
-
-
-def write_by_length(rows: DataFrame, path: str) -> None:
-    """Breakpoints in a folder for each word length, as a run of the extension loop leaves them."""
-    rows.write.partitionBy("k").parquet(path)

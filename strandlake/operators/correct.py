@@ -102,7 +102,7 @@ def correctors(found: DataFrame, reads: DataFrame, support: int, longest: int) -
     return found.join(walk.select("seq_id", "position", "corrector"), ["seq_id", "position"])
 
 
-def mapped_back(found: DataFrame, n: int, length: int | Column) -> DataFrame:
+def mapped_back(found: DataFrame, n: int | Column, length: int | Column) -> DataFrame:
     """Errors in reverse complements (seq_id of n or more) told of the reads themselves; corrector_start is added.
     length: of every read, or a column of found.
 

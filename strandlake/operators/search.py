@@ -6,7 +6,7 @@ lengths that are searched for; the word list may be of any size, since Spark joi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes as S
@@ -61,7 +61,7 @@ def extracted_with_tags(reads: DataFrame, tagged: DataFrame) -> DataFrame:
     return reads.join(tagged.select("seq_id", "tag"), "seq_id").select("seq_id", F.concat_ws(" ", "name", "tag").alias("name"), "bases")
 
 
-def with_mates(ids: DataFrame, half: int) -> DataFrame:
+def with_mates(ids: DataFrame, half: int | Column) -> DataFrame:
     """ids and those of their mates, half a collection further on or back."""
     other = F.when(F.col("seq_id") < half, F.col("seq_id") + half).otherwise(F.col("seq_id") - half)
     return ids.select("seq_id").unionByName(ids.select(other.alias("seq_id"))).distinct()

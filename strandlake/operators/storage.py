@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into spark.checkpoint.dir and reads it again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of this machine for a session in this process alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/table-{uuid.uuid4().hex}"
+    return root
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it again."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from ..operators import correct as E
 from ..operators import search as Q
 from ..operators import suffixes as S
 from ..operators import taxa as T
-from ..operators.storage import stored
+from ..operators.storage import shared_dir
 from ..sources import files as IO
 from . import convert
 from . import fixtures as X
@@ -402,8 +402,7 @@ def written(df: DataFrame, kind: str = "text") -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    stored(spark.range(1))  # sets the folder where it is unset
-    return spark.conf.get("spark.checkpoint.dir")
+    return shared_dir(spark)
 
 
 NUMBERED = "numbered AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, 'read/' || seq_id AS name, bases, quals FROM reads)"
@@ -617,9 +616,18 @@ def sea_9(spark, d):
     return Q.indexed_search(X.reads(spark, d), X.bwt(spark, d), X.kmers(spark, d), repeat=20)
 
 
-@query("sea_10", sql("SELECT DISTINCT CASE WHEN k = 0 THEN seq_id WHEN seq_id < 500 THEN seq_id + 500 ELSE seq_id - 500 END AS seq_id FROM found, range(0, 2) t(k)", FOUND))
+#: Half of the numbers that a collection's reads may have.
+HALF = "(SELECT (max(seq_id) + 1) // 2 FROM reads)"
+
+
+def half(spark, d):
+    """HALF as a table of one row."""
+    return X.reads(spark, d).agg(F.floor((F.max("seq_id") + 1) / 2).alias("half"))
+
+
+@query("sea_10", sql(f"SELECT DISTINCT CASE WHEN k = 0 THEN seq_id WHEN seq_id < {HALF} THEN seq_id + {HALF} ELSE seq_id - {HALF} END AS seq_id FROM found, range(0, 2) t(k)", FOUND))
 def sea_10(spark, d):
-    return Q.with_mates(sea_2(spark, d), 500)
+    return Q.with_mates(sea_2(spark, d).crossJoin(half(spark, d)), F.col("half"))
 
 
 @query("sea_11", sql("SELECT seq_id, bases, quals FROM reads"))
@@ -815,14 +823,14 @@ def cor_4(spark, d):
 
 
 FIXES = "fixes AS (SELECT e.seq_id, position, shortest_witness, longest_witness, correct || substr(bases, (1 + position % 5)::INT, 3) AS corrector FROM errs e JOIN reads USING (seq_id))"
-MAPPED = f"mapped AS (SELECT CASE WHEN t THEN seq_id - 500 ELSE seq_id END AS seq_id, (CASE WHEN t THEN {LENGTH - 1} - position ELSE position END)::INT AS position, t::INT AS reverse_strand, CASE WHEN t THEN translate(corrector, 'ACGT', 'TGCA') ELSE reverse(corrector) END AS corrector, (CASE WHEN t THEN {LENGTH - 1} - position ELSE position - length(corrector) + 1 END)::INT AS corrector_start, shortest_witness, longest_witness FROM (SELECT *, seq_id >= 500 AS t FROM fixes))"
+MAPPED = f"mapped AS (SELECT CASE WHEN t THEN seq_id - {HALF} ELSE seq_id END AS seq_id, (CASE WHEN t THEN {LENGTH - 1} - position ELSE position END)::INT AS position, t::INT AS reverse_strand, CASE WHEN t THEN translate(corrector, 'ACGT', 'TGCA') ELSE reverse(corrector) END AS corrector, (CASE WHEN t THEN {LENGTH - 1} - position ELSE position - length(corrector) + 1 END)::INT AS corrector_start, shortest_witness, longest_witness FROM (SELECT *, seq_id >= {HALF} AS t FROM fixes))"
 
 
 def mapped(spark, d):
-    """Errors with made correctors of four letters, reads from number 500 on taken as reverse complements."""
+    """Errors with made correctors of four letters, reads of the collection's second half taken as reverse complements."""
     rows = found_errors(spark, d).join(X.reads(spark, d), "seq_id")
     fixes = rows.select("seq_id", "position", "shortest_witness", "longest_witness", F.concat("correct", F.col("bases").substr((F.col("position") % 5 + 1).cast("int"), F.lit(3))).alias("corrector"))
-    return E.mapped_back(fixes, 500, LENGTH)
+    return E.mapped_back(fixes.crossJoin(half(spark, d)), F.col("half"), LENGTH)
 
 
 @query("cor_6", sql("SELECT * FROM mapped", MARKS, ERRORS, FIXES, MAPPED))
