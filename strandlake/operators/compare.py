@@ -1,10 +1,10 @@
 """Comparing two collections word by word.
 
-For each word the letters before it are counted in either collection; a full outer join puts both side by side, and a
-rule decides whether the word is a breakpoint and to which letters it is extended to the left, in either collection. A
-rule is a function from the joined counts to columns. Words reached by extension are the frontier of the next length: the
-contexts of a length are joined with the frontier before they are counted, so words that no rule asked for are never
-aggregated.
+For each word the letters before it are counted in either collection, and a rule decides whether the word is a breakpoint
+and to which letters it is extended to the left, in either collection. A rule is a function from the counts to columns.
+The loop carries the places of the words that were asked for, each with what stands to its left: a round counts them in
+one aggregation and moves those that go on by a letter. Words that no rule asked for are never looked at again, nor are
+words that only one collection holds, since no word behind them can be a breakpoint.
 
 Two behaviours are fixed here that depend on the order of processing elsewhere: in reference mode a word found only in B
 is not extended, and no interval is skipped for having been seen before unless that is asked for.
@@ -44,15 +44,19 @@ def contexts(reads: DataFrame, k: int, side: str, frontier: DataFrame | None = N
     return counted(rows if frontier is None else rows.join(frontier.select("word").distinct(), "word", "left_semi"), side)
 
 
-def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Both contexts of every word, zero where absent; num_a, num_b; where: A, B or both."""
-    names = [f"{s}_{NAMES[c]}" for s in "ab" for c in LETTERS]
-    both = left.join(right, "word", "full_outer").select("word", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+def totalled(counts: DataFrame) -> DataFrame:
+    """Counts of both collections with num_a, num_b and where: A, B or both."""
     total = lambda side: sum((side(c) for c in LETTERS[1:]), side("$"))
-    both = both.select("*", total(a).alias("num_a"), total(b).alias("num_b"))
+    both = counts.select("*", total(a).alias("num_a"), total(b).alias("num_b"))
     return both.withColumn("where", F.when(F.col("num_b") == 0, "A").when(F.col("num_a") == 0, "B").otherwise("both"))
 
 
+def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both contexts of every word, zero where absent."""
+    names = [f"{s}_{NAMES[c]}" for s in "ab" for c in LETTERS]
+    return totalled(left.join(right, "word", "full_outer").select("word", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]))
+
+
 def compared(reads_a: DataFrame, reads_b: DataFrame, k: int) -> DataFrame:
     return joined(contexts(reads_a, k, "a"), contexts(reads_b, k, "b"))
 
@@ -139,11 +143,29 @@ def children(rows: DataFrame, mode: str, n: int, k: int, **options: float) -> Da
     return each.select(F.concat("x.c", "word").alias("word"), "x.in_a", "x.in_b")
 
 
-def frontier_step(reads_a: DataFrame, reads_b: DataFrame, k: int, frontier: DataFrame | None) -> DataFrame:
-    """Joined contexts of the frontier's words; a word counts in a collection only if it was extended there."""
-    if frontier is None:
-        return compared(reads_a, reads_b, k)
-    return joined(contexts(reads_a, k, "a", frontier.filter("in_a")), contexts(reads_b, k, "b", frontier.filter("in_b")))
+def places(reads: DataFrame, side: str) -> DataFrame:
+    """side, seq_id, word, left: the words of two letters and what stands before them."""
+    at = F.explode(F.sequence(F.lit(0), F.length("bases") - 2)).alias("pos")
+    rows = reads.filter(F.length("bases") >= 2).select("seq_id", "bases", at)
+    two = F.col("bases").substr(F.col("pos") + 1, F.lit(2))
+    return rows.select(F.lit(side).alias("side"), "seq_id", two.alias("word"), F.col("bases").substr(F.lit(1), F.col("pos")).alias("left")).filter(~F.col("word").contains("N"))
+
+
+def previous() -> Column:
+    """The letter before a place, `$` at the start of a read."""
+    return F.when(F.col("left") == "", "$").otherwise(F.expr("right(left, 1)"))
+
+
+def measured(at: DataFrame) -> DataFrame:
+    """The counts of the words of places."""
+    one = lambda side, c: F.sum(((F.col("side") == side) & (F.col("prev") == c)).cast("bigint")).alias(f"{side}_{NAMES[c]}")
+    return totalled(at.withColumn("prev", previous()).groupBy("word").agg(*[one(s, c) for s in "ab" for c in LETTERS]))
+
+
+def moved(at: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Places of the frontier's words: those of the words that they extend, one letter on."""
+    on = at.filter("left != ''").select("side", "seq_id", F.concat(previous(), "word").alias("word"), F.expr("left(left, length(left) - 1)").alias("left"))
+    return on.join(frontier, "word").filter(F.when(F.col("side") == "a", F.col("in_a")).otherwise(F.col("in_b"))).select("side", "seq_id", "word", "left")
 
 
 def unknown(rows: DataFrame, before: DataFrame) -> DataFrame:
@@ -157,40 +179,52 @@ def unknown(rows: DataFrame, before: DataFrame) -> DataFrame:
     return both.filter(~known).select(rows.columns)
 
 
-def rounds(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", skip_known: bool = False, **options: float) -> Iterator[tuple[int, DataFrame]]:
-    """The joined contexts of each word length from 2 to longest + 1, each word reached by extension, until none is left."""
-    frontier, before = None, None
+#: The loop asks after so many lengths whether any word is left: asking costs a job, a round of no words hardly more.
+CHECKED = 4
+
+
+def rounds(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, goes: str, subset: str = "", skip_known: bool = False, **options: float) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """For each word length from 2 to longest + 1 the counts and places of the words reached, until none is left.
+
+    goes: which words of the frontier are looked at, of those that either collection asks for (in_a, in_b).
+    """
+    before, at = None, stored(places(reads_a, "a").unionByName(places(reads_b, "b")))
     for k in range(2, longest + 2):
-        rows = stored(frontier_step(reads_a, reads_b, k, frontier))
+        rows = stored(measured(at))
         if subset:
             rows = rows.filter(F.col("word").endswith(subset[-k:]))
         if skip_known and before is not None:
             rows = stored(unknown(rows, before))
         before = rows
-        yield k, rows
-        frontier = stored(children(rows, mode, n, k, **options))
-        if frontier.isEmpty():
+        yield k, rows, at
+        at = stored(moved(at, children(rows.filter("where = 'both'"), mode, n, k, **options).filter(goes)))
+        if k % CHECKED == 0 and at.isEmpty():
             break
 
 
 def extended(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", skip_known: bool = False, **options: float) -> DataFrame:
     """Breakpoints of all word lengths from 2 to longest + 1, each word reached by extension: k and the joined counts.
 
-    subset: only words that end with it. skip_known: leave out words that `unknown` drops; this changes results.
+    A breakpoint is in both collections, so only words that both go on to are looked at. subset: only words that end with
+    it. skip_known: leave out words that `unknown` drops; this changes results.
     """
     found = None
-    for k, rows in rounds(reads_a, reads_b, mode, n, longest, subset, skip_known, **options):
+    for k, rows, _ in rounds(reads_a, reads_b, mode, n, longest, "in_a and in_b", subset, skip_known, **options):
         now = breakpoints(rows, mode, n, k, **options).withColumn("k", F.lit(k))
         found = now if found is None else found.unionByName(now)
     return found
 
 
 def read_numbers(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, **options: float) -> DataFrame:
-    """Words that only A holds, extended to the read's start, and the reads of A that begin with them: word, seq_id."""
+    """Words that only A holds, extended to the read's start, and the reads of A that begin with them: word, seq_id.
+
+    A word that only A holds goes on with every letter but N, whatever the mode, so its places lead to their reads' starts
+    at once; words of more than longest + 1 letters are left out.
+    """
     found = None
-    for k, rows in rounds(reads_a, reads_b, mode, n, longest, **options):
-        starts = rows.filter((F.col("where") == "A") & (a("$") > 0)).select("word")
-        now = reads_a.filter(F.length("bases") >= k).select(F.substring("bases", 1, k).alias("word"), "seq_id").join(starts, "word", "left_semi")
+    for _, rows, at in rounds(reads_a, reads_b, mode, n, longest, "in_a", **options):
+        only = at.filter("side = 'a'").join(rows.filter("where = 'A'").select("word"), "word", "left_semi")
+        now = only.filter(~F.col("left").contains("N")).select(F.concat("left", "word").alias("word"), "seq_id").filter(F.length("word") <= longest + 1)
         found = now if found is None else found.unionByName(now)
     return found
 

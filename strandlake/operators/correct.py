@@ -2,6 +2,8 @@
 
 A word (witness) with one frequent letter before it marks the rarer letters there as errors. An error is a place in a
 read, (seq_id, pos), so errors of all witness lengths are grouped by it without following intervals through an index.
+Lengths are taken from the shortest on: a longer witness has some of the places of each of its beginnings, so it can mark
+nothing unless these have a frequent letter and a second one, and only such places are looked at again.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
@@ -66,40 +68,69 @@ def suspicious(contexts: DataFrame, support: int) -> DataFrame:
     return contexts.filter((strong == 1) & weak).withColumn("correct", F.coalesce(*[F.when(compare.a(c) >= support, c) for c in "ACGNT"]))
 
 
-def errors(reads: DataFrame, lengths: list[int], support: int) -> DataFrame:
-    """seq_id, position (of the wrong letter), wrong, correct, shortest_witness, longest_witness.
+def witnesses(reads: DataFrame, least: int, most: int, support: int, step: int = 8) -> DataFrame:
+    """k, word, seq_id, pos, prev, correct: the places, but at starts of reads, of the suspicious words of least to most letters.
+
+    After the first length `step` lengths are counted at once.
+    """
+    live = stored(search.words(reads, least).filter("pos > 0").join(reads.select("seq_id", "bases"), "seq_id").select("seq_id", "pos", "prev", "bases"))
+    found, k = None, least
+    while k <= most:
+        last = k if k == least else min(k + step - 1, most)
+        sized = live.select("*", F.explode(F.sequence(F.lit(k), F.lit(last))).alias("k")).filter(F.col("pos") + F.col("k") <= F.length("bases"))
+        rows = sized.withColumn("word", F.col("bases").substr(F.col("pos") + 1, F.col("k"))).filter(~F.col("word").contains("N"))
+        letters = sum(((compare.a(c) > 0).cast("int") for c in "CGNT"), (compare.a("A") > 0).cast("int"))
+        open_ = compare.any_of([compare.a(c) >= support for c in "ACGNT"]) & (letters > 1)
+        counts = stored(compare.counted(rows, "a").filter(open_))
+        now = stored(rows.join(suspicious(counts, support).select("word", "correct"), "word").select("k", "word", "seq_id", "pos", "prev", "correct"))
+        found = now if found is None else found.unionByName(now)
+        live = stored(rows.filter(F.col("k") == last).join(counts.select("word"), "word", "left_semi").select("seq_id", "pos", "prev", "bases"))
+        if live.isEmpty():
+            break
+        k = last + 1
+    return found
+
+
+def errors(marked: DataFrame) -> DataFrame:
+    """seq_id, position (of the wrong letter), wrong, correct, shortest_witness, longest_witness, of the places of `witnesses`.
 
     The correct letter is that of the shortest witness.
     """
-    found = None
-    for k in lengths:
-        marks = suspicious(compare.contexts(reads, k, "a"), support).select("word", "correct")
-        at = search.words(reads, k).filter((F.col("prev") != "$")).join(marks, "word").filter(F.col("prev") != F.col("correct"))
-        rows = at.select("seq_id", (F.col("pos") - 1).alias("position"), F.col("prev").alias("wrong"), "correct", F.lit(k).alias("k"))
-        found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("seq_id", "position", "wrong").agg(F.min_by("correct", "k").alias("correct"), F.min("k").alias("shortest_witness"), F.max("k").alias("longest_witness"))
+    rows = marked.filter(F.col("prev") != F.col("correct")).select("seq_id", (F.col("pos") - 1).alias("position"), F.col("prev").alias("wrong"), "correct", "k")
+    return rows.groupBy("seq_id", "position", "wrong").agg(F.min_by("correct", "k").alias("correct"), F.min("k").alias("shortest_witness"), F.max("k").alias("longest_witness"))
 
 
-def correctors(found: DataFrame, reads: DataFrame, support: int, longest: int) -> DataFrame:
+def correctors(found: DataFrame, marked: DataFrame, reads: DataFrame, support: int, longest: int, step: int = 6) -> DataFrame:
     """found with `corrector`: the correct letter and what stands before it in other reads, letter by letter, as long as
-    one has the support (of several the last of the alphabet), at most `longest` letters; leftmost letter last."""
-    found = stored(found)
-    both = found.join(reads.select("seq_id", "bases"), "seq_id")
-    witness = F.col("bases").substr(F.col("position") + 2, F.col("shortest_witness"))
-    walk = both.select("seq_id", "position", F.concat("correct", witness).alias("word"), F.col("correct").alias("corrector"), F.lit(True).alias("open"))
-    for _ in range(longest - 1):
-        walk = stored(walk)
-        sizes = [r[0] for r in walk.filter("open").select(F.length("word")).distinct().collect()]  # word lengths, at most a read's
-        if not sizes:
+    one has the support (of several the last of the alphabet), at most `longest` letters; leftmost letter last.
+
+    The ways to the left from a witness are counted by their next `step` letters first, so what is walked in one group has
+    at most 5 ** step rows, however often the witness stands.
+    """
+    bases = reads.select("seq_id", "bases")
+    found = stored(found.join(bases, "seq_id").withColumn("word", F.col("bases").substr(F.col("position") + 2, F.col("shortest_witness"))).drop("bases"))
+    back = F.reverse(F.col("bases").substr(F.lit(1), F.col("pos") - 1)).alias("back")
+    right = marked.filter(F.col("prev") == F.col("correct")).join(found.select("word").distinct(), "word", "left_semi")
+    ways = stored(right.join(bases, "seq_id").select("word", back).groupBy("word", "back").agg(F.count("*").alias("n")))
+    same, parts = Window.partitionBy("word"), None
+    for done in range(0, longest - 1, step):
+        now = F.col("back").substr(done + 1, step)
+        rows = ways.groupBy("word", now.alias("next")).agg(F.sum("n").alias("n")).select("*", F.lit("").alias("got"), F.lit(True).alias("open"))
+        for j in range(1, min(step, longest - 1 - done) + 1):
+            letter = F.col("next").substr(j, 1)
+            frequent = [F.when(F.sum(F.when(letter == c, F.col("n"))).over(same) >= support, c) for c in "TNGCA"]
+            rows = rows.withColumn("best", F.when(F.col("open"), F.coalesce(*frequent))).filter(F.col("best").isNull() | (letter == F.col("best")))
+            rows = rows.withColumn("got", F.concat("got", F.coalesce("best", F.lit("")))).withColumn("open", F.col("best").isNotNull())
+        here = stored(rows.groupBy("word").agg(F.max("got").alias("got"), F.bool_or("open").alias("open")))
+        part = here.select("word", F.struct(F.lit(done).alias("done"), "got").alias("part"))
+        parts = part if parts is None else parts.unionByName(part)
+        ways = stored(ways.join(here.filter("open").select("word", "got"), "word").filter(now == F.col("got")).select("word", "back", "n"))
+        if ways.isEmpty():
             break
-        frontier = walk.filter("open").select("word").distinct()
-        counts = compare.counted(search.words(reads, *sizes).join(frontier, "word", "left_semi"), "a")
-        best = F.coalesce(*[F.when(compare.a(c) >= support, c) for c in "TNGCA"])
-        step = counts.select("word", best.alias("next")).filter("next is not null")
-        go = walk.join(step, "word", "left")
-        on = F.col("open") & F.col("next").isNotNull()
-        walk = go.select("seq_id", "position", F.when(on, F.concat("next", "word")).otherwise(F.col("word")).alias("word"), F.when(on, F.concat("corrector", "next")).otherwise(F.col("corrector")).alias("corrector"), on.alias("open"))
-    return found.join(walk.select("seq_id", "position", "corrector"), ["seq_id", "position"])
+    if parts is None:
+        return found.drop("word").withColumn("corrector", F.col("correct"))
+    paths = parts.groupBy("word").agg(F.array_join(F.sort_array(F.collect_list("part")).getField("got"), "").alias("path"))
+    return found.join(paths, "word").withColumn("corrector", F.concat("correct", "path")).drop("word", "path")
 
 
 def mapped_back(found: DataFrame, n: int | Column, length: int | Column) -> DataFrame:

@@ -1,10 +1,9 @@
 """Collections derived from the driver tables, in Spark and as DuckDB common table expressions.
 
-Reads are the first 100 letters of each document's text, mapped to four bases; documents with fewer letters give none.
-Collections A and B are the reads of even and odd numbers. The searched words are a word of 12 letters from every read
-whose number is divisible by 100, and one absent word. Where the input is `Whole`, reads are all letters of every
-document instead (see pieces); the SQL here knows only the first 100. The taxonomy is region, nation and supplier; an order is an
-interval, and its line items are the genomes that it matches.
+Reads are all letters of every document, mapped to four bases and cut into consecutive reads of 100, the last one of a
+document shorter. Collections A and B are the reads of even and odd numbers. The searched words are a word of 12 letters
+from every read whose number is divisible by 100 (where it is long enough), and one absent word. The taxonomy is region,
+nation and supplier; an order is an interval, and its line items are the genomes that it matches.
 """
 
 from __future__ import annotations
@@ -22,11 +21,7 @@ LENGTH = 100
 K, N = 8, 2
 ABSENT = "ACGTACGTACGT"
 
-_tables: dict[tuple, DataFrame] = {}
-
-
-class Whole(str):
-    """An input's folder, for reads that are whole documents."""
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,18 +32,9 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("letters"))
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_id, bases, and quals from the same letters."""
-    if isinstance(sf_dir, Whole):
-        return pieces(spark, sf_dir)
-    x = F.substring("letters", 1, LENGTH)
-    rows = letters(spark, sf_dir).select("seq_id", F.translate(x, UPPER, MAPPED).alias("bases"), F.translate(x, UPPER, QUALITIES).alias("quals"))
-    return rows.filter(F.length("bases") == LENGTH)
-
-
 def once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
-    """A table made once a session, input and kind of reads."""
-    key = (spark.sparkContext.applicationId, type(sf_dir), str(sf_dir), name)
+    """A table made once a session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
         from ..operators.storage import stored
 
@@ -56,19 +42,21 @@ def once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFra
     return _tables[key]
 
 
-def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All letters of each document in consecutive reads of 100, the last one shorter; numbered on end by document and piece.
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, bases, and quals from the same letters: all letters of each document in consecutive reads of 100, the last
+    one shorter, numbered on end by document and piece.
 
     Documents without a letter give none.
     """
 
     def made() -> DataFrame:
-        at = F.explode(F.sequence(F.lit(0), F.floor((F.length("letters") - 1) / LENGTH).cast("int"))).alias("piece")
-        cut = letters(spark, sf_dir).filter("letters != ''").select("seq_id", "letters", at).select("seq_id", "piece", F.col("letters").substr(F.col("piece") * LENGTH + 1, F.lit(LENGTH)).alias("x"))
-        rows = S.ranked(cut, "seq_id", "piece", "x")
+        starts = F.sequence(F.lit(0), F.floor((F.length("letters") - 1) / LENGTH).cast("int"))
+        parts = F.transform(starts, lambda i: F.col("letters").substr(i * LENGTH + 1, F.lit(LENGTH)))
+        cut = letters(spark, sf_dir).filter("letters != ''").select("seq_id", F.posexplode(parts).alias("piece", "x"))
+        rows = S.ranked(cut, "seq_id", "piece")
         return rows.select(F.col("rank").alias("seq_id"), F.translate("x", UPPER, MAPPED).alias("bases"), F.translate("x", UPPER, QUALITIES).alias("quals"))
 
-    return once(spark, sf_dir, "pieces", made)
+    return once(spark, sf_dir, "reads", made)
 
 
 #: Qualities of the letters: ! to :, that is 0 to 25.
@@ -128,13 +116,14 @@ def database(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CTES = f"""
 letters AS (SELECT doc_id AS seq_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM documents),
-reads AS (SELECT seq_id, translate(substr(letters, 1, {LENGTH}), '{UPPER}', '{MAPPED}') AS bases, translate(substr(letters, 1, {LENGTH}), '{UPPER}', '{QUALITIES.replace("'", "''")}') AS quals FROM letters WHERE length(substr(letters, 1, {LENGTH})) = {LENGTH}),
+cut AS (SELECT seq_id, i, substr(letters, ({LENGTH} * i + 1)::BIGINT, {LENGTH}) AS x FROM (SELECT seq_id, letters, unnest(range(0, (length(letters) + {LENGTH} - 1) // {LENGTH})) AS i FROM letters)),
+reads AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq_id, i) - 1 AS seq_id, translate(x, '{UPPER}', '{MAPPED}') AS bases, translate(x, '{UPPER}', '{QUALITIES.replace("'", "''")}') AS quals FROM cut),
 reads_a AS (SELECT * FROM reads WHERE seq_id % 2 = 0),
 reads_b AS (SELECT * FROM reads WHERE seq_id % 2 = 1),
-suf AS (SELECT seq_id, p::INT AS pos, substr(bases, p::INT + 1) AS suffix, CASE WHEN p = 0 THEN '$' ELSE substr(bases, p::INT, 1) END AS ch, CASE WHEN p = 0 THEN NULL ELSE substr(quals, p::INT, 1) END AS quals FROM reads, range(0, {LENGTH + 1}) t(p)),
+suf AS (SELECT seq_id, p::INT AS pos, substr(bases, p::INT + 1) AS suffix, CASE WHEN p = 0 THEN '$' ELSE substr(bases, p::INT, 1) END AS ch, CASE WHEN p = 0 THEN NULL ELSE substr(quals, p::INT, 1) END AS quals FROM reads, range(0, {LENGTH + 1}) t(p) WHERE p <= length(bases)),
 bwt AS (SELECT *, row_number() OVER (ORDER BY suffix, seq_id) - 1 AS rank, pos0 AS pile_pos FROM (SELECT *, CASE WHEN suffix = '' THEN '$' ELSE substr(suffix, 1, 1) END AS pile, row_number() OVER (PARTITION BY CASE WHEN suffix = '' THEN '$' ELSE substr(suffix, 1, 1) END ORDER BY suffix, seq_id) - 1 AS pos0 FROM suf)),
 runs AS (SELECT row_number() OVER (ORDER BY first_rank) - 1 AS run_no, * FROM (SELECT min(rank) AS first_rank, ch, count(*) AS run FROM (SELECT rank, ch, rank - row_number() OVER (PARTITION BY ch ORDER BY rank) AS g FROM bwt) GROUP BY ch, g)),
-kmers AS (SELECT substr(bases, (1 + seq_id % 80)::INT, 12) AS kmer FROM reads WHERE seq_id % 100 = 0 UNION ALL SELECT '{ABSENT}'),
+kmers AS (SELECT substr(bases, (1 + seq_id % 80)::INT, 12) AS kmer FROM reads WHERE seq_id % 100 = 0 AND length(bases) >= seq_id % 80 + 12 UNION ALL SELECT '{ABSENT}'),
 paths AS (SELECT s_suppkey AS file_num, 0 AS level, n_regionkey::BIGINT + 10 AS tax_id FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey, 1, s_nationkey::BIGINT + 100 FROM supplier UNION ALL SELECT s_suppkey, 2, s_suppkey + 1000 FROM supplier),
 nodes AS (SELECT 1::BIGINT AS tax_id, 1::BIGINT AS parent_id, 'no rank' AS rank UNION ALL SELECT r_regionkey::BIGINT + 10, 1, 'superkingdom' FROM region UNION ALL SELECT n_nationkey::BIGINT + 100, n_regionkey::BIGINT + 10, 'family' FROM nation UNION ALL SELECT s_suppkey + 1000, s_nationkey::BIGINT + 100, 'species' FROM supplier),
 hits AS (SELECT l_orderkey AS interval, l_suppkey AS file_num, l_linenumber::BIGINT AS position, l_quantity::BIGINT AS num_a FROM lineitem),

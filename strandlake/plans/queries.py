@@ -45,20 +45,15 @@ def counted(letter: str = "ch", amount: str = "1") -> str:
 # --- scalar functions -------------------------------------------------------------------------------------------
 
 REVERSED = "translate(reverse(bases), 'ACGTacgt', 'TGCATGCA')"
-#: Reads with N before and behind, every 50th of N only.
-PADDED = "padded AS (SELECT seq_id, CASE WHEN seq_id % 50 = 0 THEN repeat('N', 20) ELSE repeat('N', (seq_id % 4)::INT) || substr(bases, 1, 90) || repeat('N', (seq_id % 3)::INT) END AS bases, substr(quals, 1, CASE WHEN seq_id % 50 = 0 THEN 20 ELSE (90 + seq_id % 4 + seq_id % 3)::INT END) AS quals FROM reads)"
+#: Reads with N before and behind, and one of N only.
+PADDED = "padded AS (SELECT seq_id, repeat('N', seq_id % 4) || bases || repeat('N', seq_id % 3) AS bases, repeat('!', seq_id % 4) || quals || repeat('!', seq_id % 3) AS quals FROM reads UNION ALL SELECT -1, repeat('N', 20), repeat('!', 20))"
 
 
 def padded(spark: SparkSession, d: str) -> DataFrame:
-    """Of whole reads nothing is cut or left out."""
-    r = X.reads(spark, d)
-    times = lambda m: F.repeat(F.lit("N"), (F.col("seq_id") % m).cast("int"))
-    if isinstance(d, X.Whole):
-        low = lambda m: F.repeat(F.lit("!"), (F.col("seq_id") % m).cast("int"))
-        return r.select("seq_id", F.concat(times(4), "bases", times(3)).alias("bases"), F.concat(low(4), "quals", low(3)).alias("quals"))
-    all_n = F.col("seq_id") % 50 == 0
-    bases = F.when(all_n, "N" * 20).otherwise(F.concat(times(4), F.substring("bases", 1, 90), times(3)))
-    return r.select("seq_id", bases.alias("bases"), F.col("quals").substr(F.lit(1), F.length(bases)).alias("quals"))
+    times = lambda c, m: F.repeat(F.lit(c), (F.col("seq_id") % m).cast("int"))
+    around = lambda c, x: F.concat(times(c, 4), x, times(c, 3)).alias(x)
+    only = spark.range(1).select(F.lit(-1).cast("bigint").alias("seq_id"), F.lit("N" * 20).alias("bases"), F.lit("!" * 20).alias("quals"))
+    return X.reads(spark, d).select("seq_id", around("N", "bases"), around("!", "quals")).unionByName(only)
 
 
 @query("scl_1", sql(f"SELECT seq_id, {REVERSED} AS bases FROM reads"))
@@ -71,7 +66,7 @@ def scl_2(spark, d):
     return S.reversed_reads(X.reads(spark, d))
 
 
-@query("scl_3", sql("SELECT seq_id, substr(bases, 1, 80) AS cut, lpad(bases, 120, 'N') AS filled FROM reads"))
+@query("scl_3", sql("SELECT seq_id, lpad(substr(bases, 1, 80), 80, 'N') AS cut, lpad(bases, 120, 'N') AS filled FROM reads"))
 def scl_3(spark, d):
     return X.reads(spark, d).select("seq_id", B.to_length(F.col("bases"), 80).alias("cut"), B.to_length(F.col("bases"), 120).alias("filled"))
 
@@ -107,7 +102,7 @@ def scl_7(spark, d):
     return convert.shaped(rows, length=95, unpad=True).select("seq_id", "bases")
 
 
-LETTER_ROWS = f"each AS (SELECT seq_id, p::INT AS cycle, substr(bases, p::INT + 1, 1) AS base, substr(quals, p::INT + 1, 1) AS qual FROM reads, range(0, {LENGTH}) t(p))"
+LETTER_ROWS = f"each AS (SELECT seq_id, p::INT AS cycle, substr(bases, p::INT + 1, 1) AS base, substr(quals, p::INT + 1, 1) AS qual FROM reads, range(0, {LENGTH}) t(p) WHERE p < length(bases))"
 
 
 @query("scl_8", sql("SELECT seq_id, cycle, byte, CASE WHEN byte >> 2 = 0 THEN 'N' ELSE substr('ACGT', (byte & 3) + 1, 1) END AS base, chr((byte >> 2) + 33) AS qual FROM (SELECT *, ((instr('ACGT', base) - 1) | ((ascii(qual) - 33) << 2))::INT AS byte FROM each)", LETTER_ROWS))
@@ -236,7 +231,7 @@ def scl_18(spark, d):
 
 
 def words_sql(src: str, k: int) -> str:
-    return f"(SELECT seq_id, p::INT AS pos, substr(bases, p::INT + 1, {k}) AS word, CASE WHEN p = 0 THEN '$' ELSE substr(bases, p::INT, 1) END AS prev FROM {src}, range(0, {LENGTH - k + 1}) t(p))"
+    return f"(SELECT seq_id, p::INT AS pos, substr(bases, p::INT + 1, {k}) AS word, CASE WHEN p = 0 THEN '$' ELSE substr(bases, p::INT, 1) END AS prev FROM {src}, range(0, {LENGTH - k + 1}) t(p) WHERE p + {k} <= length(bases))"
 
 
 def context_sql(src: str, k: int, side: str) -> str:
@@ -319,7 +314,7 @@ def bwt_5(spark, d):
     return S.bwt(S.reversed_reads(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
 
 
-@query("bwt_6", sql(bwt_of("SELECT seq_id, substr(bases, 61) AS bases FROM reads UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM reads), substr(bases, 1, 60) FROM reads")))
+@query("bwt_6", sql(bwt_of("SELECT seq_id, substr(bases, greatest(length(bases) - 39, 1)) AS bases FROM reads UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM reads), substr(bases, 1, greatest(length(bases) - 40, 0)) FROM reads")))
 def bwt_6(spark, d):
     return S.bwt(S.sub_sequences(X.reads(spark, d), 40)).select("rank", "ch", "seq_id", "pos")
 
@@ -360,12 +355,8 @@ def bwt_12(spark, d):
 @query("bwt_13")
 def bwt_13(spark, d):
     """The suffix array and transform of one genome: all reads on end."""
-    r = S.ranked(X.reads(spark, d).select("seq_id", "bases"), "seq_id")
-    if isinstance(d, X.Whole):  # reads of any length: places are the order of (read, letter)
-        each = r.select(F.col("rank").alias("n"), F.posexplode(F.split("bases", "")).alias("p", "ch")).filter("ch != ''")
-        return S.genome_transform(S.ranked(each, "n", "p").select(F.col("rank").alias("pos"), "ch"))
-    letters = r.select(F.col("rank").alias("n"), F.posexplode(F.split("bases", "")).alias("p", "ch")).filter("ch != ''")
-    return S.genome_transform(letters.select((F.col("n") * LENGTH + F.col("p")).alias("pos"), "ch"))
+    each = X.reads(spark, d).select("seq_id", F.posexplode(F.split("bases", "")).alias("p", "ch")).filter("ch != ''")
+    return S.genome_transform(S.ranked(each, "seq_id", "p").select(F.col("rank").alias("pos"), "ch"))
 
 
 @query("bwt_14", sql("SELECT row_number() OVER (ORDER BY suffix, seq_id) - 1 AS rank, seq_id AS file_num, pos, ch FROM suf WHERE suffix <> ''"))
@@ -663,10 +654,9 @@ def cmp_2(spark, d):
     return pairs(spark, d).withColumnRenamed("where", "held")
 
 
-@query("cmp_4", sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT *, {k} AS k FROM ({context_sql('reads', k, 'a')})" for k in range(2, 7)) + ") WHERE a_end + a_a + a_c + a_g + a_n + a_t >= 200"))
+@query("cmp_4")
 def cmp_4(spark, d):
-    """Words whose suffixes all have n places have n places: the frontier finds just these."""
-    return C.backtracked(X.reads(spark, d), 200, 6).drop("num_a")
+    return C.backtracked(X.reads(spark, d), 200, LENGTH).drop("num_a")
 
 
 @query("cmp_5", sql(context_sql("reads", K, "a")))
@@ -726,25 +716,13 @@ for _op, _mode in (("cmp_8", "splice"), ("cmp_9", "tumour-normal"), ("cmp_10", "
     one_rule(_op, _mode)
 
 
-def frontier_sql(mode: str, longest: int) -> str:
-    """The extension loop unrolled: a table of joined contexts and one of children for each length."""
-    ctes, out = [], []
-    for k in range(2, longest + 2):
-        left, right = context_sql("reads_a", k, "a"), context_sql("reads_b", k, "b")
-        if k > 2:
-            left, right = (f"SELECT * FROM ({x}) WHERE word IN (SELECT word FROM next{k - 1} WHERE {s})" for x, s in ((left, "in_a"), (right, "in_b")))
-        emit, go_a, go_b = rule_sql(mode, k)
-        ctes.append(f"rows{k} AS MATERIALIZED {joined_sql(left, right)}")
-        ctes.append(f"next{k} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{c}' || word AS word, {go_a[c]} AS in_a, {go_b[c]} AS in_b FROM rows{k}" for c in "ACGT") + ")")
-        out.append(f"SELECT {k} AS k, {LISTED} FROM rows{k} WHERE {emit}")
-    return sql(" UNION ALL ".join(out), *ctes)
+def loop(op: str, mode: str) -> None:
+    """The extension loop with the reference's bounds: words up to a read's length, metagenomic ones of 50 to 100 letters."""
 
-
-def loop(op: str, mode: str, longest: int = 7) -> None:
     def run(spark, d):
-        return C.extended(*X.read_sets(spark, d), mode, N, longest, least=4, most=6).select("k", *COLUMNS)
+        return C.extended(*X.read_sets(spark, d), mode, N, LENGTH, least=50, most=100).select("k", *COLUMNS)
 
-    query(op, frontier_sql(mode, longest))(run)
+    query(op)(run)
 
 
 for _op, _mode in (("cmp_3_splice", "splice"), ("cmp_3_tumour_normal", "tumour-normal"), ("cmp_3_reference", "reference"), ("cmp_3_metagenomics", "metagenomics")):
@@ -757,11 +735,10 @@ def cmp_6(spark, d):
     return C.unknown(pairs(spark, d, 3), pairs(spark, d, 2)).select(*COLUMNS)
 
 
-@query("cmp_12", sql(f"SELECT w.word, seq_id, pos FROM {words_sql('reads_a', K)} w JOIN pair p ON p.word = w.word WHERE held = 'A'", PAIR))
+@query("cmp_12")
 def cmp_12(spark, d):
-    """Reads of A that hold words which B lacks."""
-    only = pairs(spark, d).filter("where = 'A'").select("word")
-    return Q.words(X.read_sets(spark, d)[0], K).join(only, "word").select("word", "seq_id", "pos")
+    """Reads of A and the words, back to the read's start, that the splice loop reached and B lacks."""
+    return C.read_numbers(*X.read_sets(spark, d), "splice", N, LENGTH)
 
 
 @query("cmp_13", sql("SELECT n_a, n_b, n_a / n_b AS ratio FROM (SELECT count(*) AS n_a FROM reads_a), (SELECT count(*) AS n_b FROM reads_b)"))
@@ -777,14 +754,17 @@ def cmp_15(spark, d):
 
 # --- correction -------------------------------------------------------------------------------------------------
 
-SUPPORT = 4
-STRONG = " + ".join(f"(a_{NAMES[c]} >= {SUPPORT})::INT" for c in "ACGNT")
-MARKS = "marks AS (" + " UNION ALL ".join(
-    f"SELECT {k} AS k, word, CASE " + " ".join(f"WHEN a_{NAMES[c]} >= {SUPPORT} THEN '{c}'" for c in "ACGNT") + f" END AS correct FROM ({context_sql('reads', k, 'a')}) WHERE ({STRONG}) = 1 AND {any_sql(f'(a_{NAMES[c]} > 0 AND a_{NAMES[c]} < {SUPPORT})' for c in 'ACGNT')}" for k in (14, 16, 18)
-) + ")"
-ERRORS = "errs AS (SELECT seq_id, position, wrong, min_by(correct, k) AS correct, min(k) AS shortest_witness, max(k) AS longest_witness FROM (" + " UNION ALL ".join(
-    f"SELECT w.seq_id, w.pos - 1 AS position, w.prev AS wrong, m.correct, m.k FROM {words_sql('reads', k)} w JOIN marks m ON m.word = w.word AND m.k = {k} WHERE w.prev <> '$' AND w.prev <> m.correct" for k in (14, 16, 18)
-) + ") GROUP BY 1, 2, 3)"
+#: The least support of a right letter, and the shortest witness; the longest ones are as long as a read.
+SUPPORT, SHORTEST = 4, 14
+
+
+def strands(spark, d):
+    """All reads and their reverse complements."""
+    return X.once(spark, d, "strands", lambda: S.with_reverse_complements(X.reads(spark, d)))
+
+
+def marked(spark, d):
+    return X.once(spark, d, "marked", lambda: E.witnesses(strands(spark, d), SHORTEST, LENGTH, SUPPORT))
 
 
 @query("cor_1")
@@ -801,47 +781,34 @@ def cor_2(spark, d):
     return spark.createDataFrame([(k, e.support(max(e.specific_length(), k + 1))) for k in range(2, 40)], "k int, support int")
 
 
-@query("cor_3", sql("SELECT k, word, correct FROM marks", MARKS))
+@query("cor_3")
 def cor_3(spark, d):
-    r = X.reads(spark, d)
-    rows = [E.suspicious(C.contexts(r, k, "a"), SUPPORT).select(F.lit(k).alias("k"), "word", "correct") for k in (14, 16, 18)]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
-
-
-def found_errors(spark, d):
-    return E.errors(X.reads(spark, d), [14, 16, 18], SUPPORT)
+    return marked(spark, d).select("k", "word", "correct").distinct()
 
 
-@query("cor_5", sql("SELECT * FROM errs", MARKS, ERRORS))
+@query("cor_5")
 def cor_5(spark, d):
-    return found_errors(spark, d)
+    return E.errors(marked(spark, d))
 
 
 @query("cor_4")
 def cor_4(spark, d):
-    return E.correctors(found_errors(spark, d), X.reads(spark, d), SUPPORT, 6)
-
-
-FIXES = "fixes AS (SELECT e.seq_id, position, shortest_witness, longest_witness, correct || substr(bases, (1 + position % 5)::INT, 3) AS corrector FROM errs e JOIN reads USING (seq_id))"
-MAPPED = f"mapped AS (SELECT CASE WHEN t THEN seq_id - {HALF} ELSE seq_id END AS seq_id, (CASE WHEN t THEN {LENGTH - 1} - position ELSE position END)::INT AS position, t::INT AS reverse_strand, CASE WHEN t THEN translate(corrector, 'ACGT', 'TGCA') ELSE reverse(corrector) END AS corrector, (CASE WHEN t THEN {LENGTH - 1} - position ELSE position - length(corrector) + 1 END)::INT AS corrector_start, shortest_witness, longest_witness FROM (SELECT *, seq_id >= {HALF} AS t FROM fixes))"
+    return X.once(spark, d, "correctors", lambda: E.correctors(cor_5(spark, d), marked(spark, d), strands(spark, d), SUPPORT, LENGTH))
 
 
 def mapped(spark, d):
-    """Errors with made correctors of four letters, reads of the collection's second half taken as reverse complements."""
-    rows = found_errors(spark, d).join(X.reads(spark, d), "seq_id")
-    fixes = rows.select("seq_id", "position", "shortest_witness", "longest_witness", F.concat("correct", F.col("bases").substr((F.col("position") % 5 + 1).cast("int"), F.lit(3))).alias("corrector"))
-    return E.mapped_back(fixes.crossJoin(half(spark, d)), F.col("half"), LENGTH)
+    """The corrections told of the reads themselves."""
+    size = strands(spark, d).select("seq_id", F.length("bases").alias("size"))
+    first = X.reads(spark, d).agg((F.max("seq_id") + 1).alias("first"))  # of the reverse complements
+    return E.mapped_back(cor_4(spark, d).join(size, "seq_id").crossJoin(first), F.col("first"), F.col("size"))
 
 
-@query("cor_6", sql("SELECT * FROM mapped", MARKS, ERRORS, FIXES, MAPPED))
+@query("cor_6")
 def cor_6(spark, d):
     return mapped(spark, d)
 
 
-SQL["src_18"] = sql("SELECT * FROM mapped", MARKS, ERRORS, FIXES, MAPPED)
-
-
-@query("cor_7", sql("SELECT * FROM mapped ORDER BY seq_id, position, corrector_start, corrector", MARKS, ERRORS, FIXES, MAPPED))
+@query("cor_7")
 def cor_7(spark, d):
     return E.in_file_order(mapped(spark, d))
 
@@ -856,15 +823,12 @@ def cor_9(spark, d):
     return E.applied(X.reads(spark, d), mapped(spark, d), "smith-waterman")
 
 
-FIRST = "firsts AS (SELECT seq_id, min({'p': position, 's': corrector_start, 'c': corrector}) AS x FROM mapped GROUP BY 1)"
-
-
-@query("cor_10", sql("SELECT seq_id, CASE WHEN x IS NULL THEN bases ELSE substr(bases, 1, greatest(x.s, 0)) || x.c END AS bases FROM reads LEFT JOIN firsts USING (seq_id)", MARKS, ERRORS, FIXES, MAPPED, FIRST))
+@query("cor_10")
 def cor_10(spark, d):
     return E.stitched(X.reads(spark, d), mapped(spark, d))
 
 
-@query("cor_11", sql("SELECT seq_id, coalesce(n, 0) AS n FROM reads LEFT JOIN (SELECT seq_id, count(*) AS n FROM mapped GROUP BY 1) USING (seq_id)", MARKS, ERRORS, FIXES, MAPPED))
+@query("cor_11")
 def cor_11(spark, d):
     """Reads and their corrections side by side; reads without any pass through."""
     return X.reads(spark, d).join(mapped(spark, d).groupBy("seq_id").agg(F.count("*").alias("n")), "seq_id", "left").select("seq_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -137,9 +137,10 @@ def test_errors_are_found_and_mended(spark):
     wrong = "".join(bad)
     strings[30] = wrong
     r = reads(spark, strings)
-    found = correct.errors(r, [8, 10], 3)
+    marked = correct.witnesses(r, 8, 10, 3)
+    found = correct.errors(marked)
     assert {(x.seq_id, x.position, x.correct) for x in found.collect()} == {(30, 10, genome[70])}
-    fixes = correct.mapped_back(correct.correctors(found, r, 3, 4), 1000, 40)
+    fixes = correct.mapped_back(correct.correctors(found, marked, r, 3, 4), 1000, 40)
     row = fixes.first().asDict()
     assert row["corrector"] == genome[67:71] and row["corrector_start"] == 7
     mended = {x.seq_id: x.bases for x in correct.applied(r.selectExpr("*", "repeat('I', 40) as quals"), fixes).collect()}
