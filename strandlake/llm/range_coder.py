@@ -5,15 +5,16 @@ over the block's one model, so that a step codes one id in every stripe of every
 arrays). The model mixes three predictions of the next id. The order-2 and order-1 contexts each remember
 the id that followed them last, with a confidence; how often guesses of that confidence held so far gives their share of
 the range. The rest of the range goes to the order-0 frequencies of the ids seen so far, with an escape to all ids.
-Contexts and hit rates learn after every SEGMENT steps, frequencies at fixed places. The coders are carry-less: 64-bit low
-and range, 16-bit words out. A block's bytes are the lengths of its stripes in words (u32 each), then the words.
+Contexts and hit rates learn after every SEGMENT steps, frequencies at fixed places. The coders have a 64-bit low end and
+range and write 16-bit words; a carry goes into the words already written. A block's bytes are the lengths of its stripes
+in words (u32 each), then the words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-STRIPES = 32
+STRIPES = 64
 #: Blocks side by side.
 LANES = 64
 SLOTS = 1 << 11
@@ -24,14 +25,15 @@ QUANTA = 1 << QUANTA_BITS
 RANKS = QUANTA // 2
 LEVEL_BITS = 3
 LEVELS = 1 << LEVEL_BITS
-SEGMENT = 16
+SEGMENT = 8
 #: Steps at which the frequencies are taken anew.
 REFRESH = (16, 64, 256)
 #: The escape has at least LEAST quanta, and a quantum at least 2 ** (TOTAL_BITS - QUANTA_BITS - 10) units: enough for so many ids.
 LEAST = 64
 MOST_IDS = LEAST << TOTAL_BITS - QUANTA_BITS - 10
 U = np.uint64
-TOP, LOW_MASK, FLOOR = U(1 << 48), U((1 << 40) - 1), U(1 << 40)
+#: A range is at least TOP between steps, so a step takes three words at most.
+TOP = U(1 << 48)
 SHIFT16, SHIFT48, TOTAL_SHIFT = U(16), U(48), U(TOTAL_BITS)
 #: Hit rates to begin with, by confidence, as hits in 32 guesses.
 PRIOR = (1, 8, 14, 18, 22, 25, 27, 29)
@@ -48,13 +50,13 @@ class Model:
         if vocabulary > MOST_IDS:
             raise ValueError(f"more than {MOST_IDS} different ids")
         self.v, self.blocks = vocabulary, blocks
-        # A context's guess, and its confidence in the low bits.
-        self.guess = [np.full(blocks * SLOTS, vocabulary << LEVEL_BITS, np.int32) for _ in range(2)]
-        self.tried = [np.full(blocks * LEVELS, 32) for _ in range(2)]
-        self.held = [np.tile(np.array(PRIOR), blocks) for _ in range(2)]
-        self.share = [np.zeros(blocks * LEVELS, np.int64) for _ in range(2)]
+        # Of the order-2 contexts, then of order 1: a context's guess, and its confidence in the low bits.
+        self.guess = np.full(2 * blocks * SLOTS, vocabulary << LEVEL_BITS, np.int32)
+        self.tried = np.full(2 * blocks * LEVELS, 32)
+        self.held = np.tile(np.array(PRIOR), 2 * blocks)
         self.block = block
-        self.base, self.level = block * SLOTS, block * LEVELS
+        both = np.stack([block, block + blocks])
+        self.base, self.level = both * SLOTS, both * LEVELS
         self.slot_row, self.rank_row, self.id_row = block * QUANTA, block * (RANKS + 2), block * vocabulary
         # Order 0: rank 0 is the escape; ranks of seen ids; where each rank's quanta begin; the rank of each quantum.
         self.rank_of_id = np.zeros(blocks * vocabulary, np.uint16)
@@ -67,38 +69,45 @@ class Model:
 
     def weigh(self) -> None:
         """Shares of the range by level: at most 31/32 of the rest, in 2**-16 parts."""
-        for k in range(2):
-            self.share[k] = (self.held[k] << 16) // self.tried[k] * 31 >> 5
+        self.share = ((self.held << 16) // self.tried * 31 >> 5).astype(U)
 
     def look(self, m: int, p1: np.ndarray, p2: np.ndarray):
-        """Slots, levels and guesses of both contexts in the first m lanes, the ends of their shares, and the unit of order 0; lanes stand last."""
+        """Slots, what they hold, levels and guesses of both contexts in the first m lanes, and the ends of their shares; lanes stand last."""
+        base, row = (a[:, :m].reshape(2, *[1] * (p1.ndim - 1), m) for a in (self.base, self.level))
+        # The products may wrap: only low bits are taken.
         h = p1 * 40503
-        base, row = self.base[:m], self.level[:m]
-        s1 = base + ((h >> 4) & (SLOTS - 1))
-        s2 = base + ((h + p2 * 60493 >> 5) & (SLOTS - 1))
-        c2, c1 = self.guess[1][s2], self.guess[0][s1]
-        l2, l1 = row + (c2 & (LEVELS - 1)), row + (c1 & (LEVELS - 1))
-        g2, g1 = c2 >> LEVEL_BITS, c1 >> LEVEL_BITS
-        w2 = self.share[1][l2] << TOTAL_BITS - 16
-        both = w2 + (TOTAL - w2 >> 16) * self.share[0][l1] * (g1 != g2)
-        return (s2, s1, l2, l1, g2, g1), w2, both, TOTAL - both >> QUANTA_BITS
+        slot = np.empty((2, *h.shape), np.int64)
+        np.right_shift(h, 4, out=slot[1])
+        h += p2 * 60493
+        np.right_shift(h, 5, out=slot[0])
+        slot &= SLOTS - 1
+        slot += base
+        c = self.guess[slot]
+        level, g = (c & LEVELS - 1) + row, c >> LEVEL_BITS
+        share = self.share[level]
+        w2 = share[0] << U(TOTAL_BITS - 16)
+        both = (TOTAL - w2 >> SHIFT16) * share[1]
+        both *= g[0] != g[1]
+        both += w2
+        return (slot, c, level, g), w2, both
 
     def learn(self, where, ids: np.ndarray) -> None:
         """From the ids of a segment; where a slot occurs several times in it, the last one stays."""
-        s2, s1, l2, l1, g2, g1 = where
-        n = self.blocks * LEVELS
-        for k, slot, level, guess in ((1, s2, l2, g2), (0, s1, l1, g1)):
-            hit = guess == ids
-            self.tried[k] += np.bincount(level.ravel(), minlength=n)
-            self.held[k] += np.bincount(level[hit], minlength=n)
-            sure = level & (LEVELS - 1)
-            after = np.where(hit, np.minimum(sure + 1, LEVELS - 1), sure >> 1)
-            self.guess[k][slot] = np.where(hit | (sure > 1), guess, ids) << LEVEL_BITS | after
+        slot, c, level, g = where
+        hit = g == ids
+        level <<= 1
+        level |= hit
+        counts = np.bincount(level.ravel(), minlength=2 * len(self.tried)).reshape(-1, 2)
+        self.tried += counts.sum(1)
+        self.held += counts[:, 1]
+        sure = c & LEVELS - 1
+        self.guess[slot] = np.where(hit, c + (sure < LEVELS - 1), np.where(sure > 1, c - (sure + 1 >> 1), ids << LEVEL_BITS))
         self.weigh()
 
     def refresh(self, seen: np.ndarray) -> None:
         """Order-0 frequencies from all ids so far (step by lane) of every block that goes on, all blocks at once."""
-        key, counts = np.unique((self.block[: seen.shape[1]] * self.v + seen).ravel(), return_counts=True)
+        # LANES * MOST_IDS is below 2**31.
+        key, counts = np.unique((self.block[: seen.shape[1]].astype(np.int32) * np.int32(self.v) + seen).ravel(), return_counts=True)
         block, ids = np.divmod(key, self.v)
         alive = np.unique(block)
         first = np.searchsorted(block, alive)
@@ -128,25 +137,11 @@ class Model:
         self.rank_of_quantum[alive] = np.repeat(ranks, np.insert(quanta, at, escape)).reshape(len(alive), QUANTA)
 
 
-def settled(low: np.ndarray, size: np.ndarray, move) -> None:
-    """Moves settled leading words out of every lane, in place."""
-    at = (size < TOP).nonzero()[0]
-    while len(at):
-        lo, sz = low[at], size[at]
-        same = (lo ^ (lo + sz)) < TOP
-        thin = sz < FLOOR
-        need = same | thin
-        thin &= ~same
-        if thin.any():
-            sz[thin] = (~lo[thin] + U(1)) & LOW_MASK
-        if not need.all():
-            at, lo, sz = at[need], lo[need], sz[need]
-        if len(at):
-            move(at, lo >> SHIFT48)
-            sz <<= SHIFT16
-            low[at] = lo << SHIFT16
-            size[at] = sz
-            at = at[sz < TOP]
+def carry(words: np.ndarray, place: np.ndarray) -> None:
+    """Adds one to the words at different lanes' places, and to the words before those that were at their most."""
+    while len(place):
+        words[place] += 1
+        place = place[words[place] == 0] - 1
 
 
 def batches(sizes: list[int]) -> list[list[int]]:
@@ -177,52 +172,70 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     block, first, length = stripes(np.array([len(b) for b in blocks]))
     n = len(block)
     steps = -(-int(length[0]) // SEGMENT) * SEGMENT
-    ids = np.zeros((steps + 2, n), np.int64)  # two ids of context stand before the first
+    rows = np.zeros((n, steps), np.int32)
     for k, (b, a, size) in enumerate(zip(block.tolist(), first.tolist(), length.tolist(), strict=True)):
-        ids[2 : size + 2, k] = blocks[b][a : a + size]
+        rows[k, :size] = blocks[b][a : a + size]
+    ids = np.zeros((steps + 2, n), np.int32)  # two ids of context stand before the first
+    ids[2:] = rows.T
     model = Model(block, len(blocks), vocabulary)
-    low, size = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    low, size = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
     row = 3 * steps + 16
     words, used = np.zeros(n * row, np.uint16), np.arange(n) * row
-
-    def move(at: np.ndarray, word: np.ndarray) -> None:
-        place = used[at]
-        words[place] = word
-        used[at] = place + 1
-
-    begin = model.begin.reshape(-1)
+    begin, kinds = model.begin.reshape(-1), U(vocabulary)
     for t in range(0, steps, SEGMENT):
         m = int((length > t).sum())
         if refreshes(t):
             model.refresh(ids[2 : t + 2, :m])
         x = ids[t + 2 : t + SEGMENT + 2, :m]
-        where, w2, both, unit = model.look(m, ids[t + 1 : t + SEGMENT + 1, :m], ids[t : t + SEGMENT, :m])
-        g2, g1 = where[4:]
-        rank = model.rank_of_id[model.id_row[:m] + x].astype(np.int64)
+        where, w2, both = model.look(m, ids[t + 1 : t + SEGMENT + 1, :m], ids[t : t + SEGMENT, :m])
+        g2, g1 = where[3]
+        unit = TOTAL - both >> U(QUANTA_BITS)
+        rank = model.rank_of_id[model.id_row[:m] + x]
         cell = model.rank_row[:m] + rank
-        lower = begin[cell].astype(np.int64)
-        start = both + lower * unit
-        span = (begin[cell + 1] - lower) * unit
+        lower = begin[cell]
+        cell += 1
+        start, span = lower.astype(U), (begin[cell] - lower).astype(U)
+        start *= unit
+        start += both
+        span *= unit
         escaped = np.flatnonzero(rank == 0)
-        each = span.ravel()[escaped] // vocabulary
+        each = span.ravel()[escaped] // kinds
         span.ravel()[escaped] = each
-        start.ravel()[escaped] += x.ravel()[escaped] * each
+        start.ravel()[escaped] += x.ravel()[escaped].astype(U) * each
         hit = g1 == x
         np.copyto(start, w2, where=hit)
         np.copyto(span, both - w2, where=hit)
         hit = g2 == x
         np.copyto(start, 0, where=hit)
         np.copyto(span, w2, where=hit)
-        start, span = start.view(np.uint64), span.view(np.uint64)
-        lo, sz = low[:m], size[:m]
+        lo, sz, to = low[:m], size[:m], used[:m]
         for s in range(SEGMENT):
             r = sz >> TOTAL_SHIFT
-            lo += r * start[s]
             np.multiply(r, span[s], out=sz)
-            settled(lo, sz, move)
+            r *= start[s]
+            lo += r
+            over = lo < r
+            if over.any():
+                carry(words, to[over] - 1)
+            # Every lane writes a word, and those whose range is small keep it. Few need more than one.
+            words[to] = lo >> SHIFT48
+            small = sz < TOP
+            to += small
+            shift = small * SHIFT16
+            lo <<= shift
+            sz <<= shift
+            at = (sz < TOP).nonzero()[0]
+            while len(at):
+                place = to[at]
+                words[place] = lo[at] >> SHIFT48
+                to[at] = place + 1
+                lo[at] <<= SHIFT16
+                sz[at] <<= SHIFT16
+                at = at[sz[at] < TOP]
         model.learn(where, x)
     for _ in range(4):
-        move(np.arange(n), low >> SHIFT48)
+        words[used] = low >> SHIFT48
+        used += 1
         low <<= SHIFT16
     used -= np.arange(n) * row
     place = np.empty(n, np.int64)
@@ -263,57 +276,73 @@ def _decode(coded: list[bytes], sizes: np.ndarray, vocabulary: int) -> list[np.n
             words[k * row : k * row + u] = flat[a : a + u]
             a += u
     model = Model(block, len(coded), vocabulary)
-    low, size, code = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64)
+    # The coder's low end is taken off the code.
+    size, code = np.full(n, (1 << 64) - 1, U), np.zeros(n, U)
     used = np.arange(n) * row
-    last = used + row - 1
     for _ in range(4):
         code = code << SHIFT16 | words[used]
         used += 1
-
-    def take(at: np.ndarray, _: np.ndarray) -> None:
-        place = used[at]
-        code[at] = code[at] << SHIFT16 | words[np.minimum(place, last[at])]
-        used[at] = place + 1
-
-    ids = np.zeros((steps + 2, n), np.int64)
+    ids = np.zeros((steps + 2, n), np.int32)
     quantum, id_of, begin = model.rank_of_quantum.reshape(-1), model.id_of_rank.reshape(-1), model.begin.reshape(-1)
+    kinds = U(vocabulary)
     for t in range(0, steps, SEGMENT):
         m = int((length > t).sum())
         if refreshes(t):
             model.refresh(ids[2 : t + 2, :m])
-        lo, sz, co = low[:m], size[:m], code[:m]
-        seen = []
-        for s in range(t + 2, t + SEGMENT + 2):
-            where, w2, both, unit = model.look(m, ids[s - 1, :m], ids[s - 2, :m])
-            seen.append(where)
+        sz, co, to = size[:m], code[:m], used[:m]
+        seen = tuple(np.empty((2, SEGMENT, m), kind) for kind in (np.int64, np.int32, np.int64, np.int32))
+        for s in range(SEGMENT):
+            where, w2, both = model.look(m, ids[t + s + 1, :m], ids[t + s, :m])
+            for all_, one in zip(seen, where, strict=True):
+                all_[:, s] = one
+            g2, g1 = where[3]
             r = sz >> TOTAL_SHIFT
-            value = ((co - lo) // r).view(np.int64)
-            from2 = value < w2
-            x, start, span = ids[s, :m], w2.copy(), both - w2
-            np.copyto(x, where[5])
-            np.copyto(x, where[4], where=from2)
-            np.copyto(start, 0, where=from2)
-            np.copyto(span, w2, where=from2)
-            at = (value >= both).nonzero()[0]
+            end2, end1 = r * w2, r * both
+            at = (co >= end1).nonzero()[0]
+            rest = co[at] - end1[at]
+            after2 = co >= end2
+            x = ids[t + s + 2, :m]
+            x[:] = np.where(after2, g1, g2)
+            np.subtract(end1, end2, out=end1)
+            sz[:] = np.where(after2, end1, end2)
+            end2 *= after2
+            co -= end2
             if len(at):
-                u, from0 = unit[at], both[at]
-                rest = value[at] - from0
-                rank = quantum[model.slot_row[at] + np.minimum(rest // u, QUANTA - 1)].astype(np.int64)
+                scale = r[at]
+                unit = TOTAL - both[at] >> U(QUANTA_BITS)
+                u = scale * unit
+                rank = quantum[model.slot_row[at] + np.minimum(rest // u, QUANTA - 1).view(np.int64)]
                 cell = model.rank_row[at] + rank
-                lower = begin[cell].astype(np.int64)
-                y, from_, wide = id_of[cell].astype(np.int64), from0 + lower * u, (begin[cell + 1] - lower) * u
+                lower = begin[cell]
+                y = id_of[cell]
+                cell += 1
+                wide = (begin[cell] - lower).astype(U)
+                rest -= lower.astype(U) * u
                 out = (rank == 0).nonzero()[0]
+                u *= wide
                 if len(out):
-                    each = wide[out] // vocabulary
-                    y[out] = np.minimum(rest[out] // each, vocabulary - 1)
-                    from_[out] += y[out] * each
-                    wide[out] = each
-                x[at], start[at], span[at] = y, from_, wide
-            lo += r * start.view(np.uint64)
-            np.multiply(r, span.view(np.uint64), out=sz)
-            settled(lo, sz, take)
-        model.learn(tuple(np.stack(p) for p in zip(*seen, strict=True)), ids[t + 2 : t + SEGMENT + 2, :m])
+                    each = wide[out] * unit[out] // kinds * scale[out]
+                    found = np.minimum(rest[out] // each, vocabulary - 1)
+                    y[out] = found
+                    rest[out] -= found * each
+                    u[out] = each
+                x[at], co[at], sz[at] = y, rest, u
+            small = sz < TOP
+            shift = small * SHIFT16
+            co <<= shift
+            co |= words[to] * small
+            sz <<= shift
+            to += small
+            at = (sz < TOP).nonzero()[0]
+            while len(at):
+                place = to[at]
+                co[at] = co[at] << SHIFT16 | words[place]
+                to[at] = place + 1
+                sz[at] <<= SHIFT16
+                at = at[sz[at] < TOP]
+        model.learn(seen, ids[t + 2 : t + SEGMENT + 2, :m])
     out = [np.empty(k, np.int64) for k in sizes.tolist()]
+    rows = np.ascontiguousarray(ids[2:].T)
     for k, (b, a, size_) in enumerate(zip(block.tolist(), first.tolist(), length.tolist(), strict=True)):
-        out[b][a : a + size_] = ids[2 : size_ + 2, k]
+        out[b][a : a + size_] = rows[k, :size_]
     return out

@@ -18,7 +18,7 @@ text is tokenised whole. The tokenizer's path is a parameter; the file must exis
 from __future__ import annotations
 
 import functools
-import re
+import json
 import struct
 import unicodedata
 import uuid
@@ -28,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, range_coder
 
-BLOCK = 16384
+BLOCK = 32768
 HEAD = struct.Struct("<4sB3xIIIII")
 PIECE = struct.Struct("<QqIB")
 BEGINS, ENDS, NULL = 1, 2, 4
@@ -44,12 +45,31 @@ KEPT_WORDS = 500_000
 SPACES = str.maketrans("\t\n\r", "   ")
 #: What the tokenizer puts at the end of each part's last id.
 END_OF_PART = "</w>"
-#: Letters, numbers and white space of Latin text: where the library's classes and ours are surely the same.
+#: What a tokenizer does before its model; parts come out of it as they are, so the model alone may take them.
+BEFORE_MODEL = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: Latin text: where the library's classes of signs, and its lower case, are surely the same as ours.
 LATIN = [chr(k) for k in range(0x180)]
-_kind = lambda k: "".join(map(re.escape, (c for c in LATIN if unicodedata.category(c)[0] == k)))
-WHITE = "\t-\r \x85\xa0"
-NOT_LATIN = re.compile(r"[^\x00-\u017f]")
-PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_kind('L')}]+|[{_kind('N')}]|[^{WHITE}{_kind('L')}{_kind('N')}]+")
+WHITE = "\t\n\v\f\r \x85\xa0"
+GAP, LETTER, NUMBER, OTHER = range(4)
+KIND = np.array([GAP if c in WHITE else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in LATIN], np.uint8)
+#: Lower case has as many bytes, but for this letter's, which leaves Latin.
+DOTTED = "\u0130"
+LOWER = np.array([ord(c if c == DOTTED else c.lower()) for c in LATIN], np.uint16)
+KIND_OF_BYTE, LOWER_BYTE = np.append(KIND[:128], np.zeros(128, np.uint8)), np.append(LOWER[:128], np.arange(128, 256)).astype(np.uint8)
+#: UTF-8 begins a sign of two bytes with one from the first on; the second is past Latin.
+TWO_BYTES, PAST_LATIN = 0xC2, 0xC6
+#: A part's key: its bytes and its length.
+KEY_BYTES = 23
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Bytes of text that are tokenised at once, but for one text.
+TEXT_BYTES = 1 << 21
 BLOCKS_SCHEMA = "shard int, block int, first bigint, n_ids int, payload binary"
 
 
@@ -63,6 +83,96 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latin UTF-8 as bytes of lower-case parts on end, the place of each part in `data`, and its length.
+
+    Parts are what the tokenizer treats one by one: 's 't 're 've 'm 'll 'd, runs of letters, single numbers, runs of
+    other signs but white space.
+    """
+    u = LOWER_BYTE[np.frombuffer(data + b"   ", np.uint8)]
+    kind = KIND_OF_BYTE[u]
+    lead = np.flatnonzero(u >= TWO_BYTES)
+    if len(lead):
+        low = LOWER[(u[lead] & 31).astype(np.uint16) << 6 | u[lead + 1] & 63]
+        u[lead], u[lead + 1] = low >> 6 | 0xC0, low & 63 | 0x80
+        kind[lead] = kind[lead + 1] = KIND[low]
+    edge = np.empty(len(u), bool)
+    edge[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+    edge |= kind == NUMBER
+    edge[lead + 1] = False
+    # A sign ' that begins a run takes one or two letters with it; what letters follow are a part of their own.
+    at = np.flatnonzero(u == ord("'"))
+    at = at[edge[at]]
+    one, two = u[at + 1], u[at + 2]
+    short = at[np.isin(one, np.frombuffer(b"stmd", np.uint8))]
+    long = at[((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))]
+    for some, size in ((short, 2), (long, 3)):
+        edge[some + 1] = False
+        edge[some + size] |= kind[some + size] == LETTER
+    first = np.flatnonzero(edge)
+    size = np.diff(first, append=len(u))
+    full = kind[first] != GAP
+    return u[kind != GAP], first[full], size[full]
+
+
+def keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Three numbers for each word, which differ between words of up to KEY_BYTES, and the words' lengths in bytes."""
+    _, edges, data = words.buffers()
+    edges = np.frombuffer(edges, np.int64)[words.offset :][: len(words) + 1]
+    data = np.concatenate([np.frombuffer(data or b"", np.uint8)[: edges[-1]], np.zeros(3 * 8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    size = np.diff(edges)
+    key = np.stack([eight[np.minimum(edges[:-1] + k, len(eight) - 1)] & LOW_BYTES[np.clip(size - k, 0, 8)] for k in (0, 8, 16)])
+    # The last byte is the length, so that signs of code 0 count.
+    key[2] = key[2] & LOW_BYTES[7] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    return key, size
+
+
+class Parts:
+    """Parts of words and their ids. What is found beyond KEPT_WORDS, and parts beyond KEY_BYTES, are kept for one call only."""
+
+    def __init__(self) -> None:
+        # All ids on end, where each part's begin, and its key.
+        self.ids, self.edge, self.key = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros((3, 0), np.uint64)
+        # Hashes of keys in their order, and the parts they stand for. Of parts with equal hashes one is found.
+        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, words: pa.Array, found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of several different parts begin and end in them; `found` gives new ones' ids on end and how many each has."""
+        key, length = keys(words)
+        h = np.bitwise_xor.reduce(key * MIX[:, None])
+        h = (h ^ h >> np.uint64(32)) * MIX[0]
+        place, known = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        if len(self.hash):
+            place = self.place[np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)]
+            known = (self.key[:, place] == key).all(0) & (length <= KEY_BYTES)
+        ids, edge = self.ids, self.edge
+        new = np.flatnonzero(~known)
+        if len(new):
+            more, sizes = found(words.take(pa.array(new)).to_pylist())
+            place[new] = np.arange(len(new)) + len(edge) - 1
+            ids, edge = np.concatenate([ids, more]), np.concatenate([edge, edge[-1] + np.cumsum(sizes)])
+            if len(self.edge) <= KEPT_WORDS:
+                self.ids, self.edge, self.key = ids, edge, np.concatenate([self.key, key[:, new]], axis=1)
+                new = new[length[new] <= KEY_BYTES]
+                new = new[np.argsort(h[new])]
+                at = np.searchsorted(self.hash, h[new])
+                self.hash, self.place = np.insert(self.hash, at, h[new]), np.insert(self.place, at, place[new])
+        return ids, edge[place], edge[place + 1]
+
+
+def model_alone(tk):
+    """A tokenizer for parts with a space between them: the model without what comes before, if that is known, or else the tokenizer itself."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    if tuple(json.loads(x.__getstate__()) if x else None for x in (tk.normalizer, tk.pre_tokenizer)) != BEFORE_MODEL:
+        return tk
+    alone = Tokenizer(tk.model)
+    alone.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return alone
+
+
 class Kept(dict):
     """Words and their ids' bytes. What is found beyond KEPT_WORDS is kept for one call only."""
 
@@ -80,55 +190,64 @@ class Encoder:
     """Ids of texts, by way of the ids of their words.
 
     Where `by_words`, the tokenizer drops white space and never joins over it (a vocabulary with word ends), so a text's
-    ids are those of its words on end. Latin texts are cut further, in lower case, into the parts (letters, single
-    numbers, other signs) that such a tokenizer treats one by one; they repeat more often. Other tokenizers take whole
-    texts.
+    ids are those of its words on end. Latin texts are cut further, in lower case and many texts at once, into the parts
+    (letters, single numbers, other signs) that such a tokenizer treats one by one; they repeat more often. Other
+    tokenizers take whole texts.
     """
 
     def __init__(self, path: str, by_words: bool) -> None:
         self.tk = tokenizer(path)
         self.by_words = by_words
-        self.words, self.pieces = Kept({"": b""}), Kept()
+        self.words, self.pieces = Kept({"": b""}), Parts()
         ends = [i for t, i in self.tk.get_vocab().items() if t.endswith(END_OF_PART)]
         self.ends = np.zeros(max([self.tk.get_vocab_size(), *ends]) + 1, bool)
         self.ends[ends] = True
+        self.on_parts = model_alone(self.tk)
         # The parts are those of this kind of tokenizer: tried on a text with every sign.
-        sample = "".join(c for c in LATIN if not NOT_LATIN.search(c.lower())) + " it's I'd we'll they're you've I'm don't ab12cd, e-f ''x"
-        tried = PARTS.findall(sample.lower())
-        ids = dict(zip(distinct := list(dict.fromkeys(tried)), self.apart(distinct), strict=True))
-        self.latin = by_words and b"".join(map(ids.__getitem__, tried)) == np.array(self.tk.encode(sample, add_special_tokens=False).ids, np.uint32).tobytes()
+        sample = "".join(LATIN).replace(DOTTED, "") + " it's I'd we'll they're you've I'm don't ab12cd, e-f ''x"
+        self.latin = by_words and self.by_parts([sample.encode()])[0].tolist() == self.tk.encode(sample, add_special_tokens=False).ids
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [np.array(e.ids, np.uint32) for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
-        latin = [self.parts(t) for t in texts]
-        at = self.pieces.fill(set().union(*filter(None, latin)), self.in_line).__getitem__
+        raw = [t.encode() for t in texts]
+        latin = [self.latin and is_latin(r) for r in raw]
+        out = iter(self.by_parts([r for r, yes in zip(raw, latin, strict=True) if yes]))
         # A text with a special token's sign goes as it is, since such a token may hold what parts words.
-        other = {k: [t] if "<|" in t else t.translate(SPACES).split(" ") for k, (t, parts) in enumerate(zip(texts, latin, strict=True)) if parts is None}
+        other = {k: [t] if "<|" in t else t.translate(SPACES).split(" ") for k, (t, yes) in enumerate(zip(texts, latin, strict=True)) if not yes}
         whole = self.words.fill(set().union(*other.values()), self.apart).__getitem__
-        return [np.frombuffer(b"".join(map(whole, other[k]) if parts is None else map(at, parts)), np.uint32) for k, parts in enumerate(latin)]
-
-    def parts(self, text: str) -> list[str] | None:
-        """A Latin text's parts."""
-        low = text.lower()
-        # NFC joins nothing in a text without combining marks, which are not Latin in the sense above.
-        if self.latin and "<|" not in text and (text.isascii() or not NOT_LATIN.search(text) and not NOT_LATIN.search(low)):
-            return PARTS.findall(low)
-        return None
-
-    def in_line(self, parts: list[str]) -> list[bytes]:
-        """Each of several different parts' ids, by one call on all parts; a part's last id ends it."""
-        out: list[bytes] = []
-        for a in range(0, len(parts), 4096):
-            some = parts[a : a + 4096]
-            got = np.array(self.tk.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        return [next(out) if yes else np.frombuffer(b"".join(map(whole, other[k])), np.uint32) for k, yes in enumerate(latin)]
+
+    def by_parts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of Latin texts, by way of those of their different parts."""
+        data, first, size = cut(b" ".join(texts))
+        edges = np.concatenate([[0], np.cumsum(size)])
+        parts = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        parts = parts.dictionary_encode()
+        which = parts.indices.to_numpy()
+        ids, begin, end = self.pieces.find(parts.dictionary, self.in_line)
+        size = (end - begin)[which]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(edges[-1])
+        place += np.repeat(begin[which] - edges[:-1], size)
+        ids = ids[place]
+        # A text's parts begin before its end.
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return np.split(ids, edges[np.searchsorted(first, ends)][:-1]) if texts else []
+
+    def in_line(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Several different parts' ids on end, and how many each has, by one call on lines of parts; a part's last id ends it."""
+        lines = [parts[a : a + 64] for a in range(0, len(parts), 64)]
+        ids, sizes = [], []
+        for some, e in zip(lines, self.on_parts.encode_batch_fast([" ".join(some) for some in lines], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[got]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(got):
-                raw, edges = got.tobytes(), [0, *(4 * cuts).tolist()]
-                out += [raw[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            else:
-                out += self.apart(some)
-        return out
+            if len(cuts) != len(some) or cuts[-1] != len(got):
+                each = self.apart(some)
+                got, cuts = np.frombuffer(b"".join(each), np.uint32), np.cumsum([len(x) // 4 for x in each])
+            ids.append(got)
+            sizes.append(np.diff(cuts, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def apart(self, words: list[str]) -> list[bytes]:
         """Each of several different words' ids, by one call on all words with a mark between them; words that hold the mark go by themselves."""
@@ -150,6 +269,13 @@ class Encoder:
         return [out[w] for w in words]
 
 
+def is_latin(text: bytes) -> bool:
+    """Whether a text may be cut into parts. NFC joins nothing without combining marks, which are not Latin in this sense."""
+    if b"<|" in text:
+        return False
+    return text.isascii() or np.frombuffer(text, np.uint8).max() < PAST_LATIN and DOTTED.encode() not in text
+
+
 @functools.cache
 def encoder(path: str, by_words: bool) -> Encoder:
     return Encoder(path, by_words)
@@ -160,7 +286,7 @@ def crc(ids: np.ndarray) -> int:
 
 
 def sealed(ids: np.ndarray, pieces: list[bytes], coded: bytes, vocabulary: int) -> bytes:
-    head = (b"SLTB", 2, vocabulary, len(ids), len(pieces), crc(ids))
+    head = (b"SLTB", 3, vocabulary, len(ids), len(pieces), crc(ids))
     rest = b"".join(pieces) + coded
     return HEAD.pack(*head, zlib.crc32(rest, zlib.crc32(HEAD.pack(*head, 0)))) + rest
 
@@ -210,6 +336,14 @@ class Writer:
             self.block += n
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, up to about TEXT_BYTES of text at a time."""
+    before = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def blocks(docs: DataFrame, path: str, by_words: bool = True, end_id: int = END_ID) -> DataFrame:
     """The table of blocks; write it with Spark's Parquet writer (`write`)."""
 
@@ -218,8 +352,7 @@ def blocks(docs: DataFrame, path: str, by_words: bool = True, end_id: int = END_
         writer = Writer(TaskContext.get().partitionId(), encode.tk.get_vocab_size())
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
+            for batch in portions(whole):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                     writer.add(doc_id, np.concatenate([ids, end]))
                 yield from writer.rows(all_of_them=False)
@@ -239,7 +372,7 @@ def opened(payloads: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int
     """Ids and pieces of each payload; a wrong magic, version, length or checksum raises ValueError."""
     heads = []
     for p in payloads:
-        if len(p) < HEAD.size or p[:4] != b"SLTB" or p[4] != 2:
+        if len(p) < HEAD.size or p[:4] != b"SLTB" or p[4] != 3:
             raise ValueError("not a block of token ids")
         *head, seal = HEAD.unpack_from(p)
         if zlib.crc32(memoryview(p)[HEAD.size :], zlib.crc32(p[: HEAD.size - 4] + bytes(4))) != seal:
@@ -266,8 +399,10 @@ def read(table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, range_coder.LANES):
-                batch = whole.slice(a, range_coder.LANES)
+            # Parts of equal size, since a few blocks take the time of many.
+            step = -(-whole.num_rows // max(1, -(-whole.num_rows // range_coder.LANES)))
+            for a in range(0, whole.num_rows, max(1, step)):
+                batch = whole.slice(a, step)
                 rows: dict[str, list] = {k: [] for k in ("shard", "ordinal", "doc_id", "at", "n", "whole", "crc", "ids")}
                 for (ids, pieces), shard, first in zip(opened(batch.column("payload").to_pylist()), batch.column("shard").to_pylist(), batch.column("first").to_pylist(), strict=True):
                     k = 0

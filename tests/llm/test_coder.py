@@ -1,9 +1,13 @@
+import random
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm import range_coder, suffix_dedup, token_output
+from strandlake.llm import queries, range_coder, suffix_dedup, token_output
 
 blocks = st.lists(st.lists(st.integers(0, 299), max_size=300), min_size=1, max_size=6)
 
@@ -84,3 +88,70 @@ def test_suffix_array_and_prefixes(text):
             n += 1
         want.append(min(n, 100))
     assert suffix_dedup.kasai(x, order, 100).tolist() == want
+
+
+def test_carries_go_through_full_words():
+    words = np.array([1, 0xFFFF, 0xFFFF, 7, 0, 8, 0xFFFF], np.uint16)
+    range_coder.carry(words, np.array([2, 4, 6]))
+    assert words.tolist() == [2, 0, 0, 7, 1, 9, 0]
+
+
+ODD = ["'s", "'re", "'ll", "'l", "'", "''s", "!'t", " ", "\t", "\x85", "\xa0", "\x1c", "\0", "a", "a\0", "tat", "É", "ß", "Ÿ", "ſ", "İ", "²", "¼", "51", ".", "!!", "x" * 23, "x" * 24, "é" * 30, "<|", "ƀ", "e\u0301", "日本"]
+
+
+@pytest.mark.parametrize("case", ["kept", "few kept", "equal hashes", "other beginnings"])
+def test_ids_of_odd_texts_equal_the_librarys(case, monkeypatch):
+    if case == "few kept":
+        monkeypatch.setattr(token_output, "KEPT_WORDS", 5)
+    if case == "equal hashes":
+        monkeypatch.setattr(token_output, "MIX", np.zeros(3, np.uint64))
+    if case == "other beginnings":
+        monkeypatch.setattr(token_output, "BEFORE_MODEL", ())
+    r = random.Random(5)
+    texts = ["".join(r.choices(ODD[: r.choice((11, 20, len(ODD)))], k=r.randrange(12))) for _ in range(1500)]
+    encode = token_output.Encoder(queries.vocabulary(), True)
+    assert encode.latin and (encode.on_parts is encode.tk) == (case == "other beginnings")
+    want = [e.ids for e in encode.tk.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 300):
+        assert [x.tolist() for x in encode(texts[a : a + 300])] == want[a : a + 300]
+    assert [x.tolist() for x in encode(["", " "])] == [[], []] and encode([]) == []
+
+
+def test_portions_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(token_output, "TEXT_BYTES", 10)
+    for sizes in ([], [0], [50], [3, 3, 3, 3, 50, 0, 0, 12, 1], [0, 0, 9, 1, 9, 1]):
+        texts = [c * n for c, n in zip("abcdefghi", sizes, strict=False)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        parts = [p.column("text").to_pylist() for p in token_output.portions(batch)]
+        assert sum(parts, []) == texts and all(len("".join(p[1:])) < 20 for p in parts)
+
+
+def test_an_id_costs_little():
+    """Tokenising, encoding and decoding, against the library's time for the same whole texts; made-up words, few of which are known."""
+    r = random.Random(3)
+    syllables = ["th", "ou", "re", "ti", "on", "an", "en", "ed", "sha", "ble"]
+    texts = [" ".join("".join(r.choices(syllables, k=r.choice((1, 1, 2, 3, 4, 5)))) for _ in range(400)) + "." for _ in range(3000)]
+
+    def seconds(f):
+        best = []
+        for _ in range(3):
+            began = time.process_time()
+            out = f()
+            best.append(time.process_time() - began)
+        return min(best), out
+
+    def ours():
+        encode = token_output.Encoder(queries.vocabulary(), True)
+        ids = np.concatenate(encode(texts))
+        blocks = [ids[a : a + token_output.BLOCK] for a in range(0, len(ids), token_output.BLOCK)]
+        coded = range_coder.encode(blocks, len(encode.ends))
+        back = range_coder.decode(coded, [len(b) for b in blocks], len(encode.ends))
+        assert (np.concatenate(back) == ids).all()
+        return ids
+
+    tk = token_output.tokenizer(queries.vocabulary())
+    theirs, want = seconds(lambda: [i for e in tk.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids])
+    took, ids = seconds(ours)
+    assert ids.tolist() == want
+    print(took, theirs, took / theirs)
+    assert took < 0.6 * theirs
