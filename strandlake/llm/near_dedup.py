@@ -17,7 +17,7 @@ symmetric difference of x and the hub h, and q(x) = 9 |D(x)| - |x|. Then x and y
 and (pigeonhole again, rare differences first) one among the first of each. These are new inverted lists, which edits made
 by chance never fill, however many copies there are; ROUNDS such rounds are made. What is left then (copies whose edits
 are copied as well), and strangers to the hub, whose texts share some passages or common words with it, are compared by
-their sketches in blocks: far classes and strangers against all of the group, a bounded number of rows in a task, each of
+their sketches in blocks: far classes and strangers against all of the group, a bounded number of rows and values in a task, each of
 which gives a spanning set of links.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Fewer words than a shingle
@@ -44,6 +44,8 @@ SKETCH, NEEDED = 64, 28
 SMALL = 12
 ROUNDS = 2
 BLOCK = 1024
+#: Values of full sets in one side of a block, about: long texts are compared in blocks of fewer rows.
+VALUES = 1 << 20
 #: Columns of an incidence matrix that are held at once, for values of more than FEW rows.
 SLAB, FEW = 2048, 24
 THRESHOLD = 80  # of 100
@@ -388,7 +390,9 @@ def linked(docs: DataFrame, size: int, found: DataFrame) -> tuple[DataFrame, Dat
 
 def crossed(docs: DataFrame, rows: DataFrame, classes: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """Links with far classes in groups (g, sig, n, far), block by block: far ones against all of their group."""
-    count = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.col("far").cast("int")) / BLOCK).cast("int").alias("asks")).filter("asks > 0")
+    far, n = F.col("far").cast("int"), F.col("n")
+    parts = lambda rows_, values: F.ceil(F.greatest(rows_ / BLOCK, values / VALUES)).cast("int")
+    count = rows.groupBy("g").agg(parts(F.count("*"), F.sum("n")).alias("blocks"), parts(F.sum(far), F.sum(far * n)).alias("asks")).filter("asks > 0")
     dealt = rows.withColumn("hash", F.xxhash64("sig")).join(common.stored(count, "group-blocks"), "g")
     part = lambda n: F.pmod("hash", n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -117,6 +117,24 @@ def test_near_dedup_of_many_edited_copies(spark, monkeypatch, small, block, roun
     assert got == components(rows, 2)
 
 
+def test_near_dedup_compares_long_texts_in_smaller_blocks(spark, monkeypatch):
+    """A block is bounded by the values of its full sets, not by its rows alone."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "VALUES", 4000, raising=False)
+    compared, blocks = near_dedup.compared, spark.sparkContext.accumulator(0)
+
+    def bounded(group):
+        blocks.add(1)
+        if group["n"].sum() > 3 * 4000:  # two sides of a block, dealt by hash
+            raise ValueError(f"a block of {group['n'].sum()} values")
+        return compared(group)
+
+    monkeypatch.setattr(near_dedup, "compared", bounded)
+    rows = edited_copies(200, 400, 40)
+    got = {r[0]: r[2] for r in near_dedup.classify(table(spark, rows), 2).collect()}
+    assert got == components(rows, 2) and blocks.value > 1
+
+
 @pytest.mark.parametrize("size", range(1, 7))
 def test_shingles_of_few_words(size):
     """Batches of 0 to 6 words in all, in every split into texts."""
