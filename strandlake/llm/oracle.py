@@ -67,4 +67,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN near USING (doc_id)
 """
 
-SQL = {"op3_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op9_quality_rules": QUALITY_RULES}
+#: The table of the byte-wise checksum, made from its polynomial; `crc` takes a column of bytes as a list of integers.
+_CRC_TABLE = "(SELECT list(c ORDER BY b) FROM (SELECT b, list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))) AS c FROM range(256) r(b)))"
+
+
+def _crc(text: str, table: str) -> str:
+    h = f"hex(encode({text}))"
+    values = f"list_transform(range(0, length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i::INT + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {values}), lambda x, y: xor(x >> 8, {table}[(xor(x, y) & 255) + 1])))"
+
+
+#: Equal words q apart, in unbroken stretches; the least period of a stretch is that of the run.
+PERIODIC_RUNS = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '{WORDS}'), []) AS w, coalesce({_crc("doc_id::VARCHAR", "crc")}, 1) AS h FROM documents, crc),
+made AS (SELECT r, doc_id, w, h, len(w) AS n, h // 10 AS g FROM docs),
+turned AS MATERIALIZED (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE w END AS w, n FROM made),
+words AS MATERIALIZED (SELECT r, i, n, w[i + 1] AS x FROM (SELECT r, n, w, unnest(range(0, n)) AS i FROM turned)),
+equal AS (SELECT a.r, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal) GROUP BY r, q, island),
+runs AS MATERIALIZED (SELECT r, s, size, min(q) AS q FROM stretches WHERE size >= 24 AND size >= 3 * q GROUP BY r, s, size),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+best AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY r ORDER BY size / q DESC, s, q) AS k FROM runs x) WHERE k = 1),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + size)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, size::BIGINT AS length, q::BIGINT AS period, (1000 * size // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM turned LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+#: Words one edit apart agree with a letter left out at some place (or one of them as a whole does).
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+found AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS n FROM found WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (SELECT w, n, coalesce({_crc("doc_id::VARCHAR || ':' || w", "crc")}, 1) AS h FROM each, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS p FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.d = b.d AND a.p = b.p AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS form_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN forms f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, k) AS root FROM way GROUP BY word) USING (word)
+"""
+
+SQL = {"op12_periodic_runs": PERIODIC_RUNS, "op13_spelling_variants": SPELLING_VARIANTS, "op3_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op9_quality_rules": QUALITY_RULES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, html_text, license_scan, mixing, near_dedup, oracle, pii, quality_model, quality_rules, suffix_dedup, token_output
+from . import common, decontamination, html_text, language_id, license_scan, mixing, near_dedup, oracle, periodic_runs, pii, quality_model, quality_rules, spelling_variants, suffix_dedup, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(common.table(spark, sf_dir, "documents")))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.with_repeats(docs)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants.runs(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling_variants.variants(spelling_variants.counted(spelling_variants.with_deletions(found)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -86,6 +101,9 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
         "op10_pii": op10_pii,
+        "op11_language_id": op11_language_id,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
