@@ -1,10 +1,14 @@
 """Comparing two collections word by word.
 
 For each word the letters before it are counted in either collection, and a rule decides whether the word is a breakpoint
-and to which letters it is extended to the left, in either collection. A rule is a function from the counts to columns.
-The loop carries the places of the words that were asked for, each with what stands to its left: a round counts them in
-one aggregation and moves those that go on by a letter. Words that no rule asked for are never looked at again, nor are
-words that only one collection holds, since no word behind them can be a breakpoint.
+and to which letters it is extended to the left, in either collection. A rule is written once, over a view of the counts:
+their columns, or arrays of them inside a task.
+
+The loop takes STEP letters a round. A place is where a word ends in a read, and the number of the word; a round looks up
+the letters before it, counts equal ways on with what they lead to, and walks the ways of each word letter by letter, so
+that all words of the next STEP lengths are decided by one aggregation. A word has at most 6 to the power of STEP ways,
+however often it occurs. Places of ways that no rule asked for are dropped, as are words that only one collection holds,
+since no word behind them can be a breakpoint.
 
 Two behaviours are fixed here that depend on the order of processing elsewhere: in reference mode a word found only in B
 is not extended, and no interval is skipped for having been seen before unless that is asked for.
@@ -13,17 +17,23 @@ is not extended, and no interval is skipped for having been seen before unless t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import search
-from .storage import stored
+from .storage import released, stored
 from .suffixes import LETTERS, NAMES
 
 BASES = "ACGT"
 INNER = "ACGNT"
-Rule = Callable[..., tuple[Column, dict[str, Column], dict[str, Column]]]
+Sides = tuple[Any, dict[str, Any], dict[str, Any]]
+Rule = Callable[..., Sides]
 
 
 def a(c: str) -> Column:
@@ -61,61 +71,91 @@ def compared(reads_a: DataFrame, reads_b: DataFrame, k: int) -> DataFrame:
     return joined(contexts(reads_a, k, "a"), contexts(reads_b, k, "b"))
 
 
-def any_of(parts: list[Column]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | p
-    return out
+def any_of(parts: list) -> Any:
+    return reduce(or_, parts)
+
+
+class Columns:
+    """The counts of a row as columns."""
+
+    a, b = staticmethod(a), staticmethod(b)
+    lit, floor, most = staticmethod(F.lit), staticmethod(F.floor), staticmethod(F.greatest)
+    num_b = property(lambda self: F.col("num_b"))
+    both, only_a, only_b = (property(lambda self, w=w: F.col("where") == w) for w in ("both", "A", "B"))
+
+    def when(self, holds: Column, x: Any, y: Any) -> Column:
+        return F.when(holds, x).otherwise(y)
+
+    def one(self, holds: Column) -> Column:
+        return holds.cast("int")
+
+
+class Arrays:
+    """The counts of many words as arrays: (side and letter, word)."""
+
+    when, floor, lit = staticmethod(np.where), staticmethod(np.floor), staticmethod(np.asarray)
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
+        num_a, self.num_b = counts[: len(LETTERS)].sum(axis=0), counts[len(LETTERS) :].sum(axis=0)
+        self.both, self.only_a, self.only_b = (num_a > 0) & (self.num_b > 0), self.num_b == 0, num_a == 0
+
+    def a(self, c: str) -> np.ndarray:
+        return self.counts[LETTERS.index(c)]
+
+    def b(self, c: str) -> np.ndarray:
+        return self.counts[len(LETTERS) + LETTERS.index(c)]
 
+    def most(self, *values: np.ndarray) -> np.ndarray:
+        return reduce(np.maximum, values)
 
-def splice(n: int, k: int, **_: float) -> tuple[Column, dict[str, Column], dict[str, Column]]:
+    def one(self, holds: np.ndarray) -> np.ndarray:
+        return holds.astype(np.int64)
+
+
+def splice(n: int, k: int, x: Any = Columns(), **_: float) -> Sides:
     """A breakpoint: no letter in both, and enough of a letter in only A and of one in only B."""
-    both, only_a, only_b = (F.col("where") == w for w in ("both", "A", "B"))
-    shared = any_of([(a(c) > 0) & (b(c) > 0) for c in INNER])
-    most = lambda x, y: F.greatest(*[F.when(y(c) == 0, x(c)).otherwise(0) for c in INNER])
-    emit = both & ~shared & (most(a, b) >= n) & (most(b, a) >= n)
-    left = {c: F.when(both, a(c) >= n).otherwise(only_a & (a(c) > 0)) for c in BASES}
-    right = {c: F.when(emit, b(c) >= n).when(both, a(c) >= n).otherwise(only_b & (b(c) > 0)) for c in BASES}
+    shared = any_of([(x.a(c) > 0) & (x.b(c) > 0) for c in INNER])
+    alone = lambda y, z: x.most(*[x.when(z(c) == 0, y(c), 0) for c in INNER])
+    emit = x.both & ~shared & (alone(x.a, x.b) >= n) & (alone(x.b, x.a) >= n)
+    left = {c: x.when(x.both, x.a(c) >= n, x.only_a & (x.a(c) > 0)) for c in BASES}
+    right = {c: x.when(emit, x.b(c) >= n, x.when(x.both, x.a(c) >= n, x.only_b & (x.b(c) > 0))) for c in BASES}
     return emit, left, right
 
 
-def tumour_normal(n: int, k: int, ratio: float = 1.0, **_: float) -> tuple[Column, dict[str, Column], dict[str, Column]]:
+def tumour_normal(n: int, k: int, ratio: float = 1.0, x: Any = Columns(), **_: float) -> Sides:
     """A breakpoint: some letter frequent in one collection and absent in the other, and few letters in common."""
-    both, only_a, only_b = (F.col("where") == w for w in ("both", "A", "B"))
     total = lambda side: side("A") + side("C") + side("G") + side("T")
-    least = lambda side: F.lit(n).cast("bigint") if k < 12 else F.greatest(F.lit(n).cast("bigint"), F.floor(total(side) / 10))
-    min_a, min_b = least(a), least(b)
-    scaled = F.floor(min_a * F.lit(float(ratio)))
-    apart = [((a(c) > scaled) & (b(c) == 0)) | ((b(c) > min_b) & (a(c) == 0)) for c in BASES]
+    least = lambda side: x.lit(n) if k < 12 else x.most(x.lit(n), x.floor(total(side) / 10))
+    min_a, min_b = least(x.a), least(x.b)
+    scaled = x.floor(min_a * float(ratio))
+    apart = [((x.a(c) > scaled) & (x.b(c) == 0)) | ((x.b(c) > min_b) & (x.a(c) == 0)) for c in BASES]
     # Where all reads of a collection end here, letters found so far no longer count; so none do.
-    ended = (a("$") == total(a)) | (b("$") == total(b))
-    shared = lambda side: sum(((side(c) > 1).cast("int") for c in BASES[1:]), (side("A") > 1).cast("int"))
-    emit = both & any_of(apart) & ~ended & (shared(a) < 3) & (shared(b) < 3)
-    left = {c: F.when(both, (a(c) >= min_a) & (~emit | (b(c) == 0))).otherwise(only_a & (a(c) > 0)) for c in BASES}
-    right = {c: F.when(both, (b(c) >= min_b) & (~emit | (a(c) == 0))).otherwise(only_b & (b(c) > 0)) for c in BASES}
+    ended = (x.a("$") == total(x.a)) | (x.b("$") == total(x.b))
+    shared = lambda side: sum((x.one(side(c) > 1) for c in BASES[1:]), x.one(side("A") > 1))
+    emit = x.both & any_of(apart) & ~ended & (shared(x.a) < 3) & (shared(x.b) < 3)
+    left = {c: x.when(x.both, (x.a(c) >= min_a) & (~emit | (x.b(c) == 0)), x.only_a & (x.a(c) > 0)) for c in BASES}
+    right = {c: x.when(x.both, (x.b(c) >= min_b) & (~emit | (x.a(c) == 0)), x.only_b & (x.b(c) > 0)) for c in BASES}
     return emit, left, right
 
 
-def reference(n: int, k: int, **_: float) -> tuple[Column, dict[str, Column], dict[str, Column]]:
+def reference(n: int, k: int, x: Any = Columns(), **_: float) -> Sides:
     """A breakpoint: the word is unique in B (the reference) and A goes on, often enough, with letters that B hasn't."""
-    both, only_a = F.col("where") == "both", F.col("where") == "A"
-    unique = F.col("num_b") == 1
-    other = {c: (b(c) == 0) & unique & (a(c) > n) for c in INNER}
-    emit = both & any_of(list(other.values()))
-    left = {c: F.when(both, ((b(c) > 0) & (a(c) > 0)) | other[c]).otherwise(only_a & (a(c) >= n)) for c in BASES}
-    right = {c: both & (b(c) > 0) for c in BASES}
+    other = {c: (x.b(c) == 0) & (x.num_b == 1) & (x.a(c) > n) for c in INNER}
+    emit = x.both & any_of(list(other.values()))
+    left = {c: x.when(x.both, ((x.b(c) > 0) & (x.a(c) > 0)) | other[c], x.only_a & (x.a(c) >= n)) for c in BASES}
+    right = {c: x.both & (x.b(c) > 0) for c in BASES}
     return emit, left, right
 
 
-def metagenomics(n: int, k: int, least: int = 50, most: int = 100, files: int = 1 << 31, **_: float) -> tuple[Column, dict[str, Column], dict[str, Column]]:
+def metagenomics(n: int, k: int, least: int = 50, most: int = 100, files: int = 1 << 31, x: Any = Columns(), **_: float) -> Sides:
     """A breakpoint: the longest match of A in a database B. `tag` names its kind (see tag_of)."""
-    both = F.col("where") == "both"
-    goes = {c: both & (b(c) > 0) & (a(c) >= n) for c in INNER}
-    stop = (F.col("num_b") == 1) & F.lit(k >= least)
+    goes = {c: x.both & (x.b(c) > 0) & (x.a(c) >= n) for c in INNER}
+    stop = (x.num_b == 1) & x.lit(k >= least)
     extended = any_of(list(goes.values()))
-    differs = ~extended & any_of([(b(c) == 0) & (a(c) >= n) for c in INNER])
-    ends = ~extended & any_of([(b(c) > 0) & (a(c) < n) & (a(c) + a("$") >= n) for c in INNER])
-    emit = both & (F.col("num_b") < files) & F.lit(k >= least) & (differs | ends | F.lit(k >= most) | (F.col("num_b") == 1))
+    differs = ~extended & any_of([(x.b(c) == 0) & (x.a(c) >= n) for c in INNER])
+    ends = ~extended & any_of([(x.b(c) > 0) & (x.a(c) < n) & (x.a(c) + x.a("$") >= n) for c in INNER])
+    emit = x.both & (x.num_b < files) & x.lit(k >= least) & (differs | ends | x.lit(k >= most) | (x.num_b == 1))
     go = {c: goes[c] & ~stop for c in BASES}
     return emit, go, go
 
@@ -179,39 +219,146 @@ def unknown(rows: DataFrame, before: DataFrame) -> DataFrame:
     return both.filter(~known).select(rows.columns)
 
 
-#: The loop asks after so many lengths whether any word is left: asking costs a job, a round of no words hardly more.
-CHECKED = 4
+#: Letters that a round takes, and the first round, whose words are but sixteen.
+STEP, FIRST = 8, 6
+BREAKPOINT, ONWARD, ONLY_A = 0, 1, 2
+COUNTS = [f"{side}_{NAMES[c]}" for side in "ab" for c in LETTERS]
+CODES = np.full(256, -1, np.int8)
+CODES[list("".join(LETTERS).encode())] = np.arange(len(LETTERS))
 
 
-def rounds(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, goes: str, subset: str = "", skip_known: bool = False, **options: float) -> Iterator[tuple[int, DataFrame, DataFrame]]:
-    """For each word length from 2 to longest + 1 the counts and places of the words reached, until none is left.
+def walk(root: np.ndarray, ways: np.ndarray, num: np.ndarray, k: int, rule: Rule, onward_b: bool, subset: str, options: dict) -> Iterator[tuple[int, np.ndarray, int, np.ndarray | None, np.ndarray]]:
+    """The words of the next lengths from k on, for sorted ways of whole roots (words of k letters).
 
-    goes: which words of the frontier are looked at, of those that either collection asks for (in_a, in_b).
+    ways: (row, letter before, and before that), num: (side, row). Gives the kind, rows, the letters that the words have
+    more than k, and their counts (none for ways), and which collections go on. onward_b: whether words that only A goes
+    on to are left out.
     """
-    before, at = None, stored(places(reads_a, "a").unionByName(places(reads_b, "b")))
-    for k in range(2, longest + 2):
-        rows = stored(measured(at))
-        if subset:
-            rows = rows.filter(F.col("word").endswith(subset[-k:]))
-        if skip_known and before is not None:
-            rows = stored(unknown(rows, before))
-        before = rows
-        yield k, rows, at
-        at = stored(moved(at, children(rows.filter("where = 'both'"), mode, n, k, **options).filter(goes)))
-        if k % CHECKED == 0 and at.isEmpty():
-            break
+    steps = ways.shape[1]
+    rows, num = np.arange(len(root)), num.copy()
+    head = np.r_[True, root[1:] != root[:-1]]
+    for j in range(steps):
+        if not len(rows):
+            return
+        word = np.cumsum(head) - 1
+        first, letter = np.flatnonzero(head), ways[rows, j]
+        cell = letter.astype(np.int64) * len(first) + word
+        counts = np.concatenate([np.bincount(cell, num[side, rows], len(LETTERS) * len(first)).astype(np.int64).reshape(len(LETTERS), -1) for side in (0, 1)])
+        view = Arrays(counts)
+        emit, left, right = rule(k=k + j, x=view, **options)
+        if emit.any():
+            at = np.flatnonzero(emit)
+            yield BREAKPOINT, rows[first[at]], j, counts[:, at], view.both[at]
+        lost = view.only_a[word]
+        if lost.any() and not onward_b:
+            yield ONLY_A, rows[lost], steps, None, lost[lost]
+        go = [np.zeros((len(LETTERS), len(first)), bool) for _ in "ab"]
+        for c in BASES:
+            here = LETTERS.index(c)
+            if k + j + 1 > len(subset) or subset[-(k + j + 1)] == c:
+                go[0][here], go[1][here] = left[c] & view.both, right[c] & view.both
+        in_a, in_b = go[0][letter, word], go[1][letter, word]
+        alive = in_a & in_b if onward_b else in_a
+        num[1, rows[~in_b]] = 0
+        # The next words: where the word or the letter before it differs.
+        head = head | np.r_[True, letter[1:] != letter[:-1]]
+        group = np.cumsum(head)[alive]
+        rows, head = rows[alive], np.r_[True, group[1:] != group[:-1]][: int(alive.sum())]
+    if len(rows):
+        yield ONWARD, rows, steps, None, num[1, rows] > 0
+
+
+def decided(ways: DataFrame, k: int, mode: str, n: int, onward_b: bool, subset: str, options: dict) -> DataFrame:
+    """What becomes of the words of k letters and those behind them: kind, root, way, k, the counts and in_b."""
+    rule = MODES[mode]
+    schema = "kind int, root bigint, way string, k int, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", in_b boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # the rows of the last root, which the next batch may go on with
+
+        def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            root, way = table["root"].to_numpy(), table["way"].to_pylist()
+            letters = CODES[np.frombuffer("".join(way).encode(), np.uint8)].reshape(len(way), -1)
+            num = np.stack([table[c].to_numpy() for c in ("n_a", "n_b")])
+            for kind, rows, taken, counts, in_b in walk(root, letters, num, k, rule, onward_b, subset, {"n": n, **options}):
+                found = [pa.array(x, pa.int64()) for x in counts] if counts is not None else [pa.nulls(len(rows), pa.int64())] * len(COUNTS)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(root[rows]), pa.array([way[i][:taken] for i in rows.tolist()], pa.string()), pa.array([k + taken] * len(rows), pa.int32()), *found, pa.array(in_b)], names=["kind", "root", "way", "k", *COUNTS, "in_b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(root, root[-1]))  # where the last root begins
+            if kept and (cut or kept[0].column(0)[0].as_py() != root[0]):
+                yield from whole([*kept, batch.slice(0, cut)] if cut else kept)
+                kept = []
+            elif cut:
+                yield from whole([batch.slice(0, cut)])
+            kept.append(batch.slice(cut))
+        if kept:
+            yield from whole(kept)
+
+    return ways.mapInArrow(run, schema)
+
+
+def rounds(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, onward_b: bool, subset: str = "", **options: float) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each round what was decided (with word, for breakpoints and words that go on), and the places and ways of the words
+    looked at: is_a, seq_id, ends, root, way. A round's places are deleted when the next one's are there."""
+    both = reads_a.select(F.lit(True).alias("is_a"), "seq_id", "bases").unionByName(reads_b.select(F.lit(False).alias("is_a"), "seq_id", "bases"))
+    k, step, held = 2, min(FIRST, longest), None
+    letter = lambda d: F.instr(F.lit(BASES), F.substring("word", d, 1)) - 1
+    ends = both.filter(F.length("bases") >= 2).select("is_a", "seq_id", "bases", F.explode(F.sequence(F.lit(2), F.length("bases"))).alias("ends"))
+    pairs = ends.withColumn("word", F.col("bases").substr(F.col("ends") - 1, F.lit(2))).filter(~F.col("word").contains("N") & F.col("word").endswith(subset[-2:]))
+    at = pairs.select("is_a", "seq_id", "bases", "ends", (4 * letter(1) + letter(2)).cast("bigint").alias("root"))
+    roots = both.sparkSession.createDataFrame([(4 * i + j, x + y) for i, x in enumerate(BASES) for j, y in enumerate(BASES)], "root bigint, word string")
+    while True:
+        before = F.reverse(F.col("bases").substr(F.greatest(F.col("ends") - k - step + 1, F.lit(1)), F.least(F.col("ends") - k, F.lit(step))))
+        held, old = stored(at.select("is_a", "seq_id", "ends", "root", F.rpad(before, step, "$").alias("way"))), held
+        released(old)
+        one = lambda side: F.sum((F.col("is_a") == side).cast("bigint"))
+        ways = held.groupBy("root", "way").agg(one(True).alias("n_a"), one(False).alias("n_b"))
+        found = decided(ways.repartition("root").sortWithinPartitions("root", "way"), k, mode, n, onward_b, subset, options)
+        found = found.join(roots, "root").withColumn("word", F.concat(F.reverse("way"), "word"))
+        found = stored(found.withColumn("next", F.monotonically_increasing_id()))
+        yield found, held
+        on = found.filter(F.col("kind") == ONWARD)
+        k, step = k + step, min(STEP, longest - (k + step - 2))
+        if step <= 0 or on.isEmpty():
+            released(held)
+            return
+        roots = on.select(F.col("next").alias("root"), "word")
+        moved = held.join(on.select("root", "way", "next", "in_b"), ["root", "way"]).filter("is_a or in_b").select("is_a", "seq_id", "ends", F.col("next").alias("root"))
+        at = moved.join(both, ["is_a", "seq_id"])
 
 
 def extended(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", skip_known: bool = False, **options: float) -> DataFrame:
     """Breakpoints of all word lengths from 2 to longest + 1, each word reached by extension: k and the joined counts.
 
     A breakpoint is in both collections, so only words that both go on to are looked at. subset: only words that end with
-    it. skip_known: leave out words that `unknown` drops; this changes results.
+    it. skip_known: leave out words that `unknown` drops; this changes results, and compares words of one length with those
+    of the length before, so it goes on letter by letter.
     """
+    if skip_known:
+        return by_letter(reads_a, reads_b, mode, n, longest, subset, **options)
     found = None
-    for k, rows, _ in rounds(reads_a, reads_b, mode, n, longest, "in_a and in_b", subset, skip_known, **options):
-        now = breakpoints(rows, mode, n, k, **options).withColumn("k", F.lit(k))
+    for decisions, _ in rounds(reads_a, reads_b, mode, n, longest, True, subset, **options):
+        now = decisions.filter(F.col("kind") == BREAKPOINT).select("k", "word", *COUNTS)
         found = now if found is None else found.unionByName(now)
+    return totalled(found)
+
+
+def by_letter(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, longest: int, subset: str = "", **options: float) -> DataFrame:
+    """`extended` without words already known: a round for each word length, over the places of the words that go on."""
+    before, found, at = None, None, stored(places(reads_a, "a").unionByName(places(reads_b, "b")))
+    for k in range(2, longest + 2):
+        rows = measured(at).filter(F.col("word").endswith(subset[-k:]))
+        rows = stored(rows if before is None else unknown(rows, before))
+        now = breakpoints(rows, mode, n, k, **options).withColumn("k", F.lit(k))
+        before, found = rows, now if found is None else found.unionByName(now)
+        at = stored(moved(at, children(rows.filter("where = 'both'"), mode, n, k, **options).filter("in_a and in_b")))
+        if at.isEmpty():
+            break
     return found
 
 
@@ -222,11 +369,12 @@ def read_numbers(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, long
     at once; words of more than longest + 1 letters are left out.
     """
     found = None
-    for _, rows, at in rounds(reads_a, reads_b, mode, n, longest, "in_a", **options):
-        only = at.filter("side = 'a'").join(rows.filter("where = 'A'").select("word"), "word", "left_semi")
-        now = only.filter(~F.col("left").contains("N")).select(F.concat("left", "word").alias("word"), "seq_id").filter(F.length("word") <= longest + 1)
+    for decisions, held in rounds(reads_a, reads_b, mode, n, longest, False, **options):
+        only = decisions.filter(F.col("kind") == ONLY_A).select("root", "way")
+        now = stored(held.filter("is_a").filter(F.col("ends") <= longest + 1).join(only, ["root", "way"], "left_semi").select("seq_id", "ends"))
         found = now if found is None else found.unionByName(now)
-    return found
+    words = found.join(reads_a.select("seq_id", "bases"), "seq_id").select(F.expr("substring(bases, 1, ends)").alias("word"), "seq_id")
+    return words.filter(~F.col("word").contains("N"))
 
 
 def backtracked(reads: DataFrame, n: int, longest: int) -> DataFrame:

@@ -25,3 +25,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(df: DataFrame | None) -> None:
+    """Deletes a table written by `stored` that no later job reads; takes None."""
+    for file in df.inputFiles()[:1] if df is not None else ():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -668,7 +668,7 @@ def any_sql(parts) -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
-def rule_sql(mode: str, k: int, n: int = N, least: int = 4, most: int = 6) -> tuple[str, dict[str, str], dict[str, str]]:
+def rule_sql(mode: str, k: int | str, n: int = N, least: int = 4, most: int = 6) -> tuple[str, dict[str, str], dict[str, str]]:
     """The rules once more, for the oracle: emit, and the letters that each side goes on with."""
     a = {c: f"a_{NAMES[c]}" for c in LETTERS}
     b = {c: f"b_{NAMES[c]}" for c in LETTERS}
@@ -680,7 +680,7 @@ def rule_sql(mode: str, k: int, n: int = N, least: int = 4, most: int = 6) -> tu
         right = {c: f"CASE WHEN {emit} THEN {b[c]} >= {n} WHEN held = 'both' THEN {a[c]} >= {n} ELSE held = 'B' AND {b[c]} > 0 END" for c in four}
     elif mode == "tumour-normal":
         total = lambda x: f"({' + '.join(x[c] for c in four)})"
-        need = lambda x: f"{n}" if k < 12 else f"greatest({n}, {total(x)} // 10)"
+        need = lambda x: f"(CASE WHEN {k} < 12 THEN {n} ELSE greatest({n}, {total(x)} // 10) END)"
         apart = any_sql(f"({a[c]} > {need(a)} AND {b[c]} = 0) OR ({b[c]} > {need(b)} AND {a[c]} = 0)" for c in four)
         few = lambda x: f"({' + '.join(f'({x[c]} > 1)::INT' for c in four)}) < 3"
         emit = f"(held = 'both' AND {apart} AND {a['$']} <> {total(a)} AND {b['$']} <> {total(b)} AND {few(a)} AND {few(b)})"
@@ -696,8 +696,8 @@ def rule_sql(mode: str, k: int, n: int = N, least: int = 4, most: int = 6) -> tu
         on = any_sql(goes.values())
         differs = f"(NOT {on} AND {any_sql(f'({b[c]} = 0 AND {a[c]} >= {n})' for c in inner)})"
         ends = f"(NOT {on} AND {any_sql(f'({b[c]} > 0 AND {a[c]} < {n} AND {a[c]} + a_end >= {n})' for c in inner)})"
-        emit = f"(held = 'both' AND {k >= least} AND ({differs} OR {ends} OR {k >= most} OR num_b = 1))"
-        left = right = {c: f"(held = 'both' AND {goes[c]} AND NOT (num_b = 1 AND {k >= least}))" for c in four}
+        emit = f"(held = 'both' AND {k} >= {least} AND ({differs} OR {ends} OR {k} >= {most} OR num_b = 1))"
+        left = right = {c: f"(held = 'both' AND {goes[c]} AND NOT (num_b = 1 AND {k} >= {least}))" for c in four}
     return emit, left, right
 
 
@@ -716,13 +716,29 @@ for _op, _mode in (("cmp_8", "splice"), ("cmp_9", "tumour-normal"), ("cmp_10", "
     one_rule(_op, _mode)
 
 
+def reached_sql(mode: str, only_a: bool) -> list[str]:
+    """The places that the loop looks at, letter by letter, and their words with counts, for the oracle.
+
+    only_a: whether words that only A goes on to are looked at as well.
+    """
+    _, left, right = rule_sql(mode, "k", least=50, most=100)
+    on = lambda side: "CASE prev " + " ".join(f"WHEN '{c}' THEN {side[c]}" for c in "ACGT") + " ELSE false END"
+    goes = f"{on(left)} AND (seq_id % 2 = 0 OR {on(right)})" if only_a else f"{on(left)} AND {on(right)}"
+    counts = ", ".join(f"(sum((seq_id % 2 = {i} AND prev = '{c}')::INT) OVER w)::BIGINT AS {s}_{NAMES[c]}" for i, s in enumerate("ab") for c in LETTERS)
+    held = "CASE WHEN num_b = 0 THEN 'A' WHEN num_a = 0 THEN 'B' ELSE 'both' END AS held"
+    look = "SELECT k, seq_id, pos, substr(bases, pos + 1, k) AS word, CASE WHEN pos = 0 THEN '$' ELSE substr(bases, pos, 1) END AS prev FROM step JOIN reads USING (seq_id)"
+    seen = f"SELECT *, {held} FROM (SELECT *, {counts}, (sum((seq_id % 2 = 0)::INT) OVER w)::BIGINT AS num_a, (sum((seq_id % 2 = 1)::INT) OVER w)::BIGINT AS num_b FROM ({look}) WINDOW w AS (PARTITION BY k, word))"
+    seeds = "SELECT 2 AS k, seq_id, pos::INT AS pos FROM (SELECT seq_id, bases, unnest(range(0, length(bases) - 1)) AS pos FROM reads) WHERE NOT contains(substr(bases, pos + 1, 2), 'N')"
+    return [f"step AS ({seeds} UNION ALL SELECT k + 1, seq_id, pos - 1 FROM ({seen}) WHERE k <= {LENGTH} AND held = 'both' AND {goes})", f"seen AS ({seen})"]
+
+
 def loop(op: str, mode: str) -> None:
     """The extension loop with the reference's bounds: words up to a read's length, metagenomic ones of 50 to 100 letters."""
 
     def run(spark, d):
         return C.extended(*X.read_sets(spark, d), mode, N, LENGTH, least=50, most=100).select("k", *COLUMNS)
 
-    query(op)(run)
+    query(op, sql(f"SELECT DISTINCT k, {LISTED} FROM seen WHERE {rule_sql(mode, 'k', least=50, most=100)[0]}", *reached_sql(mode, False)))(run)
 
 
 for _op, _mode in (("cmp_3_splice", "splice"), ("cmp_3_tumour_normal", "tumour-normal"), ("cmp_3_reference", "reference"), ("cmp_3_metagenomics", "metagenomics")):
@@ -735,7 +751,7 @@ def cmp_6(spark, d):
     return C.unknown(pairs(spark, d, 3), pairs(spark, d, 2)).select(*COLUMNS)
 
 
-@query("cmp_12")
+@query("cmp_12", sql(f"SELECT substr(bases, 1, pos + k) AS word, seq_id FROM seen JOIN reads USING (seq_id) WHERE held = 'A' AND pos + k <= {LENGTH + 1} AND NOT contains(substr(bases, 1, pos + k), 'N')", *reached_sql("splice", True)))
 def cmp_12(spark, d):
     """Reads of A and the words, back to the read's start, that the splice loop reached and B lacks."""
     return C.read_numbers(*X.read_sets(spark, d), "splice", N, LENGTH)
