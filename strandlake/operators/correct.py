@@ -12,7 +12,8 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,68 +166,108 @@ def stitched(reads: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("seq_id", F.when(F.col("c").isNull(), F.col("bases")).otherwise(F.concat(F.col("bases").substr(F.lit(1), F.greatest(F.col("c.corrector_start"), F.lit(0))), F.col("c.corrector"))).alias("bases"))
 
 
-def overlaid(read: str, quals: str, fixes: list[dict], quality: str = "#", least: int = 0, trim: bool = False) -> tuple[str, str]:
-    """A read without insertions or deletions: each corrector is laid over it at its place.
+def overlaid(quality: str, least: int, trim: bool) -> Column:
+    """bases and quals of a read (bases, quals, fixes) without insertions or deletions: a fold of its fixes.
 
-    Corrections go by falling longest witness. All but the first find their place again by their witness.
+    Fixes go by falling longest witness. The first is laid over its place in the read; the place of any other is where its
+    witness first stands in what the read has become, and there is none if it doesn't. Fixes with a witness of less than
+    `least` letters are left out. trim: a read keeps its length where a fix begins or ends beyond it.
     """
-    out, out_q = read, quals
-    for k, c in enumerate(sorted(fixes, key=lambda c: -c["longest_witness"])):
-        n, p = c["longest_witness"], c["position"]
-        witness = read[p - n : p] if c["reverse_strand"] else read[p + 1 : p + 1 + n]
-        at = p
-        if k:
-            found = out.find(witness)
-            if found < 0:
-                continue
-            at = found + n if c["reverse_strand"] else found - 1
-        if n < least:
-            continue
-        fix = c["corrector"]
-        start = at if c["reverse_strand"] else at - len(fix) + 1
-        behind = min(start + len(fix), len(out)) if start + len(fix) >= 0 else 0
-        out = out[: max(start, 0)] + fix + out[behind:]
-        out_q = out_q[: max(start, 0)] + quality * len(fix) + out_q[behind:]
-        if trim:
-            cut = slice(max(0, -start), max(0, -start) + len(read))
-            out, out_q = out[cut], out_q[cut]
-    return out, out_q
-
-
-def local_lengths(x: str, y: str, match: int = 2, mismatch: int = -1, deletion: int = -1, insertion: int = -1) -> tuple[int, int]:
-    """How much of the ends of x and y a local alignment pairs, walking back from the last but one cell of each."""
-    score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    move = [[(1, 1)] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            options = [(0, 3, (1, 1)), (score[i - 1][j] + deletion, 2, (1, 0)), (score[i][j - 1] + insertion, 1, (0, 1)), (score[i - 1][j - 1] + (match if x[i - 1] == y[j - 1] else mismatch), 0, (1, 1))]
-            score[i][j], _, move[i][j] = max(options, key=lambda o: (o[0], o[1]))
-    i, j = len(x) - 1, len(y) - 1
-    while i > 0 and j > 0:
-        di, dj = move[i][j]
-        i, j = i - di, j - dj
-    return len(x) - i, len(y) - j
-
-
-def aligned(read: str, fixes: list[dict]) -> str:
-    """A read with correctors aligned to it, so that they may insert or delete letters."""
-    out = read
-    for k, c in enumerate(fixes):
-        n, p = c["longest_witness"], c["position"]
-        witness = read[max(0, p - n) : p] if c["reverse_strand"] else read[p + 1 : p + 1 + n]
-        at = p
-        if k:
-            found = out.find(witness)
-            if found < 0:
-                continue
-            at = found + n if c["reverse_strand"] else found - 1
-        fix = c["corrector"]
-        if c["reverse_strand"]:
-            _, used = local_lengths(fix[::-1], out[at:][::-1])
-            out = out[:at] + fix + out[min(used + at, len(out)) :]
-        else:
-            _, used = local_lengths(fix, out[: at + 1])
-            out = out[: max(at - used + 1, 0)] + fix + out[min(len(out), at + 1) :]
+    ordered = F.array_sort(F.transform("fixes", lambda f: F.struct((-f["longest_witness"]).alias("order"), f["position"].alias("p"), f["corrector_start"].alias("start"), f["corrector"].alias("letters"), (f["reverse_strand"] == 1).alias("turned"), f["longest_witness"].alias("n"))))
+
+    def laid(now: Column, fix: Column) -> Column:
+        size, n = F.length(fix["letters"]), fix["n"]
+        witness = F.when(fix["turned"], F.substr("bases", fix["p"] - n + 1, n)).otherwise(F.substr("bases", fix["p"] + 2, n))
+        stands = F.call_function("instr", now["bases"], witness)
+        error = F.when(now["first"], fix["p"]).when(fix["turned"], stands - 1 + n).otherwise(stands - 2)
+        start = F.when(fix["turned"], error).otherwise(error - size + 1)
+        skipped = (n < least) | ~now["first"] & (stands == 0)
+        kept = F.greatest(start, F.lit(0))  # letters in front of the fix
+        behind = F.greatest(start + size, F.lit(0)) + 1
+
+        def over(text: Column, patch: Column) -> Column:
+            whole = F.concat(F.substr(text, F.lit(1), kept), patch, F.substr(text, behind, F.length(text)))
+            return F.substr(whole, F.greatest(-start, F.lit(0)) + 1, F.length("bases")) if trim else whole
+
+        changed = F.struct(over(now["bases"], fix["letters"]).alias("bases"), over(now["quals"], F.call_function("repeat", F.lit(quality), size)).alias("quals"), F.lit(False).alias("first"))
+        return F.when(skipped, F.struct(now["bases"].alias("bases"), now["quals"].alias("quals"), F.lit(False).alias("first"))).otherwise(changed)
+
+    begin = F.struct(F.col("bases").alias("bases"), F.coalesce("quals", F.lit("")).alias("quals"), F.lit(True).alias("first"))
+    return F.aggregate(ordered, begin, laid)
+
+
+MATCH, OTHER, GAP = 2, -1, -1
+LANES = 512
+
+
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as rows of code points, and their lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = np.full((len(texts), int(sizes.max(initial=0))), -1, np.int64)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    return out, sizes
+
+
+def alignment_starts(x: list[str], y: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where in x and y the local alignment begins that ends at the last letter but one of either, for all pairs at once.
+
+    The score table is filled by anti-diagonals, a step for all pairs. A cell keeps no move but the place at the table's
+    edge where its way began, which it has from the cell it came from: none of better score counts before a gap in y, that
+    before a gap in x, that before a pair of letters, where they score the same.
+    """
+    (a, n), (b, m) = coded(x), coded(y)
+    rows, width = a.shape[0], a.shape[1] + 1
+    lane = np.arange(rows)
+    from_x, from_y = n - 1, m - 1  # pairs that end at an edge begin there
+    blank = lambda: np.zeros((rows, width), np.int64)
+    # Of a diagonal: score, and the edge place in x and in y, by the place in x.
+    last, now = [blank() for _ in range(3)], [blank() for _ in range(3)]
+    ended = n + m - 2
+    for d in range(1, int(ended.max(initial=0)) + 1):
+        before, last, now = last, now, [blank() for _ in range(3)]
+        if d < width:
+            now[1][:, d] = d
+        now[2][:, 0] = d
+        i = np.arange(max(1, d - b.shape[1]), min(width - 1, d - 1) + 1)
+        if len(i):
+            j = d - i
+            pair = before[0][:, i - 1] + np.where(a[:, i - 1] == b[:, j - 1], MATCH, OTHER)
+            scores = np.stack([np.zeros_like(pair), last[0][:, i - 1] + GAP, last[0][:, i] + GAP, pair])
+            choice = scores.argmax(axis=0)  # the first of the best
+            now[0][:, i] = scores.max(axis=0)
+            for edge in (1, 2):
+                diagonal = before[edge][:, i - 1]
+                now[edge][:, i] = np.choose(choice, [diagonal, last[edge][:, i - 1], last[edge][:, i], diagonal])
+        here = (ended == d) & (n > 1) & (m > 1)
+        from_x = np.where(here, now[1][lane, n - 1], from_x)
+        from_y = np.where(here, now[2][lane, n - 1], from_y)
+    return from_x, from_y
+
+
+def realigned(reads: list[str], fixes: list[list[dict]]) -> list[str]:
+    """Reads with their correctors aligned to them, so that they may insert or delete letters; the k-th fix of all reads at once."""
+    out = list(reads)
+    for k in range(max(map(len, fixes), default=0)):
+        jobs = []  # read, where its error stands, the fix
+        for r, mine in enumerate(fixes):
+            if k < len(mine):
+                fix, n, p = mine[k], mine[k]["longest_witness"], mine[k]["position"]
+                turned = bool(fix["reverse_strand"])
+                stands = p - n if turned else p + 1
+                if k:
+                    stands = out[r].find(reads[r][max(stands, 0) : p if turned else stands + n])
+                if not k or stands >= 0:
+                    jobs.append((r, stands + n if turned else stands - 1, fix["corrector"], turned))
+        for at in range(0, len(jobs), LANES):
+            part = jobs[at : at + LANES]
+            # A turned corrector is aligned to what follows the error, from the read's end on; any other to what leads up to it.
+            x = [c[::-1] if turned else c for _, _, c, turned in part]
+            y = [out[r][p:][::-1] if turned else out[r][: p + 1] for r, p, _, turned in part]
+            used = [len(t) - s for t, s in zip(y, alignment_starts(x, y)[1].tolist(), strict=True)]
+            for (r, p, c, turned), u in zip(part, used, strict=True):
+                first, behind = (p, p + u) if turned else (max(p + 1 - u, 0), p + 1)
+                out[r] = out[r][:first] + c + out[r][behind:]
     return out
 
 
@@ -236,15 +277,18 @@ def applied(reads: DataFrame, found: DataFrame, how: str = "no-indels", quality:
         return stitched(reads, found)
     fixes = F.sort_array(F.collect_list(F.struct("position", "corrector_start", "corrector", "reverse_strand", "longest_witness"))).alias("fixes")
     both = reads.select("seq_id", "bases", "quals").join(found.groupBy("seq_id").agg(fixes), "seq_id", "left")
+    if how == "no-indels":
+        done = both.withColumn("x", F.when(F.col("fixes").isNotNull(), overlaid(quality, least, trim)))
+        return done.select("seq_id", F.coalesce("x.bases", "bases").alias("bases"), F.coalesce("x.quals", "quals").alias("quals"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            bases, own = x.column("bases").to_pylist(), [f or [] for f in x.column("fixes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column("seq_id"), pa.array(realigned(bases, own), pa.string()), x.column("quals")], names=["seq_id", "bases", "quals"])
+
+    return both.filter("bases is not null").mapInArrow(run, "seq_id bigint, bases string, quals string")
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            for i in x.index[x["fixes"].notna()]:
-                rows = [dict(r) if isinstance(r, dict) else r.asDict() for r in x.at[i, "fixes"]]
-                if how == "smith-waterman":
-                    x.at[i, "bases"] = aligned(x.at[i, "bases"], rows)
-                else:
-                    x.at[i, "bases"], x.at[i, "quals"] = overlaid(x.at[i, "bases"], x.at[i, "quals"] or "", rows, quality, least, trim)
-            yield x[["seq_id", "bases", "quals"]]
-
-    return both.mapInPandas(run, "seq_id bigint, bases string, quals string")
+def records(corrected: DataFrame) -> DataFrame:
+    """seq_id and record, the FASTA text of each corrected read: reads are named by their number."""
+    return corrected.select("seq_id", F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit("\n"), F.col("bases")).alias("record"))

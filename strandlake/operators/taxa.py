@@ -87,31 +87,77 @@ def tree_rows(rolled: DataFrame, nodes: DataFrame) -> DataFrame:
     return rolled.filter("with_children > 0").join(steps, "tax_id").select(F.col("tax_id").alias("TaxId"), F.col("depth").alias("TaxLevel"), F.col("n").alias("Count"), F.col("with_children").alias("CountIncludingChildren"), "path")
 
 
-def shifted(counts: pd.DataFrame, database: pd.DataFrame) -> pd.DataFrame:
-    """Counts moved from ancestors to leaves in the proportions of the database, by rising tax_id, each move seen by the next."""
-    n = dict(zip(counts["tax_id"], counts["n"], strict=True))
-    of = {t: list(zip(g["other"], g["db"], strict=True)) for t, g in database.sort_values(["tax_id", "other"]).groupby("tax_id")}
-    for t in sorted(n):
-        own = dict(of.get(t, ())).get(t, 0)
-        if not own or not n[t]:
-            continue
-        share = n[t] / own
-        for other, db in of[t]:
-            if other != t and other in n:
-                move = min(int(db * share), n[other])
-                n[other] -= move
-                n[t] += move
-    return pd.DataFrame({"tax_id": list(n), "n": list(n.values())})
+#: Taxa of so many numbers are summed together before sums run over a group.
+STRIDE = 4096
+
+
+def running(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """rows with `before`, the sum of value over the group's rows of smaller order (unique in a group): by blocks of numbers first."""
+    block = F.floor(F.col(order) / STRIDE)
+    sums = rows.groupBy(group, block.alias("__block")).agg(F.sum(value).alias("__sum"))
+    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(group, "__block", F.coalesce(F.sum("__sum").over(ahead(group, "__block")), F.lit(0)).alias("__ahead"))
+    inside = rows.withColumn("__block", block).withColumn("__inside", F.coalesce(F.sum(value).over(ahead(group, "__block", order)), F.lit(0)))
+    return inside.join(sums, [group, "__block"]).select(*rows.columns, (F.col("__ahead") + F.col("__inside")).alias("before"))
+
+
+def taken(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """tax_id, other, got: what each taxon gets of what it asks (ask) of another one that holds n, in the order of tax_id.
+
+    All that is asked so far is given as far as it goes, so a share is the difference of two capped running sums.
+    """
+    rows = running(asked, "other", "tax_id", "ask").join(held.select(F.col("tax_id").alias("other"), "n"), "other")
+    return rows.select("tax_id", "other", (F.least("n", F.col("before") + F.col("ask")) - F.least("n", "before")).alias("got"))
 
 
 def moved_to_leaves(counts: DataFrame, database: DataFrame) -> DataFrame:
-    """`shifted` on the whole tree: each move depends on those before, so the taxa (a bounded table) go to one task."""
-    both = counts.select(F.lit(0).alias("g"), "tax_id", "n", F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("bigint").alias("db")).unionByName(database.select(F.lit(0).alias("g"), "tax_id", F.lit(None).cast("bigint").alias("n"), "other", "db"))
+    """tax_id, n: counts moved to the leaves from the taxa that the database finds with them, in its proportions.
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        return shifted(x[x["n"].notna()].astype({"n": int}), x[x["db"].notna()].astype({"other": int, "db": int}))
+    Leaves (taxa that the database finds with themselves) take their turn by rising tax_id; each asks other taxa for
+    floor(db * n / own) and gets what is left there. counts: tax_id, n (each taxon once); database: tax_id, other, db.
 
-    return both.groupBy("g").applyInPandas(run, "tax_id bigint, n bigint")
+    What a leaf asks depends on its count at its turn, that is on leaves of smaller numbers which ask it; what it gets, on
+    what is asked of the same taxon before, and on what that taxon has got itself if its turn has been. Only leaves that
+    stand above others have either, so the rounds below are as many as such leaves stand above each other, not as there are
+    taxa; within a round all taxa are worked on side by side.
+    """
+    n = stored(counts.select("tax_id", "n"))
+    own = database.filter("tax_id = other and db != 0").select("tax_id", F.col("db").alias("own")).join(n.select("tax_id"), "tax_id", "left_semi")
+    others = n.select(F.col("tax_id").alias("other"))
+    pairs = stored(database.filter("tax_id != other").join(own, "tax_id").join(others, "other", "left_semi").select("tax_id", "other", "db", "own"))
+    leaves = own.select("tax_id")
+    asks = lambda turn: pairs.join(turn, "tax_id").select("tax_id", "other", F.floor(F.col("db") * (F.col("n") / F.col("own"))).cast("bigint").alias("ask"))
+    # Counts at the turns: a leaf waits for the leaves of smaller numbers that ask it.
+    waits = stored(pairs.filter("tax_id < other").join(leaves.withColumnRenamed("tax_id", "other"), "other", "left_semi").select("tax_id", "other"))
+    turn = stored(n.join(leaves, "tax_id", "left_semi").join(waits.select(F.col("other").alias("tax_id")), "tax_id", "left_anti"))
+    while True:
+        left = waits.join(turn.select(F.col("tax_id").alias("other")), "other", "left_anti")
+        if left.isEmpty():
+            break
+        blocked = left.join(turn.select("tax_id"), "tax_id", "left_anti").select("other")
+        ready = left.select("other").distinct().join(blocked, "other", "left_anti")
+        asked = asks(turn).join(ready, "other", "left_semi").filter("tax_id < other").groupBy("other").agg(F.sum("ask").alias("asked"))
+        now = asked.join(n.withColumnRenamed("tax_id", "other"), "other").select(F.col("other").alias("tax_id"), (F.col("n") - F.least("n", "asked")).alias("n"))
+        turn = stored(turn.unionByName(now))
+    asked = stored(asks(turn).join(leaves.select(F.col("tax_id").alias("other"), F.lit(True).alias("leaf")), "other", "left"))
+    # What taxa without a turn, or before theirs, are asked comes off their first counts; the rest off what they have got by then.
+    early = F.col("leaf").isNull() | (F.col("tax_id") < F.col("other"))
+    got = stored(taken(asked.filter(early), n))
+    late = stored(asked.filter(~early))
+    done = stored(turn.select("tax_id").join(late.select("tax_id"), "tax_id", "left_anti"))
+    while True:
+        left = late.join(done, "tax_id", "left_anti")
+        if left.isEmpty():
+            break
+        blocked = left.join(done.select(F.col("tax_id").alias("other")), "other", "left_anti").select("tax_id")
+        ready = left.select("tax_id").distinct().join(blocked, "tax_id", "left_anti")
+        grown = turn.join(got.groupBy("tax_id").agg(F.sum("got").alias("gain")), "tax_id", "left").select("tax_id", (F.col("n") + F.coalesce("gain", F.lit(0))).alias("n"))
+        # Shares of taxa asked by others that are not ready yet are worked out again when those are.
+        now = taken(late.join(done.unionByName(ready), "tax_id", "left_semi"), grown).join(ready, "tax_id", "left_semi")
+        got, done = stored(got.unionByName(now)), stored(done.unionByName(ready))
+    gains = got.groupBy("tax_id").agg(F.sum("got").alias("gain"))
+    losses = got.groupBy(F.col("other").alias("tax_id")).agg(F.sum("got").alias("loss"))
+    return n.join(gains, "tax_id", "left").join(losses, "tax_id", "left").select("tax_id", (F.col("n") + F.coalesce("gain", F.lit(0)) - F.coalesce("loss", F.lit(0))).cast("bigint").alias("n"))
 
 
 def own_counts(database: DataFrame) -> DataFrame:

@@ -797,17 +797,40 @@ def cor_2(spark, d):
     return spark.createDataFrame([(k, e.support(max(e.specific_length(), k + 1))) for k in range(2, 40)], "k int, support int")
 
 
-@query("cor_3")
+#: Places by letter: their words grow to the right while a letter before them has the support and another stands there too.
+_FOUR = ", ".join(f"(sum((prev = '{c}')::INT) OVER w)::BIGINT AS n_{NAMES[c]}" for c in "ACGNT")
+_LOOK = f"SELECT *, {_FOUR} FROM (SELECT k, seq_id, pos, substr(bases, pos + 1, k) AS word, substr(bases, pos, 1) AS prev, length(bases) AS size, substr(bases, pos + k + 1, 1) AS following FROM place JOIN strands USING (seq_id)) WINDOW w AS (PARTITION BY k, word)"
+_STRONG = " + ".join(f"(n_{NAMES[c]} >= {SUPPORT})::INT" for c in "ACGNT")
+_THERE = " + ".join(f"(n_{NAMES[c]} > 0)::INT" for c in "ACGNT")
+_FIRST = "CASE " + " ".join(f"WHEN n_{NAMES[c]} >= {SUPPORT} THEN '{c}'" for c in "ACGNT") + " END"
+ERRORS = (
+    "strands AS MATERIALIZED (SELECT seq_id, bases FROM reads UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM reads), translate(reverse(bases), 'ACGT', 'TGCA') FROM reads)",
+    f"place AS (SELECT {SHORTEST} AS k, seq_id, pos::INT AS pos FROM (SELECT seq_id, bases, unnest(range(1, length(bases) - {SHORTEST} + 1)) AS pos FROM strands) WHERE NOT contains(substr(bases, pos + 1, {SHORTEST}), 'N') UNION ALL SELECT k + 1, seq_id, pos FROM ({_LOOK}) WHERE k < {LENGTH} AND {_STRONG} > 0 AND {_THERE} > 1 AND pos + k < size AND following <> 'N')",
+    f"marked AS MATERIALIZED (SELECT k, word, seq_id, pos, prev, {_FIRST} AS correct FROM ({_LOOK}) WHERE {_STRONG} = 1 AND {_THERE} > 1)",
+    "errors AS MATERIALIZED (SELECT seq_id, pos - 1 AS position, prev AS wrong, arg_min(correct, k) AS correct, min(k) AS shortest_witness, max(k) AS longest_witness FROM marked WHERE prev <> correct GROUP BY 1, 2, 3)",
+)
+_BEST = "CASE " + " ".join(f"WHEN sum(CASE WHEN substr(back, j + 1, 1) = '{c}' THEN n END) OVER (PARTITION BY word) >= {SUPPORT} THEN '{c}'" for c in "TNGCA") + " END"
+CORRECTORS = (
+    *ERRORS,
+    "wanted AS (SELECT e.*, substr(bases, position + 2, shortest_witness) AS word, length(bases) AS size FROM errors e JOIN strands USING (seq_id))",
+    f"way AS (SELECT word, reverse(substr(bases, 1, pos - 1)) AS back, count(*) AS n, '' AS got, 0 AS j FROM marked JOIN strands USING (seq_id) WHERE prev = correct AND word IN (SELECT word FROM wanted) GROUP BY 1, 2 UNION ALL SELECT word, back, n, got || best, j + 1 FROM (SELECT *, {_BEST} AS best FROM way) WHERE j < {LENGTH - 1} AND substr(back, j + 1, 1) = best)",
+    "correctors AS (SELECT wanted.*, correct || path AS corrector FROM wanted JOIN (SELECT word, arg_max(got, j) AS path FROM way GROUP BY word) USING (word))",
+    "mapped AS (SELECT CASE WHEN turned THEN seq_id - first ELSE seq_id END AS seq_id, p AS position, turned::INT AS reverse_strand, CASE WHEN turned THEN translate(corrector, 'ACGT', 'TGCA') ELSE reverse(corrector) END AS corrector, (CASE WHEN turned THEN p ELSE p - length(corrector) + 1 END)::INT AS corrector_start, shortest_witness, longest_witness FROM (SELECT *, CASE WHEN turned THEN (size - 1 - position)::INT ELSE position END AS p FROM (SELECT *, seq_id >= first AS turned FROM correctors, (SELECT max(seq_id) + 1 AS first FROM reads))))",
+    "stitched AS (SELECT r.seq_id, coalesce(substr(bases, 1, greatest(c.corrector_start, 0)) || c.corrector, bases) AS bases FROM reads r LEFT JOIN (SELECT seq_id, min({'position': position, 'corrector_start': corrector_start, 'corrector': corrector}) AS c FROM mapped GROUP BY seq_id) USING (seq_id))",
+)
+
+
+@query("cor_3", sql("SELECT DISTINCT k, word, correct FROM marked", *ERRORS))
 def cor_3(spark, d):
     return marked(spark, d).select("k", "word", "correct").distinct()
 
 
-@query("cor_5")
+@query("cor_5", sql("SELECT seq_id, position, wrong, correct, shortest_witness, longest_witness FROM errors", *ERRORS))
 def cor_5(spark, d):
     return E.errors(marked(spark, d))
 
 
-@query("cor_4")
+@query("cor_4", sql("SELECT seq_id, position, wrong, correct, shortest_witness, longest_witness, corrector FROM correctors", *CORRECTORS))
 def cor_4(spark, d):
     return X.once(spark, d, "correctors", lambda: E.correctors(cor_5(spark, d), marked(spark, d), strands(spark, d), SUPPORT, LENGTH))
 
@@ -819,12 +842,16 @@ def mapped(spark, d):
     return E.mapped_back(cor_4(spark, d).join(size, "seq_id").crossJoin(first), F.col("first"), F.col("size"))
 
 
-@query("cor_6")
+MAPPED = "SELECT seq_id, position, reverse_strand, corrector, corrector_start, shortest_witness, longest_witness FROM mapped"
+SQL["src_18"] = sql(MAPPED, *CORRECTORS)
+
+
+@query("cor_6", sql(MAPPED, *CORRECTORS))
 def cor_6(spark, d):
     return mapped(spark, d)
 
 
-@query("cor_7")
+@query("cor_7", sql(MAPPED, *CORRECTORS))
 def cor_7(spark, d):
     return E.in_file_order(mapped(spark, d))
 
@@ -839,15 +866,15 @@ def cor_9(spark, d):
     return E.applied(X.reads(spark, d), mapped(spark, d), "smith-waterman")
 
 
-@query("cor_10")
+@query("cor_10", sql("SELECT seq_id, bases FROM stitched", *CORRECTORS))
 def cor_10(spark, d):
     return E.stitched(X.reads(spark, d), mapped(spark, d))
 
 
-@query("cor_11")
+@query("cor_11", sql("SELECT seq_id, '>' || seq_id || chr(10) || bases AS record FROM stitched", *CORRECTORS))
 def cor_11(spark, d):
-    """Reads and their corrections side by side; reads without any pass through."""
-    return X.reads(spark, d).join(mapped(spark, d).groupBy("seq_id").agg(F.count("*").alias("n")), "seq_id", "left").select("seq_id", F.coalesce("n", F.lit(0)).alias("n"))
+    """The corrected reads as records, reads without an error among them."""
+    return E.records(E.applied(X.reads(spark, d), mapped(spark, d), "stitch"))
 
 
 @query("cor_12", sql("SELECT first_rank, size, 0::BIGINT AS n_end, n_a, n_c, n_g, n_n, n_t FROM (SELECT min(rank) AS first_rank, count(*) AS size, " + counted() + " FROM (SELECT *, sum((lcp < 12)::INT) OVER (ORDER BY rank) AS g FROM lcps) GROUP BY g) WHERE size > 3", LCPS))
@@ -890,7 +917,9 @@ def met_5(spark, d):
     return T.rolled_up(X.counts(spark, d), X.nodes(spark, d))
 
 
-@query("met_6")
+@query("met_6", sql("SELECT c.tax_id, (c.n + coalesce(gain, 0) - coalesce(loss, 0))::BIGINT AS n FROM counts c LEFT JOIN (SELECT tax_id, sum(got) AS gain FROM got GROUP BY 1) USING (tax_id) LEFT JOIN (SELECT other AS tax_id, sum(got) AS loss FROM got GROUP BY 1) USING (tax_id)",
+    "asked AS (SELECT d.tax_id, d.other, floor(d.db * (c.n / o.db))::BIGINT AS ask FROM database d JOIN database o ON o.tax_id = d.tax_id AND o.other = d.tax_id AND o.db <> 0 JOIN counts c ON c.tax_id = d.tax_id WHERE d.other <> d.tax_id)",
+    "got AS (SELECT a.tax_id, a.other, least(c.n, so_far) - least(c.n, so_far - ask) AS got FROM (SELECT *, sum(ask) OVER (PARTITION BY other ORDER BY tax_id) AS so_far FROM asked) a JOIN counts c ON c.tax_id = a.other)"))
 def met_6(spark, d):
     return T.moved_to_leaves(X.counts(spark, d), X.database(spark, d))
 
