@@ -9,7 +9,8 @@ neighbours decide there. In
 a block every run of white space becomes one space; `<br>` counts as white space. Blocks are joined by a line feed.
 
 Null and empty pages, and pages without a main block, give an empty text. Unclosed tags, comments and scripts run to the
-end of the page. Pages are read whole; repeated rows give repeated results; an empty table gives an empty result; columns
+end of the page. Character references are decoded within each piece of text between tags. A link's words are those of the
+text within it, blocks within it as well; a link that isn't closed ends with the block round it. Pages are read whole; repeated rows give repeated results; an empty table gives an empty result; columns
 other than page_id, url and html are ignored.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +32,12 @@ from . import common
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 #: Fixed values of HTML: elements whose content is no markup, elements without content, elements that break a block.
-RAW = frozenset("script style title textarea iframe noscript noembed noframes template xmp svg math object audio video canvas".split())
+RAW = frozenset("script style title textarea xmp".split())
+FOREIGN = frozenset("iframe noscript noembed noframes template svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements that hold no main text, wherever they stand; and outside an article.
-BOILERPLATE = frozenset("nav footer aside form menu button select dialog fieldset label".split())
+BOILERPLATE = frozenset("nav footer aside form menu button select dialog fieldset".split())
 OUTSIDE = frozenset(("header",))
 #: Beginnings of words in class and id names of what surrounds an article.
 HINTS = ("advert", "sponsor", "promo", "cookie", "consent", "sidebar", "sidenav", "navbar", "navig", "breadcrumb", "footer", "disqus", "newsletter", "subscri", "signup", "popup", "modal", "overlay", "copyright", "pagination", "toolbar", "masthead", "topbar")
@@ -60,6 +63,7 @@ class Block:
     heading: int
     item: int
     paragraph: int
+    sure: int = 0
 
 
 @functools.lru_cache(4096)
@@ -77,7 +81,9 @@ def hinted(attributes: str, in_article: bool) -> int:
         if words & WRAPPERS:
             continue
         weak = words & WEAK_HINTS if not in_article else words & WEAK_HINTS - OUTSIDE_HINTS
-        if any(w.startswith(HINTS) for w in words) or weak and words <= WEAK_HINTS | BOX:
+        strong = {w for w in words if w.startswith(HINTS)}
+        # Within an article a name may begin like a hint and be of its subject: there all of it must be hints or boxes.
+        if strong and (not in_article or words - strong <= WEAK_HINTS | BOX) or weak and words <= WEAK_HINTS | BOX:
             return 1
     return 0
 
@@ -88,23 +94,30 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked_parts: list[str] = []
     stack: list[tuple[str, int, int, int]] = []  # element, and how much it adds to boilerplate, hints and article
-    boilerplate = hints = article = links = 0
-    heading = item = paragraph = False
+    boilerplate = hints = article = mains = 0
+    heading = item = paragraph = title = False
+    open_: Counter[str] = Counter()  # elements on the stack
+    breaks = 0
+    link: list[int] | None = None  # of the open link: breaks and elements before it, and whether it holds text itself
 
     def close() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, text.count(" ") + 1, len("".join(linked_parts).split()), min(boilerplate, 1), min(hints, 1), min(article, 1), int(heading), int(item), int(paragraph)))
+                out.append(Block(text, text.count(" ") + 1, min(len("".join(linked_parts).split()), text.count(" ") + 1), min(boilerplate, 1), min(hints, 1), min(article, 1), int(heading), int(item), int(paragraph), int(title or mains > 0)))
             parts.clear()
             linked_parts.clear()
 
     def said(s: str) -> None:
+        """A piece of text between two tags; what stands between links parts their words."""
         if s:
+            s = html.unescape(s)
             parts.append(s)
-            if links:
-                linked_parts.append(s)
+            linked_parts.append(s if link else " ")
+            if link and link[0] == breaks and s.strip():
+                link[2] = 1
 
+    absent: set[str] = set()  # elements of other markup that end nowhere behind this place
     at = 0
     while m := TOKEN.search(page, at):
         said(page[at : m.start()])
@@ -115,31 +128,42 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             if name in BREAKS:
                 close()
-                heading = item = paragraph = False
-                if any(s[0] == name for s in stack):
-                    while True:
-                        top, b, h, a = stack.pop()
-                        boilerplate, hints, article = boilerplate - b, hints - h, article - a
-                        if top == name:
-                            break
+                heading = item = paragraph = title = False
+                while open_[name]:
+                    top, b, h, a = stack.pop()
+                    open_[top] -= 1
+                    mains -= int(a and top == "main")
+                    boilerplate, hints, article = boilerplate - b, hints - h, article - a
+                    if top == name:
+                        break
+                if link and (link[0] == breaks or len(stack) < link[1]):
+                    link = None  # never closed: the block round it has ended
+                breaks += 1
             elif name == "a":
-                links = 0
+                link = None
             continue
         attributes = m[3] if m[2] else m[6]
         if name in ("svg", "math") and attributes.rstrip().endswith("/"):  # foreign elements may close themselves
             said(" ")
-        elif name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        elif name in RAW or name in FOREIGN:
+            if name not in absent:
+                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if not end and name in FOREIGN:
+                    absent.add(name)
+                else:
+                    at = end.end() if end else len(page)
             said(" ")
         elif name == "a":
-            links = 1
+            link = [breaks, len(stack), 0]
         elif name == "br":
             said(" ")
         elif name in BREAKS:
             close()
-            links = 0
+            if link and link[2]:
+                link = None  # a link with text of its own before a block was never closed; one round blocks goes on
+            breaks += 1
             heading, item, paragraph = name in ("h1", "h2", "h3", "h4", "h5", "h6"), name == "li", name == "p"
+            title = name == "h1"
             if name not in VOID and name not in ("p", "li", "html", "body", "head", "td", "th", "tr", "option", "dt", "dd"):
                 b = int(name in BOILERPLATE or name in OUTSIDE and not article)
                 a = int(name in ("article", "main"))
@@ -148,6 +172,8 @@ def blocks(page: str) -> list[Block]:
                 else:
                     h = 0 if a or not attributes else hinted(attributes, article > 0)
                 stack.append((name, b, h, a))
+                open_[name] += 1
+                mains += int(a and name == "main")
                 boilerplate, hints, article = boilerplate + b, hints + h, article + a
     said(page[at:])
     close()
@@ -160,7 +186,11 @@ FEATURES = ("words", "link_density", "words_before", "link_density_before", "wor
 def features(found: list[Block]) -> np.ndarray:
     own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    has = any(b.article and not b.boilerplate and not b.hints for b in found)
+    # Outside is what stands outside of the page's `main` element, of an article with its main heading, or of articles that
+    # hold most of the text that may be main; other articles are teasers beside a text that is no article.
+    may = [b for b in found if not b.boilerplate and not b.hints]
+    within = sum(b.words for b in may if b.article)
+    has = 2 * within >= sum(b.words for b in may) > 0 or any(b.article and b.sure for b in may)
     tags = np.array([(b.boilerplate, b.hints, b.article, has and not b.article, b.heading, b.item, b.paragraph) for b in found], float).reshape(-1, 7)
     return np.concatenate([own, np.concatenate([edge, own])[:-1], np.concatenate([own, edge])[1:], tags], axis=1)
 
@@ -179,7 +209,13 @@ LAYOUTS = (
     "<article><h1>+2</h1><p>+19</p><aside><p>-15</p></aside><p>+4</p><form><p>-16</p></form><nav><p>-1</p></nav><p>+9</p><footer><p>-3</p></footer></article>",
     "<div class=content><p>+20</p><p>+4</p></div><footer><p>-15</p></footer><aside><p>-17</p></aside><nav><p>-18</p></nav>",
     "<article><p>+30</p><ul><li>+4/4<li>+3/3</ul><p>+12/12</p><p>+20</p><div>+7/7</div></article>",
+    "<article><p>+40</p><p>+31</p></article>",
+    "<div><article><p>+15</p><p>+22/2</p><p>+9</p></article></div><div>-4/4</div>",
+    "<div><p>+44</p></div><article><p>-6/3</p></article><article><p>-4/4</p></article>",
     # No telling tag or name.
+    "<p>+16</p><div>+30</div><div>-4/4</div>",
+    "<div><p>+12</p><p>+60</p><p>+9</p></div>",
+    "<p>+5</p><p>+33</p><p>+21/2</p>",
     "<div><div>-1/1</div><div>-1/1</div><div>-2/2</div></div><div><h1>+5</h1><div>+45</div><div>+3</div><div>+30/4</div></div><div>-8/6</div>",
     "<ul><li>-1/1<li>-2/2<li>-1/1</ul><div>+35</div><div>+28/3</div><div>+4</div><div>+16</div><ul><li>-3/3<li>-4/4</ul>",
     "<p>-5/5</p><p>+50</p><p>+8/6</p><p>+31</p><p>-3/3</p>",

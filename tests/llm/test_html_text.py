@@ -100,3 +100,59 @@ def test_extract(spark):
     got = html_text.digest(html_text.extract(pages)).collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, 3), (None, 0), (1, 3), (2, 499_999)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+WORDS = "word " * 40
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><a>Home</a> <a>About us</a> <a>Contact</a> <a>News</a></div><p>{WORDS}</p>", WORDS.strip()),
+        (f"<p>{WORDS}</p><a href=x><div>Another long story title</div></a><a href=y><div><h3>One more</h3><p>of several words</p></div></a>", WORDS.strip()),
+        (f"<div class=entry><p>{WORDS}</p></div><article class=card><p>teaser</p></article>", None),
+        (f"<article><h1>On shops</h1><p>{WORDS}</p><section class='advertising-history'><p>{WORDS}</p></section><div class='subscription-model'>{WORDS}</div></article>", f"On shops\n{WORDS.strip()}\n{WORDS.strip()}\n{WORDS.strip()}"),
+        (f"<article><p>{WORDS}</p><div class=advert-box>{WORDS}</div></article>", WORDS.strip()),
+        (f"<article><p>{WORDS}</p><object data=x><p>more {WORDS}</p></article>", f"{WORDS.strip()}\nmore {WORDS.strip()}"),
+        (f"<article><p>{WORDS}<label>all of it</label></p></article>", f"{WORDS.strip()}\nall of it"),
+        (f"<article><p>AT&<b>amp</b>;T &lt;b&gt; {WORDS}</p></article>", f"AT&amp;T <b> {WORDS.strip()}"),
+        (f"<article><p>{WORDS}<a href=x>unclosed<p>{WORDS}</article>", f"{WORDS.strip()} unclosed\n{WORDS.strip()}"),
+        (f"<main><p>{WORDS}</p></main><div>{WORDS * 9}</div>", WORDS.strip()),
+    ],
+)
+def test_pages_that_mislead(page, text):
+    got = html_text.main_text(page)
+    assert got == text if text is not None else WORDS.strip() in got.split("\n")
+
+
+def test_linked_words_are_those_of_the_text_in_links():
+    linked = lambda page: [(b.words, b.linked) for b in html_text.blocks(page)]
+    assert linked("<p><a>one two</a> <a>three</a>four <a>fi<b>ve</b></a></p>") == [(4, 4)]
+    assert linked("<p>a <a>b c</a> d <a>e</a> f</p>") == [(6, 3)]
+    assert linked("<p>a <a>b c<p>d e") == [(3, 2), (2, 0)]
+    assert linked("<div><a>b<div>c d</a> e</div>f</div>") == [(1, 1), (3, 0), (1, 0)]
+    assert linked("<a><div>c d</div><div>e</div></a><div>f</div>") == [(2, 2), (1, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "x" + "</section></p></i>" * 60_000, "<svg>" * 30_000 + "x", "<p>" * 100_000 + "</div>" * 100_000, "<a>x<div>" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_features_and_tree_by_brute_force():
+    """Each block's numbers from the list of blocks alone, and the tree walked row by row."""
+    pages = [html_text.labelled(x) for x in html_text.LAYOUTS]
+    for page in pages:
+        found = html_text.blocks(page)
+        x = html_text.features(found)
+        for k, b in enumerate(found):
+            own = lambda i: (found[i].words, found[i].linked / found[i].words) if 0 <= i < len(found) else (0, 0)  # noqa: B023, E731
+            assert x[k, :6].tolist() == [*own(k), *own(k - 1), *own(k + 1)]
+            node = html_text.tree()
+            while node.feature >= 0:
+                node = node.low if x[k, node.feature] <= node.cut else node.high
+            assert node.main == html_text.classified(x)[k] == (b.text[0] == "+")
