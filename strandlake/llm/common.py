@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,14 +59,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever dots and backticks it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def boxed(df: DataFrame) -> DataFrame:
     """doc_id, text and box, which holds all other columns by place: their names, whatever they are, clash with nothing."""
-    return df.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c not in ("doc_id", "text")]).alias("box"))
+    return df.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[column(c).alias(f"c{k}") for k, c in enumerate(df.columns) if c not in ("doc_id", "text")]).alias("box"))
 
 
-def unboxed(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of `like`, which was boxed."""
-    return df.select([F.col(c) if c in ("doc_id", "text") else F.col("box").getField(f"c{k}").alias(c) for k, c in enumerate(like.columns)])
+def unboxed(df: DataFrame, like: DataFrame, *added: str) -> DataFrame:
+    """The columns of `like`, which was boxed; and those of df that are named, in place of any of the same name."""
+    own = [F.col(c) if c in ("doc_id", "text") else F.col("box").getField(f"c{k}").alias(c) for k, c in enumerate(like.columns) if c not in added]
+    return df.select(*own, *added)
 
 
 def documents(df: DataFrame, *columns: str) -> DataFrame:

@@ -4,17 +4,19 @@ Bytes are embedded; learned filters of WIDTH bytes move over the whole document
 max-pooled within overlapping chunks (a chunk is two neighbouring halves of HALF bytes), the chunk maxima are combined
 over the document by their maximum, mean and minimum, and a small dense layer gives one probability.
 
-The network is trained on the driver on a bounded sample: at most SAMPLE labelled rows of each class whose text has at
-most SAMPLE_BYTES bytes, by the least hash of doc_id. Scoring reads every text whole, in blocks of bounded memory.
+The network is trained on the driver on a bounded sample: at most SAMPLE labelled documents of each class, by the least
+hash of doc_id, of texts of more than SAMPLE_BYTES bytes PIECES pieces spread evenly over the whole. Labels of documents
+that aren't there don't count. Scoring reads every text whole, in blocks of bounded memory.
 
 Null and empty texts score as a chunk of padding. Rows without a label, with a null label or with a null doc_id are not
-trained on; of several labels for a document the least counts. Without any labelled row nothing can be rejected: every
-score is 1. Repeated rows get the same score; an empty table gives an empty result; lang, source and other columns are
+trained on; of several labels for a document the least counts, of several texts the least. Where no document has a label
+nothing can be rejected: every score is 1, with a warning. Repeated rows get the same score; an empty table gives an empty result; lang, source and other columns are
 never read.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,14 +30,14 @@ from . import common
 DIM, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 HALF = 128
 TAPS = WIDTH // STEP
-SAMPLE, SAMPLE_BYTES = 1200, 16384
+SAMPLE, SAMPLE_BYTES, PIECES = 1200, 16384, 16
 ROUNDS, BATCH, RATE = 5, 32, 0.01
 BLOCK = 1 << 18
 THRESHOLD = 0.7
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts in whole halves, each padded by WIDTH bytes at least so that no filter reaches into the next; and where each begins."""
+    """The texts in whole halves, each padded by WIDTH bytes at least, so that no filter reaches from one into the next; and where each begins."""
     halves = np.array([(len(t) + WIDTH) // HALF + 1 for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(halves)])
     flat = bytearray(int(first[-1]) * HALF + WIDTH)
@@ -64,10 +66,19 @@ class Network:
         y += self.w["conv_b"]
         return x, y.reshape(-1, HALF // STEP, FILTERS)
 
-    def half_maxima(self, flat: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def closed(y: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """y, in which the places at the end of a document's last half don't count: their filters reach into the next
+        document. What they would see of their own is padding only, as the place before them does."""
+        y[last, 1 - TAPS :] = -np.inf
+        return y
+
+    def half_maxima(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
         n = (len(flat) - WIDTH) // HALF
         per = BLOCK // HALF
-        return np.concatenate([self.responses(flat[a * HALF : min(n, a + per) * HALF + WIDTH])[1].max(axis=1) for a in range(0, n, per)])
+        last = np.zeros(n, bool)
+        last[first[1:] - 1] = True
+        return np.concatenate([self.closed(self.responses(flat[a * HALF : min(n, a + per) * HALF + WIDTH])[1], last[a : a + per]).max(axis=1) for a in range(0, n, per)])
 
     @staticmethod
     def chunk_ends(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +104,7 @@ class Network:
         for t in [*texts, None]:
             if group and (t is None or held + len(t) > 4 * BLOCK):
                 flat, first = laid_out(group)
-                out.append(self.head(self.combined(self.half_maxima(flat), first))[1])
+                out.append(self.head(self.combined(self.half_maxima(flat, first), first))[1])
                 group, held = [], 0
             if t is not None:
                 group.append(t)
@@ -104,6 +115,7 @@ class Network:
         w = self.w
         flat, first = laid_out(texts)
         x, y = self.responses(flat)
+        y = self.closed(y, first[1:] - 1)
         n = len(y)
         where = y.argmax(axis=1)
         maxima = np.take_along_axis(y, where[:, None], 1)[:, 0]
@@ -164,18 +176,34 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def thinned(text: bytes) -> bytes:
+    """text itself, or PIECES pieces spread over it if it is long."""
+    if len(text) <= SAMPLE_BYTES:
+        return text
+    size = SAMPLE_BYTES // PIECES
+    return b"".join(text[a : a + size] for a in ((len(text) - size) * k // (PIECES - 1) for k in range(PIECES)))
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The bounded training sample; its ids are at most 8 * SAMPLE, so they are broadcast."""
+    """The bounded training sample, by the hash of doc_id; its ids, at most 2 * SAMPLE, are broadcast."""
     one = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
-    one = one.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    few = lambda q: one.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * SAMPLE)
-    picked = common.documents(docs).join(F.broadcast(few(0).unionByName(few(1))), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = [r for q in (0, 1) for r in picked.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()]
-    return [r.text.encode("utf-8", "surrogatepass") for r in rows], np.array([r.quality for r in rows], np.float32)
+    one = one.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    few = lambda q: one.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = common.documents(docs).join(F.broadcast(few(0).unionByName(few(1))), "doc_id").groupBy("quality", F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [thinned(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"), batch.column("doc_id").cast(pa.string()), pa.array(short, pa.binary())], names=["quality", "h", "id", "text"])
+
+    rows = sorted(texts.mapInArrow(run, "quality int, h bigint, id string, text binary").collect(), key=lambda r: (r.quality, r.h, r.id))
+    return [bytes(r.text) for r in rows], np.array([r.quality for r in rows], np.float32)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
     texts, quality = sample(docs, labels)
+    if not texts:
+        warnings.warn("no document that is not held out has a label: nothing is learnt and every document scores 1", stacklevel=2)
     return Network.new().fit(texts, quality) if texts else None
 
 
@@ -184,8 +212,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     from pyspark.sql import types as T
 
     network = trained(docs, labels)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "score"] + [T.StructField("score", T.DoubleType())])
-    docs = docs.select([f.name for f in schema.fields[:-1]])
+    boxed = common.boxed(docs)
+    schema = T.StructType([*boxed.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -195,4 +223,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 p = network.scores(texts).astype(np.float64) if network else np.ones(len(texts))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])
 
-    return common.small_batches(docs).mapInArrow(run, schema)
+    return common.unboxed(common.small_batches(boxed).mapInArrow(run, schema), docs, "score")
