@@ -12,6 +12,7 @@ results; an empty table gives an empty result; columns other than doc_id and tex
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ NOTICES = (
 MIN_RUN = 3
 MAX_GAP = 6
 MIN_COVERED = 0.7
+#: A match with a template: its end in the file, its length, its end in the template.
+Piece = tuple[int, int, int]
 
 #: Lower-cases A-Z and turns every ASCII byte outside 0-9, A-Z and a-z into a space; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -60,17 +63,17 @@ class SuffixAutomaton:
     def __init__(self, templates: list[tuple[str, list[int]]], phrases: list[tuple[str, list[int]]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        ends: list[dict[int, int]] = [{}]  # state -> template -> where the state's strings first end in it
+        ends: list[dict[int, set[int]]] = [{}]  # state -> template -> where the state's strings end in it
         for t, (_, tokens) in enumerate(templates):
             last = 0
             for k, c in enumerate(tokens):
                 last = self._extend(last, c, ends)
-                ends[last].setdefault(t, k + 1)
+                ends[last].setdefault(t, set()).add(k + 1)
         for v in sorted(range(1, len(self.len)), key=lambda v: -self.len[v]):
             up = ends[self.link[v]]
             for t, e in ends[v].items():
-                up[t] = min(up.get(t, e), e)
-        self.ends = [tuple(e.items()) for e in ends]
+                up.setdefault(t, set()).update(e)
+        self.ends = [[(t, sorted(e)) for t, e in found.items()] for found in ends]
         own: dict[int, list[tuple[int, str]]] = {}
         for label, tokens in phrases:
             v = 0
@@ -81,7 +84,7 @@ class SuffixAutomaton:
         for v in sorted(range(1, len(self.len)), key=lambda v: self.len[v]):
             self.outputs[v] = (*self.outputs[self.link[v]], *own.get(v, ()))
 
-    def _extend(self, last: int, c: int, ends: list[dict[int, int]]) -> int:
+    def _extend(self, last: int, c: int, ends: list[dict[int, set[int]]]) -> int:
         nxt, link, size = self.next, self.link, self.len
 
         def split(p: int, q: int) -> int:
@@ -154,21 +157,45 @@ class Scanner:
         return sorted(places), self.chained(matches)
 
     def chained(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        open_: dict[int, list[int]] = {}  # template -> start and end in the file, end in the template, tokens covered
-        done: list[tuple[int, list[int]]] = []
+        """The spans of chains that cover enough of their template; of chains of one template that overlap, the one that covers most."""
+        pieces: dict[int, list[Piece]] = {}
         for end, length, state in matches:
-            for t, at in self.automaton.ends[state]:
-                chain = open_.get(t)
-                start, first = end - length, at - length
-                if chain and start - chain[1] <= MAX_GAP and chain[2] <= first + (over := max(0, chain[1] - start)) and over < length:
-                    chain[1:] = [end, at, chain[3] + length - over]
-                else:
-                    if chain:
-                        done.append((t, chain))
-                    open_[t] = [start, end, at, length]
-        done += open_.items()
-        found = [(self.templates[t][0], c[0], c[1], min(1.0, c[3] / len(self.templates[t][1]))) for t, c in done]
-        return sorted(x for x in found if x[3] >= MIN_COVERED)
+            for t, places in self.automaton.ends[state]:
+                pieces.setdefault(t, []).extend((end, length, at) for at in places)
+        found = []
+        for t, mine in pieces.items():
+            label, size = self.templates[t][0], len(self.templates[t][1])
+            least = MIN_COVERED * size
+            if sum(length for _, length, _ in mine) < least:
+                continue
+            taken: list[tuple[int, int]] = []
+            for covered, start, end in sorted((c for c in chains(mine) if c[0] >= least), key=lambda c: (-c[0], c[1], c[2])):
+                k = bisect.bisect(taken, (start, end))
+                if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                    taken.insert(k, (start, end))
+                    found.append((label, start, end, min(1.0, covered / size)))
+        return sorted(found)
+
+
+def chains(pieces: list[Piece]) -> list[tuple[int, int, int]]:
+    """For each piece the best chain that ends with it: tokens covered, start and end in the file. Pieces stand by their end.
+
+    A piece may follow another if it begins at most MAX_GAP tokens behind it once what overlaps with it, in the file or in
+    the template, is cut off its front, and if something is left. Of equal chains the one that begins last counts. Only
+    pieces that end within a piece or MAX_GAP before it are looked at, so the work is the pieces by a template's length.
+    """
+    out: list[tuple[int, int, int]] = []
+    for j, (end, length, at) in enumerate(pieces):
+        start, best = end - length, (length, end - length)
+        for i in range(j - 1, -1, -1):
+            before, _, reached = pieces[i]
+            if before < start - MAX_GAP:
+                break
+            cut = max(0, before - start, reached - (at - length))
+            if cut < length and start + cut - before <= MAX_GAP:
+                best = max(best, (out[i][0] + length - cut, out[i][1]))
+        out.append((*best, end))
+    return out
 
 
 @functools.cache
