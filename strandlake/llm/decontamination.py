@@ -169,7 +169,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[Matcher]:
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of docs, and matches: (item_id, distance in words, first word) by item_id, in place of any column of that name."""
-    out = common.small_batches(docs).drop("matches").withColumn("matches", F.array().cast(MATCH))
+    out = common.small_batches(common.boxed(docs)).withColumn("matches", F.array().cast(MATCH))
     spark = docs.sparkSession
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32())]))
     for block in blocks(benchmark):
@@ -185,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield batch.set_column(i, "matches", pa.array(both, kind))
 
         out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema]))
-    return out
+    return common.unboxed(out, docs, "matches")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

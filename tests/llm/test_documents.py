@@ -496,6 +496,121 @@ def test_quality_model_edges(spark):
     assert {r.score for r in quality_model.score(table(spark), labels.limit(0)).collect()} == {1.0}
 
 
+def test_quality_model_learns_from_labels_of_documents_that_are_there(spark, monkeypatch):
+    """Most labels are of other documents; long texts are sampled in pieces, repeated rows once."""
+    monkeypatch.setattr(quality_model, "SAMPLE", 40)
+    rows = [(7 * k, ("long " * 10_000 if k % 3 else "short ") + f"text {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id bigint, text string")
+    labels = spark.range(300_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    texts, quality = quality_model.sample(docs, labels)
+    assert len(texts) == 80 and quality.sum() == 40 and max(map(len, texts)) == quality_model.SAMPLE_BYTES
+    with pytest.warns(UserWarning, match="no document"):
+        assert {r.score for r in quality_model.score(docs.limit(3), labels.filter("doc_id > 100000")).collect()} == {1.0}
+
+
+def test_quality_model_against_plain_loops():
+    """Scores by a plain convolution over each document's bytes, and gradients by finite differences."""
+    r = np.random.default_rng(4)
+    net = quality_model.Network.new()
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    texts = [bytes(r.integers(97, 103, n).astype(np.uint8)) for n in (0, 1, 40, 127, 128, 300)]
+    w = net.w
+    width, step, half = quality_model.WIDTH, quality_model.STEP, quality_model.HALF
+
+    def plain(t):
+        halves = (len(t) + width) // half + 1
+        padded = t + bytes(halves * half + width - len(t))
+        maxima = []
+        for a in range(halves):
+            best = np.full(quality_model.FILTERS, -np.inf)
+            for p in range(a * half, (a + 1) * half, step):
+                y = w["conv_b"].copy()
+                for k in range(quality_model.TAPS):
+                    y = y + np.concatenate([w["embed"][padded[p + k * step + i]] for i in range(step)]) @ w["conv"][k]
+                best = np.maximum(best, y)
+            maxima.append(best)
+        chunks = np.array([np.maximum(m, maxima[min(i + 1, halves - 1)]) for i, m in enumerate(maxima)])
+        hidden = np.maximum(np.concatenate([chunks.max(0), chunks.mean(0), chunks.min(0)]) @ w["dense"] + w["dense_b"], 0)
+        return 1 / (1 + np.exp(-(hidden @ w["out"] + w["out_b"][0])))
+
+    want = [plain(t) for t in texts]
+    assert np.allclose(net.scores(texts), want, atol=1e-6)
+    labels = np.array([0, 1, 1, 0, 1, 0], float)
+    loss = lambda: -np.mean([np.log(p if y else 1 - p) for p, y in zip(net.scores(texts), labels, strict=True)])
+    grad = net.gradients(texts, labels)
+    for name, values in net.w.items():
+        for _ in range(6):
+            at = tuple(int(r.integers(97, 103)) if name == "embed" and not i else int(r.integers(0, n)) for i, n in enumerate(values.shape))
+            old = values[at]
+            values[at] = old + 1e-6
+            up = loss()
+            values[at] = old - 1e-6
+            down = loss()
+            values[at] = old
+            assert abs((up - down) / 2e-6 - grad[name][at]) < 1e-4
+
+
+def plain_chain(pieces):
+    """The most tokens that any choice of pieces covers, tried in every order of their ends."""
+    best = 0
+
+    def go(last, covered):
+        nonlocal best
+        best = max(best, covered)
+        for end, length, at in pieces:
+            start, first = end - length, at - length
+            cut = 0 if last is None else max(0, last[0] - start, last[1] - first)
+            if last is None or end > last[0] and cut < length and start + cut - last[0] <= license_scan.MAX_GAP:
+                go((end, at), covered + length - cut)
+
+    go(None, 0)
+    return best
+
+
+def test_chains_cover_most():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        pieces = sorted((int(r.integers(3, 40)), int(r.integers(3, 9)), int(r.integers(3, 30))) for _ in range(7))
+        pieces = [(end, min(n, end, at), at) for end, n, at in pieces]
+        assert max(c[0] for c in license_scan.chains(pieces)) == plain_chain(pieces)
+
+
+def test_edited_notices_are_found_wherever_a_chain_covers_enough():
+    """Notices with words left out, put in and doubled: a label is missed only where no chain of its template's places covers enough."""
+    r = np.random.default_rng(8)
+    scan = license_scan.scanner()
+    found = 0
+    for _ in range(400):
+        label, notice = license_scan.NOTICES[int(r.integers(0, len(license_scan.NOTICES)))]
+        w = notice.split()
+        for _ in range(int(r.integers(1, 4))):
+            i = int(r.integers(0, len(w)))
+            w[i : i + 1] = [[], [w[i], "inserted"], w[max(0, i - 3) : i + 1]][int(r.integers(0, 3))]
+        tokens = [x.encode() for x in w]
+        want = set()
+        for name, template in scan.templates:
+            ids = [scan.vocabulary.get(x) for x in tokens]
+            # Maximal matches by plain comparison: the longest part of any template that ends at a place, not to be longer at the next.
+            ends = [max((n for n in range(1, i + 2) if any(ids[i + 1 - n : i + 1] == t[b : b + n] for _, t in scan.templates for b in range(len(t) - n + 1))), default=0) for i in range(len(ids))]
+            longest = [(i + 1, n) for i, n in enumerate(ends) if n >= license_scan.MIN_RUN and (i + 1 == len(ends) or ends[i + 1] != n + 1)]
+            pieces = [(e, n, b + n) for e, n in longest for b in range(len(template) - n + 1) if template[b : b + n] == ids[e - n : e]]
+            if pieces and plain_chain(pieces) >= license_scan.MIN_COVERED * len(template):
+                want.add(name)
+        got = {x[0] for x in scan.scan(tokens)[1]}
+        assert got == want, (w, got, want)
+        found += label in got
+    assert found > 200
+
+
+def test_columns_of_any_name_are_carried(spark):
+    df = table(spark, ROWS[:6]).withColumns({"a.b": F.lit(1), "back`tick": F.lit(2)})
+    labels = spark.createDataFrame([(5, 1), (14, 0)], "doc_id bigint, quality int")
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    for got in (quality_model.score(df, labels), decontamination.find(df, items), decontamination.clean(df, items), near_dedup.representatives(df)):
+        rows = got.collect()
+        assert set(df.columns) <= set(got.columns) and rows and {r["a.b"] for r in rows} == {1} and {r["back`tick"] for r in rows} == {2}
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
