@@ -1,8 +1,4 @@
-"""Readers and writers of reads, cycles, base calls, transforms and side files.
-
-Line formats are read with `wholetext` where records span lines: a file is one row, its lines are exploded with their
-number, so numbering needs no global index. Files are split by writing many of them, as sequencers do.
-"""
+"""Readers and writers of reads, cycles, base calls, transforms and side files."""
 
 from __future__ import annotations
 
@@ -14,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..functions import runs as R
-from ..operators.suffixes import ranked
+from . import records
 
 #: File endings of the formats.
 ENDINGS = {".fa": "fasta", ".fasta": "fasta", ".fastq": "fastq", ".fq": "fastq", ".seq": "seq", ".bcl": "bcl", ".cyc": "cyc"}
@@ -47,23 +43,6 @@ def sniffed(spark: SparkSession, path: str) -> str:
         return format_of(path, head[0][0] if head else None)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 0) and value of every line."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-
-
-def records(rows: DataFrame, per: int) -> DataFrame:
-    """file, record and parts: `per` lines each."""
-    full = rows.filter("value != ''")
-    return full.groupBy("file", F.floor(F.col("line") / per).cast("bigint").alias("record")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("line") % per).alias("k"), "value"))).alias("parts"))
-
-
-def numbered(found: DataFrame) -> DataFrame:
-    """Records of several files on end, in the order of the files' names."""
-    return ranked(found, "file", "record").withColumnRenamed("rank", "seq_id").drop("file", "record")
-
-
 def checked(reads: DataFrame) -> DataFrame:
     """Reads of one length; another length is an error when the row is read."""
     first = reads.agg(F.min(F.length("bases")).alias("least"))
@@ -71,24 +50,17 @@ def checked(reads: DataFrame) -> DataFrame:
     return held.filter(F.when(F.length("bases") == F.col("least"), True).otherwise(F.raise_error(F.concat(F.lit("read of another length: "), F.col("seq_id").cast("string"))).cast("boolean"))).drop("least")
 
 
-def part(k: int) -> Column:
-    return F.element_at("parts", F.lit(k))
-
-
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    rows = records(lines(spark, path), 2)
-    return numbered(rows.select("file", "record", F.substring(part(0), 2, 1 << 30).alias("name"), part(1).alias("bases"), F.lit(None).cast("string").alias("quals"))).select("seq_id", "name", "bases", "quals")
+    return records.read(spark, path, "fasta").select("seq_id", F.substring("p0", 2, 1 << 30).alias("name"), F.col("p1").alias("bases"), F.lit(None).cast("string").alias("quals"))
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    rows = records(lines(spark, path), 4)
-    return numbered(rows.select("file", "record", F.substring(part(0), 2, 1 << 30).alias("name"), part(1).alias("bases"), part(3).alias("quals"))).select("seq_id", "name", "bases", "quals")
+    return records.read(spark, path, "fastq").select("seq_id", F.substring("p0", 2, 1 << 30).alias("name"), F.col("p1").alias("bases"), F.col("p3").alias("quals"))
 
 
 def seq(spark: SparkSession, path: str) -> DataFrame:
-    rows = records(lines(spark, path), 1)
     none = F.lit(None).cast("string")
-    return numbered(rows.select("file", "record", none.alias("name"), part(0).alias("bases"), none.alias("quals"))).select("seq_id", "name", "bases", "quals")
+    return records.read(spark, path, "seq").select("seq_id", none.alias("name"), F.col("p0").alias("bases"), none.alias("quals"))
 
 
 def cycles(spark: SparkSession, stem: str) -> DataFrame:

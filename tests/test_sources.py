@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from strandlake.functions import runs as R
 from strandlake.plans import convert
-from strandlake.sources import files
+from strandlake.sources import files, records
 
 
 def test_text_formats(spark, tmp_path):
@@ -102,3 +104,56 @@ def test_corrections_file(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, 0, "ACG", 3, 8, 9)], schema)
     files.write_corrections(rows, str(tmp_path / "c"))
     assert files.corrections(spark, str(tmp_path / "c")).collect() == rows.collect()
+
+
+def plain_records(texts, per):
+    out = []
+    for t in texts:
+        x = t.splitlines()
+        while x and not x[-1]:
+            x.pop()
+        out += [tuple(x[i : i + per]) for i in range(0, len(x), per)]
+    return out
+
+
+@pytest.mark.parametrize("size", [40, 333, 100_000])
+def test_records_of_split_files(spark, tmp_path, size):
+    """Ranges of a few letters up to whole files, with qualities that begin like names, empty reads and empty lines at ends."""
+    r = random.Random(size)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    fastq, fasta, seq = [], [], []
+    for f in range(3):
+        sizes = [r.choice([0, 1, 3, 30, 100]) for _ in range(r.randint(1, 12))]
+        fastq.append("".join(f"@n{f}.{k}\n{word('ACGT', n)}\n+\n{word('@+I#', n)}\n" for k, n in enumerate(sizes)) + "\n" * f)
+        fasta.append("".join(f">n{f}.{k} x\n{word('ACGTN', n)}\n" for k, n in enumerate(sizes)) + "\n" * f)
+        seq.append("".join(f"{word('ACGT', n)}\n" for n in sizes))
+    fastq[1] = fastq[1].rstrip("\n")  # no line feed at the end
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        for kind, texts, per in (("fastq", fastq, 4), ("fasta", fasta, 2), ("seq", seq, 1)):
+            folder = tmp_path / kind
+            folder.mkdir()
+            for k, t in enumerate(texts):
+                (folder / f"{k}.{kind}").write_text(t)
+            want = [x for x in plain_records(texts, per) if per > 1 or x[0]]
+            df = records.read(spark, str(folder), kind)
+            rows = sorted(tuple(x) for x in df.collect())
+            assert [x[0] for x in rows] == list(range(len(want)))
+            assert [tuple(y or "" for y in x[1:]) for x in rows] == [x + ("",) * (per - len(x)) for x in want]
+            if size == 40:
+                assert records.lines(spark, str(folder)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_records_out_of_step(spark, tmp_path):
+    (tmp_path / "odd.fa").write_text(">a\nAC\nGT\n>b\nACGT\n")
+    with pytest.raises(Exception, match="out of step"):
+        records.read(spark, str(tmp_path / "odd.fa"), "fasta").collect()
+
+
+def test_compressed_records(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.fq.gz").write_bytes(gzip.compress(b"@a\nAC\n+\n@+\n@b\nGT\n+\nII\n"))
+    assert sorted(tuple(x) for x in files.fastq(spark, str(tmp_path / "a.fq.gz")).collect()) == [(0, "a", "AC", "@+"), (1, "b", "GT", "II")]
