@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes as S
+from .storage import stored
+
+#: Ranks of a bin of the range join; steps of a search between tables.
+BIN, KEPT = 64, 6
 
 
 def words(reads: DataFrame, *lengths: int) -> DataFrame:
@@ -30,14 +34,35 @@ def occurrences(reads: DataFrame, kmers: DataFrame) -> DataFrame:
     return words(reads, *(lengths_of(kmers) or [1])).join(kmers.select(F.col("kmer").alias("word")).distinct(), "word").select(F.col("word").alias("kmer"), "seq_id", "pos")
 
 
-def intervals(table: DataFrame, kmers: DataFrame) -> DataFrame:
+def intervals(index: DataFrame, piles: DataFrame, kmers: DataFrame, per: int = S.BLOCK) -> DataFrame:
     """kmer, position (of its first suffix in the pile of its first letter) and count; 0 0 where it is absent.
 
-    table: the transform with suffix. Rows of kmers that repeat are kept.
+    Backward search: the places of a word's suffixes are an interval of ranks, and a letter more in front leads from both
+    of its ends to those of the longer word, by the number of such letters before them. index: S.rank_index of the
+    transform, piles: S.smaller. A step looks up two blocks for each word that is still there, so neither suffixes nor reads
+    are looked at. Rows of kmers that repeat are kept.
     """
-    k = F.explode(F.array(*map(F.lit, lengths_of(kmers) or [1]))).alias("k")
-    prefixes = table.select("suffix", "pile_pos", k).filter(F.length("suffix") >= F.col("k")).select(F.col("suffix").substr(F.lit(1), F.col("k")).alias("kmer"), "pile_pos")
-    found = prefixes.join(kmers.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.min("pile_pos").alias("position"), F.count("*").alias("count"))
+    begins = F.broadcast(piles.agg(F.map_from_entries(F.collect_list(F.struct("ch", "smaller"))).alias("begins"), F.max("smaller").alias("most")))  # one row
+    total = index.agg(F.sum(F.length("letters")).alias("total"))
+    now = kmers.select("kmer").filter("kmer != ''").distinct().crossJoin(begins).crossJoin(F.broadcast(total))
+    now = now.select("kmer", "begins", F.lit(0).cast("bigint").alias("low"), F.col("total").alias("high"))
+    for j in range(1, max(lengths_of(kmers) or [0]) + 1):
+        letter = F.col("kmer").substr(F.length("kmer") - (j - 1), F.lit(1))
+        going = now.withColumn("c", F.when(F.length("kmer") >= j, letter))
+        for end in ("low", "high"):
+            blocks = index.select(F.col("block").alias("b"), "letters", *[F.col(f"before_{S.NAMES[c]}").alias(f"x_{S.NAMES[c]}") for c in S.LETTERS])
+            # The place behind the last letter may be the first of a block that isn't there: it belongs to the block before.
+            at = F.greatest(F.floor((F.col(end) - 1) / per), F.lit(0))
+            part = F.col("letters").substr(F.lit(1), (F.col(end) - at * per).cast("int"))
+            inside = F.length("part") - F.length(F.replace("part", "c", F.lit("")))
+            before = F.coalesce(*[F.when(F.col("c") == c, F.col(f"x_{S.NAMES[c]}")) for c in S.LETTERS])
+            looked = going.withColumn("b", at).join(blocks, "b").withColumn("part", part)
+            moved = F.when(F.col("c").isNotNull(), F.element_at("begins", F.col("c")) + before + inside).otherwise(F.col(end))
+            going = looked.withColumn(end, moved).select("kmer", "begins", "low", "high", "c")
+        now = going.filter("low < high").drop("c")
+        if j % KEPT == 0:
+            now = stored(now)
+    found = now.select("kmer", (F.col("low") - F.element_at("begins", F.substring("kmer", 1, 1))).alias("position"), (F.col("high") - F.col("low")).alias("count"))
     return kmers.join(found, "kmer", "left").select("kmer", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
@@ -47,9 +72,14 @@ def in_search_order(found: DataFrame) -> DataFrame:
 
 
 def located(table: DataFrame, found: DataFrame) -> DataFrame:
-    """For every place of every interval its read: kmer, position (in the pile), seq_id, pos. A range join on the pile."""
-    spans = found.filter("count > 0").select("kmer", F.substring("kmer", 1, 1).alias("pile"), F.explode(F.sequence("position", F.col("position") + F.col("count") - 1)).alias("pile_pos")).distinct()
-    return spans.join(table.select("pile", "pile_pos", "seq_id", "pos"), ["pile", "pile_pos"]).select("kmer", F.col("pile_pos").alias("position"), "seq_id", "pos")
+    """For every place of every interval its read: kmer, position (in the pile), seq_id, pos.
+
+    A range join: intervals are cut at the edges of bins of the pile, and a bin's part is compared with its rows.
+    """
+    first, last = F.floor(F.col("position") / BIN), F.floor((F.col("position") + F.col("count") - 1) / BIN)
+    spans = found.filter("count > 0").distinct().select("kmer", F.substring("kmer", 1, 1).alias("pile"), "position", (F.col("position") + F.col("count")).alias("end"), F.explode(F.sequence(first, last)).alias("bin"))
+    rows = table.select("pile", F.col("pile_pos").alias("at"), F.floor(F.col("pile_pos") / BIN).alias("bin"), "seq_id", "pos")
+    return spans.join(rows, ["pile", "bin"]).filter("at >= position and at < end").select("kmer", F.col("at").alias("position"), "seq_id", "pos")
 
 
 def extracted(reads: DataFrame, ids: DataFrame) -> DataFrame:
@@ -67,9 +97,9 @@ def with_mates(ids: DataFrame, half: int | Column) -> DataFrame:
     return ids.select("seq_id").unionByName(ids.select(other.alias("seq_id"))).distinct()
 
 
-def indexed_search(reads: DataFrame, table: DataFrame, kmers: DataFrame, repeat: int = 100) -> DataFrame:
-    """Records of the reads that hold a word with fewer than `repeat` places; each record once."""
-    few = intervals(table, kmers.select("kmer").distinct()).filter((F.col("count") > 0) & (F.col("count") < repeat))
+def indexed_search(reads: DataFrame, table: DataFrame, found: DataFrame, repeat: int = 100) -> DataFrame:
+    """Records of the reads that hold a word with fewer than `repeat` places; each record once. found: intervals."""
+    few = found.distinct().filter((F.col("count") > 0) & (F.col("count") < repeat))
     return extracted(reads, located(table, few))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from .storage import stored
+from .sums import running
 
 LETTERS = tuple(B.ALPHABET)
 NAMES = {"$": "end", "A": "a", "C": "c", "G": "g", "N": "n", "T": "t"}
@@ -84,20 +85,43 @@ def lcp(table: DataFrame, longest: int) -> DataFrame:
     return joined.select("rank", "seq_id", "pos", "ch", F.when(F.col("b").isNull(), 0).otherwise(B.common_prefix(F.col("suffix"), F.col("b"), longest)).alias("lcp"))
 
 
+#: Letters of a block of the transform, for rank look-ups.
+BLOCK = 4096
+
+
+def by_letter(table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """ch, block, n and before: how often a letter stands in a block of ranks, and in all blocks before it; all letters for each block."""
+    at = table.groupBy(F.floor(F.col("rank") / block).alias("block")).agg(*letter_counts())
+    each = at.select("block", F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(f"n_{NAMES[c]}").alias("n")) for c in LETTERS])).alias("x")).select("x.ch", "block", "x.n")
+    return running(each, "ch", "block", "n")
+
+
+def smaller(table: DataFrame) -> DataFrame:
+    """ch and smaller, the number of letters below it: where its pile begins. Six rows."""
+    counts = table.groupBy("ch").agg(F.count("*").alias("n"))
+    below = [F.coalesce(F.sum(F.when(F.lit(c) > F.col("ch"), F.col("n"))), F.lit(0)) for c in LETTERS]
+    return counts.agg(F.array(*[F.struct(F.lit(c).alias("ch"), x.alias("smaller")) for c, x in zip(LETTERS, below, strict=True)]).alias("x")).select(F.explode("x").alias("x")).select("x.ch", "x.smaller")
+
+
 def lf(table: DataFrame) -> DataFrame:
     """rank, occ (how often its letter stands before) and lf, where the suffix one longer stands.
 
     lf is the number of letters that are smaller, plus occ. Occurrences are counted by blocks of ranks: totals before a
-    block by one row a block and letter, the rest within it.
+    block by running sums, the rest within it.
     """
-    block = F.floor(F.col("rank") / 65536)
-    rows = table.select("rank", "ch", block.alias("block"))
-    totals = rows.groupBy("ch", "block").agg(F.count("*").alias("n"))
-    ahead = totals.select("ch", "block", F.coalesce(F.sum("n").over(Window.partitionBy("ch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    letters = totals.groupBy("ch").agg(F.sum("n").alias("n"))
-    smaller = letters.select("ch", F.coalesce(F.sum("n").over(Window.orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("smaller"))
+    rows = table.select("rank", "ch", F.floor(F.col("rank") / BLOCK).alias("block"))
+    ahead = by_letter(table).select("ch", "block", F.col("before").alias("ahead"))
     inside = F.row_number().over(Window.partitionBy("block", "ch").orderBy("rank")) - 1
-    return rows.withColumn("inside", inside).join(ahead, ["ch", "block"]).join(F.broadcast(smaller), "ch").select("rank", "ch", (F.col("ahead") + F.col("inside")).alias("occ"), (F.col("smaller") + F.col("ahead") + F.col("inside")).alias("lf"))
+    return rows.withColumn("inside", inside).join(ahead, ["ch", "block"]).join(F.broadcast(smaller(table)), "ch").select("rank", "ch", (F.col("ahead") + F.col("inside")).alias("occ"), (F.col("smaller") + F.col("ahead") + F.col("inside")).alias("lf"))
+
+
+def rank_index(table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The transform as an index for rank look-ups: block, letters (of BLOCK ranks on end) and how often each letter stands
+    before the block (before_a, ...)."""
+    letters = F.array_join(F.sort_array(F.collect_list(F.struct("rank", "ch"))).getField("ch"), "").alias("letters")
+    rows = table.groupBy(F.floor(F.col("rank") / block).alias("block")).agg(letters)
+    ahead = by_letter(table, block).groupBy("block").agg(*[F.max(F.when(F.col("ch") == c, F.col("before"))).alias(f"before_{NAMES[c]}") for c in LETTERS])
+    return rows.join(ahead, "block")
 
 
 def inverted(table: DataFrame, longest: int) -> DataFrame:
@@ -147,8 +171,8 @@ def expanded(run_table: DataFrame) -> DataFrame:
 def block_index(run_table: DataFrame, per: int = 2048) -> DataFrame:
     """Letters of each block of `per` runs and of all blocks before it: one row a block."""
     blocks = run_table.groupBy(F.floor(F.col("run_no") / per).alias("block")).agg(F.min("first_rank").alias("first_rank"), *letter_counts(amount=F.col("run")))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select("block", "first_rank", *[F.coalesce(F.sum(f"n_{NAMES[c]}").over(before), F.lit(0)).alias(f"before_{NAMES[c]}") for c in LETTERS])
+    each = blocks.select("block", "first_rank", F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(f"n_{NAMES[c]}").alias("n")) for c in LETTERS])).alias("x")).select("block", "first_rank", "x.ch", "x.n")
+    return running(each, "ch", "block", "n").groupBy("block", "first_rank").agg(*[F.max(F.when(F.col("ch") == c, F.col("before"))).alias(f"before_{NAMES[c]}") for c in LETTERS])
 
 
 def witness_blocks(lcps: DataFrame, witness: int, least: int) -> DataFrame:
@@ -169,10 +193,8 @@ def witness_blocks(lcps: DataFrame, witness: int, least: int) -> DataFrame:
 
 def occurrences(table: DataFrame) -> DataFrame:
     """rank and, for each letter, how often it stands at ranks up to this one (one row for each of table)."""
-    block = F.floor(F.col("rank") / 65536)
-    rows = table.select("rank", "ch", block.alias("block"))
-    sums = rows.groupBy("block").agg(*letter_counts())  # one row a block
-    ahead = sums.select("block", *[F.coalesce(F.sum(f"n_{NAMES[c]}").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b_{NAMES[c]}") for c in LETTERS])
+    rows = table.select("rank", "ch", F.floor(F.col("rank") / BLOCK).alias("block"))
+    ahead = by_letter(table).groupBy("block").agg(*[F.max(F.when(F.col("ch") == c, F.col("before"))).alias(f"b_{NAMES[c]}") for c in LETTERS])
     w = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.select("rank", "block", *[F.sum((F.col("ch") == c).cast("bigint")).over(w).alias(f"i_{NAMES[c]}") for c in LETTERS])
     return inside.join(ahead, "block").select("rank", *[(F.col(f"b_{NAMES[c]}") + F.col(f"i_{NAMES[c]}")).alias(f"n_{NAMES[c]}") for c in LETTERS])

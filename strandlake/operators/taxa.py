@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from .storage import stored
+from .sums import running
 
 ROOT = 1
 
@@ -87,20 +88,6 @@ def tree_rows(rolled: DataFrame, nodes: DataFrame) -> DataFrame:
     return rolled.filter("with_children > 0").join(steps, "tax_id").select(F.col("tax_id").alias("TaxId"), F.col("depth").alias("TaxLevel"), F.col("n").alias("Count"), F.col("with_children").alias("CountIncludingChildren"), "path")
 
 
-#: Taxa of so many numbers are summed together before sums run over a group.
-STRIDE = 4096
-
-
-def running(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """rows with `before`, the sum of value over the group's rows of smaller order (unique in a group): by blocks of numbers first."""
-    block = F.floor(F.col(order) / STRIDE)
-    sums = rows.groupBy(group, block.alias("__block")).agg(F.sum(value).alias("__sum"))
-    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(group, "__block", F.coalesce(F.sum("__sum").over(ahead(group, "__block")), F.lit(0)).alias("__ahead"))
-    inside = rows.withColumn("__block", block).withColumn("__inside", F.coalesce(F.sum(value).over(ahead(group, "__block", order)), F.lit(0)))
-    return inside.join(sums, [group, "__block"]).select(*rows.columns, (F.col("__ahead") + F.col("__inside")).alias("before"))
-
-
 def taken(asked: DataFrame, held: DataFrame) -> DataFrame:
     """tax_id, other, got: what each taxon gets of what it asks (ask) of another one that holds n, in the order of tax_id.
 

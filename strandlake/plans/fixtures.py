@@ -73,6 +73,14 @@ def bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "bwt", lambda: S.bwt(reads(spark, sf_dir), "quals"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "index", lambda: S.rank_index(bwt(spark, sf_dir)))
+
+
+def piles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "piles", lambda: S.smaller(bwt(spark, sf_dir)))
+
+
 def kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = reads(spark, sf_dir).filter("seq_id % 100 = 0").select(F.col("bases").substr((F.col("seq_id") % 80 + 1).cast("int"), F.lit(12)).alias("kmer")).filter("length(kmer) = 12")
     return picked.unionByName(spark.range(1).select(F.lit(ABSENT).alias("kmer")))

@@ -562,9 +562,14 @@ def snk_15(spark, d):
 # --- search -----------------------------------------------------------------------------------------------------
 
 
+def searched(spark, d):
+    """The intervals of the words, from the index alone."""
+    return Q.intervals(X.index(spark, d), X.piles(spark, d), X.kmers(spark, d))
+
+
 @query("sea_1", sql("SELECT kmer, coalesce(position, 0) AS position, coalesce(n, 0) AS count FROM kmers LEFT JOIN (SELECT substr(suffix, 1, 12) AS kmer, min(pile_pos) AS position, count(*) AS n FROM bwt GROUP BY 1) USING (kmer)"))
 def sea_1(spark, d):
-    return Q.in_search_order(Q.intervals(X.bwt(spark, d), X.kmers(spark, d)))
+    return Q.in_search_order(searched(spark, d))
 
 
 FOUND = "found AS (SELECT DISTINCT kmer, pile_pos AS position, seq_id, pos FROM bwt JOIN kmers ON substr(suffix, 1, 12) = kmer)"
@@ -578,7 +583,7 @@ def sea_2(spark, d):
 @query("sea_3", sql("SELECT kmer, position, seq_id, pos FROM found", FOUND))
 def sea_3(spark, d):
     bwt = X.bwt(spark, d)
-    return Q.located(bwt, Q.intervals(bwt, X.kmers(spark, d)))
+    return Q.located(bwt, searched(spark, d))
 
 
 @query("sea_4", sql("SELECT kmer, position, seq_id, pos, bases FROM found JOIN reads USING (seq_id)", FOUND))
@@ -604,7 +609,7 @@ def sea_8(spark, d):
 
 @query("sea_9", sql("SELECT seq_id, bases, quals FROM reads WHERE seq_id IN (SELECT seq_id FROM found WHERE kmer IN (SELECT kmer FROM found GROUP BY kmer HAVING count(*) < 20))", FOUND))
 def sea_9(spark, d):
-    return Q.indexed_search(X.reads(spark, d), X.bwt(spark, d), X.kmers(spark, d), repeat=20)
+    return Q.indexed_search(X.reads(spark, d), X.bwt(spark, d), searched(spark, d), repeat=20)
 
 
 #: Half of the numbers that a collection's reads may have.

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from strandlake.operators import correct, taxa
+from strandlake.operators import correct, sums, taxa
 
 
 def plain_start(x, y):
@@ -121,7 +121,7 @@ def in_turn(counts, database):
 @pytest.mark.parametrize("seed", range(6))
 def test_counts_moved_to_leaves(spark, seed, monkeypatch):
     """Taxa that stand above others and are leaves as well, in any order of numbers; seed 0 has true leaves only."""
-    monkeypatch.setattr(taxa, "STRIDE", 4)
+    monkeypatch.setattr(sums, "STRIDE", 2)
     r = random.Random(seed)
     counts = {t: r.randint(0, 200) for t in range(20)}
     database = {}

@@ -62,7 +62,7 @@ def test_search_and_locate(spark):
     words = ["ACG", "CC", "GGGGGGGGG", "ACG", strings[3][4:20]]
     kmers = spark.createDataFrame([(w,) for w in words], "kmer string")
     table = suffixes.bwt(reads(spark, strings))
-    found = search.intervals(table, kmers)
+    found = search.intervals(suffixes.rank_index(table, 8), suffixes.smaller(table), kmers, 8)
     places = lambda w: [(i, p) for i, s in enumerate(strings) for p in range(len(s) - len(w) + 1) if s.startswith(w, p)]
     assert sorted((r.kmer, r["count"]) for r in found.collect()) == sorted((w, len(places(w))) for w in words)
     assert {(r.kmer, r.position) for r in found.collect() if not r["count"]} == {("GGGGGGGGG", 0)}
@@ -145,7 +145,7 @@ def test_errors_are_found_and_mended(spark):
     assert row["corrector"] == genome[67:71] and row["corrector_start"] == 7
     mended = {x.seq_id: x.bases for x in correct.applied(r.selectExpr("*", "repeat('I', 40) as quals"), fixes).collect()}
     assert mended[30] == genome[60:100] and mended[3] == strings[3]
-    assert correct.aligned(wrong, [row]) == genome[60:100]
+    assert correct.realigned([wrong], [[row]]) == [genome[60:100]]
 
 
 def test_expectations():
