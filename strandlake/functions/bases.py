@@ -82,3 +82,10 @@ def common_prefix(a: Column, b: Column, most: int) -> Column:
     steps = [1 << k for k in range(most.bit_length() - 1, -1, -1)]
     fits = lambda n: (F.least(F.length(a), F.length(b)) >= n) & (a.substr(F.lit(1), n) == b.substr(F.lit(1), n))
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, s: F.when(fits(acc + s), acc + s).otherwise(acc))
+
+
+def log_binomial(n: Column, k: Column) -> Column:
+    """The logarithm of the number of ways to choose k of n, as a sum over the smaller of both parts."""
+    few = F.least(k, n - k)
+    terms = F.transform(F.sequence(F.lit(1), F.greatest(few, F.lit(1))), lambda i: F.log((n - few + i) / i))
+    return F.when(few > 0, F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)).otherwise(F.lit(0.0))

@@ -168,7 +168,13 @@ def tag_of(k: int, most: int, n: int) -> Column:
     return F.concat(F.lit("BKPT"), part("+DIFF", differs), part("+SGLT", F.col("num_b") == 1), part("+EOR", F.col("num_a") == a("$")), part("+MAX", F.lit(k >= most)))
 
 
-MODES: dict[str, Rule] = {"splice": splice, "tumour-normal": tumour_normal, "reference": reference, "metagenomics": metagenomics}
+def single(n: int, k: int, x: Any = Columns(), **_: float) -> Sides:
+    """Words with n places, and the letters that go on with as many; both collections are the same."""
+    go = {c: x.a(c) >= n for c in BASES}
+    return x.num_b >= n, go, go
+
+
+MODES: dict[str, Rule] = {"single": single, "splice": splice, "tumour-normal": tumour_normal, "reference": reference, "metagenomics": metagenomics}
 
 
 def breakpoints(rows: DataFrame, mode: str, n: int, k: int, **options: float) -> DataFrame:
@@ -378,17 +384,15 @@ def read_numbers(reads_a: DataFrame, reads_b: DataFrame, mode: str, n: int, long
 
 
 def backtracked(reads: DataFrame, n: int, longest: int) -> DataFrame:
-    """One collection: words of up to `longest` letters all whose suffixes have at least n places."""
-    found, frontier = None, None
-    for k in range(2, longest + 1):
-        rows = contexts(reads, k, "a", frontier)
-        rows = rows.withColumn("num_a", sum((a(c) for c in LETTERS[1:]), a("$"))).filter(F.col("num_a") >= n)
-        rows = stored(rows.withColumn("k", F.lit(k)))
-        if rows.isEmpty():
-            return rows if found is None else found
-        found = rows if found is None else found.unionByName(rows)
-        frontier = rows.select(F.explode(F.array(*[F.when(a(c) >= n, F.concat(F.lit(c), "word")) for c in BASES])).alias("word")).filter("word is not null")
-    return found
+    """One collection: k, word and counts of the words of up to `longest` letters all whose suffixes have at least n places.
+
+    The collection is compared with itself, by a rule that asks for the letters with enough places.
+    """
+    found = None
+    for decisions, _ in rounds(reads, reads, "single", n, longest - 1, True):
+        now = decisions.filter(F.col("kind") == BREAKPOINT).select("k", "word", *[c for c in COUNTS if c.startswith("a_")])
+        found = now if found is None else found.unionByName(now)
+    return found.withColumn("num_a", sum((a(c) for c in LETTERS[1:]), a("$")))
 
 
 def size_ratio(reads_a: DataFrame, reads_b: DataFrame) -> DataFrame:

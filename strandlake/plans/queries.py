@@ -13,6 +13,7 @@ from ..functions import runs as R
 from ..operators import compare as C
 from ..operators import correct as E
 from ..operators import search as Q
+from ..operators import order as O
 from ..operators import suffixes as S
 from ..operators import taxa as T
 from ..operators.storage import shared_dir
@@ -271,12 +272,11 @@ def scl_22(spark, d):
     return tagged(spark, d).select("interval", (F.col("num_a") * B.weight(F.col("tag"), F.col("length"), 60, 100)).cast("bigint").alias("n"))
 
 
-@query("scl_21")
+@query("scl_21", sql("SELECT seq_id, round(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1), 6) AS log_ways FROM (SELECT seq_id, length(bases) AS n, length(bases) - length(replace(bases, 'A', '')) AS k FROM reads)"))
 def scl_21(spark, d):
-    return spark.createDataFrame([(n, k, E.log_binomial(n, k)) for n in (10, 1000, 1000000) for k in (0, 1, 5, 10)], "n bigint, k bigint, log_binomial double")
-
-
-# --- the transform ----------------------------------------------------------------------------------------------
+    """In how many ways, as a logarithm, the letters A of a read may lie in it."""
+    n = F.length("bases")
+    return X.reads(spark, d).select("seq_id", F.round(B.log_binomial(n, n - F.length(F.translate("bases", "A", ""))), 6).alias("log_ways"))
 
 
 @query("bwt_1", sql("SELECT seq_id, pos, suffix, ch FROM suf"))
@@ -289,13 +289,13 @@ BWT_SQL = "SELECT rank, pile, pile_pos, ch, seq_id, pos FROM bwt"
 
 @query("bwt_2", sql(BWT_SQL))
 def bwt_2(spark, d):
-    return S.bwt(X.reads(spark, d)).drop("suffix")
+    return O.transform(X.reads(spark, d))
 
 
 @query("bwt_3", sql(BWT_SQL))
 def bwt_3(spark, d):
-    """The external build gives the same table."""
-    return X.bwt(spark, d).select("rank", "pile", "pile_pos", "ch", "seq_id", "pos")
+    """The other construction, by a sort of the suffixes' text, gives the same table."""
+    return S.bwt(X.reads(spark, d)).drop("suffix")
 
 
 def bwt_of(source: str, order: str = "suffix, seq_id") -> str:
@@ -306,17 +306,17 @@ def bwt_of(source: str, order: str = "suffix, seq_id") -> str:
 
 @query("bwt_4", sql(bwt_of(f"SELECT seq_id, bases FROM reads UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM reads), {REVERSED} FROM reads")))
 def bwt_4(spark, d):
-    return S.bwt(S.with_reverse_complements(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
+    return O.transform(S.with_reverse_complements(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
 
 
 @query("bwt_5", sql(bwt_of("SELECT seq_id, reverse(bases) AS bases FROM reads")))
 def bwt_5(spark, d):
-    return S.bwt(S.reversed_reads(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
+    return O.transform(S.reversed_reads(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
 
 
 @query("bwt_6", sql(bwt_of("SELECT seq_id, substr(bases, greatest(length(bases) - 39, 1)) AS bases FROM reads UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM reads), substr(bases, 1, greatest(length(bases) - 40, 0)) FROM reads")))
 def bwt_6(spark, d):
-    return S.bwt(S.sub_sequences(X.reads(spark, d), 40)).select("rank", "ch", "seq_id", "pos")
+    return O.transform(S.sub_sequences(X.reads(spark, d), 40)).select("rank", "ch", "seq_id", "pos")
 
 
 @query("bwt_7", sql(bwt_of("SELECT seq_id, bases FROM reads", "suffix, ch, seq_id")))
@@ -659,7 +659,12 @@ def cmp_2(spark, d):
     return pairs(spark, d).withColumnRenamed("where", "held")
 
 
-@query("cmp_4")
+_ALL = ", ".join(f"(sum((prev = '{c}')::INT) OVER w)::BIGINT AS a_{NAMES[c]}" for c in LETTERS)
+_EACH = f"SELECT *, {_ALL}, count(*) OVER w AS num, count(*) OVER (PARTITION BY k, word, prev) AS onward FROM (SELECT k, seq_id, pos, substr(bases, pos + 1, k) AS word, CASE WHEN pos = 0 THEN '$' ELSE substr(bases, pos, 1) END AS prev FROM step JOIN reads USING (seq_id)) WINDOW w AS (PARTITION BY k, word)"
+_TWO = "SELECT 2 AS k, seq_id, pos::INT AS pos FROM (SELECT seq_id, bases, unnest(range(0, length(bases) - 1)) AS pos FROM reads) WHERE NOT contains(substr(bases, pos + 1, 2), 'N')"
+
+
+@query("cmp_4", sql("SELECT DISTINCT k, word, " + ", ".join(f"a_{NAMES[c]}" for c in LETTERS) + f" FROM ({_EACH}) WHERE num >= 200", f"step AS ({_TWO} UNION ALL SELECT k + 1, seq_id, pos - 1 FROM ({_EACH}) WHERE k < {LENGTH} AND onward >= 200 AND prev IN ('A', 'C', 'G', 'T'))"))
 def cmp_4(spark, d):
     return C.backtracked(X.reads(spark, d), 200, LENGTH).drop("num_a")
 

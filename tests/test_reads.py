@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandlake.functions.bases import COMPLEMENTS
-from strandlake.operators import compare, correct, search, suffixes
+from strandlake.operators import compare, correct, order, search, suffixes, sums
 
 #: Two reads of 30 letters that differ in one, and how many breakpoints their comparison has.
 PAIR = ("AAAGGCGAAAATGCACATAATTATGGCCTG", "AAAGGCGAAAATACACATAATTATGGCCTG")
@@ -153,3 +153,23 @@ def test_expectations():
     assert e.destructible(5) > e.destructible(13) > e.destructible(25) >= 0
     assert 1 <= e.specific_length() <= 30 and e.support(14) >= 3
     assert abs(correct.log_binomial(10, 3) - 4.787491742782046) < 1e-9
+
+
+@pytest.mark.parametrize("letters", ["ACGNT", "AC", "A"])
+def test_order_without_text(spark, letters):
+    """Long reads of few letters with copies and shared ends: ties go on for many rounds, up to whole reads."""
+    r = random.Random(len(letters))
+    strings = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 23, 24, 47, 48, 49, 120, 400]))) for _ in range(25)]
+    strings += [strings[k][j:] for k, j in ((3, 0), (5, 7), (8, 50))] + ["T" + strings[8], strings[8] + "A", "", "A" * 300]
+    want = sorted((s[p:], i, p) for i, s in enumerate(strings) for p in range(len(s) + 1))
+    quals = [s.translate(str.maketrans("ACGNT", "IJKLM")) for s in strings]
+    df = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(zip(strings, quals, strict=True))], "seq_id bigint, bases string, quals string")
+    got = sorted(tuple(x) for x in order.transform(df, "quals").select("rank", "seq_id", "pos", "ch", "pile", "quals").collect())
+    assert got == [(k, i, p, strings[i][p - 1] if p else "$", s[:1] or "$", quals[i][p - 1] if p else None) for k, (s, i, p) in enumerate(want)]
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(sums, "STRIDE", 3)
+    rows = [(g, k * k, (k * 7 + len(g)) % 5) for g in ("a", "bb") for k in range(30)]
+    got = {(x.g, x.k): x.before for x in sums.running(spark.createDataFrame(rows, "g string, k bigint, v bigint"), "g", "k", "v").collect()}
+    assert got == {(g, k): sum(v for h, j, v in rows if h == g and j < k) for g, k, _ in rows}
