@@ -6,10 +6,7 @@ from a closure table, so totals are one join and one aggregation, whatever the d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
@@ -209,13 +206,29 @@ def parents(paths: DataFrame) -> DataFrame:
     return paths.withColumn("parent", F.coalesce(known(1), known(2), F.lit(0))).filter("tax_id != 0").select("tax_id", "level", "parent").distinct()
 
 
-def krona(rows: Iterator[tuple], title: str = "taxa") -> str:
-    """An HTML tree of (depth, name, magnitude) rows in depth-first order, written on the driver from the report."""
-    out, open_ = [f"<html><body><h1>{title}</h1>"], 0
-    for depth, name, magnitude in rows:
-        while open_ > depth:
-            out.append("</node>")
-            open_ -= 1
-        out.append(f'<node name="{name}"><magnitude>{magnitude}</magnitude>')
-        open_ = depth + 1
-    return "\n".join(out + ["</node>"] * open_ + ["</body></html>"])
+def escaped(text: Column) -> Column:
+    """text as an attribute's value."""
+    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    for plain, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(plain), F.lit(name))
+    return out
+
+
+def krona(tree: DataFrame, names: DataFrame, nodes: DataFrame, title: str = "taxa") -> DataFrame:
+    """key and value: the elements of an HTML tree, in the order of key; the depth-first order of `tree_rows`.
+
+    A node's end stands behind all keys that begin with its path, so that the nesting is the order and nothing is walked.
+    tree: rows of tree_rows, names: tax_id and name, nodes: tax_id and rank. A taxon without a name has its number.
+    """
+    rows = tree.withColumnRenamed("TaxId", "tax_id").join(names.select("tax_id", "name"), "tax_id", "left").join(nodes.select("tax_id", "rank"), "tax_id", "left")
+    number = F.col("tax_id").cast("string")
+    rank = F.when(F.coalesce("rank", F.lit("no rank")) != "no rank", F.concat(F.lit("<rank><val>"), escaped(F.col("rank")), F.lit("</val></rank>"))).otherwise("")
+    begin = F.concat(F.lit('<node name="'), escaped(F.coalesce("name", number)), F.lit('"><magnitude><val>'), F.col("CountIncludingChildren").cast("string"), F.lit("</val></magnitude>"), rank, F.lit("<taxid><val>"), number, F.lit("</val></taxid>"))
+    both = rows.select(F.explode(F.array(F.struct(F.col("path").alias("key"), begin.alias("value")), F.struct(F.concat("path", F.lit("~")).alias("key"), F.lit("</node>").alias("value")))).alias("x")).select("x.*")
+    edges = [("", f'<html><body><h1>{title}</h1><div><krona><attributes magnitude="magnitude"><attribute display="Magnitude">magnitude</attribute><attribute display="Rank">rank</attribute><attribute display="Taxon">taxid</attribute></attributes>'), ("~", "</krona></div></body></html>")]
+    return both.unionByName(tree.sparkSession.createDataFrame(edges, "key string, value string"))
+
+
+def write_krona(elements: DataFrame, path: str) -> None:
+    """The elements as text files, in order within and between files."""
+    elements.repartitionByRange("key").sortWithinPartitions("key").select("value").write.text(path)

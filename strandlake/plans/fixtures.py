@@ -103,6 +103,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tax_id and name; the root has none."""
+    part = lambda t, i, n: table(spark, sf_dir, t).select((F.col(i[0]) + i[1]).cast("bigint").alias("tax_id"), F.col(n).alias("name"))
+    return part("region", ("r_regionkey", 10), "r_name").unionByName(part("nation", ("n_nationkey", 100), "n_name")).unionByName(part("supplier", ("s_suppkey", 1000), "s_name"))
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("interval"), F.col("l_suppkey").alias("file_num"), F.col("l_linenumber").cast("bigint").alias("position"), F.col("l_quantity").cast("bigint").alias("num_a"))
 

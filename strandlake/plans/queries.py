@@ -554,6 +554,17 @@ def snk_13(spark, d):
     return T.tree_rows(T.rolled_up(X.counts(spark, d), n), n)
 
 
+_ROWS = "SELECT r.tax_id, with_children, path FROM rolled r JOIN (SELECT tax_id, string_agg(lpad(ancestor::VARCHAR, 12, '0'), '/' ORDER BY distance DESC) AS path FROM up GROUP BY 1) p ON p.tax_id = r.tax_id WHERE with_children > 0"
+_NAMES = "names AS (SELECT r_regionkey::BIGINT + 10 AS tax_id, r_name AS name FROM region UNION ALL SELECT n_nationkey::BIGINT + 100, n_name FROM nation UNION ALL SELECT s_suppkey + 1000, s_name FROM supplier)"
+_BEGIN = """'<node name="' || replace(replace(replace(replace(coalesce(name, tax_id::VARCHAR), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"><magnitude><val>' || with_children || '</val></magnitude>' || CASE WHEN rank <> 'no rank' THEN '<rank><val>' || rank || '</val></rank>' ELSE '' END || '<taxid><val>' || tax_id || '</val></taxid>'"""
+
+
+@query("snk_13_krona", sql(f"SELECT CASE WHEN k = 0 THEN path ELSE path || '~' END AS key, CASE WHEN k = 0 THEN {_BEGIN} ELSE '</node>' END AS value FROM ({_ROWS}) LEFT JOIN names USING (tax_id) LEFT JOIN nodes USING (tax_id), range(0, 2) t(k)", TREE, ROLLED, _NAMES))
+def snk_13_krona(spark, d):
+    """The elements of the tree, without the page round them."""
+    return T.krona(snk_13(spark, d), X.names(spark, d), X.nodes(spark, d)).filter("key not in ('', '~')")
+
+
 @query("snk_15", sql(f"SELECT b.rank, lcp, seq_id * {LENGTH + 1} + pos AS sa, seq_id, pos FROM lcps b", LCPS))
 def snk_15(spark, d):
     return S.lcp(X.bwt(spark, d), LENGTH).select("rank", "lcp", (F.col("seq_id") * (LENGTH + 1) + F.col("pos")).alias("sa"), "seq_id", "pos")

@@ -53,6 +53,14 @@ def test_moves_are_seen_by_later_ones(spark):
     assert got == {1: 0, 2: 50, 3: 80}
 
 
-def test_krona():
-    html = taxa.krona([(0, "root", 5), (1, "a", 2), (1, "b", 3)])
-    assert html.count("<node") == html.count("</node>") == 3 and "<magnitude>3" in html
+def test_krona(spark, tmp_path):
+    """The written page is well formed, and nested as the tree is."""
+    from xml.etree import ElementTree
+
+    counts = spark.createDataFrame([(3, 2), (4, 3), (2, 1)], "tax_id bigint, n bigint")
+    nodes = spark.createDataFrame([(1, 1, "no rank"), (2, 1, "genus"), (3, 2, "species"), (4, 1, "species"), (5, 1, "species")], "tax_id bigint, parent_id bigint, rank string")
+    names = spark.createDataFrame([(2, 'a "b" & <c>'), (3, "x"), (4, "y")], "tax_id bigint, name string")
+    taxa.write_krona(taxa.krona(taxa.tree_rows(taxa.rolled_up(counts, nodes), nodes), names, nodes), str(tmp_path / "tree"))
+    page = ElementTree.fromstring("".join(p.read_text() for p in sorted((tmp_path / "tree").glob("part-*"))))
+    read = lambda e: (e.get("name"), int(e.find("magnitude/val").text), getattr(e.find("rank/val"), "text", None), int(e.find("taxid/val").text), [read(x) for x in e.findall("node")])
+    assert [read(x) for x in page.find("body/div/krona").findall("node")] == [("1", 6, None, 1, [('a "b" & <c>', 3, "genus", 2, [("x", 2, "species", 3, [])]), ("y", 3, "species", 4, [])])]
