@@ -426,6 +426,15 @@ def src_9(spark, d):
     return read.select(F.element_at(names, F.regexp_extract("file", "file=(B0.)", 1)).alias("pile"), F.col("rank").cast("bigint").alias("rank"), "ch")
 
 
+@query("src_8", sql("SELECT (r.seq_id // 1000)::BIGINT AS tile, (r.seq_id % 1000)::BIGINT AS cluster, rpad(list_aggregate(list_transform(range(1, length(bases) + 1), lambda i: CASE WHEN substr(quals, i::INT, 1) = '!' THEN 'N' ELSE substr(bases, i::INT, 1) END), 'string_agg', ''), size::INT, 'N') AS bases, rpad(quals, size::INT, '!') AS quals FROM reads r, (SELECT max(length(bases)) AS size FROM reads)"))
+def src_8(spark, d):
+    """All reads as a run of base-call files, read again: letters without quality, and those that a read lacks, are N."""
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    IO.write_run(IO.to_cycles(X.reads(spark, d)), folder, 1000)
+    found = IO.from_run(IO.run_folder(spark, folder))
+    return found.select(F.substring_index("tile", "_", -1).cast("bigint").alias("tile"), "cluster", "bases", "quals")
+
+
 @query("src_17", sql("SELECT kmer, coalesce(position, 0) AS position, coalesce(n, 0) AS count FROM kmers LEFT JOIN (SELECT substr(suffix, 1, 12) AS kmer, min(pile_pos) AS position, count(*) AS n FROM bwt GROUP BY 1) USING (kmer)"))
 def src_17(spark, d):
     folder = written(sea_1(spark, d).select(F.format_string("%s %d %d", "kmer", "position", "count").alias("value")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,29 +94,101 @@ def from_cycles(rows: DataFrame) -> DataFrame:
     return rows.groupBy("seq_id").agg(both.alias("x")).select("seq_id", F.concat(F.lit("Read "), F.col("seq_id").cast("string")).alias("name"), F.array_join("x.base", "").alias("bases"), F.array_join("x.qual", "").alias("quals"))
 
 
+#: Bytes in front of the clusters of a base-call and of a filter file; of a base-call file the first four count them.
+CALL_HEAD, FILTER_HEAD = 4, 12
+#: Where lane, cycle and tile stand in a path, and lane and tile of a filter.
+CALL_PATH = r"L(\d+)/C(\d+)\.1/(?:.*/)?([^/]+?)\.bcl"
+FILTER_PATH = r"L(\d+)/(?:.*/)?([^/]+?)\.filter"
+SLICE = 1 << 16
+
+
+def cluster_bytes(spark: SparkSession, path: str, head: int, name: str) -> DataFrame:
+    """path, cluster and a column `name` with its byte, of tile files; a file's bytes are handed on in slices.
+
+    What a file holds beyond the clusters that its header counts isn't read; a file with no whole header has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                raw = np.frombuffer(content.as_buffer(), np.uint8)
+                body = raw[head:]
+                if head == CALL_HEAD:
+                    body = body[: int.from_bytes(raw[:head].tobytes(), "little")]
+                for a in range(0, len(body), SLICE):
+                    part = body[a : a + SLICE].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([where] * len(part), pa.string()), pa.array(np.arange(a, a + len(part))), pa.array(part)], names=["path", "cluster", name])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(run, f"path string, cluster bigint, {name} int")
+
+
+def called(rows: DataFrame, passing: DataFrame | None, keys: list[str]) -> DataFrame:
+    """base and qual of bytes; clusters whose byte in the filter is 0 go, those beyond its end or without one stay."""
+    if passing is not None:
+        rows = rows.join(passing, [*keys, "cluster"], "left").filter(F.coalesce(F.col("pass") != 0, F.lit(True))).drop("pass")
+    return rows.withColumns({"base": B.unpacked_base(F.col("byte")), "qual": B.unpacked_quality(F.col("byte"))}).drop("byte")
+
+
 def base_calls(spark: SparkSession, path: str, filters: str | None = None) -> DataFrame:
-    """cluster, tile, base, qual of a cycle's base-call files: four bytes of count, then a byte a cluster.
+    """tile, cluster, base, qual of the base-call files of one cycle; tiles are named by their files."""
+    named = lambda rows: rows.withColumn("tile", F.regexp_extract("path", r"([^/]+?)\.\w+$", 1)).drop("path")
+    passing = named(cluster_bytes(spark, filters, FILTER_HEAD, "pass")) if filters else None
+    return called(named(cluster_bytes(spark, path, CALL_HEAD, "byte")), passing, ["tile"]).select("tile", "cluster", "base", "qual")
+
+
+def run_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """lane, tile, cluster, cycle (from 0), base, qual of a whole run: its lanes, cycles and tiles are what its folders hold.
+
+    All files are one scan, a task's share of files at a time; filters are those beside the cycles' folders.
+    """
+    top = f"{folder}/Data/Intensities/BaseCalls"
+    lane = F.regexp_extract("path", CALL_PATH, 1).cast("int").alias("lane")
+    calls = cluster_bytes(spark, f"{top}/L*/C*.1", CALL_HEAD, "byte").filter(F.col("path").rlike(CALL_PATH))
+    calls = calls.select(lane, F.regexp_extract("path", CALL_PATH, 3).alias("tile"), "cluster", (F.regexp_extract("path", CALL_PATH, 2).cast("int") - 1).alias("cycle"), "byte")
+    try:
+        passing = cluster_bytes(spark, f"{top}/L*/*.filter", FILTER_HEAD, "pass").select(F.regexp_extract("path", FILTER_PATH, 1).cast("int").alias("lane"), F.regexp_extract("path", FILTER_PATH, 2).alias("tile"), "cluster", "pass")
+    except Exception as error:  # no such files: Spark says so when it lists them
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        passing = None
+    return called(calls, passing, ["lane", "tile"]).select("lane", "tile", "cluster", "cycle", "base", "qual")
+
+
+def from_run(rows: DataFrame) -> DataFrame:
+    """The reads of a run, transposed in one shuffle: lane, tile, cluster, bases, quals."""
+    both = F.sort_array(F.collect_list(F.struct("cycle", "base", "qual")))
+    return rows.groupBy("lane", "tile", "cluster").agg(both.alias("x")).select("lane", "tile", "cluster", F.array_join("x.base", "").alias("bases"), F.array_join("x.qual", "").alias("quals"))
+
+
+def write_run(letters: DataFrame, folder: str, per_tile: int = 1 << 20) -> None:
+    """Letters (seq_id, cycle, base, qual) as a run of one lane: a base-call file for each cycle and tile of per_tile reads.
 
-    Clusters whose byte in the tile's filter file is 0 go; those beyond the end of the filter, or without one, stay.
+    A read that has no letter at a cycle has a byte 0 there, which reads as N. A line feed ends a file, behind what its
+    header counts.
     """
-    def body(p: str, skip: int, name: str) -> DataFrame:
-        files = spark.read.format("binaryFile").load(p).select(F.regexp_extract("path", r"([^/]+?)\.\w+$", 1).alias("tile"), F.hex("content").alias("x"))
-        digits = F.expr(f"transform(sequence(1, cast(length(x) / 2 as int) - {skip}), k -> cast(conv(substring(x, 2 * (k + {skip}) - 1, 2), 16, 10) as int))")
-        return files.filter(F.length("x") > 2 * skip).select("tile", F.posexplode(digits).alias("cluster", name))
-
-    calls = body(path, 4, "byte")
-    if filters:
-        calls = calls.join(body(filters, 12, "pass"), ["tile", "cluster"], "left").filter(F.coalesce(F.col("pass") != 0, F.lit(True)))
-    return calls.select("tile", "cluster", B.unpacked_base(F.col("byte")).alias("base"), B.unpacked_quality(F.col("byte")).alias("qual"))
-
-
-def run_folder(spark: SparkSession, folder: str, cycles_: int) -> DataFrame:
-    """All lanes and tiles of a run: tile, cluster, cycle, base, qual."""
-    out = None
-    for c in range(1, cycles_ + 1):
-        now = base_calls(spark, f"{folder}/Data/Intensities/BaseCalls/L*/C{c}.1/*.bcl").withColumn("cycle", F.lit(c - 1))
-        out = now if out is None else out.unionByName(now)
-    return out
+    rows = letters.select("cycle", F.floor(F.col("seq_id") / per_tile).alias("tile"), (F.col("seq_id") % per_tile).cast("int").alias("cluster"), B.packed(F.col("base"), F.col("qual")).alias("byte"))
+    sizes = rows.groupBy("tile").agg((F.max("cluster") + 1).alias("size"))
+    files = rows.groupBy("cycle", "tile").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "byte"))).alias("at")).join(sizes, "tile")
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    head = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: byte(F.call_function("shiftright", F.col("size"), k * 8).bitwiseAND(255))), "")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: byte(F.coalesce(F.try_element_at("at", k), F.lit(0)))), "")
+    value = F.unhex(F.concat(head, body)).cast("string").alias("value")
+    out = files.select(value, F.format_string("C%d.1", F.col("cycle") + 1).alias("c"), F.format_string("s_1_%d", F.col("tile")).alias("t"))
+    spark = letters.sparkSession
+    out.write.partitionBy("c", "t").text(f"{folder}/written")
+    # The run's own names: one rename a file.
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    top = path(f"{folder}/written")
+    system = top.getFileSystem(conf)
+    for status in system.globStatus(path(f"{folder}/written/c=*/t=*/part-*")):
+        old = status.getPath()
+        tile, cycle = (p.getName().partition("=")[2] for p in (old.getParent(), old.getParent().getParent()))
+        new = path(f"{folder}/Data/Intensities/BaseCalls/L001/{cycle}/{tile}.bcl")
+        system.mkdirs(new.getParent())
+        system.rename(old, new)
+    system.delete(top, True)
 
 
 def run_length(spark: SparkSession, path: str, kind: str = "v3") -> DataFrame:

@@ -69,7 +69,7 @@ def test_run_folder(spark, tmp_path):
         p.mkdir(parents=True)
         for tile in ("s_1_1101", "s_1_1102"):
             (p / f"{tile}.bcl").write_bytes((2).to_bytes(4, "little") + bytes([4 * 30 + c, 4 * 30]))
-    assert files.run_folder(spark, str(tmp_path), 2).count() == 8
+    assert files.run_folder(spark, str(tmp_path)).count() == 8
 
 
 def test_run_length_files(spark, tmp_path):
@@ -157,3 +157,19 @@ def test_compressed_records(spark, tmp_path):
 
     (tmp_path / "a.fq.gz").write_bytes(gzip.compress(b"@a\nAC\n+\n@+\n@b\nGT\n+\nII\n"))
     assert sorted(tuple(x) for x in files.fastq(spark, str(tmp_path / "a.fq.gz")).collect()) == [(0, "a", "AC", "@+"), (1, "b", "GT", "II")]
+
+
+def test_runs_are_written_and_read(spark, tmp_path):
+    """Two tiles, a filter for one of them, reads of several lengths, and bytes of every kind, line feeds too."""
+    r = random.Random(3)
+    reads = [("".join(r.choice("ACGTN") for _ in range(n)), "".join(chr(33 + r.randrange(41)) for _ in range(n))) for n in (5, 3, 5, 4, 5, 5, 1)]
+    df = spark.createDataFrame([(k, b, q) for k, (b, q) in enumerate(reads)], "seq_id bigint, bases string, quals string")
+    files.write_run(files.to_cycles(df), str(tmp_path), 4)
+    top = tmp_path / "Data" / "Intensities" / "BaseCalls" / "L001"
+    assert sorted(f"{p.parent.name}/{p.name}" for p in top.glob("*/*")) == sorted(f"C{c}.1/s_1_{t}.bcl" for c in range(1, 6) for t in (0, 1))
+    want = {k: ("".join("N" if q == "!" or b == "N" else b for b, q in zip(*x, strict=True)), "".join("!" if b == "N" else q for b, q in zip(*x, strict=True))) for k, x in enumerate(reads)}
+    shown = lambda: {int(x.tile[-1]) * 4 + x.cluster: (x.bases.rstrip("N"), x.quals) for x in files.from_run(files.run_folder(spark, str(tmp_path))).collect()}
+    got = shown()
+    assert set(got) == set(want) and all(got[k][0] == want[k][0].rstrip("N") and got[k][1].startswith(want[k][1]) for k in want)
+    (top / "s_1_0.filter").write_bytes(bytes(12) + bytes([1, 0, 1]))
+    assert set(shown()) == set(want) - {1}
