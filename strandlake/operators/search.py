@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import suffixes as S
 from .storage import stored
 
-#: Ranks of a bin of the range join; steps of a search between tables.
-BIN, KEPT = 64, 6
+#: Ranks of a bin of the range join; steps of a search between tables; words that may be sent to all tasks (of a read's length at most).
+BIN, KEPT, SENT = 64, 6, 100_000
 
 
 def words(reads: DataFrame, *lengths: int) -> DataFrame:
@@ -34,7 +34,14 @@ def occurrences(reads: DataFrame, kmers: DataFrame) -> DataFrame:
     return words(reads, *(lengths_of(kmers) or [1])).join(kmers.select(F.col("kmer").alias("word")).distinct(), "word").select(F.col("word").alias("kmer"), "seq_id", "pos")
 
 
-def intervals(index: DataFrame, piles: DataFrame, kmers: DataFrame, per: int = S.BLOCK) -> DataFrame:
+def seeds(index: DataFrame, piles: DataFrame, letters: int = 6, per: int = S.BLOCK) -> DataFrame:
+    """tail, low and high: the intervals of all words of so many letters that are there (at most 5 ** letters), to begin a search with."""
+    at = [F.substring(F.lit("".join(S.LETTERS[1:])), (F.floor(F.col("id") / 5**k) % 5 + 1).cast("int"), F.lit(1)) for k in range(letters)]
+    tails = index.sparkSession.range(5**letters).select(F.concat(*at).alias("kmer"))
+    return ranges(index, piles, tails, [letters], per).select(F.col("kmer").alias("tail"), "low", "high")
+
+
+def intervals(index: DataFrame, piles: DataFrame, kmers: DataFrame, per: int = S.BLOCK, known: DataFrame | None = None) -> DataFrame:
     """kmer, position (of its first suffix in the pile of its first letter) and count; 0 0 where it is absent.
 
     Backward search: the places of a word's suffixes are an interval of ranks, and a letter more in front leads from both
@@ -42,11 +49,27 @@ def intervals(index: DataFrame, piles: DataFrame, kmers: DataFrame, per: int = S
     transform, piles: S.smaller. A step looks up two blocks for each word that is still there, so neither suffixes nor reads
     are looked at. Rows of kmers that repeat are kept.
     """
-    begins = F.broadcast(piles.agg(F.map_from_entries(F.collect_list(F.struct("ch", "smaller"))).alias("begins"), F.max("smaller").alias("most")))  # one row
+    words = stored(kmers.select("kmer").filter("kmer != ''").distinct())
+    begin = F.element_at("begins", F.substring("kmer", 1, 1))
+    found = ranges(index, piles, words, lengths_of(words), per, known).select("kmer", (F.col("low") - begin).alias("position"), (F.col("high") - F.col("low")).alias("count"))
+    return kmers.join(found, "kmer", "left").select("kmer", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def ranges(index: DataFrame, piles: DataFrame, words: DataFrame, lengths: list[int], per: int, known: DataFrame | None = None) -> DataFrame:
+    """kmer, begins (of the piles), low and high of the words that are there. known: `seeds`, used where every word is long enough."""
+    # Few words go to the blocks, whatever the joins' estimates say; many are joined as Spark sees fit.
+    sent = F.broadcast if words.count() <= SENT else lambda df: df
+    one = piles.agg(F.map_from_entries(F.collect_list(F.struct("ch", "smaller"))).alias("begins"), F.max("smaller").alias("most"))  # one row
     total = index.agg(F.sum(F.length("letters")).alias("total"))
-    now = kmers.select("kmer").filter("kmer != ''").distinct().crossJoin(begins).crossJoin(F.broadcast(total))
-    now = now.select("kmer", "begins", F.lit(0).cast("bigint").alias("low"), F.col("total").alias("high"))
-    for j in range(1, max(lengths_of(kmers) or [0]) + 1):
+    now = words.select("kmer").crossJoin(F.broadcast(one)).crossJoin(F.broadcast(total)).select("kmer", "begins", F.lit(0).cast("bigint").alias("low"), F.col("total").alias("high"))
+    done = 0
+    if known is not None and lengths:
+        done = known.select(F.length("tail")).first()
+        done = done[0] if done and done[0] <= lengths[0] else 0
+    if done:
+        tail = F.col("kmer").substr(F.length("kmer") - (done - 1), F.lit(done))
+        now = known.join(sent(now.select("kmer", "begins", tail.alias("tail"))), "tail").select("kmer", "begins", "low", "high")
+    for j in range(done + 1, max(lengths or [0]) + 1):
         letter = F.col("kmer").substr(F.length("kmer") - (j - 1), F.lit(1))
         going = now.withColumn("c", F.when(F.length("kmer") >= j, letter))
         for end in ("low", "high"):
@@ -56,14 +79,13 @@ def intervals(index: DataFrame, piles: DataFrame, kmers: DataFrame, per: int = S
             part = F.col("letters").substr(F.lit(1), (F.col(end) - at * per).cast("int"))
             inside = F.length("part") - F.length(F.replace("part", "c", F.lit("")))
             before = F.coalesce(*[F.when(F.col("c") == c, F.col(f"x_{S.NAMES[c]}")) for c in S.LETTERS])
-            looked = going.withColumn("b", at).join(blocks, "b").withColumn("part", part)
+            looked = blocks.join(sent(going.withColumn("b", at)), "b").withColumn("part", part)
             moved = F.when(F.col("c").isNotNull(), F.element_at("begins", F.col("c")) + before + inside).otherwise(F.col(end))
             going = looked.withColumn(end, moved).select("kmer", "begins", "low", "high", "c")
         now = going.filter("low < high").drop("c")
         if j % KEPT == 0:
             now = stored(now)
-    found = now.select("kmer", (F.col("low") - F.element_at("begins", F.substring("kmer", 1, 1))).alias("position"), (F.col("high") - F.col("low")).alias("count"))
-    return kmers.join(found, "kmer", "left").select("kmer", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("count", F.lit(0)).alias("count"))
+    return now
 
 
 def in_search_order(found: DataFrame) -> DataFrame:

@@ -81,6 +81,12 @@ def piles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "piles", lambda: S.smaller(bwt(spark, sf_dir)))
 
 
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import search
+
+    return once(spark, sf_dir, "seeds", lambda: search.seeds(index(spark, sf_dir), piles(spark, sf_dir)))
+
+
 def kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = reads(spark, sf_dir).filter("seq_id % 100 = 0").select(F.col("bases").substr((F.col("seq_id") % 80 + 1).cast("int"), F.lit(12)).alias("kmer")).filter("length(kmer) = 12")
     return picked.unionByName(spark.range(1).select(F.lit(ABSENT).alias("kmer")))

@@ -289,13 +289,13 @@ BWT_SQL = "SELECT rank, pile, pile_pos, ch, seq_id, pos FROM bwt"
 
 @query("bwt_2", sql(BWT_SQL))
 def bwt_2(spark, d):
-    return O.transform(X.reads(spark, d))
+    return S.bwt(X.reads(spark, d)).drop("suffix")
 
 
 @query("bwt_3", sql(BWT_SQL))
 def bwt_3(spark, d):
-    """The other construction, by a sort of the suffixes' text, gives the same table."""
-    return S.bwt(X.reads(spark, d)).drop("suffix")
+    """The other construction, which holds no suffix, gives the same table."""
+    return O.transform(X.reads(spark, d))
 
 
 def bwt_of(source: str, order: str = "suffix, seq_id") -> str:
@@ -306,17 +306,17 @@ def bwt_of(source: str, order: str = "suffix, seq_id") -> str:
 
 @query("bwt_4", sql(bwt_of(f"SELECT seq_id, bases FROM reads UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM reads), {REVERSED} FROM reads")))
 def bwt_4(spark, d):
-    return O.transform(S.with_reverse_complements(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
+    return S.bwt(S.with_reverse_complements(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
 
 
 @query("bwt_5", sql(bwt_of("SELECT seq_id, reverse(bases) AS bases FROM reads")))
 def bwt_5(spark, d):
-    return O.transform(S.reversed_reads(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
+    return S.bwt(S.reversed_reads(X.reads(spark, d))).select("rank", "ch", "seq_id", "pos")
 
 
 @query("bwt_6", sql(bwt_of("SELECT seq_id, substr(bases, greatest(length(bases) - 39, 1)) AS bases FROM reads UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM reads), substr(bases, 1, greatest(length(bases) - 40, 0)) FROM reads")))
 def bwt_6(spark, d):
-    return O.transform(S.sub_sequences(X.reads(spark, d), 40)).select("rank", "ch", "seq_id", "pos")
+    return S.bwt(S.sub_sequences(X.reads(spark, d), 40)).select("rank", "ch", "seq_id", "pos")
 
 
 @query("bwt_7", sql(bwt_of("SELECT seq_id, bases FROM reads", "suffix, ch, seq_id")))
@@ -584,7 +584,7 @@ def snk_15(spark, d):
 
 def searched(spark, d):
     """The intervals of the words, from the index alone."""
-    return Q.intervals(X.index(spark, d), X.piles(spark, d), X.kmers(spark, d))
+    return Q.intervals(X.index(spark, d), X.piles(spark, d), X.kmers(spark, d), known=X.seeds(spark, d))
 
 
 @query("sea_1", sql("SELECT kmer, coalesce(position, 0) AS position, coalesce(n, 0) AS count FROM kmers LEFT JOIN (SELECT substr(suffix, 1, 12) AS kmer, min(pile_pos) AS position, count(*) AS n FROM bwt GROUP BY 1) USING (kmer)"))

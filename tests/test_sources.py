@@ -166,7 +166,7 @@ def test_runs_are_written_and_read(spark, tmp_path):
     df = spark.createDataFrame([(k, b, q) for k, (b, q) in enumerate(reads)], "seq_id bigint, bases string, quals string")
     files.write_run(files.to_cycles(df), str(tmp_path), 4)
     top = tmp_path / "Data" / "Intensities" / "BaseCalls" / "L001"
-    assert sorted(f"{p.parent.name}/{p.name}" for p in top.glob("*/*")) == sorted(f"C{c}.1/s_1_{t}.bcl" for c in range(1, 6) for t in (0, 1))
+    assert sorted(f"{p.parent.name}/{p.name}" for p in top.glob("*/*.bcl")) == sorted(f"C{c}.1/s_1_{t}.bcl" for c in range(1, 6) for t in (0, 1))
     want = {k: ("".join("N" if q == "!" or b == "N" else b for b, q in zip(*x, strict=True)), "".join("!" if b == "N" else q for b, q in zip(*x, strict=True))) for k, x in enumerate(reads)}
     shown = lambda: {int(x.tile[-1]) * 4 + x.cluster: (x.bases.rstrip("N"), x.quals) for x in files.from_run(files.run_folder(spark, str(tmp_path))).collect()}
     got = shown()
