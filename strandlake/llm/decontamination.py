@@ -5,8 +5,11 @@ item is found as well). A unit of m words may be edited in e = floor(m * ERROR_R
 least one piece stands unchanged in every passage within that distance. All piece hits in a document are found by exact
 look-up, and each gives a window of the document that Myers' bit-parallel distance verifies.
 
-Words are runs of letters and digits, in lower case. Items of fewer than MIN_WORDS words are too common to be evidence
-and match nothing; null items likewise. Null and empty documents match nothing and are kept; documents are searched
+Words are runs of letters and digits, in lower case; each letter of a script that is written without spaces (Han, kana,
+Thai, Lao, Burmese, Khmer) is a word. An item of fewer than MIN_WORDS words allows no edit, and its words alone would be
+met everywhere: it matches where it stands exactly as whole sentences or lines, between marks, line ends or ends of the
+text. Items without a word and null items match nothing. A very long item is many units, so that no mask has more than
+UNIT bits; the driver holds an item's text once. Null and empty documents match nothing and are kept; documents are searched
 whole; repeated rows give repeated results; an empty table on either side gives its plain result (nothing, or no match).
 Columns other than doc_id and text, item_id and text are carried or ignored. The benchmark is taken in blocks of bounded
 size, one pass over the documents for each, so what is sent to the executors doesn't grow with it.
@@ -14,6 +17,7 @@ size, one pass over the documents for each, so what is sent to the executors doe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,10 +38,22 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MATCH = "array<struct<item_id:bigint,distance:int,start:int>>"
 
 
+#: Letters of scripts without spaces between words, and what ends a sentence or line.
+SPACELESS = re.compile("([\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+MARKS = re.compile("[\n\r.!?;:\u2026\u3002\uff01\uff1f\uff1b\uff1a]+")
+
+
 def words(text: str) -> list[bytes]:
+    if not text.isascii():
+        text = SPACELESS.sub(r" \1 ", text)
     return text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def sentences(text: str) -> list[tuple[bytes, ...]]:
+    """The words of each sentence or line that has any."""
+    return [found for part in MARKS.split(text) if (found := tuple(words(part)))]
+
+
 def units(tokens: list[bytes]) -> list[list[bytes]]:
     """Overlapping parts of UNIT words at most; the last ends where the item ends."""
     if len(tokens) <= UNIT:
@@ -80,12 +96,15 @@ class Matcher:
     masks: list[dict[int, int]] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     pieces: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)  # length -> hash -> (unit, offset)
+    short: dict[tuple[bytes, ...], list[tuple[int, list[tuple[bytes, ...]]]]] = field(default_factory=dict)  # first sentence -> (item, all of them)
     chars: int = 0
 
     def add(self, item_id: int, text: str) -> None:
         self.chars += len(text)
         tokens = words(text)
         if len(tokens) < MIN_WORDS:
+            if whole := sentences(text):
+                self.short.setdefault(whole[0], []).append((item_id, whole))
             return
         for unit in units(tokens):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in unit]
@@ -116,6 +135,18 @@ class Matcher:
         self.sorted = {n: np.array(sorted(found), np.uint64) for n, found in self.pieces.items()}
         return self
 
+    def whole(self, text: str) -> dict[int, int]:
+        """The short items that stand in a text as whole sentences, and the first word of their first place."""
+        parts = sentences(text)
+        out: dict[int, int] = {}
+        at = 0
+        for k, part in enumerate(parts):
+            for item, asked in self.short.get(part, ()):
+                if parts[k : k + len(asked)] == asked:
+                    out.setdefault(item, at)
+            at += len(part)
+        return out
+
     def search(self, texts: list[str]) -> list[list[dict]]:
         """For each text its matches: the best place of each item."""
         get = self.vocabulary.get
@@ -152,6 +183,11 @@ class Matcher:
                 if d <= e:
                     best[item] = min(best.get(item, (m, 0)), (d, max(0, a + end - m)))
             out[doc] = [{"item_id": i, "distance": d, "start": s} for i, (d, s) in sorted(best.items())]
+        if self.short:
+            for doc, text in enumerate(texts):
+                if found := self.whole(text):
+                    # Rows of one item may differ in length: the least distance is kept.
+                    out[doc] = sorted([m for m in out[doc] if m["item_id"] not in found] + [{"item_id": i, "distance": 0, "start": s} for i, s in found.items()], key=lambda m: m["item_id"])
         return out
 
 
@@ -163,7 +199,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[Matcher]:
         if block.chars >= most:
             yield block.ready()
             block = Matcher()
-    if block.items:
+    if block.items or block.short:
         yield block.ready()
 
 

@@ -421,6 +421,50 @@ def test_decontamination(spark):
     assert decontamination.clean(table(spark), items.limit(0)).count() == len(ROWS)
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    items = spark.createDataFrame([(1, "What is DNA?"), (2, "yes"), (3, han), (4, "U.S. law"), (5, " . "), (6, "ไทย"), (7, "what is dna")], "item_id bigint, text string")
+    rows = [(1, "Ask: what is DNA? Nobody knows."), (2, "Tell me what is DNA made of"), (3, "a\nYES\nb"), (4, "yes, of course"), (5, "前言" + han + "後記"), (6, "前言" + han.replace("鳥", "雞") + "後記")]
+    rows += [(7, "Notes. U.S. Law. End"), (8, "the U.S. law of it"), (9, "ไทย"), (10, ""), (11, None), (12, han[:9]), (13, "春眠不覺曉"), (3, "a\nYES\nb")]
+    got = collections.Counter((r.doc_id, tuple((m.item_id, m.distance, m.start) for m in r.matches)) for r in decontamination.find(table(spark, rows), items).collect())
+    want = {1: ((1, 0, 1), (7, 0, 1)), 3: ((2, 0, 1),), 5: ((3, 0, 2),), 6: ((3, 1, 2),), 7: ((4, 0, 1),), 9: ((6, 0, 0),)}
+    assert got == collections.Counter((k, want.get(k, ())) for k, _ in rows)
+
+
+def test_decontamination_equals_brute_force():
+    """The search over whole texts against the plain distance of every unit to every text."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: r.choice("ab cd ef gh ij kl mn op".split())
+    for _ in range(60):
+        items = {k: [word() for _ in range(r.choice((1, 3, 5, 8, 12, 40)))] for k in range(6)}
+        block = decontamination.Matcher()
+        for k, ws in items.items():
+            block.add(k, " ".join(ws))
+        texts = []
+        for _ in range(8):
+            ws = [word() for _ in range(r.randint(0, 30))]
+            if r.random() < 0.7:
+                part = list(r.choice(list(items.values())))
+                for _ in range(r.randint(0, 3)):
+                    part[r.randrange(len(part))] = word()
+                ws[len(ws) // 2 : len(ws) // 2] = [*part, "."] if r.random() < 0.5 else part
+            texts.append(" ".join(ws))
+        for text, found in zip(texts, block.ready().search(texts), strict=True):
+            want = {}
+            for k, ws in items.items():
+                if len(ws) < decontamination.MIN_WORDS:
+                    if any(part.split() == ws for part in text.split(".")):
+                        want[k] = 0
+                    continue
+                for unit in decontamination.units(ws):
+                    d = edit_distance(unit, text.replace(".", " ").split())
+                    if d <= int(len(unit) * decontamination.ERROR_RATE):
+                        want[k] = min(want.get(k, d), d)
+            assert {m["item_id"]: m["distance"] for m in found} == want
+
+
 def edit_distance(p, t):
     row = list(range(len(p) + 1))
     best = len(p)
