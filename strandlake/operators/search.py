@@ -104,6 +104,18 @@ def located(table: DataFrame, found: DataFrame) -> DataFrame:
     return spans.join(rows, ["pile", "bin"]).filter("at >= position and at < end").select("kmer", F.col("at").alias("position"), "seq_id", "pos")
 
 
+def located_forward(index: DataFrame, piles: DataFrame, found: DataFrame) -> DataFrame:
+    """For every place of every interval its read, without end positions: kmer, position, number (of the read), to_end.
+
+    index: S.forward_index, piles: S.smaller. The range join of `located`, on ranks.
+    """
+    low = F.col("smaller") + F.col("position")
+    ranks = found.filter("count > 0").distinct().withColumn("ch", F.substring("kmer", 1, 1)).join(F.broadcast(piles), "ch").select("kmer", "smaller", low.alias("low"), (low + F.col("count")).alias("high"))
+    spans = ranks.select("*", F.explode(F.sequence(F.floor(F.col("low") / BIN), F.floor((F.col("high") - 1) / BIN))).alias("bin"))
+    rows = index.withColumn("bin", F.floor(F.col("rank") / BIN))
+    return spans.join(rows, "bin").filter("rank >= low and rank < high").select("kmer", (F.col("rank") - F.col("smaller")).alias("position"), "number", "to_end")
+
+
 def extracted(reads: DataFrame, ids: DataFrame) -> DataFrame:
     return reads.join(ids.select("seq_id").distinct(), "seq_id", "left_semi")
 

@@ -7,6 +7,8 @@ them, so neither a single task nor a window over all rows is needed, and equal s
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +143,28 @@ def inverted(table: DataFrame, longest: int) -> DataFrame:
     return walk.join(F.broadcast(ends), F.col("rank") < F.col("n")).select(F.col("rank").alias("number"), F.col("text").alias("bases"))
 
 
+def forward_index(table: DataFrame, longest: int) -> DataFrame:
+    """rank, number (of the read, its place in the `$` pile) and to_end (letters from the suffix to the read's end).
+
+    The inverse of LF leads from a suffix to the one a letter shorter, in the end to one of no letters. Pointers double, so
+    reads of length L take log2(L) rounds of three whole numbers a row; rows that have arrived are in no more rounds.
+    """
+    size = table.filter("ch = '$'").agg(F.count("*").alias("ends"))
+    steps = lf(table).filter("ch != '$'").select(F.col("lf").alias("rank"), F.col("rank").alias("number"))
+    walk = stored(steps.crossJoin(F.broadcast(size)).select("rank", "number", F.lit(1).alias("to_end"), (F.col("number") < F.col("ends")).alias("there")))
+    arrived, going, done = [walk.filter("there")], walk.filter("not there"), 1
+    while done < longest:
+        # After a round that doubles, both sides hold steps of one length, or what is left to the end.
+        further = walk.select(F.col("rank").alias("number"), F.col("number").alias("number2"), F.col("to_end").alias("to_end2"), F.col("there").alias("there2"))
+        moved = stored(going.drop("there").join(further, "number").select("rank", F.col("number2").alias("number"), (F.col("to_end") + F.col("to_end2")).alias("to_end"), F.col("there2").alias("there")))
+        arrived.append(moved.filter("there"))
+        going = moved.filter("not there")
+        walk = functools.reduce(DataFrame.unionByName, [*arrived, going])
+        done *= 2
+    ends = table.select("rank").crossJoin(F.broadcast(size)).filter("rank < ends")
+    return functools.reduce(DataFrame.unionByName, arrived).select("rank", "number", "to_end").unionByName(ends.select("rank", F.col("rank").alias("number"), F.lit(0).alias("to_end")))
+
+
 def end_positions(table: DataFrame, groups: int = 1) -> DataFrame:
     """For the k-th `$` of the transform (dollar_num) its read, and the read's group and place in it.
 

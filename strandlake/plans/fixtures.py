@@ -81,6 +81,10 @@ def piles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "piles", lambda: S.smaller(bwt(spark, sf_dir)))
 
 
+def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "forward_index", lambda: S.forward_index(bwt(spark, sf_dir), LENGTH))
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import search
 

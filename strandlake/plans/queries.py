@@ -18,6 +18,7 @@ from ..operators import suffixes as S
 from ..operators import taxa as T
 from ..operators.storage import shared_dir
 from ..sources import files as IO
+from ..sources import transforms as Z
 from . import convert
 from . import fixtures as X
 from .fixtures import K, LENGTH, N, sql
@@ -426,6 +427,37 @@ def src_9(spark, d):
     return read.select(F.element_at(names, F.regexp_extract("file", "file=(B0.)", 1)).alias("pile"), F.col("rank").cast("bigint").alias("rank"), "ch")
 
 
+def coded(spark, d, kind: str, name: str | None = None):
+    """The runs of the transform, written as files of a coding and read again; the sink makes runs of the letters."""
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    Z.write(X.bwt(spark, d).select("pile", F.col("pile_pos").alias("first"), "ch", F.lit(1).cast("bigint").alias("run")), folder, kind)
+    return Z.read(spark, folder, name)
+
+
+@query("src_10", sql("SELECT pile, pile_pos AS rank, ch FROM bwt"))
+def src_10(spark, d):
+    return Z.letters(coded(spark, d, "nibble"), "pile")
+
+
+@query("src_11", sql("SELECT pile, pile_pos AS rank, ch FROM bwt"))
+def src_11(spark, d):
+    return Z.letters(coded(spark, d, "v3"), "pile")
+
+
+#: The coding that the files of a pile have in `src_15`.
+MIXED = {"$": "ascii", "A": "ascii", "C": "nibble", "G": "nibble", "N": "v3", "T": "v3"}
+
+
+@query("src_15", sql("SELECT CASE " + " ".join(f"WHEN pile = '{c}' THEN '{k}'" for c, k in MIXED.items()) + " END AS kind, pile, pile_pos AS rank, ch FROM bwt"))
+def src_15(spark, d):
+    """Files of three codings side by side: each is told by its first bytes."""
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    rows = X.bwt(spark, d).select("pile", F.col("pile_pos").alias("first"), "ch", F.lit(1).cast("bigint").alias("run"))
+    for kind in sorted(set(MIXED.values())):
+        Z.write(rows.filter(F.col("pile").isin([c for c, k in MIXED.items() if k == kind])), f"{folder}/{kind}", kind)
+    return Z.letters(Z.read(spark, folder), "kind", "pile")
+
+
 @query("src_8", sql("SELECT (r.seq_id // 1000)::BIGINT AS tile, (r.seq_id % 1000)::BIGINT AS cluster, rpad(list_aggregate(list_transform(range(1, length(bases) + 1), lambda i: CASE WHEN substr(quals, i::INT, 1) = '!' THEN 'N' ELSE substr(bases, i::INT, 1) END), 'string_agg', ''), size::INT, 'N') AS bases, rpad(quals, size::INT, '!') AS quals FROM reads r, (SELECT max(length(bases)) AS size FROM reads)"))
 def src_8(spark, d):
     """All reads as a run of base-call files, read again: letters without quality, and those that a read lacks, are N."""
@@ -538,6 +570,31 @@ def snk_7(spark, d):
     return S.end_positions(X.bwt(spark, d))
 
 
+PLACES = "SELECT pile, ch, count(*) AS n, sum(pile_pos)::BIGINT AS places FROM bwt GROUP BY pile, ch"
+
+
+def places(runs):
+    """For each pile and letter how often it stands there, and the sum of its places."""
+    total = F.expr("run * (2 * first + run - 1) div 2")
+    return runs.groupBy("pile", "ch").agg(F.sum("run").alias("n"), F.sum(total).alias("places"))
+
+
+@query("snk_2_files", sql(PLACES))
+def snk_2_files(spark, d):
+    return places(coded(spark, d, "five_three", "five_three"))
+
+
+@query("snk_3_files", sql(PLACES))
+def snk_3_files(spark, d):
+    return places(coded(spark, d, "v2", "v2"))
+
+
+@query("snk_8_files", sql("SELECT rank, ch FROM bwt"))
+def snk_8_files(spark, d):
+    """The piles' files as one transform."""
+    return Z.letters(Z.concatenated(coded(spark, d, "v3")))
+
+
 @query("snk_8", sql("SELECT ch, count(*) AS n FROM bwt GROUP BY ch"))
 def snk_8(spark, d):
     return X.bwt(spark, d).groupBy("ch").agg(F.count("*").alias("n"))
@@ -611,6 +668,12 @@ def sea_4(spark, d):
     return sea_3(spark, d).join(X.reads(spark, d).select("seq_id", "bases"), "seq_id")
 
 
+@query("sea_5", sql("SELECT kmer, position, seq_id AS number, (length(bases) - pos)::INT AS to_end FROM found JOIN reads USING (seq_id)", FOUND))
+def sea_5(spark, d):
+    """Places by the walk to the read's end, from the transform alone."""
+    return Q.located_forward(X.forward_index(spark, d), X.piles(spark, d), searched(spark, d))
+
+
 @query("sea_6", sql("SELECT seq_id, bases, quals FROM reads WHERE seq_id IN (SELECT seq_id FROM found)", FOUND))
 def sea_6(spark, d):
     return Q.extracted(X.reads(spark, d), sea_2(spark, d))

@@ -4,7 +4,7 @@ import pytest
 
 from strandlake.functions import runs as R
 from strandlake.plans import convert
-from strandlake.sources import files, records
+from strandlake.sources import files, records, transforms
 
 
 def test_text_formats(spark, tmp_path):
@@ -173,3 +173,69 @@ def test_runs_are_written_and_read(spark, tmp_path):
     assert set(got) == set(want) and all(got[k][0] == want[k][0].rstrip("N") and got[k][1].startswith(want[k][1]) for k in want)
     (top / "s_1_0.filter").write_bytes(bytes(12) + bytes([1, 0, 1]))
     assert set(shown()) == set(want) - {1}
+
+
+RUNS = [("$", [("A", 3), ("C", 70000), ("A", 1)]), ("A", [("G", 58), ("T", 59), ("N", 5), ("$", 17), ("N", 1), ("A", 928), ("C", 929)]), ("T", [("T", 10**6)])]
+
+
+@pytest.mark.parametrize("kind", transforms.KINDS)
+def test_transform_files(spark, tmp_path, kind):
+    """What is written is read, with splits of any size, and equals the plain codes of a file."""
+    rows = []
+    for pile, each in RUNS:
+        at = 0
+        for ch, n in each:
+            for part in (n // 3, n - n // 3):  # the sink takes runs that go on
+                if part:
+                    rows.append((pile, at, ch, part, "x"))
+                    at += part
+    df = spark.createDataFrame(rows, "pile string, first bigint, ch string, run bigint, `a.b` string")
+    transforms.write(df, str(tmp_path / "x"), kind)
+    told = None if kind in ("ascii", "nibble", "v3") else kind
+    for split in {"v3": (1, 7, 1 << 20), "ascii": (200_000, 1 << 20)}.get(kind, (9_999, 1 << 20)):
+        got = transforms.read(spark, f"file:{tmp_path}/x", told, split).orderBy("pile", "first").collect()
+        assert {r.kind for r in got} == {kind}
+        for pile, each in RUNS:
+            text = "".join(c * n for c, n in each)
+            mine = [r for r in got if r.pile == pile]
+            assert "".join(r.ch * r.run for r in mine) == text
+            assert [r.first for r in mine] == [sum(r.run for r in mine[:k]) for k in range(len(mine))] or len(mine) > 2000
+    with pytest.raises(Exception, match="FileExistsError"):
+        transforms.write(df, str(tmp_path / "x"), kind)
+    whole = transforms.concatenated(transforms.read(spark, str(tmp_path / "x"), told))
+    assert whole.agg({"first": "max"}).first()[0] < sum(n for _, each in RUNS for _, n in each)
+
+
+def test_codes_equal_plain_ones():
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(50):
+        each, last = [], None
+        for _ in range(r.randint(0, 30)):
+            last = r.choice([c for c in "$ACGNT" if c != last])
+            each.append((last, r.choice((1, 2, 4, 5, 16, 17, 58, 59, 63, 64, 65, 928, 929, 10**6))))
+        letter, run = np.array(["$ACGNT".index(c) for c, _ in each], np.uint8), np.array([n for _, n in each], np.int64)
+        v3 = transforms.v3_head() + transforms.coded(letter, run, "v3")
+        assert v3 == R.v3_file(each) and R.v3_parsed(v3) == each
+        for kind in transforms.KINDS:
+            head = v3 if kind == "v3" else b""
+            data = np.frombuffer(transforms.coded(letter, run, kind), np.uint8)
+            a, b = transforms.decoded(data, transforms.table_of(kind, head))
+            assert [("$ACGNT"[x], int(n)) for x, n in zip(a, b, strict=True)] == each
+
+
+def test_transform_files_that_are_damaged(spark, tmp_path):
+    for name, data in (("empty-B00", b""), ("v3-B00", R.V3_HEADER + b"A"), ("nibble-B01", b"\x0f" * 9)):
+        (tmp_path / name).write_bytes(data)
+    assert transforms.read(spark, str(tmp_path / "empty-B00")).count() == 0
+    for name in ("v3-B00", "nibble-B01", "absent"):
+        with pytest.raises(Exception, match="damaged|means no letter|FileNotFound"):
+            transforms.read(spark, str(tmp_path / name)).collect()
+    (tmp_path / "ok-B03").write_bytes(b"acgt$N")
+    assert [(r.pile, r.kind, r.first, r.ch, r.run) for r in transforms.read(spark, str(tmp_path / "ok-B03")).orderBy("first").collect()] == [("G", "ascii", k, c, 1) for k, c in enumerate("ACGT$N")]
+    none = spark.createDataFrame([], "pile string, first bigint, ch string, run bigint")
+    transforms.write(none, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() or transforms.read(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="alphabet"):
+        transforms.write(spark.createDataFrame([("A", 0, "x", 1)], none.schema), str(tmp_path / "bad"))
