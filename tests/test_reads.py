@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandlake.functions.bases import COMPLEMENTS
-from strandlake.operators import compare, correct, order, search, suffixes, sums
+from strandlake.operators import compare, correct, merge, order, search, suffixes, sums
 
 #: Two reads of 30 letters that differ in one, and how many breakpoints their comparison has.
 PAIR = ("AAAGGCGAAAATGCACATAATTATGGCCTG", "AAAGGCGAAAATACACATAATTATGGCCTG")
@@ -173,3 +173,26 @@ def test_running_sums(spark, monkeypatch):
     rows = [(g, k * k, (k * 7 + len(g)) % 5) for g in ("a", "bb") for k in range(30)]
     got = {(x.g, x.k): x.before for x in sums.running(spark.createDataFrame(rows, "g string, k bigint, v bigint"), "g", "k", "v").collect()}
     assert got == {(g, k): sum(v for h, j, v in rows if h == g and j < k) for g, k, _ in rows}
+
+
+def test_merged_transforms_and_forward_walk(spark):
+    """Interleaving and the walk to a read's end against a plain sort, with copies, empty and missing reads."""
+    r = random.Random(14)
+    texts = {k: "".join(r.choice("ACGNT") for _ in range(r.choice((0, 1, 5, 12)))) for k in range(24)}
+    texts |= {24: texts[3] + "A", 25: texts[3] + "A", 26: "AAAAAAAAAAAA", 27: "AAAAAAAAAAAA", 28: "AAAAAA"}
+    reads = spark.createDataFrame([*texts.items(), (40, None)], "seq_id bigint, bases string")
+    plain = sorted((t[p:], k, p, t[p - 1] if p else "$") for k, t in texts.items() for p in range(len(t) + 1))
+    for parts in ("seq_id % 2 = 0", "seq_id < 0"):
+        a, b = reads.filter(parts), reads.filter(f"not ({parts})")
+        got = merge.merged(a, suffixes.bwt(a), suffixes.bwt(b), 13).orderBy("rank").collect()
+        assert [(x.rank, x.seq_id, x.pos, x.ch) for x in got] == [(k, *row[1:]) for k, row in enumerate(plain)]
+    whole = suffixes.bwt(reads)
+    # Reads are numbered by their place among the ends.
+    number = {k: n for n, k in enumerate(sorted(texts))}
+    index = suffixes.forward_index(whole, 13)
+    assert [tuple(x) for x in index.orderBy("rank").collect()] == [(k, number[row[1]], len(row[0])) for k, row in enumerate(plain)]
+    words = spark.createDataFrame([("AA",), ("CG",), ("TTTTTTT",)], "kmer string")
+    found = search.intervals(suffixes.rank_index(whole), suffixes.smaller(whole), words)
+    places = search.located_forward(index, suffixes.smaller(whole), found).collect()
+    want = sorted((w, number[k], len(s)) for s, k, _, _ in plain for w in ("AA", "CG", "TTTTTTT") if s.startswith(w))
+    assert sorted((x.kmer, x.number, x.to_end) for x in places) == want
