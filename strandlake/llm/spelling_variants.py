@@ -11,7 +11,8 @@ Nulls: a null text has no words; a document without a number takes part like any
 null words are left out. Empty texts have no words and empty tables no result; a very long text is one array of words in
 one task, a very long word one array of bigrams. Repeated rows are counted again. Among equally frequent near words the
 smallest in code-point order is the form; forms are at least ten times as frequent as the word, so there are no cycles.
-Columns other than doc_id and text are never read.
+Columns other than doc_id and text are never read. Joins of words are merge joins by hint: Spark would judge their tables by
+the size of compressed files, and send tables of many times that size through the driver.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     other = keys(each, size, (0,)).withColumn("same", F.lit(True)).unionByName(keys(each, size - 1, (0, 1)).withColumn("same", F.lit(False)))
     other = other.select("k", "same", F.col("word").alias("b"), F.col("n").alias("n_b"))
     one_edit = F.expr("(not same or a < b) and length(b) - length(a) = if(same, 0, 1) and levenshtein(a, b, 1) = 1")
-    return shorter.join(other, "k").filter(one_edit).select("a", "b", "n_a", "n_b").distinct()
+    return shorter.join(other.hint("merge"), "k").filter(one_edit).select("a", "b", "n_a", "n_b").distinct()
 
 
 def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
@@ -86,7 +87,7 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     both = pairs.select(F.col("a").alias("word"), F.struct((-F.col("n_b")).alias("minus"), F.col("b").alias("form")).alias("x")).unionByName(pairs.select(F.col("b").alias("word"), F.struct((-F.col("n_a")).alias("minus"), F.col("a").alias("form")).alias("x")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("x").alias("x"))
     far = -F.col("x.minus") >= factor * F.col("n")
-    joined = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(far, F.col("x.form")).alias("form"), F.when(far, -F.col("x.minus")).alias("form_n"))
+    joined = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(far, F.col("x.form")).alias("form"), F.when(far, -F.col("x.minus")).alias("form_n"))
     joined = common.stored(joined, "forms")
     # Counts grow by `factor` from form to form, so a way has at most log(largest count) steps; a round doubles its reach.
     largest = max(words.agg(F.max("n")).first()[0] or 1, 1)
@@ -94,5 +95,5 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     way = joined.filter("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         onward = way.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        way = common.stored(way.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
-    return joined.join(way, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        way = common.stored(way.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
+    return joined.join(way.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

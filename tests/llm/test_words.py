@@ -347,3 +347,10 @@ def test_queries_equal_their_sql(spark, name):
     df = queries.queries()[name](spark, DATA)
     assert sorted(columns) == sorted(df.columns)
     assert collections.Counter(tuple(r[c] for c in columns) for r in df.collect()) == collections.Counter(cur.fetchall())
+
+
+def test_spelling_variants_send_no_words_through_the_driver(spark):
+    words = spark.createDataFrame([("lettuces", 30), ("lettucez", 2)], "word string, n bigint")
+    for df in (spelling_variants.variants(words), spelling_variants.near_pairs(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
