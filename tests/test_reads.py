@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandlake.functions.bases import COMPLEMENTS
-from strandlake.operators import compare, correct, merge, order, search, suffixes, sums
+from strandlake.operators import compare, correct, merge, order, search, storage, suffixes, sums
 
 #: Two reads of 30 letters that differ in one, and how many breakpoints their comparison has.
 PAIR = ("AAAGGCGAAAATGCACATAATTATGGCCTG", "AAAGGCGAAAATACACATAATTATGGCCTG")
@@ -196,3 +196,37 @@ def test_merged_transforms_and_forward_walk(spark):
     places = search.located_forward(index, suffixes.smaller(whole), found).collect()
     want = sorted((w, number[k], len(s)) for s, k, _, _ in plain for w in ("AA", "CG", "TTTTTTT") if s.startswith(w))
     assert sorted((x.kmer, x.number, x.to_end) for x in places) == want
+
+
+@pytest.mark.parametrize("sap", [False, True])
+def test_order_by_packed_keys(spark, sap):
+    """Prefixes, letters before and quals of reads of many lengths; no suffix text goes through the sort."""
+    r = random.Random(5)
+    strings = ["".join(r.choice("ACGNT") for _ in range(r.choice([0, 1, 2, 3, 4, 5, 30, 200]))) for _ in range(60)]
+    strings += [strings[7], strings[9], "A" * 50, "A" * 51, "A" * 52, "", "ACGTN" * 30, "T" + "ACGTN" * 30]
+    quals = [s.translate(str.maketrans("ACGNT", "IJKLM")) for s in strings]
+    rows = [(i, s, q) for i, (s, q) in enumerate(zip(strings, quals, strict=True))]
+    df = spark.createDataFrame(rows, "seq_id bigint, bases string, quals string").repartition(3)
+    before = lambda s, p: s[p - 1] if p else None
+    for longest in (None, 6):
+        at = [(s[p:], i, p) for i, s in enumerate(strings) for p in range(len(s) + 1) if longest is None or len(s) - p <= longest]
+        at.sort(key=lambda x: (x[0], before(strings[x[1]], x[2]) or "$", x[1]) if sap else x)
+        want = []
+        for k, (s, i, p) in enumerate(at):
+            last = at[k - 1] if k else ("", None, None)
+            shared = next((j for j, (x, y) in enumerate(zip(s, last[0])) if x != y), min(len(s), len(last[0])))
+            want.append((k, s[:1] or "$", before(strings[i], p) or "$", i, p, len(s), shared, (before(strings[last[1]], last[2]) or "$") if k else None, before(quals[i], p)))
+        table = suffixes.bwt(df, "quals", sap=sap, longest=longest)
+        got = sorted(tuple(x) for x in table.select("rank", "pile", "ch", "seq_id", "pos", "length", "lcp", "prev", "quals").collect())
+        assert got == want
+        assert "suffix" not in table.columns
+
+
+def test_table_is_written_zstd_and_shuffles_go(spark):
+    import pyarrow.parquet as pq
+
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    file = storage.stored(spark.range(100).repartition(2)).inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
+    assert spark.conf.get(clean, None) == before
