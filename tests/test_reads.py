@@ -230,3 +230,9 @@ def test_table_is_written_zstd_and_shuffles_go(spark):
     file = storage.stored(spark.range(100).repartition(2)).inputFiles()[0].removeprefix("file://").removeprefix("file:")
     assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
     assert spark.conf.get(clean, None) == before
+
+
+def test_runs_begin_by_the_letter_before(spark):
+    """Where the table says which letter stands a rank before, its rows are not joined with each other."""
+    table = spark.createDataFrame([(0, "A", None), (5, "A", "A"), (6, "C", "A")], "rank bigint, ch string, prev string")
+    assert sorted(tuple(x) for x in suffixes.runs(table).collect()) == [(0, 0, "A", 6), (1, 6, "C", 1)]
