@@ -236,3 +236,51 @@ def test_runs_begin_by_the_letter_before(spark):
     """Where the table says which letter stands a rank before, its rows are not joined with each other."""
     table = spark.createDataFrame([(0, "A", None), (5, "A", "A"), (6, "C", "A")], "rank bigint, ch string, prev string")
     assert sorted(tuple(x) for x in suffixes.runs(table).collect()) == [(0, 0, "A", 6), (1, 6, "C", 1)]
+
+
+def shuffled(spark, made):
+    """The rows of a table that is made, and how many rows were shuffled for them."""
+    sc = spark.sparkContext
+    store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
+
+    def records():
+        bus.waitUntilEmpty()
+        stages = store.stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = records()
+    rows = made().collect()
+    return rows, records() - before
+
+
+def test_letters_are_shuffled_as_text(spark):
+    """Index, walk and runs of a transform in order: rows are packed before they are shuffled, and counted right."""
+    letters = "".join(random.Random(3).choice("$AACGNT") * random.Random(k).choice([1, 1, 2, 9]) for k in range(9000))
+    prev = [None, *letters]
+    table = storage.stored(spark.createDataFrame([(k, c, prev[k]) for k, c in enumerate(letters)], "rank bigint, ch string, prev string").coalesce(2))
+    rows, moved = shuffled(spark, lambda: suffixes.rank_index(table.drop("prev"), 1000))
+    assert moved < len(letters) // 20
+    assert "".join(r.letters for r in sorted(rows, key=lambda r: r.block)) == letters
+    assert all(r.before_c == letters[: 1000 * r.block].count("C") for r in rows)
+    rows, moved = shuffled(spark, lambda: suffixes.lf(table.drop("prev")))
+    assert moved < len(letters) // 20
+    order = {k: n for n, k in enumerate(sorted(range(len(letters)), key=lambda k: (letters[k], k)))}
+    seen = {c: 0 for c in letters}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        assert (r.ch, r.occ, r.lf) == (letters[r["rank"]], seen[r.ch], order[r["rank"]])
+        seen[r.ch] += 1
+    assert len(rows) == len(letters)
+    rows, moved = shuffled(spark, lambda: suffixes.runs(table))
+    assert moved < len(letters) // 20
+    first = [k for k in range(len(letters)) if prev[k] != letters[k]]
+    assert sorted(map(tuple, rows)) == [(n, a, letters[a], b - a) for n, (a, b) in enumerate(zip(first, [*first[1:], len(letters)], strict=True))]
+
+
+def test_runs_over_blocks_without_a_head_and_rows_in_disorder(spark):
+    """Runs longer than blocks, and a table whose rows are in no order."""
+    letters = "A" * 3 + "C" * 10000 + "G" + "A" * 5000 + "$"
+    rows = [(k, c, letters[k - 1] if k else None) for k, c in enumerate(letters)]
+    random.Random(1).shuffle(rows)
+    table = spark.createDataFrame(rows, "rank bigint, ch string, prev string")
+    assert sorted(map(tuple, suffixes.runs(table).collect())) == [(0, 0, "A", 3), (1, 3, "C", 10000), (2, 10003, "G", 1), (3, 10004, "A", 5000), (4, 15004, "$", 1)]
+    assert "".join(r.letters for r in sorted(suffixes.rank_index(table).collect(), key=lambda r: r.block)) == letters
