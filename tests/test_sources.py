@@ -239,3 +239,21 @@ def test_transform_files_that_are_damaged(spark, tmp_path):
     assert not (tmp_path / "none").exists() or transforms.read(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(Exception, match="alphabet"):
         transforms.write(spark.createDataFrame([("A", 0, "x", 1)], none.schema), str(tmp_path / "bad"))
+
+
+def test_coded_files_shuffle_no_single_runs(spark, tmp_path):
+    """The sink sorts stretches of codes and the source shuffles no run; runs out of order and long ones come back."""
+    from strandlake.operators.storage import stored
+    from test_reads import shuffled
+
+    letters = "".join("ACGNT$"[k * k % 7 % 6] for k in range(20000))
+    rows = stored(spark.createDataFrame([("A", k, c, 1) for k, c in enumerate(letters)] + [("C", 7, "G", 3), ("C", 0, "T", 7)], "pile string, first bigint, ch string, run bigint").coalesce(2))
+
+    def made():
+        transforms.write(rows, str(tmp_path / "out"), "v3")
+        return transforms.read(spark, str(tmp_path / "out"))
+
+    found, moved = shuffled(spark, made)
+    assert moved < 2000
+    assert "".join(r.ch * r.run for r in sorted(found, key=lambda r: r.first) if r.pile == "A") == letters
+    assert sorted((r.first, r.ch, r.run) for r in found if r.pile == "C") == [(0, "T", 7), (7, "G", 3)]
