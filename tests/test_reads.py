@@ -238,15 +238,15 @@ def test_runs_begin_by_the_letter_before(spark):
     assert sorted(tuple(x) for x in suffixes.runs(table).collect()) == [(0, 0, "A", 6), (1, 6, "C", 1)]
 
 
-def shuffled(spark, made):
-    """The rows of a table that is made, and how many rows were shuffled for them."""
+def shuffled(spark, made, of="shuffleWriteRecords"):
+    """The rows of a table that is made, and how many rows (or bytes) were shuffled for them."""
     sc = spark.sparkContext
     store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
 
     def records():
         bus.waitUntilEmpty()
         stages = store.stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None)
-        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+        return sum(getattr(stages.apply(k), of)() for k in range(stages.size()))
 
     before = records()
     rows = made().collect()
@@ -284,3 +284,44 @@ def test_runs_over_blocks_without_a_head_and_rows_in_disorder(spark):
     table = spark.createDataFrame(rows, "rank bigint, ch string, prev string")
     assert sorted(map(tuple, suffixes.runs(table).collect())) == [(0, 0, "A", 3), (1, 3, "C", 10000), (2, 10003, "G", 1), (3, 10004, "A", 5000), (4, 15004, "$", 1)]
     assert "".join(r.letters for r in sorted(suffixes.rank_index(table).collect(), key=lambda r: r.block)) == letters
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_in_arrays(spark, monkeypatch):
+    """Words before which letters are counted, over reads of none, few and many letters: no row for each place is made."""
+    from collections import Counter
+
+    strings = ["", "A", "ACG", "NACGTN", *made(50, 40, 4), *made(20, 9, 5, "AC")]
+    table = reads(spark, strings)
+    for k in (1, 2, 3, 8):
+        found = compare.contexts(table, k, "a")
+        assert "Generate" not in plan(found)
+        seen = Counter((s[p : p + k], s[p - 1] if p else "$") for s in strings for p in range(len(s) - k + 1) if "N" not in s[p : p + k])
+        want = {w: tuple(seen[w, c] for c in "$ACGNT") for w, _ in seen}
+        assert {r[0]: tuple(r[1:]) for r in found.collect()} == want
+
+
+def test_places_of_words_pass_a_filter(spark):
+    """Only places whose word may be searched for are joined; words shorter and longer than the filter's codes are found."""
+    strings = ["", "AC", *made(80, 50, 6)]
+    words = ["AC", "N", strings[5][3:15], strings[6][1:30], strings[7][:12], "ACGTACGTACGT", "ACGTACGTACGT", ""]
+    found = search.occurrences(reads(spark, strings), spark.createDataFrame([(w,) for w in words], "kmer string"))
+    assert "Generate" not in plan(found)
+    want = [(w, i, p) for w in set(words) if w for i, s in enumerate(strings) for p in range(len(s) - len(w) + 1) if s.startswith(w, p)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert search.occurrences(reads(spark, strings), spark.createDataFrame([], "kmer string")).collect() == []
+
+
+def test_ways_are_counted_without_a_sum_for_each_row(spark):
+    import math
+
+    from strandlake.functions import bases
+
+    rows = [(100, 40), (100, 40), (100, 0), (0, 0), (5, 5), (100000, 31), (None, 3)]
+    found = spark.createDataFrame(rows, "n int, k int").select("n", "k", bases.log_binomial("n", "k").alias("w"))
+    assert "lambda" not in plan(found)
+    for n, k, w in found.collect():
+        assert w is None if n is None else abs(w - sum(math.log((n - k + i) / i) for i in range(1, k + 1))) < 1e-6
