@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..functions import runs as R
+from ..operators import packing as P
 from . import records
 
 #: File endings of the formats.
@@ -89,9 +90,12 @@ def to_cycles(reads: DataFrame) -> DataFrame:
 
 
 def from_cycles(rows: DataFrame) -> DataFrame:
-    """Letters back to reads."""
-    both = F.sort_array(F.collect_list(F.struct("cycle", "base", "qual")))
-    return rows.groupBy("seq_id").agg(both.alias("x")).select("seq_id", F.concat(F.lit("Read "), F.col("seq_id").cast("string")).alias("name"), F.array_join("x.base", "").alias("bases"), F.array_join("x.qual", "").alias("quals"))
+    """Letters back to reads; letters on end are joined before the shuffle."""
+    one = rows.select("seq_id", "cycle", "base", "qual")
+    kinds = [f"{name} {one.schema[c].dataType.simpleString()}" for name, c in (("seq_id", "seq_id"), ("at", "cycle"))]
+    pieces = one.mapInArrow(P.read_pieces, ", ".join([*kinds, "bases string, quals string"]))
+    both = F.sort_array(F.collect_list(F.struct("at", "bases", "quals")))
+    return pieces.groupBy("seq_id").agg(both.alias("x")).select("seq_id", F.concat(F.lit("Read "), F.col("seq_id").cast("string")).alias("name"), F.array_join("x.bases", "").alias("bases"), F.array_join("x.quals", "").alias("quals"))
 
 
 #: Bytes in front of the clusters of a base-call and of a filter file; of a base-call file the first four count them.

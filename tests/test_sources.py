@@ -257,3 +257,16 @@ def test_coded_files_shuffle_no_single_runs(spark, tmp_path):
     assert moved < 2000
     assert "".join(r.ch * r.run for r in sorted(found, key=lambda r: r.first) if r.pile == "A") == letters
     assert sorted((r.first, r.ch, r.run) for r in found if r.pile == "C") == [(0, "T", 7), (7, "G", 3)]
+
+
+def test_cycles_are_joined_before_the_shuffle(spark):
+    from test_reads import shuffled
+
+    pick = random.Random(2)
+    rows = [(k, "".join(pick.choice("ACGTN") for _ in range(k % 700)), "".join(chr(33 + pick.randrange(40)) for _ in range(k % 700))) for k in range(300)]
+    reads = spark.createDataFrame(rows, "seq_id bigint, bases string, quals string").coalesce(2)
+    found, moved = shuffled(spark, lambda: files.from_cycles(files.to_cycles(reads)), "shuffleWriteBytes")
+    assert moved < 3 * sum(len(r[1]) for r in rows)
+    assert sorted((r.seq_id, r.bases, r.quals) for r in found) == [r for r in rows if r[1]]
+    mixed = files.from_cycles(files.to_cycles(reads).orderBy("cycle", "seq_id"))
+    assert sorted((r.seq_id, r.bases, r.quals) for r in mixed.collect()) == [r for r in rows if r[1]]
