@@ -241,3 +241,14 @@ def test_errors_of_all_witness_lengths(spark, spoilt):
         got = correct.correctors(errors, marked, reads, SUPPORTED, longest, step=3).collect()
         assert sorted((r.seq_id, r.position, r.corrector) for r in got) == sorted((i, p, walked(i, p, longest)) for i, p in found)
     assert max(len(walked(i, p, 100)) for i, p in found) > 6
+
+
+def test_reads_lie_in_as_many_files_as_a_shuffle_has_parts(spark, tmp_path):
+    """A short table of reads is scanned by more than one task; texts keep their order, with letters of other scripts left out."""
+    texts = {k: f"{'ab' * (k % 130)} \u00e9\U0001f600 Z{'q' * k}" for k in range(0, 400, 2)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    reads = X.reads(spark, str(tmp_path))
+    assert len(reads.inputFiles()) == 4
+    pieces = [x[i : i + 100] for t in texts.values() for x in ["".join(c for c in t if c.isascii() and c.isalpha()).upper()] for i in range(0, len(x), 100)]
+    table = lambda to: str.maketrans(X.UPPER, to)
+    assert sorted(map(tuple, reads.select("seq_id", "bases", "quals").collect())) == [(k, x.translate(table(X.MAPPED)), x.translate(table(X.QUALITIES))) for k, x in enumerate(pieces)]
