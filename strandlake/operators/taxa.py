@@ -14,6 +14,8 @@ from .storage import stored
 from .sums import running
 
 ROOT = 1
+#: Hits that a task takes.
+PART = 1 << 16
 
 
 def filled(paths: DataFrame) -> DataFrame:
@@ -26,8 +28,10 @@ def filled(paths: DataFrame) -> DataFrame:
 def distinct_files(hits: DataFrame, paths: DataFrame, level: int = 2) -> DataFrame:
     """interval and its distinct files: the first (of least position) always, others only if known at `level`."""
     known = paths.filter(F.col("level") == level).select("file_num", (F.col("tax_id") >= 0).alias("known"))
-    first = hits.groupBy("interval").agg(F.min_by("file_num", "position").alias("first"))
-    return hits.join(known, "file_num", "left").join(first, "interval").filter(F.col("known") | (F.col("file_num") == F.col("first"))).select("interval", "file_num").distinct()
+    # Hits are short and compress well, so parts are told by rows; those of an interval stay together in all that follows.
+    held = hits.select("interval", "file_num", "position").join(known, "file_num", "left").repartition(hits.count() // PART + 1, "interval")
+    first = held.groupBy("interval").agg(F.min_by("file_num", "position").alias("first"))
+    return held.join(first, "interval").filter(F.col("known") | (F.col("file_num") == F.col("first"))).select("interval", "file_num").distinct()
 
 
 def shared_taxa(files: DataFrame, paths: DataFrame) -> DataFrame:
@@ -35,13 +39,14 @@ def shared_taxa(files: DataFrame, paths: DataFrame) -> DataFrame:
 
     An interval of one file agrees at every level but the highest.
     """
-    each = files.join(paths, "file_num").groupBy("interval", "level").agg(F.countDistinct(F.when(F.col("tax_id") != -1, F.col("tax_id"))).alias("n"), F.max("tax_id").alias("tax_id"))
-    size = files.groupBy("interval").agg(F.countDistinct("file_num").alias("files"))
-    split = each.filter("n != 1").groupBy("interval").agg(F.min("level").alias("stop"))
-    rows = each.join(size, "interval").join(split, "interval", "left")
-    one = (F.col("files") == 1) & (F.col("level") > 0) & (F.col("n") == 1)
-    many = (F.col("files") > 1) & (F.col("n") == 1) & (F.col("stop").isNull() | (F.col("level") < F.col("stop")))
-    return rows.filter(one | many).select("interval", "level", "tax_id")
+    # Whether there is one taxon, or file, is told by the least and the largest: no set of them is held.
+    known = F.when(F.col("tax_id") != -1, F.col("tax_id"))
+    each = files.join(paths, "file_num").groupBy("interval", "level").agg(F.coalesce(F.min(known) == F.max(known), F.lit(False)).alias("one"), F.max("tax_id").alias("tax_id"))
+    size = files.groupBy("interval").agg((F.min("file_num") != F.max("file_num")).alias("many"))
+    split = each.filter("not one").groupBy("interval").agg(F.min("level").alias("stop"))
+    rows = each.filter("one").join(size, "interval").join(split, "interval", "left")
+    kept = F.when(F.col("many"), F.col("stop").isNull() | (F.col("level") < F.col("stop"))).when(~F.col("many"), F.col("level") > 0)
+    return rows.filter(kept).select("interval", "level", "tax_id")
 
 
 def lowest_common(files: DataFrame, paths: DataFrame) -> DataFrame:

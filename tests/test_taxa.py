@@ -64,3 +64,34 @@ def test_krona(spark, tmp_path):
     page = ElementTree.fromstring("".join(p.read_text() for p in sorted((tmp_path / "tree").glob("part-*"))))
     read = lambda e: (e.get("name"), int(e.find("magnitude/val").text), getattr(e.find("rank/val"), "text", None), int(e.find("taxid/val").text), [read(x) for x in e.findall("node")])
     assert [read(x) for x in page.find("body/div/krona").findall("node")] == [("1", 6, None, 1, [('a "b" & <c>', 3, "genus", 2, [("x", 2, "species", 3, [])]), ("y", 3, "species", 4, [])])]
+
+
+def test_hits_are_dealt_by_rows_and_no_sets_are_held(spark, monkeypatch):
+    """A task takes so many hits however well they compress, and taxa that agree are found without sets of them."""
+    import random
+
+    pick = random.Random(4)
+    tree = {f: [pick.choice([-1, 7, 8]), 10 + f % 2, 20 + f] for f in range(6)}
+    levels = spark.createDataFrame([(f, k, t) for f, ts in tree.items() for k, t in enumerate(ts)], "file_num bigint, level int, tax_id bigint")
+    rows = [(k % 90, pick.randrange(8), k) for k in range(300)]
+    monkeypatch.setattr(taxa, "PART", 50)
+    found = taxa.distinct_files(spark.createDataFrame(rows, "interval bigint, file_num bigint, position bigint"), levels)
+    assert "hashpartitioning(interval#" in (text := found._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in text
+    first = {i: f for i, f, _ in reversed(rows)}
+    held = {(i, f) for i, f, _ in rows if f in tree or first[i] == f}
+    assert sorted(map(tuple, found.collect())) == sorted(held)
+    shared = taxa.shared_taxa(found, levels)
+    assert "distinct" not in shared._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i in {i for i, _ in held}:
+        files = [f for j, f in held if j == i]
+        for k in range(3):
+            seen = [tree[f][k] for f in files if f in tree]
+            if not seen:
+                break
+            known = set(seen) - {-1}
+            if len(files) > 1 and len(known) != 1:
+                break
+            if len(known) == 1 and (len(files) > 1 or k > 0):
+                want.append((i, k, max(seen)))
+    assert sorted(map(tuple, shared.collect())) == sorted(want)
