@@ -43,6 +43,16 @@ def test_transform_of_every_letter(spark, folder):
     assert got == [(k, i, p, c) for k, (_, i, p, c) in enumerate(rows)]
 
 
+@pytest.mark.parametrize("name", ["snk_7", "src_16"])
+def test_ends_need_no_transform(spark, folder, name, monkeypatch):
+    def made(*_):
+        raise AssertionError("all suffixes are sorted")
+
+    monkeypatch.setattr(X, "bwt", made)
+    got = sorted((r.dollar_num, r.seq_id) for r in plans.QUERIES[name](spark, folder).collect())
+    assert got == [(k, i) for k, (_, i) in enumerate(sorted((b, i) for i, b in cut()))]
+
+
 #: The queries that stand on reads and have SQL.
 SAME = [n for n in plans.SQL if n.startswith(("scl_", "bwt_", "src_", "snk_", "sea_", "cmp_", "cor_")) and n not in ("scl_16", "scl_17", "scl_18", "scl_22", "src_21", "src_22", "snk_13", "snk_13_krona")]
 
