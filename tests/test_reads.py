@@ -325,3 +325,16 @@ def test_ways_are_counted_without_a_sum_for_each_row(spark):
     assert "lambda" not in plan(found)
     for n, k, w in found.collect():
         assert w is None if n is None else abs(w - sum(math.log((n - k + i) / i) for i in range(1, k + 1))) < 1e-6
+
+
+@pytest.mark.parametrize("name", ["cmp_5", "scl_19"])
+def test_words_are_counted_without_stored_reads(spark, tmp_path, monkeypatch, name):
+    """Reads are counted where they are cut: no numbered reads are written."""
+    from strandlake.plans import fixtures, queries
+
+    def made(*_):
+        raise AssertionError("reads are stored")
+
+    spark.createDataFrame([(3, "abc dfg ba" * 40), (1, "x" * 101), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(fixtures, "reads", made)
+    assert queries.QUERIES[name](spark, str(tmp_path)).count()
