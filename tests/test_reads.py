@@ -327,7 +327,7 @@ def test_ways_are_counted_without_a_sum_for_each_row(spark):
         assert w is None if n is None else abs(w - sum(math.log((n - k + i) / i) for i in range(1, k + 1))) < 1e-6
 
 
-@pytest.mark.parametrize("name", ["cmp_5", "scl_19"])
+@pytest.mark.parametrize("name", ["cmp_1", "cmp_2", "cmp_5", "cmp_6", "cmp_10", "cmp_15", "scl_19"])
 def test_words_are_counted_without_stored_reads(spark, tmp_path, monkeypatch, name):
     """Reads are counted where they are cut: no numbered reads are written."""
     from strandlake.plans import fixtures, queries
@@ -338,3 +338,15 @@ def test_words_are_counted_without_stored_reads(spark, tmp_path, monkeypatch, na
     spark.createDataFrame([(3, "abc dfg ba" * 40), (1, "x" * 101), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(fixtures, "reads", made)
     assert queries.QUERIES[name](spark, str(tmp_path)).count()
+
+
+def test_sides_of_reads_by_their_order(spark):
+    """Partitions of even and of odd numbers of reads, and empty ones: the same as with numbers."""
+    strings = ["ACG", "", "NACGTN", *made(48, 40, 14), *made(20, 9, 15, "AC")]
+    numbered = reads(spark, strings)
+    want = sorted(map(tuple, compare.compared(numbered.filter("seq_id % 2 = 0"), numbered.filter("seq_id % 2 = 1"), 3).collect()))
+    for n in (1, 3, 7):
+        parts = spark.sparkContext.parallelize([(x,) for x in strings], n).toDF("bases string")
+        assert sorted(map(tuple, compare.in_turn(parts, 3).collect())) == want
+    few = spark.sparkContext.parallelize([("ACG",), ("AGG",), ("ACT",)], 8).toDF("bases string")
+    assert {(r.word, r.where) for r in compare.in_turn(few, 3).collect()} == {("ACG", "A"), ("AGG", "B"), ("ACT", "A")}
