@@ -262,3 +262,20 @@ def test_reads_lie_in_as_many_files_as_a_shuffle_has_parts(spark, tmp_path):
     pieces = [x[i : i + 100] for t in texts.values() for x in ["".join(c for c in t if c.isascii() and c.isalpha()).upper()] for i in range(0, len(x), 100)]
     table = lambda to: str.maketrans(X.UPPER, to)
     assert sorted(map(tuple, reads.select("seq_id", "bases", "quals").collect())) == [(k, x.translate(table(X.MAPPED)), x.translate(table(X.QUALITIES))) for k, x in enumerate(pieces)]
+
+
+def test_long_words_are_followed(spark, monkeypatch):
+    """Words nearly as long as reads, past the letters that come along with a place; in the first rounds no place is a row."""
+    r = random.Random(7)
+    genome = "".join(r.choice("ACGT") for _ in range(100))
+    other = genome[:4] + ("A" if genome[4] != "A" else "C") + genome[5:]
+    a, b = [genome[i:j] for i, j in ((0, 100), (2, 97), (0, 60)) for _ in range(3)], [other[i:j] for i, j in ((0, 100), (2, 99), (1, 60)) for _ in range(3)]
+    sets = [spark.createDataFrame(list(enumerate(x)), "seq_id bigint, bases string") for x in (a, b)]
+    sizes, stored = [], compare.stored
+    monkeypatch.setattr(compare, "stored", lambda df: sizes.append((out := stored(df)).count()) or out)
+    want, begins = brute_splice(a, b, 2)
+    assert max(k for k, _ in want) > 80
+    assert {(x.k, x.word) for x in compare.extended(*sets, "splice", 2, 100).collect()} == want
+    assert max(sizes) < sum(len(x) - 15 for x in a + b) + 1
+    only = sorted((w, i) for i, x in enumerate(a) for k in range(2, len(x) + 1) if (w := x[:k]) in begins)
+    assert sorted(tuple(x) for x in compare.read_numbers(*sets, "splice", 2, 100).collect()) == only
