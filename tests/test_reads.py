@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandlake.functions.bases import COMPLEMENTS
-from strandlake.operators import compare, correct, merge, order, search, storage, suffixes, sums
+from strandlake.operators import compare, correct, merge, order, packing, search, storage, suffixes, sums
 
 #: Two reads of 30 letters that differ in one, and how many breakpoints their comparison has.
 PAIR = ("AAAGGCGAAAATGCACATAATTATGGCCTG", "AAAGGCGAAAATACACATAATTATGGCCTG")
@@ -222,6 +222,31 @@ def test_order_by_packed_keys(spark, sap):
         assert "suffix" not in table.columns
 
 
+@pytest.mark.parametrize("sap", [False, True])
+def test_order_is_made_in_passes(spark, sap):
+    """Few suffixes are shuffled at a time, whatever their number; ranks, neighbours and piles go on over the passes."""
+    strings = [*made(40, 30, 3), *[""] * 3, "A" * 40, "A" * 41, "AC", "N", *made(3, 30, 4, "AC")]
+    df = spark.createDataFrame([(i, s, s) for i, s in enumerate(strings)], "seq_id bigint, bases string, quals string")
+    whole, parts = (suffixes.bwt(df, "quals", sap=sap, size=n, most=9) for n in (1 << 20, 50))
+    assert len({f.split("/pass=")[1].split("/")[0] for f in parts.inputFiles() if "/pass=" in f}) == 9
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    rows = df.select("bases")
+    spans = suffixes.passes(rows, 50, 9)
+    assert [a for a, _ in spans[1:]] == [b for _, b in spans[:-1]] and (spans[0][0], spans[-1][1]) == (0, packing.HEADS)
+
+
+def test_only_the_columns_asked_for_are_stored(spark):
+    """The letters of a transform take no numbers of reads, and numbers are stored in two parts."""
+    df = spark.createDataFrame([(k << 12, s) for k, s in enumerate(made(20, 30, 5))], "seq_id bigint, bases string")
+    whole = suffixes.bwt(df)
+    stored = lambda table: set(spark.read.parquet(table.inputFiles()[0].rsplit("/pass=", 1)[0]).columns)
+    for columns, kept in ((("ch", "prev"), {"ch", "prev"}), (("seq_id", "pos"), {"high_id", "low_id", "pos"}), (("lcp",), {"lcp", "edge"})):
+        table = suffixes.bwt(df, columns=columns)
+        assert table.columns == ["rank", "pile", "pile_pos", *columns]
+        assert stored(table) == kept | {"part", "pass", "pile"}
+        assert sorted(map(tuple, table.collect())) == sorted(map(tuple, whole.select(table.columns).collect()))
+
+
 def test_table_is_written_zstd_and_shuffles_go(spark):
     import pyarrow.parquet as pq
 
