@@ -1,7 +1,9 @@
 """Build, inversion, search, comparison and correction on small collections."""
 
+import collections
 import random
 
+import pyarrow as pa
 import pytest
 
 from strandlake.functions.bases import COMPLEMENTS
@@ -235,6 +237,31 @@ def test_order_is_made_in_passes(spark, sap):
     assert [a for a, _ in spans[1:]] == [b for _, b in spans[:-1]] and (spans[0][0], spans[-1][1]) == (0, packing.HEADS)
 
 
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_ways_are_shuffled_as_lists(monkeypatch, held):
+    """Lists give each way of a word once, its words together, and take a few bytes a letter (a row took four numbers)."""
+    monkeypatch.setattr(packing, "SORTED", held)
+    strings = [*made(300, 100, 6, "ACGT"), *made(40, 100, 6, "AC"), "", "ACGTACG", "ACGTACGT", "N" * 20]
+    sides = [k % 3 == 0 for k in range(len(strings))]
+    batch = pa.record_batch([pa.array(sides), pa.array(range(len(strings))), pa.array(strings)], ["is_a", "seq_id", "bases"])
+    batches = [batch.slice(0, 100), batch.slice(100)]
+    digit = {c: k for k, c in enumerate("$ACGNT")}
+    want = collections.Counter()
+    for s, is_a in zip(strings, sides, strict=True):
+        for p in range(len(s) - 7):
+            if "N" not in s[p : p + 8]:
+                root = sum("ACGT".index(c) * 4 ** (7 - j) for j, c in enumerate(s[p : p + 8]))
+                before = ("$" * 8 + s[:p])[: -9 : -1]
+                want[root, sum(digit[c] * 6 ** (7 - j) for j, c in enumerate(before)), is_a] += 1
+    lists = pa.Table.from_batches(packing.way_lists(iter(batches), 8, 8, None)).sort_by("bucket")
+    assert sum(map(len, lists["list"].to_pylist())) <= 9 * sum(map(len, strings))
+    rows = pa.Table.from_batches(packing.listed_ways(iter(lists.to_batches(50)), 8)).to_pylist()
+    assert len({(r["root"], r["way"]) for r in rows}) == len(rows)
+    assert {(r["root"], r["way"], is_a): r[n] for r in rows for n, is_a in (("n_a", True), ("n_b", False)) if r[n]} == want
+    roots = [r["root"] for r in rows]
+    assert len(set(roots)) == 1 + sum(a != b for a, b in zip(roots[:-1], roots[1:], strict=True))
+
+
 def test_only_the_columns_asked_for_are_stored(spark):
     """The letters of a transform take no numbers of reads, and numbers are stored in two parts."""
     df = spark.createDataFrame([(k << 12, s) for k, s in enumerate(made(20, 30, 5))], "seq_id bigint, bases string")
