@@ -262,6 +262,17 @@ def test_ways_are_shuffled_as_lists(monkeypatch, held):
     assert len(set(roots)) == 1 + sum(a != b for a, b in zip(roots[:-1], roots[1:], strict=True))
 
 
+def test_a_collection_is_compared_with_itself_at_once(spark):
+    """Without a second collection the words and counts are those of the collection beside itself."""
+    df = reads(spark, [*made(30, 30, 7, "AC"), *made(30, 30, 8, "ACGN")])
+
+    def words(other):
+        found = [d.filter(d.kind == compare.BREAKPOINT).select("k", "word", *compare.COUNTS) for d, _ in compare.rounds(df, other, "single", 6, 19, True)]
+        return sorted(tuple(r) for d in found for r in d.collect())
+
+    assert words(None) == words(df) and max(r[0] for r in words(None)) > 8
+
+
 def test_only_the_columns_asked_for_are_stored(spark):
     """The letters of a transform take no numbers of reads, and numbers are stored in two parts."""
     df = spark.createDataFrame([(k << 12, s) for k, s in enumerate(made(20, 30, 5))], "seq_id bigint, bases string")
