@@ -40,12 +40,38 @@ def marked(kmers: DataFrame) -> np.ndarray:
     return out
 
 
+def told(kmers: DataFrame, lengths: list[int]) -> bool:
+    """Whether the filter alone tells the words: all of one length, with a bit for each, and of the letters that have codes."""
+    return len(lengths) == 1 and lengths[0] <= P.FILTERED and kmers.filter(F.col("kmer").rlike("[^ACGT]")).isEmpty()
+
+
+def places(reads: DataFrame, lengths: list[int], bits: np.ndarray, only: bool, *carried: str) -> DataFrame:
+    rows = reads.select("seq_id", "bases", *[F.col(c).alias(f"c{k}") for k, c in enumerate(carried)])
+    kinds = ["word string", f"seq_id {rows.dtypes[0][1]}", "pos int", *[f"c{k} {rows.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(carried))]]
+    found = rows.mapInArrow(lambda batches: P.places_of(batches, lengths, bits, only), ", ".join(kinds))
+    return found.select("word", "seq_id", "pos", *[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)])
+
+
 def occurrences(reads: DataFrame, kmers: DataFrame) -> DataFrame:
-    """kmer, seq_id, pos: a row for each place. Only places that the words' filter lets through are joined with the words."""
+    """kmer, seq_id, pos: a row for each place. Where the words' filter doesn't tell them, what it lets through is joined with the words."""
     lengths, bits = lengths_of(kmers), marked(kmers)
-    kind = reads.schema["seq_id"].dataType.simpleString()
-    places = reads.select("seq_id", "bases").mapInArrow(lambda batches: P.places_of(batches, lengths, bits), f"word string, seq_id {kind}, pos int")
-    return places.join(kmers.select(F.col("kmer").alias("word")).distinct(), "word").select(F.col("word").alias("kmer"), "seq_id", "pos")
+    if told(kmers, lengths):
+        return places(reads, lengths, bits, True).withColumnRenamed("word", "kmer")
+    found = places(reads, lengths, bits, False)
+    return found.join(kmers.select(F.col("kmer").alias("word")).distinct(), "word").select(F.col("word").alias("kmer"), "seq_id", "pos")
+
+
+def tagged(reads: DataFrame, kmers: DataFrame) -> DataFrame:
+    """`extracted_with_tags` of the words' places: seq_id, name (with the word behind it), bases.
+
+    Rows are as many as places, which grow with the letters and with the words. Where the filter tells the words, they are
+    made where the reads stand, and none is shuffled.
+    """
+    lengths = lengths_of(kmers)
+    if not told(kmers, lengths):
+        return extracted_with_tags(reads, occurrences(reads, kmers).withColumnRenamed("kmer", "tag"))
+    rows = places(reads.withColumn("text", F.col("bases")), lengths, marked(kmers), True, "name", "text")
+    return rows.select("seq_id", F.concat_ws(" ", "name", "word").alias("name"), F.col("text").alias("bases"))
 
 
 def seeds(index: DataFrame, piles: DataFrame, letters: int = 6, per: int = S.BLOCK) -> DataFrame:

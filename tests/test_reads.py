@@ -273,6 +273,20 @@ def test_a_collection_is_compared_with_itself_at_once(spark):
     assert words(None) == words(df) and max(r[0] for r in words(None)) > 8
 
 
+@pytest.mark.parametrize("words, told", [(["ACGT", "CCAA", "TTTT"], True), (["ACGT", "CCAA", "ANGT"], False), (["ACGT", "CC"], False), (["ACGTACGTACGTA", "AAAAAAAAAAAAA"], False)])
+def test_tagged_records_are_made_where_reads_stand(spark, monkeypatch, words, told):
+    """A row for each place of a word; nothing is shuffled where the filter tells the words."""
+    monkeypatch.setattr(packing, "STEP", 500)
+    strings = [*made(40, 60, 9, "ACGTN"), *made(20, 60, 10, "AC"), "", "ACGT", "ACGTACGTACGTACGT", "A" * 30]
+    df = spark.createDataFrame([(i, f"n{i}", s) for i, s in enumerate(strings)], "seq_id bigint, name string, bases string")
+    kmers = spark.createDataFrame([(w,) for w in [*words, words[0]]], "kmer string")
+    found = search.tagged(df, kmers)
+    at = [(i, w, p) for i, s in enumerate(strings) for w in words for p in range(len(s) - len(w) + 1) if s.startswith(w, p)]
+    assert sorted(map(tuple, found.select("seq_id", "name", "bases").collect())) == sorted((i, f"n{i} {w}", strings[i]) for i, w, _ in at)
+    assert sorted(map(tuple, search.occurrences(df, kmers).select("seq_id", "kmer", "pos").collect())) == sorted(at)
+    assert ("Exchange" not in found._jdf.queryExecution().executedPlan().toString()) == told
+
+
 def test_only_the_columns_asked_for_are_stored(spark):
     """The letters of a transform take no numbers of reads, and numbers are stored in two parts."""
     df = spark.createDataFrame([(k << 12, s) for k, s in enumerate(made(20, 30, 5))], "seq_id bigint, bases string")
